@@ -49,8 +49,10 @@ def keyword_matches(title, keywords: list[str]) -> Column:
     Keywords are lower-cased and de-duplicated; multi-word keywords cannot match
     a single word and are kept only for fidelity."""
     kws = sorted({k.lower() for k in keywords if isinstance(k, str) and k})
-    lit_kw = F.array(*[F.lit(k) for k in kws]) if kws else F.array().cast("array<string>")
-    return F.filter(tokens(title), lambda w: F.array_contains(lit_kw, w))
+    if not kws:
+        return F.filter(tokens(title), lambda w: F.lit(False))
+    # ``isin`` over many literals becomes a hash-set probe (InSet)
+    return F.filter(tokens(title), lambda w: w.isin(*kws))
 
 
 def _empty_title(title) -> Column:
@@ -77,6 +79,14 @@ def keyword_counted(title, keywords: list[str], matches: Column | None = None) -
     return detail, count
 
 
+def letters_only(text) -> Column:
+    """I13 first step: null -> ' ', newline -> space, delete everything but ASCII
+    letters and whitespace, lower-case."""
+    t = F.regexp_replace(F.replace(as_col(text), F.lit("\n"), F.lit(" ")),
+                         "[^a-zA-Z\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]", "")
+    return F.lower(t)
+
+
 def clean_title_text(title) -> Column:
     """Lower-case and delete everything that is neither a word character
     (Unicode letters, digits, underscore) nor whitespace."""

@@ -8,10 +8,10 @@ A window with an ORDER BY but no PARTITION BY runs in one task.  Instead:
   literal array, so no join is needed.  The numbered frame is checkpointed to the
   shared checkpoint folder first: range bounds are sampled, and both the counts
   and the rows must come from the same partitioning.
-* ``time_until_nth_next`` is an equi-join of the index on index + n.
-* ``rolling_median`` uses halo buckets: bucket = index div B, and the first n-1
-  rows of each bucket are copied into the previous bucket, so every forward
-  frame of n rows lies inside one bucket.  Replication <= 1 + (n-1)/B.
+* ``forward_features`` (F1 lead differences, F2 rolling medians) uses halo
+  buckets: bucket = index div B, and the first n rows of each bucket are copied
+  into the previous bucket, so every forward frame of n rows and every lead
+  target lies inside one bucket.  Replication <= 1 + n/B.
 """
 
 from __future__ import annotations
@@ -59,36 +59,51 @@ def with_dense_index(df: DataFrame, order_by: list[str], name: str = "idx",
     return dense_index(df, order_by, name, num_partitions)[0]
 
 
-def time_until_nth_next(df: DataFrame, value: str, n: int = 30, order_by: list[str] | None = None,
-                        name: str = "time_on_first_page") -> DataFrame:
-    """``value[i + n] - value[i]`` in ``order_by`` order; null for the last n rows."""
-    order_by = order_by or ["time", "id"]
-    idx, _ = dense_index(df, order_by, "_idx")
-    ahead = idx.select((F.col("_idx") - F.lit(n)).alias("_idx"), F.col(value).alias("_ahead"))
-    return (idx.join(ahead, "_idx", "left")
-               .withColumn(name, F.col("_ahead") - F.col(value))
-               .drop("_ahead", "_idx"))
+def forward_features(df: DataFrame, order_by: list[str], n: int,
+                     leads: dict[str, str] | None = None, medians: dict[str, str] | None = None,
+                     bucket_rows: int = 100_000) -> DataFrame:
+    """One dense index and one bucket shuffle for both forward operators:
 
+    * ``leads`` {name: col}: ``col[i + n] - col[i]`` (F1), null for the last n rows;
+    * ``medians`` {name: col}: median of ``col`` over rows i .. i+n-1, nulls
+      skipped (F2), null for the last n rows -- including row N-n, whose frame is
+      full (reference rule).
 
-def rolling_median(df: DataFrame, value: str, n: int = 30, order_by: list[str] | None = None,
-                   name: str = "average_score_of_posts_before", bucket_rows: int = 100_000) -> DataFrame:
-    """median of ``value`` over rows i .. i+n-1 (nulls skipped), null for the
-    last n rows -- including row N-n, whose frame is full (reference rule)."""
-    order_by = order_by or ["time", "id"]
+    Rows are bucketed by index div B; the first n rows of each bucket are copied
+    into the previous bucket, so every frame and every lead target lies inside
+    the bucket of its row."""
+    leads, medians = leads or {}, medians or {}
     if bucket_rows < n:
         raise ValueError("bucket_rows must be at least n")
     idx, total = dense_index(df, order_by, "_idx")
     bucket = F.floor(F.col("_idx") / F.lit(bucket_rows)).cast("long")
+    used = sorted(set(leads.values()) | set(medians.values()))
     home = idx.withColumn("_b", bucket).withColumn("_home", F.lit(True))
-    halo_src = idx.where((F.pmod(F.col("_idx"), F.lit(bucket_rows)) < F.lit(n - 1)) &
-                         (F.col("_idx") >= F.lit(bucket_rows)))
-    halo = halo_src.select("_idx", F.col(value), (bucket - 1).alias("_b"), F.lit(False).alias("_home"))
-    w = Window.partitionBy("_b").orderBy("_idx").rowsBetween(0, n - 1)
-    med = (home.unionByName(halo, allowMissingColumns=True)
-               .withColumn("_med", F.percentile(F.col(value), F.lit(0.5)).over(w))
-               .where(F.col("_home")))
-    return (med.withColumn(name, F.when(F.col("_idx") < F.lit(total - n), F.col("_med")))
-               .drop("_med", "_b", "_home", "_idx"))
+    halo = (idx.where((F.pmod(F.col("_idx"), F.lit(bucket_rows)) < F.lit(n)) &
+                      (F.col("_idx") >= F.lit(bucket_rows)))
+               .select("_idx", *used, (bucket - 1).alias("_b"), F.lit(False).alias("_home")))
+    w = Window.partitionBy("_b").orderBy("_idx")
+    frame = w.rowsBetween(0, n - 1)
+    cut = F.col("_idx") < F.lit(total - n)
+    new = {name: F.when(cut, F.lead(F.col(c), n).over(w) - F.col(c)) for name, c in leads.items()}
+    new.update({name: F.when(cut, F.percentile(F.col(c), F.lit(0.5)).over(frame))
+                for name, c in medians.items()})
+    out = (home.unionByName(halo, allowMissingColumns=True).withColumns(new)
+               .where(F.col("_home")).drop("_b", "_home", "_idx"))
+    return out
+
+
+def time_until_nth_next(df: DataFrame, value: str, n: int = 30, order_by: list[str] | None = None,
+                        name: str = "time_on_first_page") -> DataFrame:
+    """``value[i + n] - value[i]`` in ``order_by`` order; null for the last n rows."""
+    return forward_features(df, order_by or ["time", "id"], n, leads={name: value})
+
+
+def rolling_median(df: DataFrame, value: str, n: int = 30, order_by: list[str] | None = None,
+                   name: str = "average_score_of_posts_before", bucket_rows: int = 100_000) -> DataFrame:
+    """forward rolling median of ``n`` rows (see ``forward_features``)."""
+    return forward_features(df, order_by or ["time", "id"], n, medians={name: value},
+                            bucket_rows=bucket_rows)
 
 
 def lag_difference(df: DataFrame, value: str, order_by: list[str], name: str = "diff") -> DataFrame:

@@ -1,13 +1,14 @@
 """Repeat count (F3 / C7): rows with the same key and time in [t - h, t).
 
 The correlated per-row filter of the reference becomes RANGE windows.  The
-window partition is (key, chunk) with chunk = floor(time / h): every row goes to
-its own chunk and, as a halo copy, to the next one.  A row's look-back [t-h, t)
-then lies inside its own partition, and a hot key is split along its time line
-instead of landing whole in one task.  Inside a partition the count is the
-difference of two growing frames (unbounded .. -1) and (unbounded .. -h-1), which
-Spark evaluates incrementally.  Rows with a null key or time get 0 and bypass
-the window.
+window partition is (key, chunk) with chunk = floor(time / H), H the largest
+horizon asked for: every row goes to its own chunk and, as a halo copy, to the
+next one.  A row's look-back [t-h, t), h <= H, then lies inside its own
+partition, and a hot key is split along its time line instead of landing whole
+in one task.  Inside a partition each count is the difference of two growing
+frames (unbounded .. -1) and (unbounded .. -h-1), which Spark evaluates
+incrementally.  All horizons share the one shuffle.  Rows with a null key or
+time get 0 and bypass the window.
 """
 
 from __future__ import annotations
@@ -18,22 +19,29 @@ from pyspark.sql.window import Window
 from postlytics.functions.timefeat import floor_div
 
 
-def repeat_count(df: DataFrame, key: str, time: str, horizon_seconds: int,
-                 name: str) -> DataFrame:
+def repeat_counts(df: DataFrame, key: str, time: str, horizons: dict[str, int]) -> DataFrame:
+    """Adds one LONG column per ``{name: horizon_seconds}``."""
     cols = df.columns
-    h = int(horizon_seconds)
+    big = max(int(h) for h in horizons.values())
     valid = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
-    bypass = df.where(F.col(key).isNull() | F.col(time).isNull()).withColumn(
-        name, F.lit(0).cast("long"))
-    chunk = floor_div(F.col(time), h)
+    bypass = df.where(F.col(key).isNull() | F.col(time).isNull()).withColumns(
+        {name: F.lit(0).cast("long") for name in horizons})
+    chunk = floor_div(F.col(time), big)
     home = valid.withColumn("_c", chunk).withColumn("_home", F.lit(True))
     halo = valid.select(F.col(key), F.col(time), (chunk + 1).alias("_c"),
                         F.lit(False).alias("_home"))
     w = Window.partitionBy(key, "_c").orderBy(F.col(time).cast("long"))
     upto = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    before = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, -h - 1))
+    counts = {}
+    for name, h in horizons.items():
+        before = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, -int(h) - 1))
+        counts[name] = (upto - before).cast("long")
     counted = (home.unionByName(halo, allowMissingColumns=True)
-                   .withColumn(name, (upto - before).cast("long"))
+                   .withColumns(counts)
                    .where(F.col("_home"))
-                   .select(*cols, name))
+                   .select(*cols, *horizons.keys()))
     return counted.unionByName(bypass)
+
+
+def repeat_count(df: DataFrame, key: str, time: str, horizon_seconds: int, name: str) -> DataFrame:
+    return repeat_counts(df, key, time, {name: horizon_seconds})

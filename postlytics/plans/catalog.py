@@ -524,6 +524,159 @@ def q_html_text(spark, sf):
     return html_to_text(p, "page_id", "html", "plain")
 
 
+# --------------------------------------------------------------------------
+# pipelines: M1 post features, M4 document prep
+# --------------------------------------------------------------------------
+EVENT_KIND_KEYWORDS = ["error", "purchase"]
+
+
+def _events_posts(spark, sf, minutes):
+    p = posts_from_events(spark, sf)
+    return p.select("id", "time", "by", "score", "url", F.col("type").alias("title"),
+                    F.lit(None).cast("string").alias("text"),
+                    F.lit(minutes).cast("long").alias("minutes_since_pub"))
+
+
+POST_FEATURE_COLUMNS = [
+    "id", "time", "by", "score", "score_right", "url", "title", "weekday", "is_monday",
+    "is_tuesday", "is_wednesday", "is_thursday", "is_friday", "is_saturday", "is_sunday", "hour",
+    "title_length", "body_length", "scraped_at_hour", "time_on_first_page",
+    "average_score_of_posts_before", "hourly_median_fp_score", "count_last_12h", "count_last_48h",
+    "event_kind_detail", "contains_event_kind", "domain_detail", "contains_domain",
+    "buzzwords_detail", "contains_buzzwords"]
+
+
+def q_post_features(spark, sf):
+    from postlytics.plans.features import build_features
+    posts30 = _events_posts(spark, sf, 30)
+    posts240 = _events_posts(spark, sf, 240).drop("by")
+    front = _events_posts(spark, sf, 30).select("id", "title", "time", "minutes_since_pub", "score")
+    out = build_features(posts30, posts240, front,
+                         title_lists={"event_kind": EVENT_KIND_KEYWORDS},
+                         url_lists={"domain": DOMAIN_KEYWORDS})
+    rounded = {"average_score_of_posts_before", "hourly_median_fp_score"}
+    cols = []
+    for c in POST_FEATURE_COLUMNS:
+        if c in rounded:
+            cols.append(r6(F.col(c)).alias(c))
+        elif c == "buzzwords_detail":
+            cols.append(F.array_join(c, "|").alias(c))
+        else:
+            cols.append(F.col(c))
+    return out.select(*cols)
+
+
+def _sql_post_features():
+    n = fixed.FRONT_PAGE_ROWS
+    pat = domain_pattern(DOMAIN_KEYWORDS).replace("'", "''")
+    ok = (f"(url IS NOT NULL AND regexp_matches(url, '{pat}') AND "
+          f"regexp_extract(url, '{pat}', 1) NOT IN ('apps.', 'play.', 'chromewebstore.'))")
+    sw = sql_list(sorted(set(fixed.ENGLISH_STOP_WORDS)))
+    return f"""
+WITH p AS (SELECT event_id AS id, {T_SQL} AS time, user_id AS "by", value AS score, props AS url,
+                  event_type AS title, NULL::VARCHAR AS text FROM events),
+fp AS (SELECT title, time, id, score, (time + 30 * 60) // 3600 AS scraped_at_hour FROM p),
+hm AS (SELECT scraped_at_hour, median(score) AS med FROM fp GROUP BY 1),
+fw AS (SELECT id, time, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (
+        SELECT id, time, list_filter({sql_tokens('title')}, lambda x: NOT list_contains({sw}, x)) AS w
+        FROM fp WHERE title IS NOT NULL)),
+fc AS (SELECT word, count(*) AS cnt, min((time, id, pos)) AS first FROM fw GROUP BY word),
+kw AS (SELECT list(word) AS kw FROM (SELECT word FROM fc ORDER BY cnt DESC, first LIMIT {fixed.BUZZWORD_COUNT})),
+b AS (SELECT p.*, p.score AS score_right, {_sql_weekday('time')} AS weekday,
+             (time // 3600) % 24 AS hour, length(title)::BIGINT AS title_length,
+             coalesce(length(text), 0)::BIGINT AS body_length,
+             (time + 30 * 60) // 3600 AS scraped_at_hour,
+             CASE WHEN lead(id, {n}) OVER w IS NULL THEN NULL ELSE lead(time, {n}) OVER w - time END AS time_on_first_page,
+             CASE WHEN lead(id, {n}) OVER w IS NULL THEN NULL
+                  ELSE round(median(score) OVER (w ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING), 6) END
+               AS average_score_of_posts_before,
+             CASE WHEN url IS NULL OR time IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY url ORDER BY time
+               RANGE BETWEEN {12 * 3600} PRECEDING AND 1 PRECEDING) END::BIGINT AS count_last_12h,
+             CASE WHEN url IS NULL OR time IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY url ORDER BY time
+               RANGE BETWEEN {48 * 3600} PRECEDING AND 1 PRECEDING) END::BIGINT AS count_last_48h,
+             list_filter({sql_tokens('title')}, lambda x: list_contains({sql_list(sorted(set(EVENT_KIND_KEYWORDS)))}, x)) AS ek,
+             list_filter({sql_tokens('title')}, lambda x: list_contains(kw.kw, x)) AS bz
+      FROM p CROSS JOIN kw WINDOW w AS (ORDER BY time, id))
+SELECT id, time, "by", score, score_right, url, title, weekday,
+  (weekday = 1)::TINYINT AS is_monday, (weekday = 2)::TINYINT AS is_tuesday,
+  (weekday = 3)::TINYINT AS is_wednesday, (weekday = 4)::TINYINT AS is_thursday,
+  (weekday = 5)::TINYINT AS is_friday, (weekday = 6)::TINYINT AS is_saturday,
+  (weekday = 0)::TINYINT AS is_sunday, hour, title_length, body_length, b.scraped_at_hour,
+  time_on_first_page, average_score_of_posts_before, round(hm.med, 6) AS hourly_median_fp_score,
+  count_last_12h, count_last_48h,
+  CASE WHEN title IS NULL OR title = '' THEN NULL ELSE ek[1] END AS event_kind_detail,
+  (CASE WHEN title IS NULL OR title = '' THEN 0 WHEN len(ek) > 0 THEN 1 ELSE 0 END)::INTEGER AS contains_event_kind,
+  CASE WHEN {ok} THEN regexp_extract(url, '{pat}', 2) END AS domain_detail,
+  (CASE WHEN {ok} THEN 1 ELSE 0 END)::INTEGER AS contains_domain,
+  CASE WHEN title IS NULL OR title = '' THEN NULL ELSE array_to_string(bz, '|') END AS buzzwords_detail,
+  (CASE WHEN title IS NULL OR title = '' THEN 0 ELSE len(bz) END)::INTEGER AS contains_buzzwords
+FROM b LEFT JOIN hm ON b.scraped_at_hour = hm.scraped_at_hour
+"""
+
+
+def _benchmark_dictionary(spark, sf):
+    from postlytics.operators.textclean import dictionary_from_text
+    return dictionary_from_text(load(spark, sf, "benchmark"), "text")
+
+
+def q_clean_pages(spark, sf):
+    from postlytics.operators.textclean import clean_pages
+    d = load(spark, sf, "documents").select("doc_id", "text")
+    out = clean_pages(d, "text", _benchmark_dictionary(spark, sf), fixed.ENGLISH_STOP_WORDS,
+                      out="cleaned", id_col="doc_id")
+    return out.select("doc_id", "cleaned")
+
+
+def _sql_clean():
+    sw = sql_list(sorted(set(fixed.ENGLISH_STOP_WORDS)))
+    letters = "lower(regexp_replace(replace({x}, chr(10), ' '), '[^a-zA-Z" + WS_SQL[1:-1] + "]', '', 'g'))"
+    dict_words = f"""dict AS (SELECT list(DISTINCT w) AS d FROM (
+        SELECT unnest({sql_tokens(letters.replace('{x}', 'text'))}) AS w FROM benchmark)
+        WHERE length(w) >= 2 AND NOT list_contains({sw}, w))"""
+    return dict_words, letters
+
+
+def _sql_clean_pages():
+    dict_words, letters = _sql_clean()
+    return f"""
+WITH {dict_words}
+SELECT doc_id, CASE WHEN text IS NULL THEN ' ' ELSE
+  array_to_string(list_filter({sql_tokens(letters.replace('{x}', 'text'))}, lambda x: list_contains(dict.d, x)), ' ')
+  END AS cleaned
+FROM documents CROSS JOIN dict
+"""
+
+
+def q_length_bucket(spark, sf):
+    from postlytics.functions.text import length_bucket
+    c = q_clean_pages(spark, sf)
+    return c.select("doc_id", length_bucket("cleaned").alias("length"))
+
+
+def _sql_length_bucket():
+    dict_words, letters = _sql_clean()
+    return f"""
+WITH {dict_words},
+c AS (SELECT doc_id, CASE WHEN text IS NULL THEN ' ' ELSE
+  array_to_string(list_filter({sql_tokens(letters.replace('{x}', 'text'))}, lambda x: list_contains(dict.d, x)), ' ')
+  END AS cleaned FROM documents CROSS JOIN dict)
+SELECT doc_id, (CASE WHEN length(cleaned) > 200 THEN 3 WHEN length(cleaned) > 50 THEN 2 ELSE 1 END)::INTEGER AS length
+FROM c
+"""
+
+
+def q_prepare_documents(spark, sf):
+    """M4 over the driver tables: plain text of pages (I20) right-joined to
+    documents as posts (id = doc_id, title = first line of the text)."""
+    from postlytics.plans.features import prepare_documents
+    plain = html_to_text(load(spark, sf, "pages"), "page_id", "html", "plain").withColumnRenamed(
+        "page_id", "id")
+    posts = load(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), "text")
+    return prepare_documents(plain, posts, _benchmark_dictionary(spark, sf),
+                             fixed.ENGLISH_STOP_WORDS, "id")
+
+
 # --------------------------------------------------------------------------
 def spark_queries() -> dict:
     q = {
@@ -562,6 +715,10 @@ def spark_queries() -> dict:
         "buzzwords": q_buzzwords,
         "url_domain": q_url_domain,
         "html_text": q_html_text,
+        "post_features": q_post_features,
+        "clean_pages": q_clean_pages,
+        "length_bucket": q_length_bucket,
+        "prepare_documents": q_prepare_documents,
     }
     return q
 
@@ -620,4 +777,7 @@ FROM m
         "top_words": top,
         "buzzwords": buzz,
         "url_domain": _sql_url_domain(),
+        "post_features": _sql_post_features(),
+        "clean_pages": _sql_clean_pages(),
+        "length_bucket": _sql_length_bucket(),
     }
