@@ -677,6 +677,202 @@ def q_prepare_documents(spark, sf):
                              fixed.ENGLISH_STOP_WORDS, "id")
 
 
+# --------------------------------------------------------------------------
+# statistics (K1-K10, D19) and sampling
+# --------------------------------------------------------------------------
+REG_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
+REG_LABEL = "l_extendedprice"
+UNDERSAMPLE_LIMIT = 300000.0
+QQ_POINTS = 99
+
+
+def regression_frame(spark, sf):
+    """lineitem joined to part: label l_extendedprice, five numeric features,
+    id = l_orderkey * 100 + l_linenumber.  Part is joined by key; AQE picks
+    broadcast or sort-merge from the runtime size."""
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+                                            "l_discount", "l_tax", "l_extendedprice")
+    pa = load(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    j = li.join(pa, li.l_partkey == pa.p_partkey, "inner")
+    return j.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"),
+                    *[F.col(c).cast("double").alias(c) for c in REG_FEATURES],
+                    F.col(REG_LABEL).cast("double").alias(REG_LABEL)).dropna()
+
+
+SQL_REG = f"""reg AS (SELECT l_orderkey * 100 + l_linenumber AS id,
+  {", ".join(f"{c}::DOUBLE AS {c}" for c in REG_FEATURES)}, {REG_LABEL}::DOUBLE AS {REG_LABEL}
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def q_pearson_long(spark, sf):
+    from postlytics.operators.stats import pearson_long
+    out = pearson_long(regression_frame(spark, sf), REG_FEATURES + [REG_LABEL])
+    return out.select("x", "y", r6(F.col("z")).alias("z"))
+
+
+def _sql_pearson():
+    cols = REG_FEATURES + [REG_LABEL]
+    parts = []
+    for a in cols:
+        for b in cols:
+            z = (f"CASE WHEN stddev_pop({a}) > 0 THEN 1.0 END" if a == b else f"corr({a}, {b})")
+            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, round({z}, 6) AS z FROM reg")
+    return f"WITH {SQL_REG}\n" + "\nUNION ALL\n".join(parts)
+
+
+SPEARMAN_COLS = ["score", "user_karma", "user_post_count"]
+
+
+def q_spearman_long(spark, sf):
+    from postlytics.operators.stats import spearman_long
+    p = karma_posts_from_orders(spark, sf).fillna(0.0, subset=SPEARMAN_COLS)
+    out = spearman_long(p, SPEARMAN_COLS)
+    return out.select("x", "y", r6(F.col("rho")).alias("rho"))
+
+
+def _sql_spearman():
+    cols = SPEARMAN_COLS
+    ranks = ", ".join(
+        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in cols)
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, round(corr(r_{a}, r_{b}), 6) AS rho FROM r")
+    return f"""
+WITH n AS (SELECT o_custkey, count(*) AS user_post_count FROM orders GROUP BY 1),
+p AS (SELECT coalesce(o.o_totalprice, 0) AS score, coalesce(c.c_acctbal, 0) AS user_karma,
+             coalesce(n.user_post_count, 0) AS user_post_count
+      FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN n ON o.o_custkey = n.o_custkey),
+r AS (SELECT {ranks} FROM p)
+""" + "\nUNION ALL\n".join(parts)
+
+
+def q_standardise(spark, sf):
+    from postlytics.operators.stats import standardise
+    out = standardise(regression_frame(spark, sf), REG_FEATURES)
+    return out.select("id", *[r6(F.col(c)).alias(c) for c in REG_FEATURES])
+
+
+def _sql_standardise():
+    cols = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in REG_FEATURES)
+    return f"WITH {SQL_REG} SELECT id, {cols} FROM reg"
+
+
+def q_dispersion(spark, sf):
+    from postlytics.operators.stats import dispersion
+    out = dispersion(regression_frame(spark, sf), REG_LABEL)
+    return out.select(r6(F.col("mean")).alias("mean"), r6(F.col("variance")).alias("variance"))
+
+
+def _sql_dispersion():
+    return f"WITH {SQL_REG} SELECT round(avg({REG_LABEL}), 6) AS mean, round(var_pop({REG_LABEL}), 6) AS variance FROM reg"
+
+
+def q_vif(spark, sf):
+    from postlytics.operators.stats import vif
+    return vif(regression_frame(spark, sf), REG_FEATURES)
+
+
+def q_durbin_watson(spark, sf):
+    from postlytics.operators.stats import durbin_watson
+    p = posts_from_events(spark, sf)
+    return durbin_watson(p, "score", ["time", "id"]).select(r6(F.col("durbin_watson")).alias("durbin_watson"))
+
+
+SQL_DURBIN_WATSON = f"""
+WITH p AS (SELECT event_id AS id, {T_SQL} AS t, value AS score FROM events),
+d AS (SELECT score, score - lag(score) OVER (ORDER BY t, id) AS d FROM p)
+SELECT round(sum(d * d) / sum(score * score), 6) AS durbin_watson FROM d
+"""
+
+
+def q_qq_points(spark, sf):
+    from postlytics.operators.stats import qq_points
+    out = qq_points(load(spark, sf, "events"), "value", QQ_POINTS)
+    return out.select(r6(F.col("p")).alias("p"), r6(F.col("theoretical")).alias("theoretical"),
+                      r6(F.col("sample")).alias("sample"))
+
+
+def _sql_qq():
+    from postlytics.operators.distributions import norm_ppf
+    ps = [(i - 0.5) / QQ_POINTS for i in range(1, QQ_POINTS + 1)]
+    plist = "[" + ", ".join(repr(p) for p in ps) + "]::DOUBLE[]"
+    tlist = "[" + ", ".join(repr(norm_ppf(p)) for p in ps) + "]::DOUBLE[]"
+    return f"""
+WITH z AS (SELECT (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z FROM events WHERE value IS NOT NULL),
+q AS (SELECT quantile_cont(z, {plist}) AS s FROM z)
+SELECT round(unnest({plist}), 6) AS p, round(unnest({tlist}), 6) AS theoretical, round(unnest(s), 6) AS sample FROM q
+"""
+
+
+def q_normality(spark, sf):
+    from postlytics.operators.stats import normality
+    return normality(load(spark, sf, "events"), "value")
+
+
+def q_breusch_pagan(spark, sf):
+    from postlytics.operators.regress import ols_report
+    return ols_report(regression_frame(spark, sf), REG_FEATURES, REG_LABEL)["breusch_pagan"]
+
+
+HASH_SQL = "('0x' || substr(md5({x}::VARCHAR || '#' || '{seed}'), 1, 8))::BIGINT"
+
+
+def q_hash_split(spark, sf):
+    from postlytics.operators.sampling import hash_split
+    o = load(spark, sf, "orders").select("o_orderkey")
+    return hash_split(o, "o_orderkey", 0.25, 42)
+
+
+SQL_HASH_SPLIT = f"SELECT o_orderkey, ({HASH_SQL.format(x='o_orderkey', seed=42)} % 10000) < 2500 AS is_test FROM orders"
+
+
+def q_undersample(spark, sf):
+    from postlytics.operators.sampling import undersample
+    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return undersample(o, "o_totalprice", "o_orderkey", UNDERSAMPLE_LIMIT, 42)
+
+
+SQL_UNDERSAMPLE = f"""
+WITH hi AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= {UNDERSAMPLE_LIMIT}),
+lo AS (SELECT o_orderkey, o_totalprice, {HASH_SQL.format(x='o_orderkey', seed=42)} AS h FROM orders
+       WHERE o_totalprice < {UNDERSAMPLE_LIMIT}),
+pick AS (SELECT o_orderkey, o_totalprice FROM lo ORDER BY h, o_orderkey LIMIT (SELECT count(*) FROM hi))
+SELECT * FROM pick UNION ALL SELECT * FROM hi
+"""
+
+
+def q_sample_rows(spark, sf):
+    from postlytics.operators.sampling import sample_rows
+    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return sample_rows(o, "o_orderkey", 10, 42)
+
+
+SQL_SAMPLE_ROWS = f"""
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY {HASH_SQL.format(x='o_orderkey', seed=42)}, o_orderkey LIMIT 10
+"""
+
+
+def q_kfold(spark, sf):
+    from postlytics.operators.sampling import with_folds
+    o = load(spark, sf, "orders").select("o_orderkey")
+    return with_folds(o, 3, ["o_orderkey"])
+
+
+SQL_KFOLD = """
+WITH i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, count(*) OVER () AS n FROM orders),
+s AS (SELECT o_orderkey, idx, n // 3 AS q, n % 3 AS r FROM i)
+SELECT o_orderkey, (CASE WHEN idx < (q + 1) * r THEN idx // (q + 1) ELSE r + (idx - (q + 1) * r) // q END)::INTEGER AS fold
+FROM s
+"""
+
+
+def q_stratified_folds(spark, sf):
+    from postlytics.operators.sampling import with_folds
+    lab = load(spark, sf, "labels").select("doc_id", "quality")
+    return with_folds(lab, 5, ["doc_id"], stratify="quality")
+
+
 # --------------------------------------------------------------------------
 def spark_queries() -> dict:
     q = {
@@ -719,6 +915,19 @@ def spark_queries() -> dict:
         "clean_pages": q_clean_pages,
         "length_bucket": q_length_bucket,
         "prepare_documents": q_prepare_documents,
+        "pearson_long": q_pearson_long,
+        "spearman_long": q_spearman_long,
+        "standardise": q_standardise,
+        "dispersion": q_dispersion,
+        "vif": q_vif,
+        "durbin_watson": q_durbin_watson,
+        "qq_points": q_qq_points,
+        "normality": q_normality,
+        "hash_split": q_hash_split,
+        "undersample": q_undersample,
+        "sample_rows": q_sample_rows,
+        "kfold": q_kfold,
+        "stratified_folds": q_stratified_folds,
     }
     return q
 
@@ -780,4 +989,14 @@ FROM m
         "post_features": _sql_post_features(),
         "clean_pages": _sql_clean_pages(),
         "length_bucket": _sql_length_bucket(),
+        "pearson_long": _sql_pearson(),
+        "spearman_long": _sql_spearman(),
+        "standardise": _sql_standardise(),
+        "dispersion": _sql_dispersion(),
+        "durbin_watson": SQL_DURBIN_WATSON,
+        "qq_points": _sql_qq(),
+        "hash_split": SQL_HASH_SPLIT,
+        "undersample": SQL_UNDERSAMPLE,
+        "sample_rows": SQL_SAMPLE_ROWS,
+        "kfold": SQL_KFOLD,
     }
