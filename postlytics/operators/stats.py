@@ -164,7 +164,7 @@ def normality(df: DataFrame, col: str) -> DataFrame:
     n = z.count()
     r = KolmogorovSmirnovTest.test(z, col + "_z", "norm", 0.0, 1.0).first()
     d = float(r.statistic)
-    rows = [(d, dist.lilliefors_p(d, n), float(r.pValue), n)]
+    rows = [(d, float(dist.lilliefors_p(d, n)), float(r.pValue), int(n))]
     return df.sparkSession.createDataFrame(rows, "ks_statistic double, p_value double, ks_p_value double, n long")
 
 
@@ -184,7 +184,8 @@ def breusch_pagan(df: DataFrame, resid: str, cols: list[str]) -> DataFrame:
     r2 = 1 - ssr / sst if sst > 0 else float("nan")
     lm = n * r2
     fval = (r2 / k) / ((1 - r2) / (n - k - 1)) if n - k - 1 > 0 and r2 < 1 else float("nan")
-    rows = [(float(lm), dist.chi2_sf(lm, k), float(fval), dist.f_sf(fval, k, n - k - 1), n)]
+    lm, fval = float(lm), float(fval)
+    rows = [(lm, float(dist.chi2_sf(lm, k)), fval, float(dist.f_sf(fval, k, n - k - 1)), int(n))]
     return df.sparkSession.createDataFrame(
         rows, "lm double, lm_p_value double, f_value double, f_p_value double, n long")
 

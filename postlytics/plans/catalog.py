@@ -687,19 +687,22 @@ QQ_POINTS = 99
 
 
 def regression_frame(spark, sf):
-    """lineitem joined to part: label l_extendedprice, five numeric features,
-    id = l_orderkey * 100 + l_linenumber.  Part is joined by key; AQE picks
-    broadcast or sort-merge from the runtime size."""
-    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
-                                            "l_discount", "l_tax", "l_extendedprice")
+    """lineitem joined to part: label l_extendedprice, five numeric features and a
+    unique row id orderkey-linenumber-partkey-suppkey-shipdate(us) (lineitem has
+    no unique key of its own here).  Part is joined by key; AQE picks broadcast
+    or sort-merge from the runtime size."""
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                            "l_shipdate", "l_quantity", "l_discount", "l_tax",
+                                            "l_extendedprice")
     pa = load(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
     j = li.join(pa, li.l_partkey == pa.p_partkey, "inner")
-    return j.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"),
-                    *[F.col(c).cast("double").alias(c) for c in REG_FEATURES],
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("l_shipdate"))
+    rid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", us)
+    return j.select(rid.alias("id"), *[F.col(c).cast("double").alias(c) for c in REG_FEATURES],
                     F.col(REG_LABEL).cast("double").alias(REG_LABEL)).dropna()
 
 
-SQL_REG = f"""reg AS (SELECT l_orderkey * 100 + l_linenumber AS id,
+SQL_REG = f"""reg AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch_us(l_shipdate)) AS id,
   {", ".join(f"{c}::DOUBLE AS {c}" for c in REG_FEATURES)}, {REG_LABEL}::DOUBLE AS {REG_LABEL}
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
