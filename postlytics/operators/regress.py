@@ -89,7 +89,7 @@ def sse_sst(z: np.ndarray, b0: float, b: np.ndarray) -> tuple[float, float, floa
     of the linear prediction b0 + X b on the rows summarised by ``z``."""
     w = np.concatenate([[-b0], -b, [1.0]])          # residual = w . [1, x, y]
     sse = float(w @ z @ w)
-    n = z[0, 0]
+    n = float(z[0, 0])
     sst = float(z[-1, -1] - z[0, -1] ** 2 / n)
     return sse, sst, n
 

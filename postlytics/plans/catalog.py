@@ -876,6 +876,156 @@ def q_stratified_folds(spark, sf):
     return with_folds(lab, 5, ["doc_id"], stratify="quality")
 
 
+# --------------------------------------------------------------------------
+# models (L1-L23, K12) -- rows-only except where SQL can express the result
+# --------------------------------------------------------------------------
+# Search space used by the registered forest queries (cost-bounded; the
+# library default is the full reference grid in ``fixed.FOREST_GRID``).
+SMALL_FOREST_GRID = {"n_estimators": [10, 20], "max_depth": [5, 10], "min_samples_split": [2],
+                     "min_samples_leaf": [2, 8], "max_features": ["sqrt", "log2"]}
+FOREST_PARAMS = {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"}
+CLS_FEATURES = ["n_chars", "n_words", "n_lines", "is_en", "is_fr", "is_de", "is_es"]
+CLS_LABEL = "quality"
+
+
+def _lasso(spark, sf):
+    from postlytics.operators.regress import lasso_report
+    return lasso_report(regression_frame(spark, sf), REG_FEATURES, REG_LABEL, "id")
+
+
+def q_lasso_coefficients(spark, sf):
+    return _lasso(spark, sf)["coefficients"]
+
+
+def q_lasso_summary(spark, sf):
+    return _lasso(spark, sf)["summary"]
+
+
+def q_ols_coefficients(spark, sf):
+    from postlytics.operators.regress import ols_report
+    return ols_report(regression_frame(spark, sf), REG_FEATURES, REG_LABEL)["coefficients"]
+
+
+def q_poisson_summary(spark, sf):
+    from postlytics.operators.regress import poisson_report
+    return poisson_report(regression_frame(spark, sf), REG_FEATURES, REG_LABEL, "id")["summary"]
+
+
+def q_decision_tree_r2(spark, sf):
+    from postlytics.operators.regress import decision_tree_r2
+    return decision_tree_r2(regression_frame(spark, sf), REG_FEATURES, REG_LABEL, "id", max_depth=10)
+
+
+def _forest_data(spark, sf, kind):
+    from postlytics.operators import forest
+    from postlytics.operators.sampling import hash_split
+    if kind == "regressor":
+        df, feats, label = regression_frame(spark, sf), REG_FEATURES, REG_LABEL
+        df = df.where(F.col(label) > 0).withColumn(label, F.log(label))
+    else:
+        df, feats, label = classification_frame(spark, sf), CLS_FEATURES, CLS_LABEL
+        df = df.withColumn(label, F.col(label).cast("double"))
+    d = hash_split(forest.prepare(df, feats, label, kind), "id", 0.25, 42, "_test")
+    return d.where(~F.col("_test")), d.where(F.col("_test")), feats, label
+
+
+def classification_frame(spark, sf):
+    """documents joined to labels: text-shape features and the quality label."""
+    from postlytics.functions.text import tokens
+    d = load(spark, sf, "documents")
+    lab = load(spark, sf, "labels").select("doc_id", "quality")
+    j = d.join(lab, "doc_id", "inner")
+    return j.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("n_chars"),
+                    F.size(tokens("text")).cast("double").alias("n_words"),
+                    F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
+                    *[(F.col("lang") == F.lit(x)).cast("double").alias(f"is_{x}") for x in ["en", "fr", "de", "es"]],
+                    F.col("quality"))
+
+
+def _forest_query(kind, what):
+    def q(spark, sf):
+        from postlytics.operators import forest
+        tr, te, feats, label = _forest_data(spark, sf, kind)
+        if what == "search":
+            best = forest.random_search(tr, label, kind, "id", n_iter=2, folds=3, grid=SMALL_FOREST_GRID)
+            scores = forest.cv_scores(tr, label, kind, best, "id", folds=3)
+            return scores.withColumn("params", F.lit(str(sorted(best.items()))))
+        model = forest.fit_forest(tr, label, kind, FOREST_PARAMS)
+        if what == "importance":
+            return forest.impurity_importance(model, feats)
+        if what == "best_tree":
+            return forest.best_tree(model, te, label, kind, feats)
+        if what == "permutation":
+            return forest.permutation_importance(model, te, feats, label, kind, repeats=2)
+        if what == "shap":
+            return forest.shap_importance(model, te, feats, "id", kind)
+        if what == "mean_median":
+            return forest.tree_mean_median(model, te, label, "id")
+        if what == "in_out":
+            return forest.in_out_sample(model, tr, te, label, kind)
+        if what == "high":
+            return forest.high_scored_error(model, te, label, kind, high_class=1.0)
+        raise ValueError(what)
+    return q
+
+
+def q_kmeans_silhouette(spark, sf):
+    from postlytics.operators.stats import silhouette_sweep
+    p = karma_posts_from_orders(spark, sf)
+    return silhouette_sweep(p, SPEARMAN_COLS, range(2, 11), seed=42)
+
+
+def q_topics(spark, sf):
+    from postlytics.operators.topics import topic_table
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("Id"), F.col("text").alias("Document"))
+    from postlytics.functions.text import length_bucket
+    docs = docs.withColumn("Length", length_bucket("Document"))
+    return topic_table(docs, "Id", "Document", "Length", fixed.ENGLISH_STOP_WORDS)
+
+
+def q_topic_one_hot(spark, sf):
+    from postlytics.plans.features import topic_one_hot
+    e = load(spark, sf, "embeddings").select("vec_id", F.col("label").alias("topic"))
+    return e.select("vec_id", *topic_one_hot(e, "topic", 10))
+
+
+SQL_TOPIC_ONE_HOT = "SELECT vec_id, " + ", ".join(
+    f"(label = {i})::INTEGER AS topic_{i}" for i in range(10)) + " FROM embeddings"
+
+
+def q_title_vectors(spark, sf):
+    from postlytics.operators.topics import title_vectors
+    c = load(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    v = title_vectors(c, "text", "id", fixed.ENGLISH_STOP_WORDS)
+    return v.select("id", F.size("vector").alias("dims"),
+                    F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x).alias("norm2"))
+
+
+def q_prototype_label(spark, sf):
+    from postlytics.operators.classify import prototype_label, prototypes
+    e = load(spark, sf, "embeddings")
+    protos = prototypes(e, "embedding", "label")
+    return prototype_label(e, "embedding", protos).select("vec_id", "label", "predicted_label")
+
+
+SQL_PROTOTYPE_LABEL = """
+WITH x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+m AS (SELECT label, pos, avg(v::DOUBLE) AS mv FROM x GROUP BY label, pos),
+p AS (SELECT label AS plabel, list(mv ORDER BY pos) AS proto FROM m GROUP BY label),
+s AS (SELECT e.vec_id, e.label, p.plabel,
+             list_cosine_similarity(e.embedding::DOUBLE[], p.proto) AS sim FROM embeddings e CROSS JOIN p)
+SELECT vec_id, label, arg_max(plabel, (sim, -plabel)) AS predicted_label FROM s GROUP BY vec_id, label
+"""
+
+
+def q_text_classifier(spark, sf):
+    from postlytics.operators.classify import text_classifier
+    d = load(spark, sf, "documents").select("doc_id", "text")
+    train = d.join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return text_classifier(train, d, "text", "quality", "doc_id")["predictions"]
+
+
 # --------------------------------------------------------------------------
 def spark_queries() -> dict:
     q = {
@@ -931,6 +1081,29 @@ def spark_queries() -> dict:
         "sample_rows": q_sample_rows,
         "kfold": q_kfold,
         "stratified_folds": q_stratified_folds,
+        "breusch_pagan": q_breusch_pagan,
+        "lasso_coefficients": q_lasso_coefficients,
+        "lasso_summary": q_lasso_summary,
+        "ols_coefficients": q_ols_coefficients,
+        "poisson_summary": q_poisson_summary,
+        "decision_tree_r2": q_decision_tree_r2,
+        "forest_search_regressor": _forest_query("regressor", "search"),
+        "forest_search_classifier": _forest_query("classifier", "search"),
+        "forest_importance": _forest_query("regressor", "importance"),
+        "best_tree_rules": _forest_query("regressor", "best_tree"),
+        "best_tree_rules_classifier": _forest_query("classifier", "best_tree"),
+        "permutation_importance": _forest_query("regressor", "permutation"),
+        "shap_importance": _forest_query("regressor", "shap"),
+        "shap_importance_classifier": _forest_query("classifier", "shap"),
+        "tree_mean_median": _forest_query("regressor", "mean_median"),
+        "in_out_sample": _forest_query("classifier", "in_out"),
+        "high_scored_error": _forest_query("classifier", "high"),
+        "kmeans_silhouette": q_kmeans_silhouette,
+        "topics": q_topics,
+        "topic_one_hot": q_topic_one_hot,
+        "title_vectors": q_title_vectors,
+        "prototype_label": q_prototype_label,
+        "text_classifier": q_text_classifier,
     }
     return q
 
@@ -1002,4 +1175,6 @@ FROM m
         "undersample": SQL_UNDERSAMPLE,
         "sample_rows": SQL_SAMPLE_ROWS,
         "kfold": SQL_KFOLD,
+        "topic_one_hot": SQL_TOPIC_ONE_HOT,
+        "prototype_label": SQL_PROTOTYPE_LABEL,
     }
