@@ -81,6 +81,8 @@ def html_to_text(df: DataFrame, id_col: str = "id", html_col: str = "html",
         for pdf in batches:
             keep = pdf[html_col].notna() & (pdf[html_col].astype("string").str.len() > 0)
             sub = pdf.loc[keep]
+            if sub.empty:
+                continue
             yield pd.DataFrame({id_col: sub[id_col].values,
                                 out_col: [extract_text(h) for h in sub[html_col]]})
 

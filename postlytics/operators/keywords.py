@@ -28,9 +28,10 @@ def bounded_list(df: DataFrame, col: str, limit: int = LITERAL_LIMIT) -> list[st
     """The distinct values of a small one-column DataFrame, or None when the
     list is larger than ``limit`` (then callers join instead)."""
     d = df.select(F.lower(F.col(col)).alias("w")).where(F.col("w").isNotNull()).distinct()
-    if row_bound(d, limit) is None:
+    rows = d.limit(limit + 1).collect()          # one job; at most limit + 1 rows
+    if len(rows) > limit:
         return None
-    return sorted(r.w for r in d.collect())
+    return sorted(r.w for r in rows)
 
 
 def default_stop_words(spark: SparkSession | None = None) -> list[str]:
@@ -83,8 +84,9 @@ def url_keywords(df: DataFrame, url: str, keywords, name: str) -> DataFrame:
 def title_words(df: DataFrame, text: str, order_by: list[str], stop_words: list[str]) -> DataFrame:
     """One row per kept word: (order columns..., pos, word); stop words removed,
     null texts skipped."""
-    sw = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    kept = F.filter(tokens(text), lambda w: ~F.array_contains(sw, w))
+    sw = sorted(set(stop_words))
+    # ``isin`` over many literals is a hash-set probe (InSet), not a list scan
+    kept = F.filter(tokens(text), (lambda w: ~w.isin(*sw)) if sw else (lambda w: F.lit(True)))
     return (df.where(F.col(text).isNotNull())
               .select(*order_by, F.posexplode(kept).alias("pos", "word")))
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlytics.operators import stats
-from postlytics.operators.sampling import with_folds
+from postlytics.operators.sampling import with_fold_columns, with_folds
 
 
 # --------------------------------------------------------------------------
@@ -124,7 +124,8 @@ def _fold_sum(grams, keep):
 
 def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
                  log_target: bool = True, cv_select: int = 5, cv_score: int = 3,
-                 n_alphas: int = 100, alphas: list[float] | None = None) -> dict:
+                 n_alphas: int = 100, alphas: list[float] | None = None,
+                 diagnostics: bool = True) -> dict:
     """M8 lasso part.
 
     Features are standardised with population std over all rows (as the
@@ -135,12 +136,10 @@ def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
     d = df.select(id_col, *features, label).dropna()
     dropped = None
     if log_target:
-        n_all = d.count()
+        dropped = d.agg(F.sum((F.col(label) <= 0).cast("long"))).first()[0] or 0
         d = d.where(F.col(label) > 0).withColumn(label, F.log(F.col(label)))
-        dropped = n_all - d.count()
     d = stats.standardise(d, features)
-    d = with_folds(d, cv_select, [id_col], name="_f5")
-    d = with_folds(d, cv_score, [id_col], name="_f3")
+    d = with_fold_columns(d, {"_f5": cv_select, "_f3": cv_score}, [id_col])
     grams = fold_grams(d, features, label, ["_f5", "_f3"])
     total = _fold_sum(grams, lambda k: True)
     grid = alphas or alpha_grid(total, n_alphas)
@@ -174,8 +173,10 @@ def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
           int(dropped) if dropped is not None else None)],
         "alpha double, cv_r2 double, cv_mse double, n long, dropped_nonpositive long")
     path = spark.createDataFrame([(float(a), m) for a, m in zip(grid, cv_mse)], "alpha double, cv_mse double")
-    resid = d.withColumn("resid", F.col(label) - linear_prediction(features, b0, b))
     out = {"coefficients": coefs, "summary": summary, "alpha_path": path}
+    if not diagnostics:
+        return out
+    resid = d.withColumn("resid", F.col(label) - linear_prediction(features, b0, b))
     out.update(residual_diagnostics(resid, "resid", features, id_col))
     out["vif"] = stats.vif(df.select(*features).dropna(), features)
     out["pearson"] = stats.pearson_long(df.select(*features).dropna(), features)

@@ -78,6 +78,16 @@ def sample_rows(df: DataFrame, id_col: str, n: int = 10, seed: int = 42) -> Data
     return (df.withColumn("_h", hash32(id_col, seed)).orderBy("_h", id_col).limit(n).drop("_h"))
 
 
+def with_fold_columns(df: DataFrame, ks: dict[str, int], order_by: list[str]) -> DataFrame:
+    """Several unstratified fold columns {name: k} from one dense index."""
+    idx, n = dense_index(df, order_by, "_i")
+    cols = {}
+    for name, k in ks.items():
+        sizes = [n // k + (1 if f < n % k else 0) for f in range(k)]
+        cols[name] = _block_fold(F.col("_i"), sizes)
+    return idx.withColumns(cols).drop("_i")
+
+
 def with_folds(df: DataFrame, k: int, order_by: list[str], stratify: str | None = None,
                name: str = "fold") -> DataFrame:
     """Fold column 0..k-1.
@@ -89,9 +99,7 @@ def with_folds(df: DataFrame, k: int, order_by: list[str], stratify: str | None
     labels round-robin over the folds -- assigned in contiguous blocks.  Only
     class counts (bounded by the number of classes) reach the driver."""
     if stratify is None:
-        idx, n = dense_index(df, order_by, "_i")
-        sizes = [n // k + (1 if f < n % k else 0) for f in range(k)]
-        return idx.withColumn(name, _block_fold(F.col("_i"), sizes)).drop("_i")
+        return with_fold_columns(df, {name: k}, order_by)
     counts = sorted((r[0], r[1]) for r in df.groupBy(stratify).count().collect()
                     if r[0] is not None)
     idx, _ = dense_index(df.where(F.col(stratify).isNotNull()), [stratify] + order_by, "_i")

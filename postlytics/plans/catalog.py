@@ -699,7 +699,7 @@ def regression_frame(spark, sf):
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("l_shipdate"))
     rid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", us)
     return j.select(rid.alias("id"), *[F.col(c).cast("double").alias(c) for c in REG_FEATURES],
-                    F.col(REG_LABEL).cast("double").alias(REG_LABEL)).dropna()
+                    F.col(REG_LABEL).cast("double").alias(REG_LABEL)).dropna(subset=REG_FEATURES + [REG_LABEL])
 
 
 SQL_REG = f"""reg AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch_us(l_shipdate)) AS id,
@@ -890,7 +890,7 @@ CLS_LABEL = "quality"
 
 def _lasso(spark, sf):
     from postlytics.operators.regress import lasso_report
-    return lasso_report(regression_frame(spark, sf), REG_FEATURES, REG_LABEL, "id")
+    return lasso_report(regression_frame(spark, sf), REG_FEATURES, REG_LABEL, "id", diagnostics=False)
 
 
 def q_lasso_coefficients(spark, sf):
