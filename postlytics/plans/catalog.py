@@ -18,7 +18,7 @@ from postlytics.functions.urls import domain_pattern
 from postlytics.operators import dedup, explore, keywords, ordering, repeats
 from postlytics.operators.html import html_to_text
 from postlytics.plans import fixed
-from postlytics.sources.tables import karma_posts_from_orders, load, posts_from_events
+from postlytics.sources.tables import karma_posts_from_orders, load, load_spread, posts_from_events
 
 # Query parameters (caller input, chosen for the driver's tables) -----------
 LANG_MARKERS = ["der", "die", "und", "la", "que", "les", "des"]
@@ -438,7 +438,7 @@ FROM documents
 # text flags and keywords
 # --------------------------------------------------------------------------
 def q_title_flags(spark, sf):
-    d = load(spark, sf, "documents")
+    d = load_spread(spark, sf, "documents")
     return d.select("doc_id", *[flag_pattern("text", p).alias(n) for n, p in fixed.TITLE_FLAG_PATTERNS.items()])
 
 
@@ -456,7 +456,7 @@ SQL_URL_FLAGS = "SELECT page_id, " + ", ".join(
 
 
 def q_title_keywords(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", "text")
+    d = load_spread(spark, sf, "documents").select("doc_id", "text")
     return keywords.title_keywords(d, "text", LANG_MARKERS, "lang_marker").select(
         "doc_id", "lang_marker_detail", "contains_lang_marker")
 
@@ -476,7 +476,7 @@ def _stop_words(spark):
 
 
 def q_word_counts(spark, sf):
-    d = load(spark, sf, "documents")
+    d = load_spread(spark, sf, "documents")
     return keywords.word_counts(d, "text", _stop_words(spark), ["doc_id"])
 
 
@@ -488,14 +488,14 @@ words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FRO
 
 
 def q_top_words(spark, sf):
-    d = load(spark, sf, "documents")
+    d = load_spread(spark, sf, "documents")
     return keywords.top_words(d, "text", _stop_words(spark), ["doc_id"], fixed.BUZZWORD_COUNT)
 
 
 def q_buzzwords(spark, sf):
     """M1's buzzword step: the 90 most frequent words of one text table become the
     keyword list of a counted pass over another."""
-    d = load(spark, sf, "documents")
+    d = load_spread(spark, sf, "documents")
     top = keywords.top_words(d, "text", _stop_words(spark), ["doc_id"], fixed.BUZZWORD_COUNT)
     c = load(spark, sf, "conversations").select("conv_id", "turn", "text")
     out = keywords.title_keywords(c, "text", top.select("word"), "buzzwords", counted=True)
@@ -520,7 +520,7 @@ SELECT page_id, CASE WHEN {ok} THEN regexp_extract(url, '{pat}', 2) END AS domai
 
 
 def q_html_text(spark, sf):
-    p = load(spark, sf, "pages")
+    p = load_spread(spark, sf, "pages")
     return html_to_text(p, "page_id", "html", "plain")
 
 
@@ -621,7 +621,7 @@ def _benchmark_dictionary(spark, sf):
 
 def q_clean_pages(spark, sf):
     from postlytics.operators.textclean import clean_pages
-    d = load(spark, sf, "documents").select("doc_id", "text")
+    d = load_spread(spark, sf, "documents").select("doc_id", "text")
     out = clean_pages(d, "text", _benchmark_dictionary(spark, sf), fixed.ENGLISH_STOP_WORDS,
                       out="cleaned", id_col="doc_id")
     return out.select("doc_id", "cleaned")
@@ -669,7 +669,7 @@ def q_prepare_documents(spark, sf):
     """M4 over the driver tables: plain text of pages (I20) right-joined to
     documents as posts (id = doc_id, title = first line of the text)."""
     from postlytics.plans.features import prepare_documents
-    plain = html_to_text(load(spark, sf, "pages"), "page_id", "html", "plain").withColumnRenamed(
+    plain = html_to_text(load_spread(spark, sf, "pages"), "page_id", "html", "plain").withColumnRenamed(
         "page_id", "id")
     posts = load(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), "text")
@@ -932,7 +932,7 @@ def _forest_data(spark, sf, kind):
 def classification_frame(spark, sf):
     """documents joined to labels: text-shape features and the quality label."""
     from postlytics.functions.text import tokens
-    d = load(spark, sf, "documents")
+    d = load_spread(spark, sf, "documents")
     lab = load(spark, sf, "labels").select("doc_id", "quality")
     j = d.join(lab, "doc_id", "inner")
     return j.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("n_chars"),
@@ -977,7 +977,7 @@ def q_kmeans_silhouette(spark, sf):
 
 def q_topics(spark, sf):
     from postlytics.operators.topics import topic_table
-    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("Id"), F.col("text").alias("Document"))
+    docs = load_spread(spark, sf, "documents").select(F.col("doc_id").alias("Id"), F.col("text").alias("Document"))
     from postlytics.functions.text import length_bucket
     docs = docs.withColumn("Length", length_bucket("Document"))
     return topic_table(docs, "Id", "Document", "Length", fixed.ENGLISH_STOP_WORDS)
@@ -1021,7 +1021,7 @@ SELECT vec_id, label, arg_max(plabel, (sim, -plabel)) AS predicted_label FROM s
 
 def q_text_classifier(spark, sf):
     from postlytics.operators.classify import text_classifier
-    d = load(spark, sf, "documents").select("doc_id", "text")
+    d = load_spread(spark, sf, "documents").select("doc_id", "text")
     train = d.join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     return text_classifier(train, d, "text", "quality", "doc_id")["predictions"]
 

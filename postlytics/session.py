@@ -18,6 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a correlation matrix or Gram matrix is one aggregate with hundreds of
+    # buffer fields; above this limit the stage would run interpreted
+    "spark.sql.codegen.maxFields": "512",
 }
 
 
@@ -62,3 +65,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     to keep long lineages short so a lost executor recomputes little."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin ``df`` over ``factor`` x the cluster's cores when its scan gives
+    fewer partitions than there are cores (one large Parquet row group is read by
+    one task).  Used in front of per-row text work -- tokenising, regex cleaning,
+    HTML parsing -- which is CPU-bound.  A large table already has many more
+    splits than cores and is passed through without a shuffle.
+
+    Call it on a scan (or a projection or filter of one): for a plan that already
+    contains a shuffle, AQE would have to run that shuffle to count partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(factor * cores)

@@ -14,12 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlytics.functions.timefeat import epoch_seconds
+from postlytics.session import spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for CPU-heavy per-row work (tokenising, cleaning, parsing, wide
+    aggregates), spread over the cores when its files give fewer splits than
+    cores."""
+    return spread(load(spark, sf_dir, name))
+
+
 def posts_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     return e.select(
