@@ -84,6 +84,40 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
                      F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
+def histograms(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
+    """D15 for several columns at once: (column, bin, breakpoint, count), the same
+    bins as ``histogram``.  One aggregation gives every min and max (2k scalars
+    reach the driver); one pass emits a (column, bin) pair per non-null value and
+    counts them with a partial aggregation, so at most k x bins groups per task
+    are shuffled."""
+    spark = df.sparkSession
+    vals = [F.col(c).cast("double") for c in cols]
+    mm = df.agg(*[F.min(v).alias(f"lo{i}") for i, v in enumerate(vals)],
+                *[F.max(v).alias(f"hi{i}") for i, v in enumerate(vals)]).first()
+    spine, pairs = [], []
+    for i, (c, v) in enumerate(zip(cols, vals)):
+        lo, hi = mm[f"lo{i}"], mm[f"hi{i}"]
+        if lo is None:
+            spine += [(c, b, None) for b in range(1, bins + 1)]
+            continue
+        width = (hi - lo) / bins
+        spine += [(c, b, lo + float(b) * width) for b in range(1, bins + 1)]
+        b = (F.least(F.greatest(F.ceil((v - F.lit(lo)) / F.lit(width)), F.lit(1)), F.lit(bins))
+             if width > 0 else F.lit(1))
+        pairs.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("column"),
+                                                     b.cast("int").alias("bin"))))
+    schema = "column string, bin int, breakpoint double"
+    axis = spark.createDataFrame(spine, schema)
+    if not pairs:
+        return axis.withColumn("count", F.lit(0).cast("long"))
+    counts = (df.select(F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("_c"))
+                .groupBy(F.col("_c.column").alias("column"), F.col("_c.bin").alias("bin"))
+                .agg(F.count(F.lit(1)).alias("count")))
+    return (F.broadcast(axis).join(counts, ["column", "bin"], "left")
+             .select("column", "bin", "breakpoint",
+                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+
+
 def global_stats(df: DataFrame, mean_cols: list[str], median_cols: list[str],
                  exact: bool = True) -> DataFrame:
     """One row of means and medians."""

@@ -18,7 +18,8 @@ from postlytics.functions.urls import domain_pattern
 from postlytics.operators import dedup, explore, keywords, ordering, repeats
 from postlytics.operators.html import html_to_text
 from postlytics.plans import fixed
-from postlytics.sources.tables import karma_posts_from_orders, load, load_spread, posts_from_events
+from postlytics.sources.tables import (front_page_from_lineitem, karma_posts_from_orders, load,
+                                       load_spread, posts_from_events)
 
 # Query parameters (caller input, chosen for the driver's tables) -----------
 LANG_MARKERS = ["der", "die", "und", "la", "que", "les", "des"]
@@ -290,6 +291,58 @@ FROM p
 """
 
 
+FRONT_PAGE_COLS = ["score", "user_post_count", "minutes_since_pub", "user_karma"]
+
+
+def _front_page_report(spark, sf):
+    from postlytics.plans.reports import front_page_report
+    return front_page_report(front_page_from_lineitem(spark, sf), karma_posts_from_orders(spark, sf),
+                             ["time", "minutes_since_pub", "l_partkey", "l_suppkey"],
+                             FRONT_PAGE_COLS, FRONT_PAGE_COLS, FRONT_PAGE_COLS)
+
+
+def q_front_page_summary(spark, sf):
+    out = _front_page_report(spark, sf)["summary"]
+    return out.select(*[r6(F.col(c)).alias(c) if c != "n_rows" else F.col(c) for c in out.columns])
+
+
+def q_front_page_histograms(spark, sf):
+    out = _front_page_report(spark, sf)["histograms"]
+    return out.select("column", "bin", r6(F.col("breakpoint")).alias("breakpoint"), "count")
+
+
+SQL_FRONT_PAGE = """
+WITH n AS (SELECT o_custkey, count(*) AS user_post_count FROM orders GROUP BY 1),
+p AS (SELECT o.o_orderkey AS id, o.o_totalprice AS score_right, c.c_acctbal AS user_karma, n.user_post_count
+      FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN n ON o.o_custkey = n.o_custkey),
+f AS (SELECT l_orderkey AS id, l_linenumber::BIGINT AS minutes_since_pub, l_quantity AS score,
+             row_number() OVER (PARTITION BY l_orderkey
+                                ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS rn
+      FROM lineitem),
+j AS (SELECT f.id, f.minutes_since_pub, f.score, p.user_karma, p.user_post_count
+      FROM f JOIN p ON f.id = p.id WHERE f.rn = 1)"""
+
+
+def _sql_front_page_summary():
+    means = ", ".join(f"round(avg({c}), 6) AS average_{c}" for c in FRONT_PAGE_COLS)
+    meds = ", ".join(f"round(median({c}), 6) AS median_{c}" for c in FRONT_PAGE_COLS)
+    return f"{SQL_FRONT_PAGE}\nSELECT {means}, {meds}, count(*) AS n_rows FROM j"
+
+
+def _sql_front_page_histograms():
+    parts = []
+    for c in FRONT_PAGE_COLS:
+        parts.append(f"""SELECT '{c}' AS "column", spine.bin,
+  round(s.lo + spine.bin::DOUBLE * ((s.hi - s.lo) / 10), 6) AS breakpoint, coalesce(k.n, 0)::BIGINT AS count
+FROM (SELECT range::INTEGER AS bin FROM range(1, 11)) spine
+CROSS JOIN (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM j) s
+LEFT JOIN (SELECT least(greatest(ceil(({c}::DOUBLE - s2.lo) / ((s2.hi - s2.lo) / 10)), 1), 10)::INTEGER AS bin,
+                  count(*) AS n
+           FROM j, (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM j) s2
+           WHERE {c} IS NOT NULL GROUP BY 1) k ON spine.bin = k.bin""")
+    return SQL_FRONT_PAGE + "\n" + "\nUNION ALL\n".join(parts)
+
+
 def q_value_counts(spark, sf):
     return explore.value_counts(load(spark, sf, "events"), "event_type")
 
@@ -1046,6 +1099,8 @@ def spark_queries() -> dict:
         "median_of_medians": _q_author_stat("median"),
         "mean_of_means": _q_author_stat("mean"),
         "global_stats": q_global_stats,
+        "front_page_summary": q_front_page_summary,
+        "front_page_histograms": q_front_page_histograms,
         "value_counts": q_value_counts,
         "score_points": q_score_points,
         "box_by_lang": q_box_by_lang,
@@ -1145,6 +1200,8 @@ FROM m
         "median_of_medians": _sql_author_stat("median"),
         "mean_of_means": _sql_author_stat("mean"),
         "global_stats": SQL_GLOBAL_STATS,
+        "front_page_summary": _sql_front_page_summary(),
+        "front_page_histograms": _sql_front_page_histograms(),
         "value_counts": SQL_VALUE_COUNTS,
         "score_points": SQL_SCORE_POINTS,
         "box_by_lang": SQL_BOX_BY_LANG,

@@ -7,6 +7,9 @@ driver has no post table, so two views map its tables onto that shape:
   by = user_id, score = value, url = props (about 100 events per key), type = event_type.
 * ``karma_posts_from_orders``: one post per order, author = customer, score =
   o_totalprice, user_karma = c_acctbal, user_post_count = orders of the customer.
+* ``front_page_from_lineitem``: the line items of an order are the front-page
+  snapshots of that post: id = l_orderkey, time = l_shipdate, minutes_since_pub
+  = l_linenumber, score = l_quantity; part and supplier key break ties.
 """
 
 from __future__ import annotations
@@ -49,3 +52,10 @@ def karma_posts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("by"),
                      F.col("o_totalprice").alias("score"), F.col("c_acctbal").alias("user_karma"),
                      F.col("user_post_count")))
+
+
+def front_page_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = load(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("time"),
+                     F.col("l_linenumber").cast("long").alias("minutes_since_pub"),
+                     F.col("l_quantity").alias("score"), "l_partkey", "l_suppkey")
