@@ -120,11 +120,24 @@ def histograms(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
 
 def global_stats(df: DataFrame, mean_cols: list[str], median_cols: list[str],
                  exact: bool = True) -> DataFrame:
-    """One row of means and medians."""
+    """One row of means and medians.
+
+    A global median is one group holding every row, so the exact medians use
+    rank selection over a range-partitioned copy (``ordering.exact_quantiles``)
+    rather than ``percentile``'s value -> count map in one task; ``exact=False``
+    gives ``percentile_approx``."""
     aggs = [F.avg(c).alias(f"average_{c}") for c in mean_cols]
-    aggs += [_median(c, exact).alias(f"median_{c}") for c in median_cols]
+    if not exact:
+        aggs += [_median(c, False).alias(f"median_{c}") for c in median_cols]
     aggs.append(F.count(F.lit(1)).alias("n_rows"))
-    return df.agg(*aggs)
+    out = df.agg(*aggs)
+    if not exact or not median_cols:
+        return out
+    from postlytics.operators.ordering import exact_quantiles
+    med = exact_quantiles(df, median_cols, [0.5])
+    return out.select(*[f"average_{c}" for c in mean_cols],
+                      *[F.lit(med[c][0]).cast("double").alias(f"median_{c}") for c in median_cols],
+                      "n_rows")
 
 
 def top_k(df: DataFrame, by: str, k: int = 5, nulls: str = "first",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from postlytics.operators import distributions as dist
-from postlytics.operators.ordering import lag_difference
+from postlytics.operators.ordering import exact_quantiles, lag_difference
 
 
 def _long_rows(spark, rows, schema):
@@ -148,7 +148,8 @@ def qq_points(df: DataFrame, col: str, points: int = 99) -> DataFrame:
     normal quantile; the 's' line is the identity on standardised data."""
     z = standardise(df.select(col).dropna(), [col], "_z")
     ps = [(i - 0.5) / points for i in range(1, points + 1)]
-    q = z.agg(F.percentile(F.col(col + "_z"), F.array(*[F.lit(p) for p in ps])).alias("q")).first()["q"]
+    # one global group: rank selection, not a value -> count map in one task
+    q = exact_quantiles(z, [col + "_z"], ps)[col + "_z"]
     rows = [(float(p), dist.norm_ppf(p), float(v) if v is not None else None) for p, v in zip(ps, q or [])]
     schema = StructType([StructField("p", DoubleType()), StructField("theoretical", DoubleType()),
                          StructField("sample", DoubleType())])

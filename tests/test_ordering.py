@@ -82,3 +82,22 @@ def test_repeat_counts_random_hot_key(spark):
     for i, u, t in data:
         want[i] = tuple(sum(1 for _, u2, t2 in data if u2 == u and t - h <= t2 < t) for h in hs.values())
     assert got == want
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from postlytics.operators.ordering import exact_quantiles
+    rng = random.Random(11)
+    # column b: one value holds over a third of the rows (hot value)
+    rows = [(rng.choice([None, rng.gauss(0, 1)]),
+             rng.choice([None, 7.0, 7.0, 7.0, float(rng.randint(0, 5))]), None) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    ref = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in "abc"]).first()
+    for parts in (1, 4, 17):
+        got = exact_quantiles(df, ["a", "b", "c"], probs, num_partitions=parts)
+        assert got["a"] == list(ref["a"]) and got["b"] == list(ref["b"])
+        assert got["c"] == [None] * len(probs)
