@@ -1,14 +1,22 @@
 """Repeat count (F3 / C7): rows with the same key and time in [t - h, t).
 
-The correlated per-row filter of the reference becomes RANGE windows.  The
-window partition is (key, chunk) with chunk = floor(time / H), H the largest
-horizon asked for: every row goes to its own chunk and, as a halo copy, to the
-next one.  A row's look-back [t-h, t), h <= H, then lies inside its own
-partition, and a hot key is split along its time line instead of landing whole
-in one task.  Inside a partition each count is the difference of two growing
-frames (unbounded .. -1) and (unbounded .. -h-1), which Spark evaluates
-incrementally.  All horizons share the one shuffle.  Rows with a null key or
-time get 0 and bypass the window.
+The correlated per-row filter of the reference becomes RANGE windows over the
+distinct (key, time) pairs:
+
+1. Rows are collapsed to (key, time, multiplicity) -- a partial aggregation, so
+   a burst of equal timestamps, however hot, is reduced map-side.
+2. The window partition is (key, chunk) with chunk = floor(time / H), H the
+   largest horizon asked for: every pair goes to its own chunk and, as a halo
+   copy, to the next one, so a look-back [t-h, t), h <= H, lies inside the
+   pair's partition.  Times are whole seconds, so a partition holds at most 2H
+   pairs whatever the key's share of the rows -- a hot key is split along its
+   time line.  Each count is the difference of two growing frames (unbounded ..
+   -1) and (unbounded .. -h-1) of summed multiplicities, evaluated
+   incrementally.  All horizons share the one window shuffle.
+3. The counts go back to the rows with an equi-join on (key, time); AQE's
+   skew-join handling splits a hot pair on the row side.
+
+Rows with a null key or time get 0 and bypass the window.
 """
 
 from __future__ import annotations
@@ -26,20 +34,23 @@ def repeat_counts(df: DataFrame, key: str, time: str, horizons: dict[str, int])
     valid = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
     bypass = df.where(F.col(key).isNull() | F.col(time).isNull()).withColumns(
         {name: F.lit(0).cast("long") for name in horizons})
+    pairs = valid.groupBy(key, time).agg(F.count(F.lit(1)).alias("_n"))
     chunk = floor_div(F.col(time), big)
-    home = valid.withColumn("_c", chunk).withColumn("_home", F.lit(True))
-    halo = valid.select(F.col(key), F.col(time), (chunk + 1).alias("_c"),
+    home = pairs.withColumn("_c", chunk).withColumn("_home", F.lit(True))
+    halo = pairs.select(F.col(key), F.col(time), F.col("_n"), (chunk + 1).alias("_c"),
                         F.lit(False).alias("_home"))
     w = Window.partitionBy(key, "_c").orderBy(F.col(time).cast("long"))
-    upto = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, -1))
+    upto = F.coalesce(F.sum("_n").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = {}
     for name, h in horizons.items():
-        before = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, -int(h) - 1))
+        before = F.coalesce(F.sum("_n").over(w.rangeBetween(Window.unboundedPreceding, -int(h) - 1)),
+                            F.lit(0))
         counts[name] = (upto - before).cast("long")
-    counted = (home.unionByName(halo, allowMissingColumns=True)
-                   .withColumns(counts)
-                   .where(F.col("_home"))
-                   .select(*cols, *horizons.keys()))
+    per_time = (home.unionByName(halo)
+                    .withColumns(counts)
+                    .where(F.col("_home"))
+                    .select(key, time, *horizons.keys()))
+    counted = valid.join(per_time, [key, time], "inner").select(*cols, *horizons.keys())
     return counted.unionByName(bypass)
 
 

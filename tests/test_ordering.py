@@ -84,6 +84,29 @@ def test_repeat_counts_random_hot_key(spark):
     assert got == want
 
 
+def test_repeat_counts_burst_and_partition_invariance(spark):
+    # a third of the rows: one url at a handful of equal timestamps inside one chunk
+    rnd = random.Random(9)
+    data = []
+    for i in range(1200):
+        if i % 3 == 0:
+            data.append((i, "hot", 500_000 + rnd.choice([0, 0, 0, 1, 7200, 43199, 43200])))
+        else:
+            data.append((i, rnd.choice([None, "a", "b"]), rnd.choice([None, rnd.randint(400_000, 700_000)])))
+    hs = {"c12": 12 * 3600, "c48": 48 * 3600}
+    want = {}
+    for i, u, t in data:
+        if u is None or t is None:
+            want[i] = (0, 0)
+        else:
+            want[i] = tuple(sum(1 for _, u2, t2 in data if u2 == u and t2 is not None and t - h <= t2 < t)
+                            for h in hs.values())
+    for parts in (1, 4, 17):
+        df = spark.createDataFrame(data, "id long, url string, time long").repartition(parts)
+        got = {r.id: (r.c12, r.c48) for r in repeat_counts(df, "url", "time", hs).collect()}
+        assert got == want
+
+
 def test_exact_quantiles_equal_percentile(spark):
     import random
 
