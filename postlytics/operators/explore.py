@@ -1,17 +1,25 @@
 """Exploration aggregates, sorts and top-k.
 
 All of them are hash aggregations with map-side partial aggregation, so a hot
-group key is reduced before the shuffle.  Exact medians use ``percentile``
-(a value -> count map per group); pass ``exact=False`` for ``percentile_approx``
-on continuous columns over very large groups.
+group key is reduced before the shuffle.
+
+Exact medians and quantiles pick their method from the value column's type
+(``method`` overrides): an integral column (scores, counts, lengths) uses
+``percentile``, whose value -> count map per group is bounded by the group's
+distinct values; a fractional column uses rank selection
+(``ordering.group_quantiles``), which has no per-group state, so a group holding
+a third of all rows is spread over many tasks.  ``exact=False`` gives
+``percentile_approx``.  All three give the same interpolation.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import FractionalType
 
 from postlytics.functions._util import as_col
 from postlytics.functions.binning import cut
+from postlytics.operators.ordering import group_quantiles
 
 
 def _median(value, exact: bool = True) -> Column:
@@ -19,17 +27,46 @@ def _median(value, exact: bool = True) -> Column:
     return F.median(v) if exact else F.percentile_approx(v, 0.5, 10000).cast("double")
 
 
+def quantile_method(df: DataFrame, value: str, exact: bool = True, method: str | None = None) -> str:
+    """"map" (percentile), "rank" (rank selection) or "approx" for ``value``."""
+    if method:
+        return method
+    if not exact:
+        return "approx"
+    return "rank" if isinstance(df.schema[value].dataType, FractionalType) else "map"
+
+
+def with_group_quantiles(per_group: DataFrame, src: DataFrame, group: list[str], value: str,
+                         probs: list[float], names: list[str]) -> DataFrame:
+    """Left-join rank-selected quantiles of ``src.value`` per group onto a frame
+    with one row per group (null-safe on the keys); a group without values gets
+    nulls, as with ``percentile``."""
+    q = group_quantiles(src, group, value, probs, "_q")
+    q = q.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], "_q")
+    cond = [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]
+    j = per_group.join(q, cond, "left")
+    return j.select(*per_group.columns, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
 def attach_group_median(df: DataFrame, ref: DataFrame, key: str, value: str, name: str,
-                        exact: bool = True) -> DataFrame:
+                        exact: bool = True, method: str | None = None) -> DataFrame:
     """D3 + C2: median of ``value`` per ``key`` in ``ref``, left-joined onto ``df``."""
-    med = ref.groupBy(key).agg(_median(value, exact).alias(name))
+    m = quantile_method(ref, value, exact, method)
+    if m == "rank":
+        med = group_quantiles(ref, [key], value, [0.5], "_q").select(key, F.col("_q")[0].alias(name))
+    else:
+        med = ref.groupBy(key).agg(_median(value, m == "map").alias(name))
     return df.join(med, key, "left")
 
 
 def group_stat(df: DataFrame, key: str, value: str, how: str, name: str,
-               exact: bool = True) -> DataFrame:
+               exact: bool = True, method: str | None = None) -> DataFrame:
     """Mean or median of ``value`` per ``key``."""
-    fn = {"mean": lambda: F.avg(value), "median": lambda: _median(value, exact)}[how]
+    if how == "median" and quantile_method(df, value, exact, method) == "rank":
+        keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).drop("_c")
+        return with_group_quantiles(keys, df, [key], value, [0.5], [name])
+    m = quantile_method(df, value, exact, method)
+    fn = {"mean": lambda: F.avg(value), "median": lambda: _median(value, m == "map")}[how]
     return df.groupBy(key).agg(fn().alias(name))
 
 
@@ -50,6 +87,11 @@ def box_summary(df: DataFrame, group: str, value: str, positive_only: bool = Fal
     if positive_only:
         d = d.where(F.col(value) > 0)
     v = F.col(value)
+    if quantile_method(d, value) == "rank":
+        per = d.groupBy(group).agg(F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"),
+                                   F.avg(v).alias("mean"), F.count(v).alias("n"))
+        out = with_group_quantiles(per, d, [group], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+        return out.select(group, "min", "q1", "median", "q3", "max", "mean", "n")
     q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return (d.groupBy(group)
              .agg(F.min(v).cast("double").alias("min"), q.alias("_q"),
@@ -170,20 +212,27 @@ def bucket_stats(df: DataFrame, by: str, value: str | None, bucket_of: str, brea
     ``order_by`` order).  Level 2 groups authors per ``cut`` bucket: the ``outer``
     statistic of the level-1 value plus the number of authors.  A null bucket is
     dropped."""
-    if inner == "count":
-        stat = F.count(F.lit(1)).alias("_v")
-    elif inner == "median":
-        stat = _median(value, exact).alias("_v")
-    else:
-        stat = F.avg(value).alias("_v")
     if bucket_of == "count":
         attr = F.count(F.lit(1)).alias("_b")
     else:
         order = F.struct(*[F.col(c) for c in (order_by or [bucket_of])])
         attr = F.min_by(F.col(bucket_of), order).alias("_b")
-    per_author = df.groupBy(by).agg(stat, attr)
+    if inner == "median" and quantile_method(df, value, exact) == "rank":
+        per_author = with_group_quantiles(df.groupBy(by).agg(attr), df, [by], value, [0.5], ["_v"])
+    else:
+        if inner == "count":
+            stat = F.count(F.lit(1)).alias("_v")
+        elif inner == "median":
+            stat = _median(value, exact).alias("_v")
+        else:
+            stat = F.avg(value).alias("_v")
+        per_author = df.groupBy(by).agg(stat, attr)
     binned = per_author.withColumn(bucket_name, cut("_b", breaks, labels)).where(
         F.col(bucket_name).isNotNull())
+    if outer == "median" and quantile_method(binned, "_v", exact) == "rank":
+        counts = binned.groupBy(bucket_name).agg(F.count(F.lit(1)).alias("entry_count"))
+        out = with_group_quantiles(counts, binned, [bucket_name], "_v", [0.5], ["median_value"])
+        return out.select(bucket_name, "median_value", "entry_count")
     if outer == "count":
         outer_stat = []
     elif outer == "median":
@@ -197,8 +246,12 @@ def row_bucket_stats(df: DataFrame, value: str, bucket_col: str, breaks, labels,
                      bucket_name: str = "bucket", exact: bool = True) -> DataFrame:
     """Median of ``value`` and row count per ``cut`` bucket of a row
     attribute (one aggregation, no join back); null bucket dropped."""
-    return (df.withColumn(bucket_name, cut(bucket_col, breaks, labels))
-              .where(F.col(bucket_name).isNotNull())
-              .groupBy(bucket_name)
-              .agg(_median(value, exact).alias("median_score"),
-                   F.count(F.lit(1)).alias("entry_count")))
+    binned = (df.withColumn(bucket_name, cut(bucket_col, breaks, labels))
+                .where(F.col(bucket_name).isNotNull()))
+    if quantile_method(binned, value, exact) == "rank":
+        counts = binned.groupBy(bucket_name).agg(F.count(F.lit(1)).alias("entry_count"))
+        out = with_group_quantiles(counts, binned, [bucket_name], value, [0.5], ["median_score"])
+        return out.select(bucket_name, "median_score", "entry_count")
+    return (binned.groupBy(bucket_name)
+                  .agg(_median(value, exact).alias("median_score"),
+                       F.count(F.lit(1)).alias("entry_count")))

@@ -124,3 +124,24 @@ def test_exact_quantiles_equal_percentile(spark):
         got = exact_quantiles(df, ["a", "b", "c"], probs, num_partitions=parts)
         assert got["a"] == list(ref["a"]) and got["b"] == list(ref["b"])
         assert got["c"] == [None] * len(probs)
+
+
+def test_group_quantiles_equal_percentile(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from postlytics.operators.ordering import group_quantiles
+    rng = random.Random(3)
+    # group "hot" holds half the rows; null group key and null values included
+    rows = [(rng.choice([None, "hot", "hot", "hot", "a", "b"]), rng.choice([None, 1, 2]),
+             rng.choice([None, rng.gauss(0, 1), 7.0, 7.0])) for _ in range(3000)]
+    df = spark.createDataFrame(rows + [("empty", 1, None)], "g string, h int, v double")
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    ref = {(r.g, r.h): r.q for r in df.groupBy("g", "h").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    for parts in (1, 5):
+        got = {(r.g, r.h): list(r._q) for r in group_quantiles(df, ["g", "h"], "v", probs,
+                                                                num_partitions=parts).collect()}
+        assert got == {k: list(v) for k, v in ref.items() if v is not None}
+        assert ("empty", 1) not in got
