@@ -4,12 +4,15 @@ All of them are hash aggregations with map-side partial aggregation, so a hot
 group key is reduced before the shuffle.
 
 Exact medians and quantiles pick their method from the value column's type
-(``method`` overrides): an integral column (scores, counts, lengths) uses
+(``method`` overrides).  An integral column (scores, counts, lengths) uses
 ``percentile``, whose value -> count map per group is bounded by the group's
-distinct values; a fractional column uses rank selection
-(``ordering.group_quantiles``), which has no per-group state, so a group holding
-a third of all rows is spread over many tasks.  ``exact=False`` gives
-``percentile_approx``.  All three give the same interpolation.
+distinct values.  A fractional column first counts rows per group (a partial
+aggregation): groups above ``HOT_GROUP_ROWS`` rows -- a group holding a third
+of all rows -- use rank selection (``ordering.group_quantiles``, no per-group
+state, the group spread over many tasks); every other group uses
+``percentile``, whose map is then bounded by ``HOT_GROUP_ROWS``.  Without a hot
+group the plan is the plain one-aggregation plan.  ``exact=False`` gives
+``percentile_approx``.  All paths give the same interpolation.
 """
 
 from __future__ import annotations
@@ -27,21 +30,63 @@ def _median(value, exact: bool = True) -> Column:
     return F.median(v) if exact else F.percentile_approx(v, 0.5, 10000).cast("double")
 
 
-def quantile_method(df: DataFrame, value: str, exact: bool = True, method: str | None = None) -> str:
-    """"map" (percentile), "rank" (rank selection) or "approx" for ``value``."""
+HOT_GROUP_ROWS = 500_000     # above this many rows a group's quantiles use rank selection
+HOT_GROUP_LIST = 10_000      # hot group hashes kept as a literal set; beyond, all groups use rank
+
+
+def quantile_method(df: DataFrame, value: str, exact: bool = True, method: str | None = None,
+                    group: list[str] | None = None) -> tuple[str, list | None]:
+    """(method, hot group hashes): "map" (percentile), "rank" (rank selection
+    for every group), "split" (rank for the hot groups listed, map for the rest)
+    or "approx"."""
     if method:
-        return method
+        return method, None
     if not exact:
-        return "approx"
-    return "rank" if isinstance(df.schema[value].dataType, FractionalType) else "map"
+        return "approx", None
+    if not isinstance(df.schema[value].dataType, FractionalType):
+        return "map", None
+    if group is None:
+        return "rank", None
+    hot = _hot_hashes(df, group, value)
+    if not hot:
+        return "map", None
+    return ("rank", None) if hot == "all" else ("split", hot)
+
+
+def _group_hash(group: list[str]) -> Column:
+    return F.xxhash64(*[F.col(g) for g in group])
+
+
+def _hot_hashes(df: DataFrame, group: list[str], value: str):
+    """Hashes of the groups with more than HOT_GROUP_ROWS values (one partial
+    aggregation; at most HOT_GROUP_LIST + 1 rows reach the driver), or "all"."""
+    hot = (df.where(F.col(value).isNotNull()).groupBy(_group_hash(group).alias("_h"))
+             .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_GROUP_ROWS)
+             .select("_h").limit(HOT_GROUP_LIST + 1).collect())
+    if len(hot) > HOT_GROUP_LIST:
+        return "all"
+    return sorted(r._h for r in hot)
+
+
+def quantile_table(src: DataFrame, group: list[str], value: str, probs: list[float],
+                   method: str, hot: list | None = None) -> DataFrame:
+    """(group..., _q array<double>) for method "rank", or "split" with the hot
+    group hashes (a hash collision only sends a cold group to the exact rank path)."""
+    if method == "rank" or not hot:
+        return group_quantiles(src, group, value, probs, "_q")
+    is_hot = _group_hash(group).isin(hot)
+    cold = (src.where(~is_hot).groupBy(*group)
+               .agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_q")))
+    return cold.unionByName(group_quantiles(src.where(is_hot), group, value, probs, "_q"))
 
 
 def with_group_quantiles(per_group: DataFrame, src: DataFrame, group: list[str], value: str,
-                         probs: list[float], names: list[str]) -> DataFrame:
-    """Left-join rank-selected quantiles of ``src.value`` per group onto a frame
-    with one row per group (null-safe on the keys); a group without values gets
-    nulls, as with ``percentile``."""
-    q = group_quantiles(src, group, value, probs, "_q")
+                         probs: list[float], names: list[str], method: str = "rank",
+                         hot: list | None = None) -> DataFrame:
+    """Left-join quantiles of ``src.value`` per group onto a frame with one row
+    per group (null-safe on the keys); a group without values gets nulls, as
+    with ``percentile``."""
+    q = quantile_table(src, group, value, probs, method, hot)
     q = q.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], "_q")
     cond = [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]
     j = per_group.join(q, cond, "left")
@@ -51,9 +96,9 @@ def with_group_quantiles(per_group: DataFrame, src: DataFrame, group: list[str],
 def attach_group_median(df: DataFrame, ref: DataFrame, key: str, value: str, name: str,
                         exact: bool = True, method: str | None = None) -> DataFrame:
     """D3 + C2: median of ``value`` per ``key`` in ``ref``, left-joined onto ``df``."""
-    m = quantile_method(ref, value, exact, method)
-    if m == "rank":
-        med = group_quantiles(ref, [key], value, [0.5], "_q").select(key, F.col("_q")[0].alias(name))
+    m, hot = quantile_method(ref, value, exact, method, [key])
+    if m in ("rank", "split"):
+        med = quantile_table(ref, [key], value, [0.5], m, hot).select(key, F.col("_q")[0].alias(name))
     else:
         med = ref.groupBy(key).agg(_median(value, m == "map").alias(name))
     return df.join(med, key, "left")
@@ -62,10 +107,10 @@ def attach_group_median(df: DataFrame, ref: DataFrame, key: str, value: str, nam
 def group_stat(df: DataFrame, key: str, value: str, how: str, name: str,
                exact: bool = True, method: str | None = None) -> DataFrame:
     """Mean or median of ``value`` per ``key``."""
-    if how == "median" and quantile_method(df, value, exact, method) == "rank":
+    m, hot = quantile_method(df, value, exact, method, [key]) if how == "median" else ("map", None)
+    if m in ("rank", "split"):
         keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).drop("_c")
-        return with_group_quantiles(keys, df, [key], value, [0.5], [name])
-    m = quantile_method(df, value, exact, method)
+        return with_group_quantiles(keys, df, [key], value, [0.5], [name], m, hot)
     fn = {"mean": lambda: F.avg(value), "median": lambda: _median(value, m == "map")}[how]
     return df.groupBy(key).agg(fn().alias(name))
 
@@ -87,10 +132,11 @@ def box_summary(df: DataFrame, group: str, value: str, positive_only: bool = Fal
     if positive_only:
         d = d.where(F.col(value) > 0)
     v = F.col(value)
-    if quantile_method(d, value) == "rank":
+    m, hot = quantile_method(d, value, group=[group])
+    if m in ("rank", "split"):
         per = d.groupBy(group).agg(F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"),
                                    F.avg(v).alias("mean"), F.count(v).alias("n"))
-        out = with_group_quantiles(per, d, [group], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+        out = with_group_quantiles(per, d, [group], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], m, hot)
         return out.select(group, "min", "q1", "median", "q3", "max", "mean", "n")
     q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return (d.groupBy(group)
@@ -217,8 +263,10 @@ def bucket_stats(df: DataFrame, by: str, value: str | None, bucket_of: str, brea
     else:
         order = F.struct(*[F.col(c) for c in (order_by or [bucket_of])])
         attr = F.min_by(F.col(bucket_of), order).alias("_b")
-    if inner == "median" and quantile_method(df, value, exact) == "rank":
-        per_author = with_group_quantiles(df.groupBy(by).agg(attr), df, [by], value, [0.5], ["_v"])
+    m_in, hot_in = quantile_method(df, value, exact, group=[by]) if inner == "median" else ("map", None)
+    if m_in in ("rank", "split"):
+        per_author = with_group_quantiles(df.groupBy(by).agg(attr), df, [by], value, [0.5], ["_v"],
+                                          m_in, hot_in)
     else:
         if inner == "count":
             stat = F.count(F.lit(1)).alias("_v")
@@ -229,9 +277,12 @@ def bucket_stats(df: DataFrame, by: str, value: str | None, bucket_of: str, brea
         per_author = df.groupBy(by).agg(stat, attr)
     binned = per_author.withColumn(bucket_name, cut("_b", breaks, labels)).where(
         F.col(bucket_name).isNotNull())
-    if outer == "median" and quantile_method(binned, "_v", exact) == "rank":
+    m_out, hot_out = (quantile_method(binned, "_v", exact, group=[bucket_name]) if outer == "median"
+                      else ("map", None))
+    if m_out in ("rank", "split"):
         counts = binned.groupBy(bucket_name).agg(F.count(F.lit(1)).alias("entry_count"))
-        out = with_group_quantiles(counts, binned, [bucket_name], "_v", [0.5], ["median_value"])
+        out = with_group_quantiles(counts, binned, [bucket_name], "_v", [0.5], ["median_value"],
+                                   m_out, hot_out)
         return out.select(bucket_name, "median_value", "entry_count")
     if outer == "count":
         outer_stat = []
@@ -248,9 +299,10 @@ def row_bucket_stats(df: DataFrame, value: str, bucket_col: str, breaks, labels,
     attribute (one aggregation, no join back); null bucket dropped."""
     binned = (df.withColumn(bucket_name, cut(bucket_col, breaks, labels))
                 .where(F.col(bucket_name).isNotNull()))
-    if quantile_method(binned, value, exact) == "rank":
+    m, hot = quantile_method(binned, value, exact, group=[bucket_name])
+    if m in ("rank", "split"):
         counts = binned.groupBy(bucket_name).agg(F.count(F.lit(1)).alias("entry_count"))
-        out = with_group_quantiles(counts, binned, [bucket_name], value, [0.5], ["median_score"])
+        out = with_group_quantiles(counts, binned, [bucket_name], value, [0.5], ["median_score"], m, hot)
         return out.select(bucket_name, "median_score", "entry_count")
     return (binned.groupBy(bucket_name)
                   .agg(_median(value, exact).alias("median_score"),
