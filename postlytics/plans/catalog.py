@@ -202,6 +202,19 @@ def q_top_scores(spark, sf):
 SQL_TOP_SCORES = "SELECT event_id AS id, value AS score FROM events ORDER BY value DESC NULLS FIRST, event_id LIMIT 5"
 
 
+def _first_rows(last):
+    def q(spark, sf):
+        o = load(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+        return explore.first_n(o, 500, ["o_orderdate", "o_orderkey"], last=last)
+    return q
+
+
+def _sql_first_rows(last):
+    d = "DESC" if last else "ASC"
+    return (f"SELECT o_orderkey, o_orderdate, o_totalprice FROM orders "
+            f"ORDER BY o_orderdate {d}, o_orderkey {d} LIMIT 500")
+
+
 def q_top_comments(spark, sf):
     p = karma_posts_from_orders(spark, sf)
     return explore.top_k(p, "user_post_count", 5, tie=["id"], fill_zero=["user_post_count"]).select(
@@ -1094,6 +1107,8 @@ def spark_queries() -> dict:
         "repeat_48h": _q_repeat(48),
         "top_scores": q_top_scores,
         "top_comments": q_top_comments,
+        "first_rows": _first_rows(False),
+        "last_rows": _first_rows(True),
         "author_buckets": q_author_buckets,
         "karma_buckets": q_karma_buckets,
         "median_of_medians": _q_author_stat("median"),
@@ -1195,6 +1210,8 @@ FROM m
         "repeat_48h": _sql_repeat(48),
         "top_scores": SQL_TOP_SCORES,
         "top_comments": SQL_TOP_COMMENTS,
+        "first_rows": _sql_first_rows(False),
+        "last_rows": _sql_first_rows(True),
         "author_buckets": SQL_AUTHOR_BUCKETS,
         "karma_buckets": SQL_KARMA_BUCKETS,
         "median_of_medians": _sql_author_stat("median"),
