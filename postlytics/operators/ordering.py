@@ -79,19 +79,21 @@ def forward_features(df: DataFrame, order_by: list[str], n: int,
         raise ValueError("bucket_rows must be at least n")
     idx, total = dense_index(df, order_by, "_idx")
     bucket = F.floor(F.col("_idx") / F.lit(bucket_rows)).cast("long")
-    used = sorted(set(leads.values()) | set(medians.values()))
-    home = idx.withColumn("_b", bucket).withColumn("_home", F.lit(True))
-    halo = (idx.where((F.pmod(F.col("_idx"), F.lit(bucket_rows)) < F.lit(n)) &
-                      (F.col("_idx") >= F.lit(bucket_rows)))
-               .select("_idx", *used, (bucket - 1).alias("_b"), F.lit(False).alias("_home")))
+    # every row at home; the first n rows of a bucket also as the previous bucket's halo
+    # (one pass over the indexed rows; replication <= 1 + n / B)
+    is_halo = (F.pmod(F.col("_idx"), F.lit(bucket_rows)) < F.lit(n)) & (F.col("_idx") >= F.lit(bucket_rows))
+    at_home = F.struct(bucket.alias("b"), F.lit(True).alias("home"))
+    as_halo = F.struct((bucket - 1).alias("b"), F.lit(False).alias("home"))
+    copies = F.when(is_halo, F.array(at_home, as_halo)).otherwise(F.array(at_home))
+    both = (idx.withColumn("_x", F.explode(copies))
+               .withColumn("_b", F.col("_x.b")).withColumn("_home", F.col("_x.home")).drop("_x"))
     w = Window.partitionBy("_b").orderBy("_idx")
     frame = w.rowsBetween(0, n - 1)
     cut = F.col("_idx") < F.lit(total - n)
     new = {name: F.when(cut, F.lead(F.col(c), n).over(w) - F.col(c)) for name, c in leads.items()}
     new.update({name: F.when(cut, F.percentile(F.col(c), F.lit(0.5)).over(frame))
                 for name, c in medians.items()})
-    out = (home.unionByName(halo, allowMissingColumns=True).withColumns(new)
-               .where(F.col("_home")).drop("_b", "_home", "_idx"))
+    out = both.withColumns(new).where(F.col("_home")).drop("_b", "_home", "_idx")
     return out
 
 

@@ -13,10 +13,9 @@ distinct (key, time) pairs:
    time line.  Each count is the difference of two growing frames (unbounded ..
    -1) and (unbounded .. -h-1) of summed multiplicities, evaluated
    incrementally.  All horizons share the one window shuffle.
-3. The counts go back to the rows with an equi-join on (key, time); AQE's
-   skew-join handling splits a hot pair on the row side.
-
-Rows with a null key or time get 0 and bypass the window.
+3. The counts go back to the rows with a left equi-join on (key, time); rows
+   with a null key or time find no pair and get 0.  AQE's skew-join handling
+   splits a hot pair (or the null key) on the row side.
 """
 
 from __future__ import annotations
@@ -31,14 +30,14 @@ def repeat_counts(df: DataFrame, key: str, time: str, horizons: dict[str, int])
     """Adds one LONG column per ``{name: horizon_seconds}``."""
     cols = df.columns
     big = max(int(h) for h in horizons.values())
-    valid = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
-    bypass = df.where(F.col(key).isNull() | F.col(time).isNull()).withColumns(
-        {name: F.lit(0).cast("long") for name in horizons})
-    pairs = valid.groupBy(key, time).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = (df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+               .groupBy(key, time).agg(F.count(F.lit(1)).alias("_n")))
     chunk = floor_div(F.col(time), big)
-    home = pairs.withColumn("_c", chunk).withColumn("_home", F.lit(True))
-    halo = pairs.select(F.col(key), F.col(time), F.col("_n"), (chunk + 1).alias("_c"),
-                        F.lit(False).alias("_home"))
+    # each pair once at home and once as the halo of the next chunk, from one aggregation
+    copies = F.array(F.struct(chunk.alias("c"), F.lit(True).alias("home")),
+                     F.struct((chunk + 1).alias("c"), F.lit(False).alias("home")))
+    both = (pairs.select(key, time, "_n", F.explode(copies).alias("_x"))
+                 .select(key, time, "_n", F.col("_x.c").alias("_c"), F.col("_x.home").alias("_home")))
     w = Window.partitionBy(key, "_c").orderBy(F.col(time).cast("long"))
     upto = F.coalesce(F.sum("_n").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = {}
@@ -46,12 +45,10 @@ def repeat_counts(df: DataFrame, key: str, time: str, horizons: dict[str, int])
         before = F.coalesce(F.sum("_n").over(w.rangeBetween(Window.unboundedPreceding, -int(h) - 1)),
                             F.lit(0))
         counts[name] = (upto - before).cast("long")
-    per_time = (home.unionByName(halo)
-                    .withColumns(counts)
-                    .where(F.col("_home"))
-                    .select(key, time, *horizons.keys()))
-    counted = valid.join(per_time, [key, time], "inner").select(*cols, *horizons.keys())
-    return counted.unionByName(bypass)
+    per_time = both.withColumns(counts).where(F.col("_home")).select(key, time, *horizons.keys())
+    # null key or time: no match, count 0
+    out = df.join(per_time, [key, time], "left")
+    return out.select(*cols, *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in horizons])
 
 
 def repeat_count(df: DataFrame, key: str, time: str, horizon_seconds: int, name: str) -> DataFrame:
