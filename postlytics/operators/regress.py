@@ -135,10 +135,14 @@ def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
     spark = df.sparkSession
     d = df.select(id_col, *features, label).dropna()
     dropped = None
+    # one pass: rows dropped by the log target and the feature moments of the rest
+    keep = (F.col(label) > 0) if log_target else None
+    extra = [F.sum((~keep).cast("long")).alias("_dropped")] if log_target else []
+    moments = d.agg(*extra, *stats.moment_aggs(features, keep)).first()
     if log_target:
-        dropped = d.agg(F.sum((F.col(label) <= 0).cast("long"))).first()[0] or 0
-        d = d.where(F.col(label) > 0).withColumn(label, F.log(F.col(label)))
-    d = stats.standardise(d, features)
+        dropped = moments["_dropped"] or 0
+        d = d.where(keep).withColumn(label, F.log(F.col(label)))
+    d = stats.standardise_with(d, features, moments)
     d = with_fold_columns(d, {"_f5": cv_select, "_f3": cv_score}, [id_col])
     grams = fold_grams(d, features, label, ["_f5", "_f3"])
     total = _fold_sum(grams, lambda k: True)

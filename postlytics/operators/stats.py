@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from postlytics.operators import distributions as dist
@@ -71,8 +71,20 @@ def spearman_long(df: DataFrame, cols: list[str]) -> DataFrame:
 def standardise(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """K3: (x - mean) / population std; a constant column becomes 0.  The 2k
     moments are one aggregation and come back as literals."""
-    stats = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                   *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    stats = df.agg(*moment_aggs(cols)).first()
+    return standardise_with(df, cols, stats, suffix)
+
+
+def moment_aggs(cols: list[str], where: Column | None = None) -> list[Column]:
+    """Mean and population std of each column (over the rows where ``where``
+    holds), named m<i> and s<i> -- to be folded into a caller's aggregation."""
+    val = (lambda c: F.col(c)) if where is None else (lambda c: F.when(where, F.col(c)))
+    return ([F.avg(val(c)).alias(f"m{i}") for i, c in enumerate(cols)] +
+            [F.stddev_pop(val(c)).alias(f"s{i}") for i, c in enumerate(cols)])
+
+
+def standardise_with(df: DataFrame, cols: list[str], stats, suffix: str = "") -> DataFrame:
+    """K3 with moments already computed (a row holding m<i>, s<i>)."""
     new = {}
     for i, c in enumerate(cols):
         m, s = stats[f"m{i}"], stats[f"s{i}"]

@@ -752,12 +752,14 @@ UNDERSAMPLE_LIMIT = 300000.0
 QQ_POINTS = 99
 
 
-def regression_frame(spark, sf):
+def regression_frame(spark, sf, spread_scan=False):
     """lineitem joined to part: label l_extendedprice, five numeric features and a
     unique row id orderkey-linenumber-partkey-suppkey-shipdate(us) (lineitem has
     no unique key of its own here).  Part is joined by key; AQE picks broadcast
-    or sort-merge from the runtime size."""
-    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    or sort-merge from the runtime size.  ``spread_scan`` spreads a single-split
+    scan over the cores (model queries); the SQL-checked queries keep the scan's
+    partitioning, so their floating sums keep one summation order."""
+    li = (load_spread if spread_scan else load)(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                             "l_shipdate", "l_quantity", "l_discount", "l_tax",
                                             "l_extendedprice")
     pa = load(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
@@ -839,7 +841,7 @@ def _sql_dispersion():
 
 def q_vif(spark, sf):
     from postlytics.operators.stats import vif
-    return vif(regression_frame(spark, sf), REG_FEATURES)
+    return vif(regression_frame(spark, sf, spread_scan=True), REG_FEATURES)
 
 
 def q_durbin_watson(spark, sf):
@@ -881,7 +883,7 @@ def q_normality(spark, sf):
 
 def q_breusch_pagan(spark, sf):
     from postlytics.operators.regress import ols_report
-    return ols_report(regression_frame(spark, sf), REG_FEATURES, REG_LABEL)["breusch_pagan"]
+    return ols_report(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL)["breusch_pagan"]
 
 
 HASH_SQL = "('0x' || substr(md5({x}::VARCHAR || '#' || '{seed}'), 1, 8))::BIGINT"
@@ -956,7 +958,7 @@ CLS_LABEL = "quality"
 
 def _lasso(spark, sf):
     from postlytics.operators.regress import lasso_report
-    return lasso_report(regression_frame(spark, sf), REG_FEATURES, REG_LABEL, "id", diagnostics=False)
+    return lasso_report(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL, "id", diagnostics=False)
 
 
 def q_lasso_coefficients(spark, sf):
@@ -969,24 +971,24 @@ def q_lasso_summary(spark, sf):
 
 def q_ols_coefficients(spark, sf):
     from postlytics.operators.regress import ols_report
-    return ols_report(regression_frame(spark, sf), REG_FEATURES, REG_LABEL)["coefficients"]
+    return ols_report(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL)["coefficients"]
 
 
 def q_poisson_summary(spark, sf):
     from postlytics.operators.regress import poisson_report
-    return poisson_report(regression_frame(spark, sf), REG_FEATURES, REG_LABEL, "id")["summary"]
+    return poisson_report(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL, "id")["summary"]
 
 
 def q_decision_tree_r2(spark, sf):
     from postlytics.operators.regress import decision_tree_r2
-    return decision_tree_r2(regression_frame(spark, sf), REG_FEATURES, REG_LABEL, "id", max_depth=10)
+    return decision_tree_r2(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL, "id", max_depth=10)
 
 
 def _forest_data(spark, sf, kind):
     from postlytics.operators import forest
     from postlytics.operators.sampling import hash_split
     if kind == "regressor":
-        df, feats, label = regression_frame(spark, sf), REG_FEATURES, REG_LABEL
+        df, feats, label = regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL
         df = df.where(F.col(label) > 0).withColumn(label, F.log(label))
     else:
         df, feats, label = classification_frame(spark, sf), CLS_FEATURES, CLS_LABEL
