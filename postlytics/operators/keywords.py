@@ -9,6 +9,7 @@ the list -- broadcast when its checked size allows, a shuffle join otherwise.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 from postlytics.functions.text import WHITESPACE_CLASS, keyword_counted, keyword_flag, tokens
 from postlytics.functions.urls import url_domain_keyword
@@ -97,11 +98,22 @@ def word_counts(df: DataFrame, text: str, stop_words: list[str], order_by: list[
               .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
 
 
+def _first_key(df: DataFrame, order_by: list[str]):
+    """Sort key of a word occurrence (order columns, then position).  One
+    integral order column packs with the position into one DECIMAL(38,0),
+    ``order * 2^32 + pos`` (order preserving), so ``min`` stays a hash
+    aggregation; otherwise a struct, which Spark aggregates by sorting."""
+    if len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, IntegralType):
+        d = "decimal(38,0)"
+        return (F.col(order_by[0]).cast(d) * F.lit(1 << 32).cast(d) + F.col("pos").cast(d)).cast(d)
+    return F.struct(*[F.col(c) for c in order_by], F.col("pos"))
+
+
 def top_words(df: DataFrame, text: str, stop_words: list[str], order_by: list[str],
               n: int = 90) -> DataFrame:
     """The n most frequent words; equal counts are ordered by first
     appearance (text order, then word position).  Columns word, count, rank."""
-    first = F.struct(*[F.col(c) for c in order_by], F.col("pos"))
+    first = _first_key(df, order_by)
     counts = (title_words(df, text, order_by, stop_words)
                 .groupBy("word").agg(F.count(F.lit(1)).alias("count"), F.min(first).alias("_first")))
     top = counts.orderBy(F.col("count").desc(), F.col("_first").asc()).limit(n)
