@@ -26,6 +26,7 @@ from postlytics.plans.fixed import FOREST_GRID
 from postlytics.session import ensure_checkpoint_dir
 
 MAX_DEPTH_UNLIMITED = 30   # Spark's largest tree depth stands in for "no limit"
+MAX_BROADCAST_NODES = 20_000_000  # node rows (all trees) the per-tree operators may broadcast
 
 
 # --------------------------------------------------------------------------
@@ -146,7 +147,14 @@ class Trees:
         base = ensure_checkpoint_dir(spark).replace("file:", "")
         path = os.path.join(base, f"forest-{uuid.uuid4().hex}")
         model.write().overwrite().save(path)
-        nodes = spark.read.parquet(os.path.join(path, "data")).select(
+        data = spark.read.parquet(os.path.join(path, "data"))
+        n_nodes = data.count()
+        if n_nodes > MAX_BROADCAST_NODES:
+            # the node arrays are shipped to every task; a forest this large needs
+            # fewer or shallower trees (numTrees, maxDepth, minInstancesPerNode)
+            raise ValueError(f"forest has {n_nodes} nodes, above MAX_BROADCAST_NODES="
+                             f"{MAX_BROADCAST_NODES}; refit with fewer or shallower trees")
+        nodes = data.select(
             "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
             "nodeData.rawCount", "nodeData.leftChild", "nodeData.rightChild",
             F.col("nodeData.split.featureIndex").alias("feature"),
