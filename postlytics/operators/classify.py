@@ -11,6 +11,7 @@ term frequencies, IDF, logistic regression.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from postlytics.functions.text import WHITESPACE_CLASS
 
@@ -22,13 +23,20 @@ def _dot(v: Column, proto: list[float]) -> Column:
     return F.aggregate(F.zip_with(v, lit, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
 
 
-def prototypes(df: DataFrame, vector: str, label: str) -> dict:
-    """Mean vector per label (posexplode -> average per position)."""
-    p = (df.where(F.col(label).isNotNull())
-           .select(label, F.posexplode(vector).alias("_pos", "_x"))
-           .groupBy(label, "_pos").agg(F.avg("_x").alias("_m")))
+def prototype_table(df: DataFrame, vector: str, label: str) -> DataFrame:
+    """(label, _pos, _m): mean of each vector position per label (posexplode ->
+    partial average per (label, position))."""
+    return (df.where(F.col(label).isNotNull())
+              .select(label, F.posexplode(vector).alias("_pos", "_x"))
+              .groupBy(label, "_pos").agg(F.avg("_x").alias("_m")))
+
+
+def prototypes(df: DataFrame, vector: str, label: str) -> dict | None:
+    """Mean vector per label as literals, or None when labels x dimensions is
+    above MAX_PROTOTYPES (then use ``prototype_label_join``)."""
+    p = prototype_table(df, vector, label)
     if p.limit(MAX_PROTOTYPES + 1).count() > MAX_PROTOTYPES:
-        raise ValueError("too many label x dimension cells for literal prototypes")
+        return None
     out: dict = {}
     for r in p.collect():
         out.setdefault(r[label], {})[r["_pos"]] = r["_m"]
@@ -83,3 +91,24 @@ def membership_flag(df: DataFrame, key: str, other: DataFrame, other_key: str |
     ok = other_key or key
     ids = other.select(F.col(ok).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn("_in", F.lit(1))
     return df.join(ids, key, "left").withColumn(name, F.coalesce("_in", F.lit(0)).cast("int")).drop("_in")
+
+
+def prototype_label_join(df: DataFrame, vector: str, table: DataFrame, label: str, id_col: str,
+                         name: str = "predicted_label") -> DataFrame:
+    """``prototype_label`` for prototype tables too large for literals: vectors
+    are exploded and joined to the (label, position, mean) table on the
+    position; dot products and norms are sums per (row, label) and per row, and
+    the best label per row is a max over (similarity, tie key, label)."""
+    x = df.select(id_col, F.posexplode(vector).alias("_pos", "_x"))
+    numeric = not isinstance(table.schema[label].dataType, StringType)
+    pn = table.groupBy(label).agg(F.sqrt(F.sum(F.col("_m") * F.col("_m"))).alias("_pn"))
+    vn = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_x").cast("double") ** 2)).alias("_vn"))
+    dots = (x.join(table, "_pos").groupBy(id_col, label)
+              .agg(F.sum(F.col("_x").cast("double") * F.col("_m")).alias("_dot")))
+    sim = (dots.join(pn, label).join(vn, id_col)
+               .withColumn("_s", F.col("_dot") / (F.col("_vn") * F.col("_pn"))))
+    tie = (-F.col(label)) if numeric else F.lit(0)
+    best = sim.groupBy(id_col).agg(F.max(F.struct(F.col("_s").alias("s"), tie.alias("t"),
+                                                  F.col(label).alias("label"))).alias("_b"))
+    return df.join(best.select(id_col, F.col("_b.label").alias(name), F.col("_b.s").alias("similarity")),
+                   id_col, "left")

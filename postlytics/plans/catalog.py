@@ -1071,10 +1071,15 @@ def q_title_vectors(spark, sf):
 
 
 def q_prototype_label(spark, sf):
-    from postlytics.operators.classify import prototype_label, prototypes
+    from postlytics.operators.classify import (prototype_label, prototype_label_join, prototype_table,
+                                               prototypes)
     e = load(spark, sf, "embeddings")
     protos = prototypes(e, "embedding", "label")
-    return prototype_label(e, "embedding", protos).select("vec_id", "label", "predicted_label")
+    if protos is None:   # labels x dimensions above the literal bound
+        out = prototype_label_join(e, "embedding", prototype_table(e, "embedding", "label"), "label", "vec_id")
+    else:
+        out = prototype_label(e, "embedding", protos)
+    return out.select("vec_id", "label", "predicted_label")
 
 
 SQL_PROTOTYPE_LABEL = """

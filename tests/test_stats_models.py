@@ -145,3 +145,19 @@ def test_prototype_label(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>, label int")
     out = prototype_label(df, "v", prototypes(df, "v", "label"))
     assert all(r.label == r.predicted_label for r in out.collect())
+
+
+def test_prototype_join_path_equals_literal_path(spark):
+    import os
+
+    from postlytics.operators import classify
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    lit = {r.vec_id: r.predicted_label for r in
+           classify.prototype_label(e, "embedding", classify.prototypes(e, "embedding", "label")).collect()}
+    table = classify.prototype_table(e, "embedding", "label")
+    joined = {r.vec_id: r.predicted_label for r in
+              classify.prototype_label_join(e, "embedding", table, "label", "vec_id").collect()}
+    assert joined == lit
