@@ -118,6 +118,13 @@ def lag_difference(df: DataFrame, value: str, order_by: list[str], name: str = "
                .withColumn(name, F.col(value) - F.col("_prev")).drop("_prev", "_idx"))
 
 
+def _row_hash(df: DataFrame):
+    """Hash of all of a row's columns: a tie-breaker that splits many rows of one
+    value over range partitions (unless the rows are identical) and is the same
+    when a lost task is recomputed, unlike a partition id or row position."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     num_partitions: int | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation between the order statistics at
@@ -125,19 +132,20 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     selection instead of a value -> count map in one task.
 
     The non-null values of all columns go into one long frame (column, value),
-    which is range-partitioned on (column, value, row hash) -- the hash lets a
-    value held by many rows spread over several partitions -- and checkpointed.
+    which is range-partitioned on (column, value, row hash) -- the hash of the
+    whole row lets a value held by many rows spread over several partitions and
+    is the same when a task is recomputed -- and checkpointed.
     Per-(partition, column) counts (partitions x columns numbers) give each
     partition's rank offset; the at most 2 x len(probs) rows per column at the
     wanted ranks are then read with one ``isin`` filter on the row id.  Returns
     {column: [quantile per prob]} (None for a column without values)."""
     n_parts = _num_partitions(df, num_partitions)
     cells = [F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
-    long = (df.select(F.explode(F.array(*cells)).alias("_x"))
-              .select(F.col("_x.c").alias("c"), F.col("_x.v").alias("v"))
+    # tie-break by the whole row's content: deterministic when a task is recomputed
+    long = (df.select(_row_hash(df).alias("_rh"), F.explode(F.array(*cells)).alias("_x"))
+              .select(F.col("_x.c").alias("c"), F.col("_x.v").alias("v"), "_rh")
               .where(F.col("v").isNotNull())
-              .withColumn("_tb", F.xxhash64("c", "v", F.spark_partition_id(),
-                                            F.monotonically_increasing_id())))
+              .withColumn("_tb", F.xxhash64("c", "v", "_rh")).drop("_rh"))
     keys = [F.col("c"), F.col("v"), F.col("_tb")]
     ranged = cut_lineage(long.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
                              .select("c", "v", F.monotonically_increasing_id().alias("_mid")))
@@ -199,9 +207,8 @@ def group_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
     group are joined to the rows on the (unique) index, so no key is skewed.
     Returns the group columns and ``name``: array<double>, one entry per prob.
     Groups without a non-null value are absent."""
-    d = (df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-           .withColumn("_tb", F.xxhash64(*[F.col(g) for g in group], F.col("_v"),
-                                         F.spark_partition_id(), F.monotonically_increasing_id())))
+    d = (df.select(*group, F.col(value).cast("double").alias("_v"), _row_hash(df).alias("_tb"))
+           .where(F.col("_v").isNotNull()))
     idx, _ = dense_index(d, [*group, "_v", "_tb"], "_g", num_partitions)
     starts = idx.groupBy(*group).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"))
     pos = (F.col("_n") - F.lit(1)).cast("double") * F.col("_p")
