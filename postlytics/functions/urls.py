@@ -9,7 +9,7 @@ company); no other match is tried.  Keywords are lower-cased, urls are not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postlytics.functions._util import as_col
 
@@ -41,3 +41,40 @@ def url_domain_keyword(url, keywords: list[str]) -> tuple[Column, Column]:
     detail = F.when(u.isNotNull() & ok, F.regexp_extract(u, p, 2))
     flag = F.when(u.isNotNull() & ok, 1).otherwise(0).cast("int")
     return detail, flag
+
+
+
+def domain_candidates(df: DataFrame, url: str, id_col: str) -> DataFrame:
+    """Join form of ``url_domain_keyword``: one row (id, pos, label, candidate)
+    per place a keyword could match.  ``pos`` (0-based) runs over where the
+    pattern lets a keyword start -- after each label of the leading
+    ``[a-zA-Z0-9-]+.`` run that follows an optional scheme and ``www.``, at the
+    run's start, at the ``www.`` itself and, with a scheme, at the very start;
+    ``candidate`` is the url text from ``pos`` up to any later dot; ``label`` is
+    the run label right before ``pos`` with its dot ('' when none).  The regex
+    takes the largest ``pos`` with a matching keyword, so a keyword equal to a
+    candidate at the largest such ``pos`` is the match."""
+    u = F.col(url)
+    d = (df.select(F.col(id_col).alias("_id"), u.alias("_u")).where(u.isNotNull())
+           .withColumn("_s", F.when(F.col("_u").startswith("https://"), 8)
+                              .when(F.col("_u").startswith("http://"), 7).otherwise(0)))
+    d = d.withColumn("_www", F.expr("substr(_u, _s + 1, 4) = 'www.'"))
+    d = d.withColumn("_w", F.expr("_s + IF(_www, 4, 0)"))
+    d = d.withColumn("_run", F.regexp_extract(F.expr("substr(_u, _w + 1)"), r"^((?:[a-zA-Z0-9-]+\.)*)", 1))
+    # 1-based offsets of the dots inside the run; 0-based offsets of all dots in the url
+    d = d.withColumn("_rd", F.expr("filter(sequence(1, length(_run)), k -> substr(_run, k, 1) = '.')"))
+    d = d.withColumn("_dots", F.expr(
+        "transform(filter(sequence(1, length(_u)), k -> substr(_u, k, 1) = '.'), k -> k - 1)"))
+    starts = F.expr("""concat(
+        transform(sequence(0, size(_rd)), i -> named_struct(
+            'pos', _w + IF(i = 0, 0, _rd[i - 1]),
+            'label', IF(i = 0, '', substr(_u, _w + IF(i = 1, 0, _rd[i - 2]) + 1,
+                                         _rd[i - 1] - IF(i = 1, 0, _rd[i - 2]))))),
+        IF(_www, array(named_struct('pos', _s, 'label', '')), array()),
+        IF(_s > 0, array(named_struct('pos', 0, 'label', '')), array()))""")
+    cands = F.flatten(F.transform(starts, lambda b: F.transform(
+        F.filter(F.col("_dots"), lambda q: q > b["pos"]),
+        lambda q: F.struct(b["pos"].alias("pos"), b["label"].alias("label"), q.alias("q")))))
+    x = d.select("_id", "_u", F.explode(cands).alias("_c"))
+    return x.select(F.col("_id").alias(id_col), F.col("_c.pos").alias("pos"), F.col("_c.label").alias("label"),
+                    F.expr("substr(_u, _c.pos + 1, _c.q - _c.pos)").alias("candidate"))

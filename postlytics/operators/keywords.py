@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType
 
 from postlytics.functions.text import WHITESPACE_CLASS, keyword_counted, keyword_flag, tokens
-from postlytics.functions.urls import url_domain_keyword
+from postlytics.functions.urls import STORE_LABELS, domain_candidates, url_domain_keyword
 
 LITERAL_LIMIT = 2000          # words kept as a literal array in the plan
 BROADCAST_ROW_LIMIT = 1_000_000  # keyword rows allowed on the broadcast side
@@ -73,13 +73,36 @@ def _title_keywords_join(df, title, kw_df, name, counted, id_col):
     return joined.withColumns({f"{name}_detail": detail, f"contains_{name}": flag}).drop("_hits")
 
 
-def url_keywords(df: DataFrame, url: str, keywords, name: str) -> DataFrame:
+def url_keywords(df: DataFrame, url: str, keywords, name: str, id_col: str | None = None) -> DataFrame:
     """Adds ``{name}_detail`` and ``contains_{name}`` from the url domain (I8)."""
     words = keywords if isinstance(keywords, list) else bounded_list(keywords, keywords.columns[0])
-    if words is None:
-        raise ValueError("url keyword lists are compiled into one pattern; list too large")
-    detail, flag = url_domain_keyword(url, words)
-    return df.withColumns({f"{name}_detail": detail, f"contains_{name}": flag})
+    if words is not None:
+        detail, flag = url_domain_keyword(url, words)
+        return df.withColumns({f"{name}_detail": detail, f"contains_{name}": flag})
+    if id_col is None:
+        raise ValueError("a url keyword list above LITERAL_LIMIT needs id_col for the join path")
+    return _url_keywords_join(df, url, keywords, name, id_col)
+
+
+def _url_keywords_join(df, url, kw_df, name, id_col):
+    """Join form of the url pass for keyword lists too large for one pattern:
+    candidates (``domain_candidates``) equi-joined with the keyword table; per
+    url the match at the largest position wins, then the smallest keyword (the
+    order ``bounded_list`` gives the pattern); a store label before it rejects
+    the url, as in the pattern form."""
+    kw = kw_df.select(F.lower(F.col(kw_df.columns[0])).alias("candidate")).where(
+        F.col("candidate").isNotNull() & (F.col("candidate") != "")).distinct()
+    if row_bound(kw, BROADCAST_ROW_LIMIT) is not None:
+        kw = F.broadcast(kw)
+    hits = (domain_candidates(df, url, id_col).join(kw, "candidate", "inner")
+              .groupBy(id_col)
+              .agg(F.min(F.struct((-F.col("pos")).alias("p"), F.col("candidate").alias("kw"),
+                                  F.col("label").alias("label"))).alias("_m")))
+    ok = F.col("_m").isNotNull() & ~F.col("_m.label").isin(*STORE_LABELS)
+    return (df.join(hits, id_col, "left")
+              .withColumns({f"{name}_detail": F.when(ok, F.col("_m.kw")),
+                            f"contains_{name}": F.when(ok, 1).otherwise(0).cast("int")})
+              .drop("_m"))
 
 
 def title_words(df: DataFrame, text: str, order_by: list[str], stop_words: list[str]) -> DataFrame:

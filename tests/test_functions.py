@@ -66,3 +66,27 @@ def test_url_domain(spark):
 def test_length_bucket(spark):
     df = spark.createDataFrame([("a" * 50,), ("a" * 51,), ("a" * 200,), ("a" * 201,), (None,)], "t string")
     assert [r.b for r in df.select(length_bucket("t").alias("b")).collect()] == [1, 2, 2, 3, 1]
+
+
+def test_url_keywords_join_path_equals_pattern(spark):
+    import random
+
+    from postlytics.operators import keywords
+    rng = random.Random(5)
+    labels = ["www", "apps", "play", "bbc", "co", "uk", "cnn", "news", "a-b", "x1", "Cnn", "chromewebstore",
+              "wired", "medium"]
+    kws = ["bbc", "bbc.co", "cnn", "news", "wired", "co", "www", "uk", "medium", "x1", "a-b", "https:", "play"]
+
+    def url():
+        s = rng.choice(["", "http://", "https://", "ftp://"]) + ("www." if rng.random() < 0.4 else "")
+        s += ".".join(rng.choice(labels) for _ in range(rng.randint(1, 5)))
+        return s + rng.choice(["", ".", "/", "/path.html", ".com/x.y", ":8080/a"])
+
+    rows = [(i, url() if rng.random() > 0.05 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, url string")
+    pattern = {r.id: (r.d_detail, r.contains_d) for r in
+               keywords.url_keywords(df, "url", sorted(set(kws)), "d").collect()}
+    kdf = spark.createDataFrame([(k,) for k in kws], "w string")
+    joined = {r.id: (r.d_detail, r.contains_d) for r in
+              keywords._url_keywords_join(df, "url", kdf, "d", "id").collect()}
+    assert joined == pattern and sum(v[1] for v in pattern.values()) > 500
