@@ -29,14 +29,15 @@ def join_snapshots(left: DataFrame, right: DataFrame, on: str = "id", how: str =
 
 
 def infer_keywords(df: DataFrame, title_lists: dict, url_lists: dict,
-                   title: str = "title", url: str = "url") -> DataFrame:
+                   title: str = "title", url: str = "url", id_col: str = "id") -> DataFrame:
     """M2: one keyword pass per list; each adds ``{name}_detail`` and
     ``contains_{name}``.  Title lists match whole words (flag mode), url lists
-    match domain labels.  All passes are one projection."""
+    match domain labels.  Lists within the literal bound are one projection;
+    larger ones (DataFrames) are joined on ``id_col``."""
     for name, words in title_lists.items():
-        df = keywords.title_keywords(df, title, words, name)
+        df = keywords.title_keywords(df, title, words, name, id_col=id_col)
     for name, words in url_lists.items():
-        df = keywords.url_keywords(df, url, words, name)
+        df = keywords.url_keywords(df, url, words, name, id_col=id_col)
     return df
 
 
