@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from postlytics.functions.text import char_length, concat_text, length_bucket
 from postlytics.functions.timefeat import epoch_hour, hour_of_day, weekday, weekday_one_hot
 from postlytics.operators import explore, keywords, ordering, repeats
-from postlytics.operators.dedup import insert_or_ignore
+from postlytics.operators.dedup import first_per_key, insert_or_ignore
 from postlytics.operators.html import html_to_text
 from postlytics.operators.textclean import clean_pages
 from postlytics.plans import fixed
@@ -61,10 +61,13 @@ def build_features(posts30: DataFrame, posts240: DataFrame, front_page: DataFram
                    stop_words: list[str] | None = None, topics: DataFrame | None = None,
                    order_by: list[str] | None = None, n_front: int = fixed.FRONT_PAGE_ROWS,
                    buzzword_count: int = fixed.BUZZWORD_COUNT,
-                   bucket_rows: int = 100_000) -> DataFrame:
+                   bucket_rows: int = 100_000, dedupe_by: str | None = None) -> DataFrame:
     """M1.  ``posts30``/``posts240``: id, time, title, url, text, score,
     minutes_since_pub (+ any); ``front_page``: id, title, time, minutes_since_pub,
-    score (several rows per id); ``topics``: id, topic, length."""
+    score (several rows per id); ``topics``: id, topic, length.
+
+    Buzzwords count front-page titles once per snapshot, as the reference does;
+    ``dedupe_by="id"`` counts each post's title once (its first snapshot)."""
     order_by = order_by or ["time", "id"]
     stop_words = stop_words if stop_words is not None else keywords.default_stop_words()
     df = join_snapshots(posts30, posts240, "id")
@@ -92,6 +95,8 @@ def build_features(posts30: DataFrame, posts240: DataFrame, front_page: DataFram
                           F.col("length").alias("document_length"))
         df = df.join(t, "id", "inner")
     fp_titles = front_page.select("id", "time", "title")
+    if dedupe_by is not None:
+        fp_titles = first_per_key(fp_titles, dedupe_by, ["time", "title"])
     top = keywords.top_words(fp_titles, "title", stop_words, ["time", "id"], buzzword_count)
     return keywords.title_keywords(df, "title", top.select("word"), "buzzwords", counted=True,
                                    id_col="id")

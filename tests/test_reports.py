@@ -76,3 +76,21 @@ def test_exploration_report_builds(spark):
     n_titles = len({r[5] for r in rows})                         # one row per distinct title (E1)
     assert sum(r["count"] for r in flags) == n_titles
     assert sum(r.entry_count for r in rep["posts_per_author"].collect()) == len({r[2] for r in rows})
+
+
+def test_buzzwords_dedupe_by_post(spark):
+    from postlytics.plans.features import build_features
+    posts = spark.createDataFrame(
+        [(1, 100, "rust news", "u1", None, 5.0, 30), (2, 200, "go", "u2", None, 3.0, 30),
+         (3, 300, "rust news", "u3", None, 1.0, 30)],
+        "id long, time long, title string, url string, text string, score double, minutes_since_pub long")
+    # post 2's title is on the front page in three snapshots, posts 1 and 3 once each
+    fp = spark.createDataFrame(
+        [(1, "rust news", 100, 30, 5.0), (3, "rust news", 300, 30, 1.0)] +
+        [(2, "go", 200 + k, 30, 3.0) for k in range(3)],
+        "id long, title string, time long, minutes_since_pub long, score double")
+    per_snapshot = build_features(posts, posts, fp, stop_words=[], buzzword_count=1, n_front=1)
+    per_post = build_features(posts, posts, fp, stop_words=[], buzzword_count=1, n_front=1, dedupe_by="id")
+    # per snapshot: go 3, rust 2, news 2 -> "go"; per post: rust 2 (first seen), news 2, go 1 -> "rust"
+    assert {r.id: r.buzzwords_detail for r in per_snapshot.collect()} == {1: [], 2: ["go"], 3: []}
+    assert {r.id: r.buzzwords_detail for r in per_post.collect()} == {1: ["rust"], 2: [], 3: ["rust"]}
