@@ -32,9 +32,11 @@ def domain_pattern(keywords: list[str]) -> str:
     return "^(?:https?://)?(?:www\\.)?([a-zA-Z0-9-]+\\.)*(" + alt + ")\\."
 
 
-def url_domain_keyword(url, keywords: list[str]) -> tuple[Column, Column]:
-    """(detail, flag) for the url: matched keyword or null, and 1/0.  Null url -> (null, 0)."""
-    u = as_col(url)
+def url_domain_keyword(url, keywords: list[str], lower_url: bool = False) -> tuple[Column, Column]:
+    """(detail, flag) for the url: matched keyword or null, and 1/0.  Null url -> (null, 0).
+    Keywords are lower-cased; the url only with ``lower_url`` (the reference
+    does not, so ``CNN.com`` misses ``cnn``)."""
+    u = F.lower(as_col(url)) if lower_url else as_col(url)
     p = domain_pattern(keywords)
     label = F.regexp_extract(u, p, 1)
     ok = u.rlike(p) & ~label.isin(*STORE_LABELS)

@@ -73,18 +73,19 @@ def _title_keywords_join(df, title, kw_df, name, counted, id_col):
     return joined.withColumns({f"{name}_detail": detail, f"contains_{name}": flag}).drop("_hits")
 
 
-def url_keywords(df: DataFrame, url: str, keywords, name: str, id_col: str | None = None) -> DataFrame:
+def url_keywords(df: DataFrame, url: str, keywords, name: str, id_col: str | None = None,
+                 lower_url: bool = False) -> DataFrame:
     """Adds ``{name}_detail`` and ``contains_{name}`` from the url domain (I8)."""
     words = keywords if isinstance(keywords, list) else bounded_list(keywords, keywords.columns[0])
     if words is not None:
-        detail, flag = url_domain_keyword(url, words)
+        detail, flag = url_domain_keyword(url, words, lower_url)
         return df.withColumns({f"{name}_detail": detail, f"contains_{name}": flag})
     if id_col is None:
         raise ValueError("a url keyword list above LITERAL_LIMIT needs id_col for the join path")
-    return _url_keywords_join(df, url, keywords, name, id_col)
+    return _url_keywords_join(df, url, keywords, name, id_col, lower_url)
 
 
-def _url_keywords_join(df, url, kw_df, name, id_col):
+def _url_keywords_join(df, url, kw_df, name, id_col, lower_url: bool = False):
     """Join form of the url pass for keyword lists too large for one pattern:
     candidates (``domain_candidates``) equi-joined with the keyword table; per
     url the match at the largest position wins, then the smallest keyword (the
@@ -94,7 +95,8 @@ def _url_keywords_join(df, url, kw_df, name, id_col):
         F.col("candidate").isNotNull() & (F.col("candidate") != "")).distinct()
     if row_bound(kw, BROADCAST_ROW_LIMIT) is not None:
         kw = F.broadcast(kw)
-    hits = (domain_candidates(df, url, id_col).join(kw, "candidate", "inner")
+    src = df.select(id_col, F.lower(F.col(url)).alias("_lu")) if lower_url else df
+    hits = (domain_candidates(src, "_lu" if lower_url else url, id_col).join(kw, "candidate", "inner")
               .groupBy(id_col)
               .agg(F.min(F.struct((-F.col("pos")).alias("p"), F.col("candidate").alias("kw"),
                                   F.col("label").alias("label"))).alias("_m")))

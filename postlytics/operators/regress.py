@@ -257,23 +257,26 @@ def poisson_report(df: DataFrame, features: list[str], label: str, id_col: str,
         unit = F.when(y > 0, y * F.log(y / mu)).otherwise(F.lit(0.0)) - (y - mu)
         null = F.when(y > 0, y * F.log(y / F.lit(ybar))).otherwise(F.lit(0.0)) - (y - F.lit(ybar))
         return pred.agg(F.sum(unit).alias("dev"), F.sum(null).alias("null_dev"),
-                        F.avg((y - mu) * (y - mu)).alias("mse")).first()
+                        F.avg((y - mu) * (y - mu)).alias("mse"), F.sum((y - mu) * (y - mu)).alias("sse"),
+                        F.sum((y - F.lit(ybar)) * (y - F.lit(ybar))).alias("sst")).first()
 
-    d2s, mses = [], []
+    # the reference prints the model's default score (deviance D^2) as "R^2": both are reported
+    d2s, r2s, mses = [], [], []
     for f in range(folds):
         model = fit(d.where(F.col("_fold") != f))
         te = d.where(F.col("_fold") == f)
         ybar = te.agg(F.avg(label)).first()[0]
         r = deviance_terms(model.transform(te), ybar)
         d2s.append(1 - r["dev"] / r["null_dev"])
+        r2s.append(1 - r["sse"] / r["sst"] if r["sst"] else float("nan"))
         mses.append(r["mse"])
     split = hash_split(d, id_col, test, seed, "_test")
     train = split.where(~F.col("_test"))
     model = fit(train)
     pred = model.transform(split.where(F.col("_test"))).withColumn("resid", F.col(label) - F.col("prediction"))
     out = {
-        "summary": spark.createDataFrame([(float(np.mean(d2s)), float(np.mean(mses)))],
-                                         "cv_d2 double, cv_mse double"),
+        "summary": spark.createDataFrame([(float(np.mean(d2s)), float(np.mean(r2s)), float(np.mean(mses)))],
+                                         "cv_d2 double, cv_r2 double, cv_mse double"),
         "coefficients": spark.createDataFrame(
             [(c, float(v)) for c, v in zip(features, model.coefficients)] + [("(intercept)", float(model.intercept))],
             "feature string, coefficient double"),

@@ -90,3 +90,14 @@ def test_url_keywords_join_path_equals_pattern(spark):
     joined = {r.id: (r.d_detail, r.contains_d) for r in
               keywords._url_keywords_join(df, "url", kdf, "d", "id").collect()}
     assert joined == pattern and sum(v[1] for v in pattern.values()) > 500
+
+
+def test_url_keywords_lower_url_option(spark):
+    from postlytics.operators import keywords
+    df = spark.createDataFrame([(1, "https://www.CNN.com/x"), (2, "http://cnn.com")], "id long, url string")
+    kdf = spark.createDataFrame([("CNN",)], "w string")
+    for lower, want in ((False, {1: 0, 2: 1}), (True, {1: 1, 2: 1})):
+        lit = keywords.url_keywords(df, "url", ["cnn"], "n", lower_url=lower)
+        join = keywords._url_keywords_join(df, "url", kdf, "n", "id", lower)
+        assert {r.id: r.contains_n for r in lit.collect()} == want
+        assert {r.id: r.contains_n for r in join.collect()} == want
