@@ -63,7 +63,7 @@ def with_dense_index(df: DataFrame, order_by: list[str], name: str = "idx",
 
 def forward_features(df: DataFrame, order_by: list[str], n: int,
                      leads: dict[str, str] | None = None, medians: dict[str, str] | None = None,
-                     bucket_rows: int = 100_000) -> DataFrame:
+                     bucket_rows: int = 100_000, direction: str = "forward") -> DataFrame:
     """One dense index and one bucket shuffle for both forward operators:
 
     * ``leads`` {name: col}: ``col[i + n] - col[i]`` (F1), null for the last n rows;
@@ -73,24 +73,38 @@ def forward_features(df: DataFrame, order_by: list[str], n: int,
 
     Rows are bucketed by index div B; the first n rows of each bucket are copied
     into the previous bucket, so every frame and every lead target lies inside
-    the bucket of its row."""
+    the bucket of its row.
+
+    ``direction="backward"`` mirrors both: ``col[i] - col[i - n]`` and the median
+    of rows i-n+1 .. i, null for the first n rows; the last n rows of a bucket
+    are copied into the next one."""
     leads, medians = leads or {}, medians or {}
     if bucket_rows < n:
         raise ValueError("bucket_rows must be at least n")
+    if direction not in ("forward", "backward"):
+        raise ValueError("direction is 'forward' or 'backward'")
+    fwd = direction == "forward"
     idx, total = dense_index(df, order_by, "_idx")
     bucket = F.floor(F.col("_idx") / F.lit(bucket_rows)).cast("long")
-    # every row at home; the first n rows of a bucket also as the previous bucket's halo
-    # (one pass over the indexed rows; replication <= 1 + n / B)
-    is_halo = (F.pmod(F.col("_idx"), F.lit(bucket_rows)) < F.lit(n)) & (F.col("_idx") >= F.lit(bucket_rows))
+    # every row at home; the first (last) n rows of a bucket also as the halo of the
+    # previous (next) bucket -- one pass over the indexed rows, replication <= 1 + n / B
+    offset = F.pmod(F.col("_idx"), F.lit(bucket_rows))
+    if fwd:
+        is_halo = (offset < F.lit(n)) & (F.col("_idx") >= F.lit(bucket_rows))
+    else:
+        is_halo = offset >= F.lit(bucket_rows - n)
     at_home = F.struct(bucket.alias("b"), F.lit(True).alias("home"))
-    as_halo = F.struct((bucket - 1).alias("b"), F.lit(False).alias("home"))
+    as_halo = F.struct((bucket - 1 if fwd else bucket + 1).alias("b"), F.lit(False).alias("home"))
     copies = F.when(is_halo, F.array(at_home, as_halo)).otherwise(F.array(at_home))
     both = (idx.withColumn("_x", F.explode(copies))
                .withColumn("_b", F.col("_x.b")).withColumn("_home", F.col("_x.home")).drop("_x"))
     w = Window.partitionBy("_b").orderBy("_idx")
-    frame = w.rowsBetween(0, n - 1)
-    cut = F.col("_idx") < F.lit(total - n)
-    new = {name: F.when(cut, F.lead(F.col(c), n).over(w) - F.col(c)) for name, c in leads.items()}
+    if fwd:
+        frame, cut = w.rowsBetween(0, n - 1), F.col("_idx") < F.lit(total - n)
+        new = {name: F.when(cut, F.lead(F.col(c), n).over(w) - F.col(c)) for name, c in leads.items()}
+    else:
+        frame, cut = w.rowsBetween(-(n - 1), 0), F.col("_idx") >= F.lit(n)
+        new = {name: F.when(cut, F.col(c) - F.lag(F.col(c), n).over(w)) for name, c in leads.items()}
     new.update({name: F.when(cut, F.percentile(F.col(c), F.lit(0.5)).over(frame))
                 for name, c in medians.items()})
     out = both.withColumns(new).where(F.col("_home")).drop("_b", "_home", "_idx")
@@ -98,16 +112,17 @@ def forward_features(df: DataFrame, order_by: list[str], n: int,
 
 
 def time_until_nth_next(df: DataFrame, value: str, n: int = 30, order_by: list[str] | None = None,
-                        name: str = "time_on_first_page") -> DataFrame:
+                        name: str = "time_on_first_page", direction: str = "forward") -> DataFrame:
     """``value[i + n] - value[i]`` in ``order_by`` order; null for the last n rows."""
-    return forward_features(df, order_by or ["time", "id"], n, leads={name: value})
+    return forward_features(df, order_by or ["time", "id"], n, leads={name: value}, direction=direction)
 
 
 def rolling_median(df: DataFrame, value: str, n: int = 30, order_by: list[str] | None = None,
-                   name: str = "average_score_of_posts_before", bucket_rows: int = 100_000) -> DataFrame:
-    """forward rolling median of ``n`` rows (see ``forward_features``)."""
+                   name: str = "average_score_of_posts_before", bucket_rows: int = 100_000,
+                   direction: str = "forward") -> DataFrame:
+    """rolling median of ``n`` rows, forward by default (see ``forward_features``)."""
     return forward_features(df, order_by or ["time", "id"], n, medians={name: value},
-                            bucket_rows=bucket_rows)
+                            bucket_rows=bucket_rows, direction=direction)
 
 
 def lag_difference(df: DataFrame, value: str, order_by: list[str], name: str = "diff") -> DataFrame:

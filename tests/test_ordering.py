@@ -145,3 +145,24 @@ def test_group_quantiles_equal_percentile(spark):
                                                                 num_partitions=parts).collect()}
         assert got == {k: list(v) for k, v in ref.items() if v is not None}
         assert ("empty", 1) not in got
+
+
+def _brute_backward(rows, n=30):
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    out = {}
+    for i, (id_, t, s) in enumerate(rows):
+        if i >= n:
+            vals = [x[2] for x in rows[i - n + 1:i + 1] if x[2] is not None]
+            out[id_] = (t - rows[i - n][1], statistics.median(vals) if vals else None)
+        else:
+            out[id_] = (None, None)
+    return out
+
+
+@pytest.mark.parametrize("n_rows", [29, 31, 250])
+def test_backward_features(spark, n_rows):
+    df = _posts(spark, n_rows, seed=n_rows + 1, null_every=5)
+    out = forward_features(df, ["time", "id"], 30, leads={"lead": "time"}, medians={"med": "score"},
+                           bucket_rows=37, direction="backward")
+    got = {r.id: (r.lead, r.med) for r in out.collect()}
+    assert got == _brute_backward([(r.id, r.time, r.score) for r in df.collect()])
