@@ -122,16 +122,32 @@ def _fold_sum(grams, keep):
     return tot
 
 
+def standardised_gram(g_fit: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The Gram of [1, (x - m) / s, y] from the raw Gram ``g`` of [1, x, y], with
+    the mean m and population std s of each feature taken from ``g_fit``: an
+    affine map A of the columns, so the result is A^T g A (a constant feature
+    becomes 0)."""
+    n, k = g_fit[0, 0], g.shape[0] - 2
+    a = np.eye(k + 2)
+    for j in range(1, k + 1):
+        m = g_fit[0, j] / n
+        s = math.sqrt(max(g_fit[j, j] / n - m * m, 0.0))
+        a[j, j], a[0, j] = (1.0 / s, -m / s) if s > 0 else (0.0, 0.0)
+    return a.T @ g @ a
+
+
 def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
                  log_target: bool = True, cv_select: int = 5, cv_score: int = 3,
                  n_alphas: int = 100, alphas: list[float] | None = None,
-                 diagnostics: bool = True) -> dict:
+                 diagnostics: bool = True, scale_in_fold: bool = False) -> dict:
     """M8 lasso part.
 
     Features are standardised with population std over all rows (as the
     reference does before cross-validating), the target is log-transformed
     (rows with target <= 0 are dropped and counted).  Folds are contiguous
-    blocks in ``id_col`` order.  Returns named result DataFrames."""
+    blocks in ``id_col`` order.  ``scale_in_fold`` standardises each training
+    fold with its own moments instead (no leak); on Gram matrices that is an
+    affine map, so it needs no extra pass.  Returns named result DataFrames."""
     spark = df.sparkSession
     d = df.select(id_col, *features, label).dropna()
     dropped = None
@@ -142,18 +158,27 @@ def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
     if log_target:
         dropped = moments["_dropped"] or 0
         d = d.where(keep).withColumn(label, F.log(F.col(label)))
+    raw = d
     d = stats.standardise_with(d, features, moments)
-    d = with_fold_columns(d, {"_f5": cv_select, "_f3": cv_score}, [id_col])
+    d = with_fold_columns(raw if scale_in_fold else d, {"_f5": cv_select, "_f3": cv_score}, [id_col])
     grams = fold_grams(d, features, label, ["_f5", "_f3"])
+
+    def pair(keep_train):
+        tr = _fold_sum(grams, keep_train)
+        te = _fold_sum(grams, lambda k: not keep_train(k))
+        return (standardised_gram(tr, tr), standardised_gram(tr, te)) if scale_in_fold else (tr, te)
+
     total = _fold_sum(grams, lambda k: True)
+    if scale_in_fold:
+        total = standardised_gram(total, total)
+        d = stats.standardise_with(raw, features, moments)
     grid = alphas or alpha_grid(total, n_alphas)
     # L3: choose alpha by mean test MSE over the cv_select folds
     cv_mse = []
     for a in grid:
         errs = []
         for f in range(cv_select):
-            tr = _fold_sum(grams, lambda k, f=f: k[0] != f)
-            te = _fold_sum(grams, lambda k, f=f: k[0] == f)
+            tr, te = pair(lambda k, f=f: k[0] != f)
             b0, b = lasso_cd(tr, a)
             sse, _, n = sse_sst(te, b0, b)
             errs.append(sse / n)
@@ -162,8 +187,7 @@ def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
     # L4: cv_score-fold R^2 and MSE at the chosen alpha
     r2s, mses = [], []
     for f in range(cv_score):
-        tr = _fold_sum(grams, lambda k, f=f: k[1] != f)
-        te = _fold_sum(grams, lambda k, f=f: k[1] == f)
+        tr, te = pair(lambda k, f=f: k[1] != f)
         b0, b = lasso_cd(tr, best)
         sse, sst, n = sse_sst(te, b0, b)
         r2s.append(1 - sse / sst)

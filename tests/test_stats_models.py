@@ -161,3 +161,27 @@ def test_prototype_join_path_equals_literal_path(spark):
     joined = {r.vec_id: r.predicted_label for r in
               classify.prototype_label_join(e, "embedding", table, "label", "vec_id").collect()}
     assert joined == lit
+
+
+def test_standardised_gram_equals_gram_of_standardised(spark):
+    import numpy as np
+
+    from postlytics.operators.regress import fold_grams, standardised_gram
+    from postlytics.operators.stats import standardise
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), 5.0, float(y)) for a, b, y in rng.normal([10, -3, 1], [2, 0.5, 1], (300, 3))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    cols = ["a", "b", "c"]
+    raw = fold_grams(df, cols, "y")[()]
+    std = fold_grams(standardise(df, cols), cols, "y")[()]
+    assert np.allclose(standardised_gram(raw, raw), std, rtol=1e-9, atol=1e-6)
+
+
+def test_lasso_scale_in_fold_runs(spark):
+    from postlytics.operators.regress import lasso_report
+    rows = [(i, float(i % 7), float((i * 3) % 11), 2.0 + (i % 7) * 0.5 + (i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    a = lasso_report(df, ["a", "b"], "y", "id", alphas=[0.01, 0.1], diagnostics=False)["summary"].first()
+    b = lasso_report(df, ["a", "b"], "y", "id", alphas=[0.01, 0.1], diagnostics=False,
+                     scale_in_fold=True)["summary"].first()
+    assert a.n == b.n == 400 and 0.2 < b.cv_r2 <= 1 and abs(a.cv_r2 - b.cv_r2) < 0.05
