@@ -67,11 +67,13 @@ def prepare(df: DataFrame, features: list[str], label: str, kind: str) -> DataFr
 
 
 def random_search(train: DataFrame, label: str, kind: str, id_col: str, n_iter: int = 10,
-                  folds: int = 5, grid: dict | None = None, seed: int = 42) -> dict:
+                  folds: int = 5, grid: dict | None = None, seed: int = 42,
+                  parallelism: int = 4) -> dict:
     """``n_iter`` seeded draws (without replacement) from the grid mapped to
     Spark parameters, each scored by ``folds``-fold cross-validation (contiguous
-    folds for regressors, stratified for classifiers).  Returns the best Spark
-    parameter dict."""
+    folds for regressors, stratified for classifiers); up to ``parallelism``
+    candidate models are fitted at once (concurrent Spark jobs).  Returns the
+    best Spark parameter dict."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     from postlytics.operators.sampling import with_folds
@@ -95,7 +97,7 @@ def random_search(train: DataFrame, label: str, kind: str, id_col: str, n_iter:
     ev = (MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy") if kind == "classifier"
           else RegressionEvaluator(labelCol=label, metricName="r2"))
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="_fold",
-                        seed=seed)
+                        seed=seed, parallelism=max(1, min(parallelism, len(maps))))
     model = cv.fit(d)
     best = int(np.argmax(model.avgMetrics))
     return {p.name: v for p, v in maps[best].items()}
