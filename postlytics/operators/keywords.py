@@ -46,14 +46,15 @@ def title_keywords(df: DataFrame, title: str, keywords, name: str, counted: bool
     """Adds ``{name}_detail`` and ``contains_{name}``.
 
     flag mode: first matching word (or null) and 1/0; counted mode: the list of
-    all matches and its size.  Null or empty title -> (null, 0)."""
+    all matches and its size.  Null or empty title -> (null, 0).  A keyword
+    DataFrame above LITERAL_LIMIT is joined, which needs ``id_col`` unique per row."""
     words = keywords if isinstance(keywords, list) else bounded_list(keywords, keywords.columns[0])
     if words is not None:
         fn = keyword_counted if counted else keyword_flag
         detail, flag = fn(title, words)
         return df.withColumns({f"{name}_detail": detail, f"contains_{name}": flag})
     if id_col is None:
-        raise ValueError("a keyword list above LITERAL_LIMIT needs id_col for the join path")
+        raise ValueError("a keyword list above LITERAL_LIMIT needs a unique id_col for the join path")
     return _title_keywords_join(df, title, keywords, name, counted, id_col)
 
 
@@ -75,13 +76,15 @@ def _title_keywords_join(df, title, kw_df, name, counted, id_col):
 
 def url_keywords(df: DataFrame, url: str, keywords, name: str, id_col: str | None = None,
                  lower_url: bool = False) -> DataFrame:
-    """Adds ``{name}_detail`` and ``contains_{name}`` from the url domain (I8)."""
+    """Adds ``{name}_detail`` and ``contains_{name}`` from the url domain (I8).
+    A keyword DataFrame above LITERAL_LIMIT is joined, which needs ``id_col``
+    unique per row."""
     words = keywords if isinstance(keywords, list) else bounded_list(keywords, keywords.columns[0])
     if words is not None:
         detail, flag = url_domain_keyword(url, words, lower_url)
         return df.withColumns({f"{name}_detail": detail, f"contains_{name}": flag})
     if id_col is None:
-        raise ValueError("a url keyword list above LITERAL_LIMIT needs id_col for the join path")
+        raise ValueError("a url keyword list above LITERAL_LIMIT needs a unique id_col for the join path")
     return _url_keywords_join(df, url, keywords, name, id_col, lower_url)
 
 

@@ -34,7 +34,7 @@ def clean_pages(df: DataFrame, text: str, dictionary, stop_words: list[str], out
         return df.withColumn(out, F.when(F.col(text).isNull(), F.lit(" ")).otherwise(
             F.array_join(kept, " ")))
     if id_col is None:
-        raise ValueError("a dictionary above LITERAL_LIMIT needs id_col for the join path")
+        raise ValueError("a dictionary above LITERAL_LIMIT needs a unique id_col for the join path")
     d = dictionary.select(F.lower(F.col(dictionary.columns[0])).alias("_w")).where(
         (F.length("_w") > 1) & ~F.col("_w").isin(*sorted(sw))).distinct()
     if row_bound(d, BROADCAST_ROW_LIMIT) is not None:
