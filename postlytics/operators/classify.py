@@ -34,11 +34,11 @@ def prototype_table(df: DataFrame, vector: str, label: str) -> DataFrame:
 def prototypes(df: DataFrame, vector: str, label: str) -> dict | None:
     """Mean vector per label as literals, or None when labels x dimensions is
     above MAX_PROTOTYPES (then use ``prototype_label_join``)."""
-    p = prototype_table(df, vector, label)
-    if p.limit(MAX_PROTOTYPES + 1).count() > MAX_PROTOTYPES:
+    rows = prototype_table(df, vector, label).limit(MAX_PROTOTYPES + 1).collect()  # one bounded job
+    if len(rows) > MAX_PROTOTYPES:
         return None
     out: dict = {}
-    for r in p.collect():
+    for r in rows:
         out.setdefault(r[label], {})[r["_pos"]] = r["_m"]
     return {k: [v[i] for i in range(len(v))] for k, v in out.items()}
 
