@@ -944,6 +944,22 @@ def q_stratified_folds(spark, sf):
     return with_folds(lab, 5, ["doc_id"], stratify="quality")
 
 
+# class c (rows start .. start+cnt-1 in (class, doc_id) order) fills fold f with the
+# positions p, p mod 5 = f, of its range: floor((start+cnt-1-f)/5) - floor((start-1-f)/5)
+SQL_STRATIFIED_FOLDS = """
+WITH c AS (SELECT quality, count(*) AS cnt FROM labels WHERE quality IS NOT NULL GROUP BY quality),
+s AS (SELECT quality, cnt, sum(cnt) OVER (ORDER BY quality) - cnt AS start FROM c),
+z AS (SELECT quality, t.g AS f,
+             (floor((start + cnt - 1 - t.g) / 5.0) - floor((start - 1 - t.g) / 5.0))::BIGINT AS size
+      FROM s CROSS JOIN range(0, 5) AS t(g)),
+e AS (SELECT quality, f, sum(size) OVER (PARTITION BY quality ORDER BY f) AS edge FROM z),
+r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS loc
+      FROM labels WHERE quality IS NOT NULL)
+SELECT r.doc_id, r.quality, coalesce(min(e.f) FILTER (WHERE r.loc < e.edge), 4)::INTEGER AS fold
+FROM r JOIN e ON r.quality = e.quality GROUP BY r.doc_id, r.quality
+"""
+
+
 # --------------------------------------------------------------------------
 # models (L1-L23, K12) -- rows-only except where SQL can express the result
 # --------------------------------------------------------------------------
@@ -1256,6 +1272,7 @@ FROM m
         "undersample": SQL_UNDERSAMPLE,
         "sample_rows": SQL_SAMPLE_ROWS,
         "kfold": SQL_KFOLD,
+        "stratified_folds": SQL_STRATIFIED_FOLDS,
         "topic_one_hot": SQL_TOPIC_ONE_HOT,
         "prototype_label": SQL_PROTOTYPE_LABEL,
     }
