@@ -101,3 +101,13 @@ def test_url_keywords_lower_url_option(spark):
         join = keywords._url_keywords_join(df, "url", kdf, "n", "id", lower)
         assert {r.id: r.contains_n for r in lit.collect()} == want
         assert {r.id: r.contains_n for r in join.collect()} == want
+
+
+def test_spread_only_when_too_few_splits(spark):
+    from postlytics.session import spread
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(0, 1000, numPartitions=1)
+    many = spark.range(0, 1000, numPartitions=cores)
+    assert spread(one).rdd.getNumPartitions() == 2 * cores
+    assert spread(many) is many                       # enough splits: no shuffle added
+    assert sorted(r.id for r in spread(one).collect()) == list(range(1000))
