@@ -21,6 +21,9 @@ DEFAULT_CONF = {
     # a correlation matrix or Gram matrix is one aggregate with hundreds of
     # buffer fields; above this limit the stage would run interpreted
     "spark.sql.codegen.maxFields": "512",
+    # the range-partitioned operators checkpoint to the shared folder; delete a
+    # checkpoint once nothing references its data any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
