@@ -159,7 +159,7 @@ def _brute_backward(rows, n=30):
     return out
 
 
-@pytest.mark.parametrize("n_rows", [29, 31, 250])
+@pytest.mark.parametrize("n_rows", [0, 1, 29, 30, 31, 250])
 def test_backward_features(spark, n_rows):
     df = _posts(spark, n_rows, seed=n_rows + 1, null_every=5)
     out = forward_features(df, ["time", "id"], 30, leads={"lead": "time"}, medians={"med": "score"},
