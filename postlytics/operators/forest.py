@@ -97,7 +97,7 @@ def random_search(train: DataFrame, label: str, kind: str, id_col: str, n_iter:
     ev = (MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy") if kind == "classifier"
           else RegressionEvaluator(labelCol=label, metricName="r2"))
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="_fold",
-                        seed=seed, parallelism=max(1, min(parallelism, len(maps))))
+                        numFolds=folds, seed=seed, parallelism=max(1, min(parallelism, len(maps))))
     model = cv.fit(d)
     best = int(np.argmax(model.avgMetrics))
     return {p.name: v for p, v in maps[best].items()}

@@ -94,3 +94,21 @@ def test_buzzwords_dedupe_by_post(spark):
     # per snapshot: go 3, rust 2, news 2 -> "go"; per post: rust 2 (first seen), news 2, go 1 -> "rust"
     assert {r.id: r.buzzwords_detail for r in per_snapshot.collect()} == {1: [], 2: ["go"], 3: []}
     assert {r.id: r.buzzwords_detail for r in per_post.collect()} == {1: ["rust"], 2: [], 3: ["rust"]}
+
+
+def test_regression_and_forest_studies_run(spark):
+    import random
+
+    from postlytics.plans.studies import forest_study, regression_study
+    rng = random.Random(8)
+    rows = [(i, rng.uniform(0, 5), rng.uniform(0, 2), float(rng.randint(1, 20))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    reg = regression_study(df, ["a", "b"], "y", "id", alphas=[0.01, 0.1])
+    assert reg["lasso_summary"].first().n == 300 and reg["poisson_summary"].count() == 1
+    assert reg["pearson_all"].count() == 9
+    small = {"n_estimators": [5], "max_depth": [3], "min_samples_split": [2], "min_samples_leaf": [2],
+             "max_features": ["sqrt"]}
+    fs = forest_study(df, ["a", "b"], "y", "id", "regressor", n_iter=1, folds=2, grid=small,
+                      permutation_repeats=1)
+    assert fs["impurity_importance"].count() == 2 and fs["shap_importance"].count() == 2
+    assert fs["params"].count() >= 3
