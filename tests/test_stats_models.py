@@ -185,3 +185,25 @@ def test_lasso_scale_in_fold_runs(spark):
     b = lasso_report(df, ["a", "b"], "y", "id", alphas=[0.01, 0.1], diagnostics=False,
                      scale_in_fold=True)["summary"].first()
     assert a.n == b.n == 400 and 0.2 < b.cv_r2 <= 1 and abs(a.cv_r2 - b.cv_r2) < 0.05
+
+
+def test_random_search_uses_all_folds(spark, monkeypatch):
+    import pyspark.ml.tuning as tuning
+
+    from postlytics.operators import forest
+    seen = {}
+    real_fit = tuning.CrossValidator.fit
+
+    def spy(self, dataset, params=None):
+        seen["numFolds"] = self.getNumFolds()
+        seen["folds"] = sorted(r[0] for r in dataset.select("_fold").distinct().collect())
+        return real_fit(self, dataset, params)
+
+    monkeypatch.setattr(tuning.CrossValidator, "fit", spy)
+    rows = [(i, float(i % 7), float(i % 3), float(i % 5)) for i in range(200)]
+    df = forest.prepare(spark.createDataFrame(rows, "id long, a double, b double, y double"), ["a", "b"], "y",
+                        "regressor")
+    grid = {"n_estimators": [3], "max_depth": [2], "min_samples_split": [2], "min_samples_leaf": [2],
+            "max_features": ["sqrt"]}
+    forest.random_search(df, "y", "regressor", "id", n_iter=1, folds=5, grid=grid)
+    assert seen == {"numFolds": 5, "folds": [0, 1, 2, 3, 4]}
