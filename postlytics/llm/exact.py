@@ -37,11 +37,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept_extra = [f"_x_{k}" for k in carry]
     narrow = store(df.select(F.col(id_col).alias("doc_id"), *keys, *extra), "exact-keys")
 
-    def twice(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-
-    lengths = twice(narrow, "_len")
-    pairs = twice(narrow.join(lengths, "_len", "left_semi"), "_len", "_prefix")
+    lengths = narrow.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_len")
+    # counted before the join on the length, which would bring a hot length's rows to one task
+    counted = narrow.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = counted.join(lengths, "_len", "left_semi").where("_n > 1").drop("_n")
     # the third round: whole texts of the survivors only
     texts = df.select(F.col(id_col).alias("doc_id"), *keys, *extra, norm.alias("_norm"))
     full = store(texts.join(pairs, ["_len", "_prefix"], "left_semi").select(
