@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlytics.llm import chat, exact, lang_id, packing, pieces, quality, rules
-from postlytics.llm.common import held_out
+from postlytics.llm import chat, exact, lang_id, minhash, packing, pieces, quality, rules, warc
+from postlytics.llm.common import held_out, scratch_path
 from postlytics.sources.tables import load
 
 
@@ -33,7 +33,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    net = quality.fit_quality(quality.training_rows(docs, load(spark, sf_dir, "labels")))
+    net = quality.fit_quality(docs.where(~held_out(F.col("doc_id"))), load(spark, sf_dir, "labels"))
     return quality.score_quality(docs, net, keep=["doc_id"]).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         F.when(F.col("score") >= quality.ACCEPT, 1).otherwise(0).alias("predicted"))
@@ -48,6 +48,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs, carry={"text_sha256": F.sha2(exact.normalised(F.col("text")), 256)})
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_warc(load(spark, sf_dir, "pages"), path)
+    return warc.warc_digest(warc.read_warc(spark, path))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(load(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
     return pieces.pieces_digest(pieces.encode_pieces(load(spark, sf_dir, "documents"), path), path)
@@ -55,9 +65,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_language_id, op2_chat_format, op3_quality_rules, op4_quality_classifier, op6_packing, op7_exact_dedup,
-        op10_sentencepiece)}
+        op1_language_id, op2_chat_format, op3_quality_rules, op4_quality_classifier, op6_packing, op7_exact_dedup, op8_warc,
+        op9_near_duplicates, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.CHAT_SQL, "op3_quality_rules": rules.RULES_SQL, "op7_exact_dedup": exact.EXACT_SQL}
+    return {"op2_chat_format": chat.CHAT_SQL, "op3_quality_rules": rules.RULES_SQL, "op7_exact_dedup": exact.EXACT_SQL,
+            "op8_warc": warc.WARC_SQL}
