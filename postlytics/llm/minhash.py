@@ -174,7 +174,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8,
                  n_bands: int = 24, rows: int = 4) -> DataFrame:
     """One row a row of ``df``: ``doc_id, class_id`` (the smallest id of its class),
-    ``class_size`` and ``kept`` (this is the class's one document that stays).
+    ``class_size``, ``kept`` (this is the class's one document that stays) and
+    ``text_key`` (MD5 of its words, null without words).
 
     Texts are linked when the Jaccard similarity of their sets of ``k``-word shingles
     is ``least`` or more; a class is a connected component.  With 24 bands of 4 a pair
@@ -209,7 +210,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .select("a", "b", "_ta", "_tb").mapInArrow(_verified(k, least), "a binary, b binary"))
     links = components(verified)
     member = signed.select("doc_id", "_t").join(links.select(F.col("a").alias("_t"), F.col("b").alias("_root")), "_t", "left")
-    member = store(member.select("doc_id", F.coalesce("_root", "_t").alias("_class")), "classes")
+    member = store(member.select("doc_id", "_t", F.coalesce("_root", "_t").alias("_class")), "classes")
     return _classes(member)
 
 
@@ -221,7 +222,9 @@ def _classes(member: DataFrame) -> DataFrame:
     # of rows that repeat the class's smallest id, the first partition's first one stays
     out = named.withColumn("_row", F.monotonically_increasing_id()).join(sizes, "_class")
     own = out.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("_class").agg(F.min("_row").alias("_first"))
-    out = out.join(own, "_class").select("doc_id", "class_id", "class_size", (F.col("_row") == F.col("_first")).alias("kept"))
+    out = out.join(own, "_class").select(
+        "doc_id", "class_id", "class_size", (F.col("_row") == F.col("_first")).alias("kept"), F.col("_t").alias("text_key"))
     alone = member.where("_class is null").select("doc_id", F.col("doc_id").alias("class_id"),
-                                                  F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+                                                  F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"),
+                                                  F.col("_t").alias("text_key"))
     return out.unionByName(alone)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlytics.llm import chat, exact, lang_id, minhash, packing, pieces, quality, rules, warc
+from postlytics.llm import chat, exact, lang_id, minhash, packing, pieces, quality, rules, suffix, warc
 from postlytics.llm.common import held_out, scratch_path
 from postlytics.sources.tables import load
 
@@ -39,6 +39,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= quality.ACCEPT, 1).otherwise(0).alias("predicted"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats_digest(suffix.remove_repeats(load(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(packing.pack(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -55,7 +59,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_classes(load(spark, sf_dir, "documents"))
+    return minhash.near_classes(load(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +69,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_language_id, op2_chat_format, op3_quality_rules, op4_quality_classifier, op6_packing, op7_exact_dedup, op8_warc,
+        op1_language_id, op2_chat_format, op3_quality_rules, op4_quality_classifier, op5_suffix_dedup, op6_packing, op7_exact_dedup, op8_warc,
         op9_near_duplicates, op10_sentencepiece)}
 
 
