@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from postlytics.llm.common import byte_rows, held_out, slices, small_batches
+from postlytics.llm.common import byte_rows, slices, small_batches
 
 PASSAGE, BINS = 768, 128  # bytes of a passage, bins of the byte-pair profile
 ACCEPT = 0.7  # fixed value: a score from which a document counts as good
@@ -140,32 +140,47 @@ class Attention:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit_quality(labelled: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id",
-                sample_rows: int = 1500, sample_bytes: int = 16_384) -> Attention:
-    """Learn from a bounded sample: of each label (0 and 1) the ``sample_rows`` rows
-    with the smallest hash of id and text, of each the passages in its first
-    ``sample_bytes`` characters.  Rows weigh as their label's share of all labelled
-    rows, so scores are probabilities under the labels' own frequency.  Null labels
-    and texts are not used; with no or one label only, the score is that label's."""
-    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(
-        F.col(label_col).alias("_y"), F.substring(F.col(text_col), 1, sample_bytes).alias("_t"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"))
+def fit_quality(documents: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text",
+                id_col: str = "doc_id", sample_rows: int = 1500, sample_passages: int = 16) -> Attention:
+    """Learn from a bounded sample of ``documents``, labelled by ``labels`` (joined on
+    the id): of each label (0 and 1) the ``sample_rows`` rows with the smallest hash
+    of id and text, of each at most ``sample_passages`` passages spread evenly over
+    the whole text.  Rows weigh as their label's share of all labelled rows, so scores
+    are probabilities under the labels' own frequency.
+
+    Null ids, labels and texts are not used; with no label or one only, the score is
+    that label's.  Only ids, hashes and labels are shuffled; the sample's ids, at most
+    twice ``sample_rows``, are broadcast to read its texts."""
+    y = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h")
+    rows = (documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), hashed)
+            .join(y, "_id").select("_id", "_h", "_y"))
     counts = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
     net = Attention()
     if len(counts) < 2:
         net.p["c"][:] = 0
         net.p["d"][:] = 4.0 if counts.get(1) else -4.0 if counts else 0.0
         return net
-    xs, ys, ws = [], [], []
-    for y in (0, 1):
-        texts = [r[0].encode() for r in rows.where(F.col("_y") == y).orderBy("_h", "_t").limit(sample_rows)
-                 .select("_t").toLocalIterator()]
-        bounds = np.cumsum([0, *map(len, texts)])
-        x, doc = encode_passages(np.frombuffer(b"".join(texts), np.uint8), bounds)
-        xs.append((x, doc + len(ys)))
-        ys += [y] * len(texts)
-        ws += [counts[y] / len(texts)] * len(texts)
-    net.fit(np.concatenate([x for x, _ in xs]), np.concatenate([d for _, d in xs]), np.array(ys, float), np.array(ws))
+    picked = [rows.where(F.col("_y") == v).orderBy("_h", "_id").limit(sample_rows) for v in (0, 1)]
+    sample = F.broadcast(picked[0].unionByName(picked[1]).distinct())
+    texts = documents.select(F.col(id_col).alias("_id"), hashed, F.col(text_col).alias("_t")).join(sample, ["_id", "_h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_t", 1 << 20):
+                x, doc = encode_passages(*byte_rows(batch, "_t"))
+                at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                bags = []
+                for a, b in zip(at[:-1], at[1:]):
+                    chosen = np.unique(np.linspace(a, b - 1, min(b - a, sample_passages)).astype(int))
+                    bags.append(x[chosen].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], ["_y", "_h", "_x"])
+
+    found = sorted(texts.select(F.col("_y").cast("int").alias("_y"), "_h", "_t").mapInArrow(run, "_y int, _h long, _x binary").collect())
+    bags = [np.frombuffer(r[2], np.float32).reshape(-1, WIDTH) for r in found]
+    ys = np.array([r[0] for r in found], float)
+    share = {v: counts[v] / max(1, (ys == v).sum()) for v in (0, 1)}
+    net.fit(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(x) for x in bags]), ys, np.array([share[int(v)] for v in ys]))
     return net
 
 
@@ -185,10 +200,3 @@ def score_quality(df: DataFrame, net: Attention, text_col: str = "text", score_c
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*keep, score_col])
 
     return base.mapInArrow(run, StructType([*base.schema.fields[:-1]]).add(score_col, DoubleType()))
-
-
-def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents that are not held out, with nothing but the text to learn from."""
-    y = labels.select(F.col("doc_id").alias("_id"), "quality")
-    return (documents.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
-            .join(y, F.col("doc_id") == F.col("_id")).drop("_id"))
