@@ -21,23 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postlytics.llm.common import slices, small_batches, store
-from postlytics.llm.tokens import ID, UnitCache, space_units
+from postlytics.llm.tokens import ID, ByteBpe
 
-_caches: dict[str, UnitCache] = {}
+_tables: dict[str, ByteBpe] = {}
 
 
-def bpe_cache(path: str) -> UnitCache:
+def worker_table(path: str) -> ByteBpe:
     """The unit table of a tokenizers file, one a Python worker."""
-    if path not in _caches:
-        from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
-
-        def encode(units: list[str]) -> list[bytes]:
-            return [np.array(e.ids, ID).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
-
-        _caches[path] = UnitCache(encode)
-    return _caches[path]
+    if path not in _tables:
+        _tables[path] = ByteBpe(path)
+    return _tables[path]
 
 
 def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -52,10 +45,10 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (TaskContext.get().partitionId() << 40) - 1
-        cache = bpe_cache(tokenizer)
+        table = worker_table(tokenizer)
         for whole in batches:
             for batch in slices(whole, "text"):
-                docs = cache.ids([space_units(t) for t in batch.column(1).to_pylist()])
+                docs = [table.ids(t) for t in batch.column(1).to_pylist()]
                 row, start, ids, total = [], [], [], []
                 for i, data in enumerate(docs):
                     data += end
