@@ -170,8 +170,8 @@ def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", out_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _, _ = worker_model(model_path, threads)
         for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                batch = whole.slice(at, 100)
+            for at in range(0, whole.num_rows, 20):
+                batch = whole.slice(at, 20)
                 ids = batch.column(batch.schema.get_field_index(ids_col))
                 sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
                 values = ids.flatten().to_numpy(zero_copy_only=False)
