@@ -184,7 +184,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Words are split at white space as they are.  A text of fewer than ``k`` words is
     one shingle; a text without words, null included, is a class of its own.  Rows
-    repeated with their id share its fate, but one of them only is ``kept``; a null id
+    repeated with id and text share a class, of which one row only is ``kept``; a null id
     is ``kept`` last.  An empty table gives no rows; other columns are not read."""
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("_t"),
@@ -210,20 +210,19 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .select("a", "b", "_ta", "_tb").mapInArrow(_verified(k, least), "a binary, b binary"))
     links = components(verified)
     member = signed.select("doc_id", "_t").join(links.select(F.col("a").alias("_t"), F.col("b").alias("_root")), "_t", "left")
-    member = store(member.select("doc_id", "_t", F.coalesce("_root", "_t").alias("_class")), "classes")
+    member = store(member.select(
+        "doc_id", "_t", F.coalesce("_root", "_t").alias("_class"), F.monotonically_increasing_id().alias("_row")), "classes")
     return _classes(member)
 
 
 def _classes(member: DataFrame) -> DataFrame:
-    """Class ids and sizes; a null class is one of its own."""
-    named = member.where("_class is not null")
-    per_id = named.groupBy("_class", "doc_id").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = per_id.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.sum("_c").alias("class_size"))
-    # of rows that repeat the class's smallest id, the first partition's first one stays
-    out = named.withColumn("_row", F.monotonically_increasing_id()).join(sizes, "_class")
-    own = out.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("_class").agg(F.min("_row").alias("_first"))
-    out = out.join(own, "_class").select(
-        "doc_id", "class_id", "class_size", (F.col("_row") == F.col("_first")).alias("kept"), F.col("_t").alias("text_key"))
+    """Class ids and sizes; a null class is one of its own.  One grouped minimum gives
+    a class's smallest id (nulls last) and, of rows that repeat it, the one that stays."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
+    classes = member.where("_class is not null").groupBy("_class").agg(F.count(F.lit(1)).alias("class_size"), first.alias("_m"))
+    out = member.join(classes, "_class").select(
+        "doc_id", F.col("_m.id").alias("class_id"), "class_size", (F.col("_row") == F.col("_m.row")).alias("kept"),
+        F.col("_t").alias("text_key"))
     alone = member.where("_class is null").select("doc_id", F.col("doc_id").alias("class_id"),
                                                   F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"),
                                                   F.col("_t").alias("text_key"))
