@@ -333,31 +333,30 @@ def _coprime_multiplier(rng: random.Random, n: int) -> int:
 
 
 def permutation_importance(model, test: DataFrame, features: list[str], label: str, kind: str,
-                           repeats: int = 10, seed: int = 42) -> DataFrame:
+                           repeats: int = 10, seed: int = 42, id_col: str | None = None) -> DataFrame:
     """Drop in score (R^2 or accuracy) when one feature's values are
     permuted across the test rows, mean and std over ``repeats``.
 
-    Each (feature, repeat) permutation is the bijection i -> (a i + b) mod n of
-    the dense row index, a coprime to n, drawn from a seeded generator; the
-    permuted value is fetched by an equi-join on the source index.  All
-    feature x repeat copies are scored in one job."""
+    A repeat's permutation is the bijection i -> (a i + b) mod n of the dense row
+    index, a coprime to n, drawn from a seeded generator and computed in decimals,
+    which hold a * i for any n.  Rows are numbered in the order of ``id_col`` (else
+    of all features and the label), so the result does not depend on how they are
+    partitioned.  Each repeat joins every row with its donor row once; the features
+    are swapped one after another behind the join."""
     from pyspark.ml.feature import VectorAssembler
     spark = test.sparkSession
     base = test.select(*features, label)
-    idx, n = dense_index(base.withColumn("_r", F.monotonically_increasing_id()), ["_r"], "_i")
+    order = [id_col] if id_col else [*features, label]
+    idx, n = dense_index(test.select(*dict.fromkeys([*order, *features, label])), order, "_i")
+    idx = idx.select(*features, label, "_i")
     rng = random.Random(seed)
-    plan = []
-    for fi, f in enumerate(features):
-        for r in range(repeats):
-            plan.append((fi, r, _coprime_multiplier(rng, n), rng.randrange(0, max(n, 1))))
-    # the feature x repeat copies come from exploding a literal plan (k * repeats entries)
-    lit_plan = F.array(*[F.struct(F.lit(fi).alias("_f"), F.lit(r).alias("_rep"),
-                                  F.lit(a).cast("long").alias("_a"), F.lit(b).cast("long").alias("_b"))
-                         for fi, r, a, b in plan])
-    copies = idx.select("*", F.explode(lit_plan).alias("_p")).select("*", "_p.*").drop("_p")
-    copies = copies.withColumn("_src", F.pmod(F.col("_a") * F.col("_i") + F.col("_b"), F.lit(n)))
+    plan = F.array(*[F.struct(F.lit(r).alias("_rep"), F.lit(_coprime_multiplier(rng, n)).cast("decimal(18,0)").alias("_a"),
+                              F.lit(rng.randrange(0, max(n, 1))).cast("decimal(18,0)").alias("_b")) for r in range(repeats)])
+    copies = idx.select("*", F.explode(plan).alias("_p")).select("*", "_p.*").drop("_p")
+    source = F.pmod(F.col("_a") * F.col("_i").cast("decimal(18,0)") + F.col("_b"), F.lit(n).cast("decimal(18,0)"))
     donor = idx.select(F.col("_i").alias("_src"), *[F.col(f).alias(f"_d_{f}") for f in features])
-    joined = copies.join(donor, "_src", "inner")
+    joined = copies.withColumn("_src", source.cast("long")).join(donor, "_src", "inner")
+    joined = joined.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
     swapped = joined.select("_f", "_rep", label, *[
         F.when(F.col("_f") == F.lit(i), F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f)
         for i, f in enumerate(features)])

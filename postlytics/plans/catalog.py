@@ -488,10 +488,9 @@ SELECT id, url, length(html)::BIGINT AS html_chars FROM f WHERE rn = 1
 
 
 def q_membership_flag(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id")
-    ids = load(spark, sf, "labels").select("doc_id").distinct().withColumn("_in", F.lit(1))
-    return d.join(ids, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.col("_in"), F.lit(0)).cast("int").alias("in_labels"))
+    from postlytics.operators.classify import membership_flag
+    return membership_flag(load(spark, sf, "documents").select("doc_id"), "doc_id",
+                           load(spark, sf, "labels"), name="in_labels")
 
 
 SQL_MEMBERSHIP_FLAG = """
@@ -1040,7 +1039,7 @@ def _forest_query(kind, what):
         if what == "best_tree":
             return forest.best_tree(model, te, label, kind, feats)
         if what == "permutation":
-            return forest.permutation_importance(model, te, feats, label, kind, repeats=2)
+            return forest.permutation_importance(model, te, feats, label, kind, id_col="id")
         if what == "shap":
             return forest.shap_importance(model, te, feats, "id", kind)
         if what == "mean_median":

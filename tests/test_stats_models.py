@@ -207,3 +207,27 @@ def test_random_search_uses_all_folds(spark, monkeypatch):
             "max_features": ["sqrt"]}
     forest.random_search(df, "y", "regressor", "id", n_iter=1, folds=5, grid=grid)
     assert seen == {"numFolds": 5, "folds": [0, 1, 2, 3, 4]}
+
+
+def test_permutation_importance_does_not_depend_on_partitions(spark, data):
+    from postlytics.operators import forest
+    df, _ = data
+    d = forest.prepare(df, ["x1", "x2", "x3"], "y", "regressor")
+    m = forest.fit_forest(d, "y", "regressor", {"numTrees": 3, "maxDepth": 4})
+    got = [sorted((r.feature, round(r.importance_mean, 9)) for r in forest.permutation_importance(
+        m, d.repartition(parts), ["x1", "x2", "x3"], "y", "regressor", repeats=3).collect()) for parts in (1, 16)]
+    assert got[0] == got[1]
+
+
+def test_forest_study_with_string_classes(spark):
+    import random
+    from postlytics.plans.studies import forest_study
+    r = random.Random(5)
+    rows = [(i, r.random(), r.random()) for i in range(240)]
+    df = spark.createDataFrame([(i, a, b, 1 + 6 * a) for i, a, b in rows], "id long, a double, b double, score double")
+    grid = {"n_estimators": [5], "max_depth": [4], "min_samples_split": [2], "min_samples_leaf": [1], "max_features": ["sqrt"]}
+    out = forest_study(df, ["a", "b"], "score", "id", "classifier", n_iter=1, folds=2, grid=grid,
+                       permutation_repeats=2, class_breaks=[2, 4])
+    imp = {x.feature: x.importance_mean for x in out["permutation_importance"].collect()}
+    assert imp["a"] > 0.2 > abs(imp["b"])
+    assert out["shap_importance"].count() > 0
