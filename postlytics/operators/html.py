@@ -55,7 +55,7 @@ class _Extractor(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1][0] in RAW_TAGS:
+        if any(tag in RAW_TAGS for tag, _ in self.stack):
             return
         piece = data.strip()
         if not piece:

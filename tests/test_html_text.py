@@ -26,3 +26,7 @@ def test_empty_and_null_rows_skipped(spark):
                                "id long, html string")
     got = sorted((r.id, r.plain) for r in html_to_text(df).collect())
     assert got == [(1, "x"), (4, "")]
+
+
+def test_text_inside_elements_of_a_template_is_not_text():
+    assert extract_text("<p>a<template><b>x</b></template>c</p>") == "ac"
