@@ -3,7 +3,7 @@
 Keyword lists arrive as Python lists or one-column DataFrames.  A list of at
 most ``LITERAL_LIMIT`` words becomes a literal array in the projection (no
 join).  A larger DataFrame list is matched by exploding title words and joining
-the list -- broadcast when its checked size allows, a shuffle join otherwise.
+the list; Spark chooses the join from the list's bytes.
 """
 
 from __future__ import annotations
@@ -15,14 +15,6 @@ from postlytics.functions.text import WHITESPACE_CLASS, keyword_counted, keyword
 from postlytics.functions.urls import STORE_LABELS, domain_candidates, url_domain_keyword
 
 LITERAL_LIMIT = 2000          # words kept as a literal array in the plan
-BROADCAST_ROW_LIMIT = 1_000_000  # keyword rows allowed on the broadcast side
-
-
-def row_bound(df: DataFrame, limit: int) -> int | None:
-    """Row count of ``df`` if it is at most ``limit``, else None (reads at most
-    limit + 1 rows)."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
 
 
 def bounded_list(df: DataFrame, col: str, limit: int = LITERAL_LIMIT) -> list[str] | None:
@@ -61,8 +53,6 @@ def title_keywords(df: DataFrame, title: str, keywords, name: str, counted: bool
 def _title_keywords_join(df, title, kw_df, name, counted, id_col):
     kw = kw_df.select(F.lower(F.col(kw_df.columns[0])).alias("_w")).where(
         F.col("_w").isNotNull()).distinct()
-    if row_bound(kw, BROADCAST_ROW_LIMIT) is not None:
-        kw = F.broadcast(kw)
     words = df.select(id_col, F.posexplode(tokens(title)).alias("_pos", "_w"))
     hits = (words.join(kw, "_w", "inner")
                  .groupBy(id_col)
@@ -96,8 +86,6 @@ def _url_keywords_join(df, url, kw_df, name, id_col, lower_url: bool = False):
     the url, as in the pattern form."""
     kw = kw_df.select(F.lower(F.col(kw_df.columns[0])).alias("candidate")).where(
         F.col("candidate").isNotNull() & (F.col("candidate") != "")).distinct()
-    if row_bound(kw, BROADCAST_ROW_LIMIT) is not None:
-        kw = F.broadcast(kw)
     src = df.select(id_col, F.lower(F.col(url)).alias("_lu")) if lower_url else df
     hits = (domain_candidates(src, "_lu" if lower_url else url, id_col).join(kw, "candidate", "inner")
               .groupBy(id_col)

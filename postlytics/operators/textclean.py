@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from postlytics.functions.text import letters_only, tokens
-from postlytics.operators.keywords import BROADCAST_ROW_LIMIT, LITERAL_LIMIT, bounded_list, row_bound
+from postlytics.operators.keywords import LITERAL_LIMIT, bounded_list
 
 
 def dictionary_from_text(df: DataFrame, text: str, min_length: int = 2) -> DataFrame:
@@ -37,8 +37,6 @@ def clean_pages(df: DataFrame, text: str, dictionary, stop_words: list[str], out
         raise ValueError("a dictionary above LITERAL_LIMIT needs a unique id_col for the join path")
     d = dictionary.select(F.lower(F.col(dictionary.columns[0])).alias("_w")).where(
         (F.length("_w") > 1) & ~F.col("_w").isin(*sorted(sw))).distinct()
-    if row_bound(d, BROADCAST_ROW_LIMIT) is not None:
-        d = F.broadcast(d)
     exploded = df.where(F.col(text).isNotNull()).select(id_col, F.posexplode(toks).alias("_p", "_w"))
     kept = (exploded.join(d, "_w", "inner").groupBy(id_col)
                     .agg(F.sort_array(F.collect_list(F.struct("_p", "_w"))).alias("_k")))
