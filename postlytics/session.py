@@ -46,14 +46,17 @@ def get_spark(master: str | None = None, app: str = "postlytics",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when none is set
-    (local runs, tests) fall back to a fresh local folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; where none is set, a local
+    run falls back to a fresh local folder and a cluster run is refused, as its
+    machines could not read each other's files."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="postlytics-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
