@@ -23,7 +23,7 @@ class UnitCache:
     it is called with the distinct units that the table lacks.  A table that holds
     ``most`` units is put aside for a new one, which takes over what it needs of it."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 150_000):
         self.encode, self.most, self.table, self.old = encode, most, {}, {}
 
     def ids(self, texts: list[list[str]]) -> list[bytes]:
@@ -37,8 +37,8 @@ class UnitCache:
                 table[unit] = old[unit]
             else:
                 missing.append(unit)
-        for at in range(0, len(missing), 50_000):
-            part = missing[at:at + 50_000]
+        for at in range(0, len(missing), 10_000):
+            part = missing[at:at + 10_000]
             table.update(zip(part, self.encode(part)))
         return [b"".join(map(table.__getitem__, units)) for units in texts]
 
