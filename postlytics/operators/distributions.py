@@ -1,112 +1,41 @@
-"""Tail probabilities for test statistics (driver side, scalars only).
-
-Regularised incomplete gamma and beta functions by series / continued fraction
-(standard numerical recipes), giving chi-square, Student t and F tails.
-"""
+"""Tail probabilities of test statistics (scalars only), from the commons-math
+library on Spark's class path."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
+from pyspark.sql import SparkSession
+
+from postlytics.session import get_spark
+
+
+def _special():
+    spark = SparkSession.getActiveSession() or get_spark()
+    return spark._jvm.org.apache.commons.math3.special
+
 
-def _gammainc_lower(a: float, x: float) -> float:
-    """Regularised lower incomplete gamma P(a, x)."""
-    if x <= 0:
-        return 0.0
-    if x < a + 1:
-        term = total = 1.0 / a
-        ap = a
-        for _ in range(10000):
-            ap += 1
-            term *= x / ap
-            total += term
-            if abs(term) < abs(total) * 1e-15:
-                break
-        return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
-    return 1.0 - _gammainc_upper_cf(a, x)
-
-
-def _gammainc_upper_cf(a: float, x: float) -> float:
-    tiny = 1e-300
-    b = x + 1 - a
-    c = 1 / tiny
-    d = 1 / b
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = tiny if abs(d) < tiny else d
-        c = b + an / c
-        c = tiny if abs(c) < tiny else c
-        d = 1 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1) < 1e-15:
-            break
-    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1, a - 1
-    c, d = 1.0, 1 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1 / d
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1) < 1e-15:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1 - math.exp(lbt) * _betacf(b, a, 1 - x) / b
+def _missing(x: float | None) -> bool:
+    return x is None or math.isnan(x)
 
 
 def chi2_sf(x: float, k: float) -> float:
-    if x is None or math.isnan(x):
+    if _missing(x):
         return float("nan")
-    return 1.0 - _gammainc_lower(k / 2, x / 2) if x > 0 else 1.0
+    return _special().Gamma.regularizedGammaQ(k / 2, x / 2) if x > 0 else 1.0
 
 
 def f_sf(x: float, d1: float, d2: float) -> float:
-    if x is None or math.isnan(x) or d2 <= 0:
+    if _missing(x) or d2 <= 0:
         return float("nan")
-    if x <= 0:
-        return 1.0
-    return betainc(d2 / 2, d1 / 2, d2 / (d2 + d1 * x))
+    return _special().Beta.regularizedBeta(d2 / (d2 + d1 * x), d2 / 2, d1 / 2) if x > 0 else 1.0
 
 
 def t_two_sided(t: float, df: float) -> float:
-    if t is None or math.isnan(t) or df <= 0:
+    if _missing(t) or df <= 0:
         return float("nan")
-    return betainc(df / 2, 0.5, df / (df + t * t))
+    return _special().Beta.regularizedBeta(df / (df + t * t), df / 2, 0.5)
 
 
 def norm_ppf(p: float) -> float:
@@ -115,9 +44,9 @@ def norm_ppf(p: float) -> float:
 
 def lilliefors_p(d: float, n: int) -> float:
     """Approximate p-value of the Lilliefors normality test (mean and sd
-    estimated), Dallal-Wilkinson (1986) formula.  The formula is accurate for
-    p <= 0.1; larger values are returned clamped to 1 and mean "not significant"."""
-    if n < 5 or d is None or math.isnan(d):
+    estimated), Dallal-Wilkinson (1986) formula, which holds for p <= 0.1; a larger
+    value only says that p is above 0.1."""
+    if n < 5 or _missing(d):
         return float("nan")
     if n > 100:
         d = d * (n / 100.0) ** 0.49
