@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def _pick(df: DataFrame, key: list[str], order: list, pick) -> DataFrame:
-    cols = df.columns
-    row = F.struct(*[F.col(c) for c in cols])
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.dropDuplicates(key)
+    row = F.struct(*[F.col(c) for c in rest])
     return (df.groupBy(*[F.col(k) for k in key])
               .agg(pick(row, F.struct(*order)).alias("_row"))
-              .select(*[F.col("_row")[c].alias(c) for c in cols]))
+              .select(*[F.col("_row")[c].alias(c) if c in rest else F.col(c) for c in df.columns]))
 
 
 def keep_best(df: DataFrame, key: str | list[str], score: str, tie: str) -> DataFrame:
