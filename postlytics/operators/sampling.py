@@ -24,53 +24,61 @@ def hash_split(df: DataFrame, id_col: str, test: float = 0.25, seed: int = 42,
     return df.withColumn(name, F.pmod(hash32(id_col, seed), F.lit(10000)) < F.lit(cut))
 
 
+def _reach(counts: list[tuple[int, int]], n: int) -> tuple[int | None, int, int]:
+    """Of ascending (value, rows): the value at which ``n`` rows are reached, how many
+    of its rows that takes, and how many it has; (None, 0, 0) with fewer rows."""
+    for value, rows in counts:
+        if rows >= n:
+            return value, n, rows
+        n -= rows
+    return None, 0, 0
+
+
+def _smallest(h: DataFrame, id_col: str, n: int, counts: list[tuple[int, int]]) -> tuple[Column, DataFrame | None]:
+    """The n rows of ``h`` with the smallest (``_h``, id): a filter on ``_h``, and the
+    rows at the cut where they are not all wanted.  ``counts`` are the rows per upper
+    16 bits of ``_h``; the cut's bucket is counted by its lower 16."""
+    if n <= 0:
+        return F.lit(False), None
+    top, need, _ = _reach(counts, n)
+    if top is None:
+        return F.lit(True), None
+    low = F.col("_h").bitwiseAND(F.lit(0xFFFF)).alias("_b")
+    inside = h.where(F.shiftright("_h", 16) == F.lit(top)).groupBy(low).count().collect()
+    value, need, size = _reach(sorted((r._b, r["count"]) for r in inside), need)
+    cut = (top << 16) | value
+    if need == size:
+        return F.col("_h") <= F.lit(cut), None
+    return F.col("_h") < F.lit(cut), h.where(F.col("_h") == F.lit(cut)).orderBy(id_col).limit(need)
+
+
 def smallest_by_hash(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """The n rows with the smallest (hash, id): an exact sample without
     replacement of size n.  Two rounds of 16-bit hash-prefix counts (at most
     65,536 numbers each reach the driver) find the cut; no global sort and no
     single-task limit over the big side."""
-    if n <= 0:
-        return df.limit(0)
     h = df.withColumn("_h", hash32(id_col, seed))
-    picked = []
-    need = n
-    lo_bits = [(16, 0xFFFF), (0, 0xFFFF)]
-    current = h
-    for shift, mask in lo_bits:
-        part = F.shiftright(F.col("_h"), shift).bitwiseAND(F.lit(mask))
-        counts = sorted(current.groupBy(part.alias("_b")).count().collect())
-        run, cut_b = 0, None
-        for b, c in counts:
-            if run + c >= need:
-                cut_b = b
-                break
-            run += c
-        if cut_b is None:  # fewer rows than asked: all of them
-            picked.append(current)
-            need = 0
-            break
-        picked.append(current.where(part < F.lit(cut_b)))
-        need -= run
-        current = current.where(part == F.lit(cut_b))
-        if need == 0:
-            break
-    if need > 0:
-        # rows sharing one full 32-bit hash: order by id
-        picked.append(current.orderBy(F.col(id_col)).limit(need))
-    out = picked[0]
-    for p in picked[1:]:
-        out = out.unionByName(p)
-    return out.drop("_h")
+    counts = h.groupBy(F.shiftright("_h", 16).alias("_b")).count().collect()
+    picked, ties = _smallest(h, id_col, n, sorted((r._b, r["count"]) for r in counts))
+    out = h.where(picked)
+    return (out.unionByName(ties) if ties is not None else out).drop("_h")
 
 
 def undersample(df: DataFrame, score: str, id_col: str, limit: float = 10, seed: int = 42) -> DataFrame:
     """All rows with score >= limit plus an equal number of rows with
     score < limit, drawn without replacement.  Too few low rows -> all of them
-    (the reference raises); null scores are in neither group."""
-    high = df.where(F.col(score) >= F.lit(limit))
-    low = df.where(F.col(score) < F.lit(limit))
-    n_high = high.count()
-    return smallest_by_hash(low, id_col, n_high, seed).unionByName(high)
+    (the reference raises); null scores are in neither group.
+
+    One aggregation counts the high rows and the low rows per hash prefix, one the
+    prefix at the cut; the result is then one filter over the rows."""
+    high, low = F.col(score) >= F.lit(limit), F.col(score) < F.lit(limit)
+    h = df.withColumn("_h", hash32(id_col, seed))
+    counts = h.groupBy(F.shiftright("_h", 16).alias("_b")).agg(
+        F.count_if(high).alias("high"), F.count_if(low).alias("low")).collect()
+    n_high = sum(r.high for r in counts)
+    picked, ties = _smallest(h.where(low), id_col, n_high, sorted((r._b, r.low) for r in counts))
+    out = h.where(high | (low & picked))
+    return (out.unionByName(ties) if ties is not None else out).drop("_h")
 
 
 def sample_rows(df: DataFrame, id_col: str, n: int = 10, seed: int = 42) -> DataFrame:

@@ -130,3 +130,28 @@ def test_quantile_paths_agree(spark, monkeypatch):
     assert got == sorted(tuple(r) for r in explore.bucket_stats(df, "by", "v", "n", [0, 10, 20],
                                                                 ["lo", "mid", "hi", "top"], inner="median",
                                                                 outer="median", order_by=["n"]).collect())
+
+
+def test_undersample_is_one_filter_and_equals_sorting_by_hash(spark):
+    df = spark.range(5000).selectExpr("id", "cast(id % 50 as double) as s").unionByName(
+        spark.createDataFrame([(5000 + i, None) for i in range(20)], "id long, s double"))
+    out = sampling.undersample(df, "s", "id", 45, seed=3)
+    low = df.where("s < 45").withColumn("h", sampling.hash32("id", 3)).orderBy("h", "id").limit(500)
+    want = {r.id for r in low.collect()} | {r.id for r in df.where("s >= 45").collect()}
+    got = [r.id for r in out.collect()]
+    assert len(got) == 1000 and set(got) == want
+
+
+def test_smallest_by_hash_breaks_ties_by_id(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "d")], "id long, v string")
+    assert sampling.smallest_by_hash(df, "id", 0, 1).count() == 0
+    assert sampling.smallest_by_hash(df, "id", 2, 1).count() == 2
+    assert sampling.smallest_by_hash(df, "id", 9, 1).count() == 4
+
+
+def test_first_per_key_ships_the_key_once(spark):
+    df = spark.createDataFrame([("t" * 50, 1, "x"), ("t" * 50, 0, "y"), (None, 5, "z"), (None, 4, None)], "k string, o int, v string")
+    got = dedup.first_per_key(df, "k", ["o"])
+    assert got.columns == ["k", "o", "v"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("t" * 50, 0, "y"), (None, 4, None)], key=repr)
+    assert dedup.first_per_key(df.select("k"), "k", ["k"]).count() == 2
