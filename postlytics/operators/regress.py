@@ -12,12 +12,14 @@ The Poisson model uses Spark's ``GeneralizedLinearRegression``.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlytics.operators import stats
+from postlytics.operators.parts import Parts
 from postlytics.operators.sampling import with_fold_columns, with_folds
 
 
@@ -139,7 +141,7 @@ def standardised_gram(g_fit: np.ndarray, g: np.ndarray) -> np.ndarray:
 def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
                  log_target: bool = True, cv_select: int = 5, cv_score: int = 3,
                  n_alphas: int = 100, alphas: list[float] | None = None,
-                 diagnostics: bool = True, scale_in_fold: bool = False) -> dict:
+                 diagnostics: bool = True, scale_in_fold: bool = False) -> Parts:
     """M8 lasso part.
 
     Features are standardised with population std over all rows (as the
@@ -147,7 +149,8 @@ def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
     (rows with target <= 0 are dropped and counted).  Folds are contiguous
     blocks in ``id_col`` order.  ``scale_in_fold`` standardises each training
     fold with its own moments instead (no leak); on Gram matrices that is an
-    affine map, so it needs no extra pass.  Returns named result DataFrames."""
+    affine map, so it needs no extra pass.  Returns named result DataFrames; the
+    diagnostics are computed when they are asked for."""
     spark = df.sparkSession
     d = df.select(id_col, *features, label).dropna()
     dropped = None
@@ -201,29 +204,29 @@ def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
           int(dropped) if dropped is not None else None)],
         "alpha double, cv_r2 double, cv_mse double, n long, dropped_nonpositive long")
     path = spark.createDataFrame([(float(a), m) for a, m in zip(grid, cv_mse)], "alpha double, cv_mse double")
-    out = {"coefficients": coefs, "summary": summary, "alpha_path": path}
+    out = {"coefficients": lambda: coefs, "summary": lambda: summary, "alpha_path": lambda: path}
     if not diagnostics:
-        return out
+        return Parts(out)
     resid = d.withColumn("resid", F.col(label) - linear_prediction(features, b0, b))
-    out.update(residual_diagnostics(resid, "resid", features, id_col))
-    out["vif"] = stats.vif(df.select(*features).dropna(), features)
-    out["pearson"] = stats.pearson_long(df.select(*features).dropna(), features)
-    return out
+    out |= residual_diagnostics(resid, "resid", features, id_col).makers()
+    out["vif"] = lambda: stats.vif(df.select(*features).dropna(), features)
+    out["pearson"] = lambda: stats.pearson_long(df.select(*features).dropna(), features)
+    return Parts(out)
 
 
-def residual_diagnostics(d: DataFrame, resid: str, features: list[str], id_col: str) -> dict:
-    """K4-K8 on a residual column."""
-    return {
-        "residual_mean": d.agg(F.avg(resid).alias("mean_residual"), F.count(resid).alias("n")),
-        "qq": stats.qq_points(d, resid),
-        "normality": stats.normality(d, resid),
-        "breusch_pagan": stats.breusch_pagan(d, resid, features),
-        "durbin_watson": stats.durbin_watson(d, resid, [id_col]),
-    }
+def residual_diagnostics(d: DataFrame, resid: str, features: list[str], id_col: str) -> Parts:
+    """K4-K8 on a residual column; each part starts its jobs when it is asked for."""
+    return Parts({
+        "residual_mean": lambda: d.agg(F.avg(resid).alias("mean_residual"), F.count(resid).alias("n")),
+        "qq": lambda: stats.qq_points(d, resid),
+        "normality": lambda: stats.normality(d, resid),
+        "breusch_pagan": lambda: stats.breusch_pagan(d, resid, features),
+        "durbin_watson": lambda: stats.durbin_watson(d, resid, [id_col]),
+    })
 
 
 def ols_report(df: DataFrame, features: list[str], label: str, id_col: str = "id",
-               test: float = 0.25, seed: int = 42) -> dict:
+               test: float = 0.25, seed: int = 42) -> Parts:
     """L1 + diagnostics: OLS on a hash split; test R^2, coefficients, residual checks."""
     from postlytics.operators.sampling import hash_split
     d = hash_split(df.select(id_col, *features, label).dropna(), id_col, test, seed, "_test")
@@ -232,14 +235,14 @@ def ols_report(df: DataFrame, features: list[str], label: str, id_col: str = "id
     b0, b = ols_from_gram(tr)
     sse, sst, n = sse_sst(te, b0, b)
     spark = df.sparkSession
-    out = {
-        "coefficients": spark.createDataFrame([(c, float(v)) for c, v in zip(features, b)]
-                                              + [("(intercept)", b0)], "feature string, coefficient double"),
-        "summary": spark.createDataFrame([(1 - sse / sst, sse / n, int(n))], "test_r2 double, test_mse double, n_test long"),
-    }
-    resid = d.withColumn("resid", F.col(label) - linear_prediction(features, b0, b))
-    out.update(residual_diagnostics(resid, "resid", features, id_col))
-    return out
+    resid = stats.residuals(d.withColumn("_fit", linear_prediction(features, b0, b)), label, "_fit", "resid")
+    return Parts({
+        "coefficients": lambda: spark.createDataFrame(
+            [(c, float(v)) for c, v in zip(features, b)] + [("(intercept)", b0)], "feature string, coefficient double"),
+        "summary": lambda: spark.createDataFrame(
+            [(1 - sse / sst, sse / n, int(n))], "test_r2 double, test_mse double, n_test long"),
+        "residuals": lambda: resid.select(id_col, "resid"),
+    } | residual_diagnostics(resid, "resid", features, id_col).makers())
 
 
 def decision_tree_r2(df: DataFrame, features: list[str], label: str, id_col: str = "id",
@@ -257,7 +260,7 @@ def decision_tree_r2(df: DataFrame, features: list[str], label: str, id_col: str
 
 
 def poisson_report(df: DataFrame, features: list[str], label: str, id_col: str,
-                   alpha: float = 1.0, folds: int = 3, test: float = 0.25, seed: int = 42) -> dict:
+                   alpha: float = 1.0, folds: int = 3, test: float = 0.25, seed: int = 42) -> Parts:
     """Poisson regression with L2 penalty ``alpha`` (log link) on
     standardised features: ``folds``-fold D^2 and MSE, Durbin-Watson of hold-out
     residuals, mean and variance of the training target (D19).  Spark's
@@ -268,7 +271,6 @@ def poisson_report(df: DataFrame, features: list[str], label: str, id_col: str,
     spark = df.sparkSession
     d = stats.standardise(df.select(id_col, *features, label).dropna(), features)
     d = VectorAssembler(inputCols=features, outputCol="features").transform(d)
-    d = with_folds(d, folds, [id_col], name="_fold").persist()
 
     def fit(train):
         ybar = train.agg(F.avg(label)).first()[0]
@@ -284,28 +286,33 @@ def poisson_report(df: DataFrame, features: list[str], label: str, id_col: str,
                         F.avg((y - mu) * (y - mu)).alias("mse"), F.sum((y - mu) * (y - mu)).alias("sse"),
                         F.sum((y - F.lit(ybar)) * (y - F.lit(ybar))).alias("sst")).first()
 
-    # the reference prints the model's default score (deviance D^2) as "R^2": both are reported
-    d2s, r2s, mses = [], [], []
-    for f in range(folds):
-        model = fit(d.where(F.col("_fold") != f))
-        te = d.where(F.col("_fold") == f)
-        ybar = te.agg(F.avg(label)).first()[0]
-        r = deviance_terms(model.transform(te), ybar)
-        d2s.append(1 - r["dev"] / r["null_dev"])
-        r2s.append(1 - r["sse"] / r["sst"] if r["sst"] else float("nan"))
-        mses.append(r["mse"])
+    def summary():
+        # the reference prints the model's default score (deviance D^2) as "R^2": both are reported
+        folded = with_folds(d, folds, [id_col], name="_fold").persist()
+        d2s, r2s, mses = [], [], []
+        for f in range(folds):
+            model = fit(folded.where(F.col("_fold") != f))
+            te = folded.where(F.col("_fold") == f)
+            ybar = te.agg(F.avg(label)).first()[0]
+            r = deviance_terms(model.transform(te), ybar)
+            d2s.append(1 - r["dev"] / r["null_dev"])
+            r2s.append(1 - r["sse"] / r["sst"] if r["sst"] else float("nan"))
+            mses.append(r["mse"])
+        folded.unpersist()
+        return spark.createDataFrame([(float(np.mean(d2s)), float(np.mean(r2s)), float(np.mean(mses)))],
+                                     "cv_d2 double, cv_r2 double, cv_mse double")
+
     split = hash_split(d, id_col, test, seed, "_test")
     train = split.where(~F.col("_test"))
-    model = fit(train)
-    pred = model.transform(split.where(F.col("_test"))).withColumn("resid", F.col(label) - F.col("prediction"))
-    out = {
-        "summary": spark.createDataFrame([(float(np.mean(d2s)), float(np.mean(r2s)), float(np.mean(mses)))],
-                                         "cv_d2 double, cv_r2 double, cv_mse double"),
-        "coefficients": spark.createDataFrame(
-            [(c, float(v)) for c, v in zip(features, model.coefficients)] + [("(intercept)", float(model.intercept))],
-            "feature string, coefficient double"),
-        "durbin_watson": stats.durbin_watson(pred, "resid", [id_col]),
-        "dispersion": stats.dispersion(train, label),
-    }
-    d.unpersist()
-    return out
+    model = functools.cache(lambda: fit(train))
+
+    def coefficients():
+        return spark.createDataFrame([(c, float(v)) for c, v in zip(features, model().coefficients)]
+                                     + [("(intercept)", float(model().intercept))], "feature string, coefficient double")
+
+    def durbin_watson():
+        held = stats.residuals(model().transform(split.where(F.col("_test"))), label, "prediction")
+        return stats.durbin_watson(held, "resid", [id_col])
+
+    return Parts({"summary": summary, "coefficients": coefficients, "durbin_watson": durbin_watson,
+                  "dispersion": lambda: stats.dispersion(train, label)})

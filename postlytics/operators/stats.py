@@ -12,6 +12,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from postlytics.operators import distributions as dist
 from postlytics.operators.ordering import exact_quantiles, lag_difference
@@ -41,20 +42,41 @@ def pearson_long(df: DataFrame, cols: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*cells)).alias("c")).select("c.x", "c.y", "c.z")
 
 
+def average_ranks(df: DataFrame, col: str, name: str = "rank", num_partitions: int | None = None) -> DataFrame:
+    """(``col``, ``name``), the average rank (from 1) of each distinct value.  Ties
+    are counted first, so the rows of one value never meet in a task; the counts are
+    range-partitioned and summed up, with one sum per partition on the driver."""
+    from postlytics.session import cut_lineage
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = cut_lineage(counts.repartitionByRange(n, col).withColumn("_p", F.spark_partition_id()))
+    before, run = {}, 0
+    for p, c in sorted(ranged.groupBy("_p").agg(F.sum("_c")).collect()):
+        before[p], run = run, run + c
+    upto = F.sum("_c").over(Window.partitionBy("_p").orderBy(col))
+    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), F.col("_p").cast("long")) \
+        if before else F.lit(0)
+    return ranged.select(col, (start + upto - (F.col("_c") - 1) / 2).alias(name))
+
+
 def spearman_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """K1: Spearman rho (average ranks for ties) and two-sided p (t with n-2
-    d.f.) for every column pair i < j.  Ranks are computed by Spark ML's
-    distributed Spearman correlation; the k x k matrix comes back."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+    d.f.) for every column pair i < j.  Rows are collapsed to distinct combinations
+    with a count and joined to the ranks of each column; as the mean rank is known,
+    one aggregation gives all centred sums."""
     d = df.select(*cols).dropna()
     n = d.count()
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(d).select("_v")
-    m = Correlation.corr(vec, "_v", "spearman").head()[0].toArray()
+    ranked = d.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    for i, c in enumerate(cols):
+        ranked = ranked.join(average_ranks(d, c, f"_r{i}"), c)
+    r = [F.col(f"_r{i}") - F.lit((n + 1) / 2) for i in range(len(cols))]
+    sums = ranked.agg(*[F.sum(F.col("_n") * r[i] * r[j]).alias(f"s{i}_{j}")
+                        for i in range(len(cols)) for j in range(i, len(cols))]).first()
     rows = []
     for i, a in enumerate(cols):
         for j in range(i + 1, len(cols)):
-            rho = float(m[i, j])
+            norm = math.sqrt((sums[f"s{i}_{i}"] or 0.0) * (sums[f"s{j}_{j}"] or 0.0))
+            rho = sums[f"s{i}_{j}"] / norm if norm else float("nan")
             if math.isnan(rho) or n < 3:
                 p = float("nan")
             elif abs(rho) >= 1:
@@ -119,10 +141,20 @@ def gram(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, int]:
 def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     """K9: variance inflation factor of each column against the others, on the
     raw (unscaled) columns and with no intercept: VIF_i = G_ii (G^-1)_ii, which is
-    1 / (1 - uncentred R^2) of column i on the rest."""
+    1 / (1 - uncentred R^2) of column i on the rest.  The columns are scaled to unit
+    length first; one that the others make up exactly has an infinite factor, a
+    column of zeros none (NaN)."""
     g, _ = gram(df, cols)
-    inv = np.linalg.pinv(g)
-    rows = [(c, float(g[i, i] * inv[i, i])) for i, c in enumerate(cols)]
+    size = np.sqrt(np.diag(g))
+    size[size == 0] = np.nan
+    used = np.flatnonzero(~np.isnan(size))
+    value, vector = np.linalg.eigh((g / np.outer(size, size))[np.ix_(used, used)])
+    null = value < 1e-12 * max(len(used), 1)
+    found = dict.fromkeys(range(len(cols)), float("nan"))
+    for place, i in enumerate(used):
+        bound = np.abs(vector[place, null]).max(initial=0) > 1e-5
+        found[i] = float("inf") if bound else float((vector[place, ~null] ** 2 / value[~null]).sum())
+    rows = [(c, found[i]) for i, c in enumerate(cols)]
     schema = StructType([StructField("feature", StringType()), StructField("vif", DoubleType())])
     return _long_rows(df.sparkSession, rows, schema)
 
@@ -169,32 +201,32 @@ def qq_points(df: DataFrame, col: str, points: int = 99) -> DataFrame:
 
 
 def normality(df: DataFrame, col: str) -> DataFrame:
-    """K6: Kolmogorov-Smirnov distance of the standardised column to N(0, 1)
-    (Spark ML's distributed test) with the Lilliefors p-value for estimated
-    mean and sd, plus the plain KS p-value."""
+    """K6: Kolmogorov-Smirnov distance of the standardised column (sample standard
+    deviation) to N(0, 1) (Spark ML's distributed test) with the Lilliefors p-value
+    for estimated mean and sd, plus the plain KS p-value.  The formula for the former
+    holds up to 0.1: beyond, ``p_value`` is 0.1 and ``p_is_bound`` is true."""
     from pyspark.ml.stat import KolmogorovSmirnovTest
-    z = standardise(df.select(col).dropna(), [col], "_z")
-    n = z.count()
+    d = df.select(col).dropna()
+    moments = d.agg(F.avg(col).alias("m0"), F.stddev_samp(col).alias("s0"), F.count(F.lit(1)).alias("n")).first()
+    z, n = standardise_with(d, [col], moments, "_z"), moments["n"]
     r = KolmogorovSmirnovTest.test(z, col + "_z", "norm", 0.0, 1.0).first()
     d = float(r.statistic)
-    rows = [(d, float(dist.lilliefors_p(d, n)), float(r.pValue), int(n))]
-    return df.sparkSession.createDataFrame(rows, "ks_statistic double, p_value double, ks_p_value double, n long")
+    p = float(dist.lilliefors_p(d, n))
+    rows = [(d, min(p, 0.1), p > 0.1, float(r.pValue), int(n))]
+    return df.sparkSession.createDataFrame(
+        rows, "ks_statistic double, p_value double, p_is_bound boolean, ks_p_value double, n long")
 
 
 def breusch_pagan(df: DataFrame, resid: str, cols: list[str]) -> DataFrame:
     """K7: Breusch-Pagan test -- regress e^2 on [1, X]; LM = n R^2 with k d.f.,
-    F = (R^2/k) / ((1-R^2)/(n-k-1)).  One Gram aggregation of [1, X, e^2]."""
-    d = df.select(*cols, resid).dropna().withColumn("_one", F.lit(1.0)).withColumn(
-        "_e2", F.col(resid) * F.col(resid))
-    names = ["_one"] + cols + ["_e2"]
-    g, n = gram(d, names)
+    F = (R^2/k) / ((1-R^2)/(n-k-1)).  X and e^2 are standardised first (one
+    aggregation), so that the one Gram aggregation loses no digits."""
+    d = df.select(*cols, resid).dropna().withColumn("_e2", F.col(resid) * F.col(resid))
+    names = cols + ["_e2"]
+    g, n = gram(standardise(d, names), names)
     k = len(cols)
-    xtx, xty, yty = g[:k + 1, :k + 1], g[:k + 1, k + 1], g[k + 1, k + 1]
-    beta = np.linalg.lstsq(xtx, xty, rcond=None)[0]
-    ssr = yty - 2 * beta @ xty + beta @ xtx @ beta
-    ybar = xty[0] / n
-    sst = yty - n * ybar * ybar
-    r2 = 1 - ssr / sst if sst > 0 else float("nan")
+    beta = np.linalg.lstsq(g[:k, :k], g[:k, k], rcond=None)[0]
+    r2 = float(beta @ g[:k, k] / g[k, k]) if g[k, k] > 0 else float("nan")
     lm = n * r2
     fval = (r2 / k) / ((1 - r2) / (n - k - 1)) if n - k - 1 > 0 and r2 < 1 else float("nan")
     lm, fval = float(lm), float(fval)

@@ -797,7 +797,7 @@ def q_spearman_long(spark, sf):
     from postlytics.operators.stats import spearman_long
     p = karma_posts_from_orders(spark, sf).fillna(0.0, subset=SPEARMAN_COLS)
     out = spearman_long(p, SPEARMAN_COLS)
-    return out.select("x", "y", r6(F.col("rho")).alias("rho"))
+    return out.select("x", "y", r6(F.col("rho")).alias("rho"), r6(F.col("p_value")).alias("p_value"))
 
 
 def _sql_spearman():
@@ -807,14 +807,19 @@ def _sql_spearman():
     parts = []
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
-            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, round(corr(r_{a}, r_{b}), 6) AS rho FROM r")
+            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, corr(r_{a}, r_{b}) AS rho, count(*) - 2.0 AS d FROM r")
     return f"""
 WITH n AS (SELECT o_custkey, count(*) AS user_post_count FROM orders GROUP BY 1),
 p AS (SELECT coalesce(o.o_totalprice, 0) AS score, coalesce(c.c_acctbal, 0) AS user_karma,
              coalesce(n.user_post_count, 0) AS user_post_count
       FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN n ON o.o_custkey = n.o_custkey),
-r AS (SELECT {ranks} FROM p)
-""" + "\nUNION ALL\n".join(parts)
+r AS (SELECT {ranks} FROM p),
+c AS ({" UNION ALL ".join(parts)}),
+t AS (SELECT *, abs(rho) * sqrt(d / (1 - rho * rho)) AS t FROM c)
+SELECT x, y, round(rho, 6) AS rho, round(2 * 0.0005 * sum(exp(lgamma((d + 1) / 2) - lgamma(d / 2) - ln(d * pi()) / 2
+  - (d + 1) / 2 * ln(1 + (t + u) * (t + u) / d))), 6) AS p_value
+FROM t, (SELECT (range + 0.5) * 0.0005 AS u FROM range(100000)) GROUP BY x, y, rho
+"""
 
 
 def q_standardise(spark, sf):
@@ -840,7 +845,86 @@ def _sql_dispersion():
 
 def q_vif(spark, sf):
     from postlytics.operators.stats import vif
-    return vif(regression_frame(spark, sf, spread_scan=True), REG_FEATURES)
+    out = vif(regression_frame(spark, sf, spread_scan=True), REG_FEATURES)
+    return out.select("feature", r6(F.col("vif")).alias("vif"))
+
+
+def _sql_swept(src: str, pivots: list[str], targets: list[str], name: str, centred: bool) -> str:
+    """CTEs that sweep ``pivots`` out of ``targets`` one by one: in the last, ``name``,
+    the targets are residuals of least squares on the pivots (and 1 if ``centred``)."""
+    cols = pivots + targets
+    first = [f"{c} - avg({c}) OVER () AS {c}" if centred else c for c in cols]
+    steps = [f"{name}_0 AS (SELECT {', '.join(first)} FROM {src})"]
+    for i, p in enumerate(pivots):
+        left = [f"{c} - {p} * (sum({c} * {p}) OVER () / sum({p} * {p}) OVER ()) AS {c}" for c in cols[i + 1:]]
+        at = name if i == len(pivots) - 1 else f"{name}_{i + 1}"
+        steps.append(f"{at} AS (SELECT {', '.join(left)} FROM {name}_{i})")
+    return ",\n".join(steps)
+
+
+def _sql_vif():
+    others = {c: [x for x in REG_FEATURES if x != c] for c in REG_FEATURES}
+    steps = ",\n".join(_sql_swept("reg", others[c], [c], f"v_{c}", False) for c in REG_FEATURES)
+    parts = [f"SELECT '{c}' AS feature, round((SELECT sum({c} * {c}) FROM reg) / sum({c} * {c}), 6) AS vif FROM v_{c}"
+             for c in REG_FEATURES]
+    return f"WITH {SQL_REG},\n{steps}\n" + "\nUNION ALL\n".join(parts)
+
+
+def _sql_ols_ctes():
+    """CTE ols: one row of the slopes b_<feature> and the intercept b0, fitted on the
+    rows outside the test split."""
+    steps = [SQL_REG, f"train AS (SELECT * FROM reg WHERE ({HASH_SQL.format(x='id', seed=42)} % 10000) >= 2500)"]
+    for c in REG_FEATURES:
+        steps.append(_sql_swept("train", [x for x in REG_FEATURES if x != c], [c, REG_LABEL], f"s_{c}", True))
+        steps.append(f"c_{c} AS (SELECT sum({c} * {REG_LABEL}) / sum({c} * {c}) AS b_{c} FROM s_{c})")
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in REG_FEATURES)
+    fit = " - ".join(["m_y"] + [f"b_{c} * m_{c}" for c in REG_FEATURES])
+    steps.append(f"m AS (SELECT avg({REG_LABEL}) AS m_y, {means} FROM train)")
+    steps.append(f"ols AS (SELECT *, {fit} AS b0 FROM m, {', '.join(f'c_{c}' for c in REG_FEATURES)})")
+    return ",\n".join(steps)
+
+
+def _sql_ols_coefficients():
+    parts = [f"SELECT '{c}' AS feature, round(b_{c}, 4) AS coefficient FROM ols" for c in REG_FEATURES]
+    parts.append("SELECT '(intercept)' AS feature, round(b0, 4) AS coefficient FROM ols")
+    return f"WITH {_sql_ols_ctes()}\n" + "\nUNION ALL\n".join(parts)
+
+
+SQL_OLS_RESIDUAL = " - ".join([REG_LABEL, "b0"] + [f"b_{c} * {c}" for c in REG_FEATURES])
+
+
+def _sql_ols_summary():
+    return f"""
+WITH {_sql_ols_ctes()},
+e AS (SELECT {REG_LABEL} AS y, {SQL_OLS_RESIDUAL} AS e FROM reg, ols
+      WHERE ({HASH_SQL.format(x='id', seed=42)} % 10000) < 2500)
+SELECT round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS test_r2, round(avg(e * e), 2) AS test_mse,
+       count(*) AS n_test FROM e
+"""
+
+
+def _sql_ols_residuals():
+    return f"WITH {_sql_ols_ctes()}\nSELECT id, round({SQL_OLS_RESIDUAL}, 3) AS resid FROM reg, ols"
+
+
+def _sql_breusch_pagan():
+    """The p-values are the midpoint sums of the chi-square and F densities from the
+    statistic on (k = 5 degrees of freedom)."""
+    k = len(REG_FEATURES)
+    return f"""
+WITH {_sql_ols_ctes()},
+e AS (SELECT {", ".join(REG_FEATURES)}, ({SQL_OLS_RESIDUAL}) ** 2 AS e2 FROM reg, ols),
+{_sql_swept("e", REG_FEATURES, ["e2"], "w", True)},
+r AS (SELECT count(*) AS n, 1 - sum(e2 * e2) / (SELECT var_pop(e2) * count(*) FROM e) AS r2 FROM w),
+s AS (SELECT n, (n - {k + 1})::DOUBLE AS d, n * r2 AS lm, (r2 / {k}) / ((1 - r2) / (n - {k + 1})) AS f FROM r),
+x AS (SELECT sum(exp({k / 2 - 1} * ln(lm + u) - (lm + u) / 2 - {k / 2} * ln(2) - lgamma({k / 2}))) * 0.002 AS p
+      FROM s, (SELECT (range + 0.5) * 0.002 AS u FROM range(200000))),
+y AS (SELECT sum(exp(lgamma(({k} + d) / 2) - lgamma({k / 2}) - lgamma(d / 2) + {k / 2} * ln({k} / d)
+                     + {k / 2 - 1} * ln(f + u) - ({k} + d) / 2 * ln(1 + {k} * (f + u) / d))) * 0.0005 AS p
+      FROM s, (SELECT (range + 0.5) * 0.0005 AS u FROM range(200000)))
+SELECT round(lm, 4) AS lm, round(x.p, 6) AS lm_p_value, round(f, 4) AS f_value, round(y.p, 6) AS f_p_value, n
+FROM s, x, y
+"""
 
 
 def q_durbin_watson(spark, sf):
@@ -881,8 +965,9 @@ def q_normality(spark, sf):
 
 
 def q_breusch_pagan(spark, sf):
-    from postlytics.operators.regress import ols_report
-    return ols_report(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL)["breusch_pagan"]
+    out = _ols(spark, sf)["breusch_pagan"]
+    return out.select(F.round("lm", 4).alias("lm"), r6("lm_p_value").alias("lm_p_value"),
+                      F.round("f_value", 4).alias("f_value"), r6("f_p_value").alias("f_p_value"), "n")
 
 
 HASH_SQL = "('0x' || substr(md5({x}::VARCHAR || '#' || '{seed}'), 1, 8))::BIGINT"
@@ -984,9 +1069,21 @@ def q_lasso_summary(spark, sf):
     return _lasso(spark, sf)["summary"]
 
 
-def q_ols_coefficients(spark, sf):
+def _ols(spark, sf):
     from postlytics.operators.regress import ols_report
-    return ols_report(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL)["coefficients"]
+    return ols_report(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL)
+
+
+def q_ols_coefficients(spark, sf):
+    return _ols(spark, sf)["coefficients"].select("feature", F.round("coefficient", 4).alias("coefficient"))
+
+
+def q_ols_summary(spark, sf):
+    return _ols(spark, sf)["summary"].select(r6("test_r2").alias("test_r2"), F.round("test_mse", 2).alias("test_mse"), "n_test")
+
+
+def q_ols_residuals(spark, sf):
+    return _ols(spark, sf)["residuals"].select("id", F.round("resid", 3).alias("resid"))
 
 
 def q_poisson_summary(spark, sf):
@@ -1081,8 +1178,7 @@ def q_title_vectors(spark, sf):
     c = load(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     v = title_vectors(c, "text", "id", fixed.ENGLISH_STOP_WORDS)
-    return v.select("id", F.size("vector").alias("dims"),
-                    F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x).alias("norm2"))
+    return v.select("id", "vector")
 
 
 def q_prototype_label(spark, sf):
@@ -1114,6 +1210,18 @@ def q_text_classifier(spark, sf):
     return text_classifier(train, d, "text", "quality", "doc_id")["predictions"]
 
 
+def q_last_url_per_id(spark, sf):
+    """A3/E5 over events: a user's url (props) of the latest event."""
+    from postlytics.sources.files import last_url_per_id
+    p = posts_from_events(spark, sf).select(F.col("by").alias("user"), "time", F.col("id").alias("event"), "url")
+    return last_url_per_id(p, ["time", "event"], "user")
+
+
+SQL_LAST_URL_PER_ID = f"""
+SELECT user_id AS "user", arg_max(props, ({T_SQL}, event_id)) AS url FROM events GROUP BY user_id
+"""
+
+
 # --------------------------------------------------------------------------
 def spark_queries() -> dict:
     q = {
@@ -1177,6 +1285,8 @@ def spark_queries() -> dict:
         "lasso_coefficients": q_lasso_coefficients,
         "lasso_summary": q_lasso_summary,
         "ols_coefficients": q_ols_coefficients,
+        "ols_summary": q_ols_summary,
+        "ols_residuals": q_ols_residuals,
         "poisson_summary": q_poisson_summary,
         "decision_tree_r2": q_decision_tree_r2,
         "forest_search_regressor": _forest_query("regressor", "search"),
@@ -1196,6 +1306,7 @@ def spark_queries() -> dict:
         "title_vectors": q_title_vectors,
         "prototype_label": q_prototype_label,
         "text_classifier": q_text_classifier,
+        "last_url_per_id": q_last_url_per_id,
     }
     return q
 
@@ -1265,6 +1376,12 @@ FROM m
         "spearman_long": _sql_spearman(),
         "standardise": _sql_standardise(),
         "dispersion": _sql_dispersion(),
+        "vif": _sql_vif(),
+        "breusch_pagan": _sql_breusch_pagan(),
+        "ols_coefficients": _sql_ols_coefficients(),
+        "ols_summary": _sql_ols_summary(),
+        "ols_residuals": _sql_ols_residuals(),
+        "last_url_per_id": SQL_LAST_URL_PER_ID,
         "durbin_watson": SQL_DURBIN_WATSON,
         "qq_points": _sql_qq(),
         "hash_split": SQL_HASH_SPLIT,

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, functions as F
 from postlytics.functions.text import char_length, flag_pattern
 from postlytics.functions.timefeat import hour_of_day, weekday
 from postlytics.operators import dedup, explore
+from postlytics.operators.parts import Parts
 from postlytics.plans import fixed
 
 
 def front_page_report(front_page: DataFrame, posts: DataFrame, order_by: list[str],
                       mean_cols: list[str], median_cols: list[str], hist_cols: list[str],
-                      key: str = "id", title: str | None = None, bins: int = 10) -> dict:
+                      key: str = "id", title: str | None = None, bins: int = 10) -> Parts:
     """M7: C1 -> E2 -> A14, D1, D2, D15.
 
     ``front_page`` holds several snapshots per ``key``; ``posts`` one row per
@@ -26,14 +27,15 @@ def front_page_report(front_page: DataFrame, posts: DataFrame, order_by: list[st
     per key in ``order_by`` order is taken *before* the inner join: with one post
     row per key the result is the same, and the join then sees one row per key
     instead of one per snapshot.  Returns ``summary`` (n_rows, average_*,
-    median_*) and ``histograms`` (column, bin, breakpoint, count)."""
+    median_*) and ``histograms`` (column, bin, breakpoint, count), each built when
+    it is asked for."""
     from postlytics.plans.features import join_snapshots
     first = dedup.first_per_key(front_page, key, order_by)
     d = join_snapshots(first, posts, key, "inner")
     if title is not None:
         d = d.withColumn("title_length", char_length(title))
-    return {"summary": explore.global_stats(d, mean_cols, median_cols),
-            "histograms": explore.histograms(d, hist_cols, bins)}
+    return Parts({"summary": lambda: explore.global_stats(d, mean_cols, median_cols),
+                  "histograms": lambda: explore.histograms(d, hist_cols, bins)})
 
 
 def _flag_report(df: DataFrame, patterns: dict, text: str, value: str) -> dict:

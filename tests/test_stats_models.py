@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,53 @@ def test_forest_study_with_string_classes(spark):
     imp = {x.feature: x.importance_mean for x in out["permutation_importance"].collect()}
     assert imp["a"] > 0.2 > abs(imp["b"])
     assert out["shap_importance"].count() > 0
+
+
+def test_spearman_with_one_value_on_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(900) < 0.4, 0.0, rng.integers(1, 60, 900)).astype(float)
+    y = np.round(x * 0.3 + rng.normal(0, 8, 900))
+    frame = pd.DataFrame({"x": x, "y": y})
+    want = frame.rank().corr().loc["x", "y"]
+    for parts in (1, 7):
+        r = stats.spearman_long(spark.createDataFrame(frame).repartition(parts), ["x", "y"]).first()
+        assert math.isclose(r.rho, want, rel_tol=1e-12)
+        assert 0 <= r.p_value < 0.05
+
+
+def test_spearman_of_a_constant_and_of_no_rows(spark):
+    flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (1.0, 4.0)], "x double, y double")
+    assert math.isnan(stats.spearman_long(flat, ["x", "y"]).first().rho)
+    assert math.isnan(stats.spearman_long(flat.limit(0), ["x", "y"]).first().rho)
+
+
+def test_average_ranks_match_pandas(spark):
+    frame = pd.DataFrame({"v": [3.0, 1.0, 3.0, 3.0, 2.0, 9.0, 1.0]})
+    got = {r.v: r["rank"] for r in stats.average_ranks(spark.createDataFrame(frame), "v", num_partitions=3).collect()}
+    assert got == dict(zip(frame.v, frame.v.rank()))
+
+
+def test_vif_of_collinear_and_zero_columns(spark):
+    rows = [(float(i), 2.0 * i, float((i * 7) % 11), 0.0) for i in range(1, 30)]
+    got = {r.feature: r.vif for r in stats.vif(spark.createDataFrame(rows, "a double, b double, c double, z double"),
+                                               ["a", "b", "c", "z"]).collect()}
+    assert math.isinf(got["a"]) and math.isinf(got["b"]) and got["c"] >= 1 and math.isnan(got["z"])
+
+
+def test_normality_reports_a_bound_above_a_tenth(spark):
+    from statistics import NormalDist
+    near = spark.createDataFrame([(NormalDist().inv_cdf((i + 0.5) / 200),) for i in range(200)], "v double")
+    r = stats.normality(near, "v").first()
+    assert r.p_is_bound and r.p_value == 0.1
+    far = spark.createDataFrame([(float(i % 2),) for i in range(200)], "v double")
+    r = stats.normality(far, "v").first()
+    assert not r.p_is_bound and r.p_value < 0.001
+
+
+def test_parts_are_built_when_asked_for():
+    from postlytics.operators.parts import Parts
+    made = []
+    parts = Parts({"a": lambda: made.append("a") or 1, "b": lambda: made.append("b") or 2})
+    wider = Parts(parts.makers("x_"))
+    assert list(wider) == ["x_a", "x_b"] and not made
+    assert wider["x_b"] == 2 and wider["x_b"] == 2 and made == ["b"]
