@@ -2,25 +2,23 @@
 
 L22 (zero-shot in the reference) becomes nearest-prototype labelling: each
 label's prototype is the mean vector of its rows; a row gets the label whose
-prototype has the highest cosine similarity.  Prototypes are labels x dimension
-numbers; they go into the projection as literals (no join, no cross product).
+prototype has the highest cosine similarity.  The prototypes are the fitted model,
+labels x dimension numbers, and go to the tasks as such; rows are scored in Arrow
+batches against blocks of labels (no join, no pair of row and label is emitted).
 L23 (fine-tuned classifier) becomes a Spark ML text pipeline: tokenise, hashed
 term frequencies, IDF, logistic regression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from postlytics.functions.text import WHITESPACE_CLASS
 
-MAX_PROTOTYPES = 10_000  # labels x dims kept as literals
-
-
-def _dot(v: Column, proto: list[float]) -> Column:
-    lit = F.array(*[F.lit(float(x)) for x in proto])
-    return F.aggregate(F.zip_with(v, lit, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+SCORE_CELLS = 1 << 22  # rows x labels scored at a time in a task
 
 
 def prototype_table(df: DataFrame, vector: str, label: str) -> DataFrame:
@@ -31,33 +29,52 @@ def prototype_table(df: DataFrame, vector: str, label: str) -> DataFrame:
               .groupBy(label, "_pos").agg(F.avg("_x").alias("_m")))
 
 
-def prototypes(df: DataFrame, vector: str, label: str) -> dict | None:
-    """Mean vector per label as literals, or None when labels x dimensions is
-    above MAX_PROTOTYPES (then use ``prototype_label_join``)."""
-    rows = prototype_table(df, vector, label).limit(MAX_PROTOTYPES + 1).collect()  # one bounded job
-    if len(rows) > MAX_PROTOTYPES:
-        return None
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r[label], {})[r["_pos"]] = r["_m"]
-    return {k: [v[i] for i in range(len(v))] for k, v in out.items()}
+def prototypes(df: DataFrame, vector: str, label: str) -> dict:
+    """The fitted model: mean vector per label."""
+    rows = (prototype_table(df, vector, label).groupBy(label)
+            .agg(F.sort_array(F.collect_list(F.struct("_pos", "_m"))).alias("_v")).collect())
+    return {r[label]: [x["_m"] for x in r["_v"]] for r in rows}
 
 
 def prototype_label(df: DataFrame, vector: str, protos: dict, name: str = "predicted_label") -> DataFrame:
     """Adds ``name`` (label of the most similar prototype; lowest label on ties)
-    and ``similarity``."""
-    v = F.col(vector)
-    norm_v = F.sqrt(F.aggregate(F.transform(v, lambda a: a.cast("double") * a.cast("double")),
-                                F.lit(0.0), lambda s, x: s + x))
-    cands = []
-    for lab in sorted(protos):
-        p = protos[lab]
-        pn = sum(x * x for x in p) ** 0.5
-        sim = _dot(v, p) / (norm_v * F.lit(pn))
-        cands.append(F.struct(sim.alias("s"), F.lit(-lab if isinstance(lab, (int, float)) else 0).alias("t"),
-                              F.lit(lab).alias("label")))
-    best = F.greatest(*cands) if len(cands) > 1 else cands[0]
-    return df.withColumn("_best", best).withColumns(
+    and ``similarity``.  A vector that is null, all zero, of another length than the
+    prototypes or with a null or non-finite entry gets null for both, as do all rows
+    when there is no prototype."""
+    labels = sorted(protos)
+    kinds = {type(x) for x in labels}
+    kind = "string" if str in kinds else "double" if float in kinds else (
+        "int" if all(abs(x) < 1 << 31 for x in labels) else "bigint")
+    means = np.array([protos[x] for x in labels], np.float64).reshape(len(labels), len(protos[labels[0]]) if labels else 0)
+    norms = np.linalg.norm(means, axis=1)
+    means = means / np.where(norms > 0, norms, 1)[:, None]
+
+    @F.arrow_udf(f"struct<label {kind}, s double>")
+    def nearest(v: pa.Array) -> pa.Array:
+        dims = means.shape[1]
+        at = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(pc.list_value_length(v), dims), False)))
+        if not len(labels) or not dims:
+            at = at[:0]
+        rows = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dims)
+        size = np.linalg.norm(rows, axis=1)
+        fit = np.isfinite(size) & (size > 0)
+        at, rows = at[fit], rows[fit] / size[fit, None]
+        best, found = np.full(len(at), -np.inf), np.zeros(len(at), np.int64)
+        step = max(1, SCORE_CELLS // max(1, len(at)))
+        for lo in range(0, len(labels), step):
+            sims = rows @ means[lo:lo + step].T
+            top = sims.argmax(axis=1)
+            score = sims[np.arange(len(at)), top]
+            better = score > best
+            best[better], found[better] = score[better], lo + top[better]
+        label, s = [None] * len(v), [None] * len(v)
+        for i, k, x in zip(at.tolist(), found.tolist(), best.tolist()):
+            label[i], s[i] = labels[k], x
+        fields = [pa.array(label, {"string": pa.string(), "double": pa.float64(), "int": pa.int32(),
+                                   "bigint": pa.int64()}[kind]), pa.array(s, pa.float64())]
+        return pa.StructArray.from_arrays(fields, ["label", "s"])
+
+    return df.withColumn("_best", nearest(F.col(vector))).withColumns(
         {name: F.col("_best.label"), "similarity": F.col("_best.s")}).drop("_best")
 
 
@@ -91,24 +108,3 @@ def membership_flag(df: DataFrame, key: str, other: DataFrame, other_key: str |
     ok = other_key or key
     ids = other.select(F.col(ok).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn("_in", F.lit(1))
     return df.join(ids, key, "left").withColumn(name, F.coalesce("_in", F.lit(0)).cast("int")).drop("_in")
-
-
-def prototype_label_join(df: DataFrame, vector: str, table: DataFrame, label: str, id_col: str,
-                         name: str = "predicted_label") -> DataFrame:
-    """``prototype_label`` for prototype tables too large for literals: vectors
-    are exploded and joined to the (label, position, mean) table on the
-    position; dot products and norms are sums per (row, label) and per row, and
-    the best label per row is a max over (similarity, tie key, label)."""
-    x = df.select(id_col, F.posexplode(vector).alias("_pos", "_x"))
-    numeric = not isinstance(table.schema[label].dataType, StringType)
-    pn = table.groupBy(label).agg(F.sqrt(F.sum(F.col("_m") * F.col("_m"))).alias("_pn"))
-    vn = x.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_x").cast("double") ** 2)).alias("_vn"))
-    dots = (x.join(table, "_pos").groupBy(id_col, label)
-              .agg(F.sum(F.col("_x").cast("double") * F.col("_m")).alias("_dot")))
-    sim = (dots.join(pn, label).join(vn, id_col)
-               .withColumn("_s", F.col("_dot") / (F.col("_vn") * F.col("_pn"))))
-    tie = (-F.col(label)) if numeric else F.lit(0)
-    best = sim.groupBy(id_col).agg(F.max(F.struct(F.col("_s").alias("s"), tie.alias("t"),
-                                                  F.col(label).alias("label"))).alias("_b"))
-    return df.join(best.select(id_col, F.col("_b.label").alias(name), F.col("_b.s").alias("similarity")),
-                   id_col, "left")

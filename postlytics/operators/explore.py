@@ -3,22 +3,20 @@
 All of them are hash aggregations with map-side partial aggregation, so a hot
 group key is reduced before the shuffle.
 
-Exact medians and quantiles pick their method from the value column's type
-(``method`` overrides).  An integral column (scores, counts, lengths) uses
-``percentile``, whose value -> count map per group is bounded by the group's
-distinct values.  A fractional column first counts rows per group (a partial
-aggregation): groups above ``HOT_GROUP_ROWS`` rows -- a group holding a third
-of all rows -- use rank selection (``ordering.group_quantiles``, no per-group
-state, the group spread over many tasks); every other group uses
-``percentile``, whose map is then bounded by ``HOT_GROUP_ROWS``.  Without a hot
-group the plan is the plain one-aggregation plan.  ``exact=False`` gives
+Exact medians and quantiles first count rows per group (a partial aggregation;
+``method`` overrides): groups above ``HOT_GROUP_ROWS`` rows -- a group holding a
+third of all rows -- use rank selection (``ordering.group_quantiles``, no per-group
+state, the group spread over many tasks); every other group uses ``percentile``,
+whose value -> count map is then bounded by ``HOT_GROUP_ROWS``.  Without a hot
+group the plan is the plain one-aggregation plan.  Only byte and short columns
+always use ``percentile``: they have at most 65,536 values.  ``exact=False`` gives
 ``percentile_approx``.  All paths give the same interpolation.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import FractionalType
+from pyspark.sql.types import ByteType, ShortType
 
 from postlytics.functions._util import as_col
 from postlytics.functions.binning import cut
@@ -43,7 +41,7 @@ def quantile_method(df: DataFrame, value: str, exact: bool = True, method: str |
         return method, None
     if not exact:
         return "approx", None
-    if not isinstance(df.schema[value].dataType, FractionalType):
+    if isinstance(df.schema[value].dataType, (ByteType, ShortType)):
         return "map", None
     if group is None:
         return "rank", None

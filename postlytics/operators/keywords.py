@@ -1,30 +1,47 @@
 """Keyword passes and word frequencies (I10, C8, I8 passes, D16, D17).
 
-Keyword lists arrive as Python lists or one-column DataFrames.  A list of at
-most ``LITERAL_LIMIT`` words becomes a literal array in the projection (no
-join).  A larger DataFrame list is matched by exploding title words and joining
-the list; Spark chooses the join from the list's bytes.
+Keyword lists arrive as Python lists or as DataFrames.  A Python list is part of
+the plan: a literal set in the projection (no join).  A DataFrame, of any size, is
+joined to the exploded words; Spark chooses the join from the list's bytes.  Both
+give the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType
 
-from postlytics.functions.text import WHITESPACE_CLASS, keyword_counted, keyword_flag, tokens
+from postlytics.functions.text import keyword_counted, keyword_flag, tokens
 from postlytics.functions.urls import STORE_LABELS, domain_candidates, url_domain_keyword
 
-LITERAL_LIMIT = 2000          # words kept as a literal array in the plan
 
+def keyword_table(keywords: DataFrame) -> DataFrame:
+    """(_w, _at): the distinct lower-case words of the first column of ``keywords``
+    and the place of each in the list, which is the second column if there is one,
+    else the word itself (alphabetical).  Null and empty words go."""
+    word = F.lower(F.col(keywords.columns[0]))
+    at = F.col(keywords.columns[1]) if len(keywords.columns) > 1 else word
+    return (keywords.select(word.alias("_w"), at.alias("_at")).where(F.col("_w") != "")
+                    .groupBy("_w").agg(F.min("_at").alias("_at")))
 
-def bounded_list(df: DataFrame, col: str, limit: int = LITERAL_LIMIT) -> list[str] | None:
-    """The distinct values of a small one-column DataFrame, or None when the
-    list is larger than ``limit`` (then callers join instead)."""
-    d = df.select(F.lower(F.col(col)).alias("w")).where(F.col("w").isNotNull()).distinct()
-    rows = d.limit(limit + 1).collect()          # one job; at most limit + 1 rows
-    if len(rows) > limit:
-        return None
-    return sorted(r.w for r in rows)
+
+def row_key(text: str, id_col: str | None) -> Column:
+    """What matches are grouped by: ``id_col``, unique per row, or else the hash of
+    the text, as rows of one text have the same matches."""
+    return F.col(id_col) if id_col is not None else F.sha2(F.col(text), 256)
+
+
+def listed_words(df: DataFrame, text: str, words: Column, listed: DataFrame, id_col: str | None = None) -> DataFrame:
+    """``df`` with ``_words``: those of its ``words`` (an array made from column
+    ``text``) that ``listed`` (_w) holds, in text order, repeats kept.  Rows of one
+    text that share a key add the same (position, word) pairs, which the set keeps
+    once, so a text that many rows hold is reduced before the shuffle."""
+    df = df.withColumn("_key", row_key(text, id_col))
+    hits = (df.select("_key", F.posexplode(words).alias("_pos", "_w"))
+              .join(listed.select("_w"), "_w", "inner")
+              .groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("_pos", "_w"))).alias("_hits")))
+    kept = F.coalesce(F.transform("_hits", lambda s: s["_w"]), F.array().cast("array<string>"))
+    return df.join(hits, "_key", "left").withColumn("_words", kept).drop("_key", "_hits")
 
 
 def default_stop_words(spark: SparkSession | None = None) -> list[str]:
@@ -38,64 +55,46 @@ def title_keywords(df: DataFrame, title: str, keywords, name: str, counted: bool
     """Adds ``{name}_detail`` and ``contains_{name}``.
 
     flag mode: first matching word (or null) and 1/0; counted mode: the list of
-    all matches and its size.  Null or empty title -> (null, 0).  A keyword
-    DataFrame above LITERAL_LIMIT is joined, which needs ``id_col`` unique per row."""
-    words = keywords if isinstance(keywords, list) else bounded_list(keywords, keywords.columns[0])
-    if words is not None:
-        fn = keyword_counted if counted else keyword_flag
-        detail, flag = fn(title, words)
-        return df.withColumns({f"{name}_detail": detail, f"contains_{name}": flag})
-    if id_col is None:
-        raise ValueError("a keyword list above LITERAL_LIMIT needs a unique id_col for the join path")
-    return _title_keywords_join(df, title, keywords, name, counted, id_col)
-
-
-def _title_keywords_join(df, title, kw_df, name, counted, id_col):
-    kw = kw_df.select(F.lower(F.col(kw_df.columns[0])).alias("_w")).where(
-        F.col("_w").isNotNull()).distinct()
-    words = df.select(id_col, F.posexplode(tokens(title)).alias("_pos", "_w"))
-    hits = (words.join(kw, "_w", "inner")
-                 .groupBy(id_col)
-                 .agg(F.sort_array(F.collect_list(F.struct("_pos", "_w"))).alias("_hits")))
-    m = F.coalesce(F.transform(F.col("_hits"), lambda s: s["_w"]), F.array().cast("array<string>"))
-    joined = df.join(hits, id_col, "left")
+    all matches and its size.  Null or empty title -> (null, 0).  ``id_col``, if
+    given, is unique per row and spares a keyword DataFrame's join the text hash."""
     fn = keyword_counted if counted else keyword_flag
-    detail, flag = fn(title, [], matches=m)
-    return joined.withColumns({f"{name}_detail": detail, f"contains_{name}": flag}).drop("_hits")
+    if isinstance(keywords, list):
+        detail, flag = fn(title, keywords)
+        return df.withColumns({f"{name}_detail": detail, f"contains_{name}": flag})
+    found = listed_words(df, title, tokens(title), keyword_table(keywords), id_col)
+    detail, flag = fn(title, [], matches=F.col("_words"))
+    return found.withColumns({f"{name}_detail": detail, f"contains_{name}": flag}).drop("_words")
 
 
 def url_keywords(df: DataFrame, url: str, keywords, name: str, id_col: str | None = None,
                  lower_url: bool = False) -> DataFrame:
     """Adds ``{name}_detail`` and ``contains_{name}`` from the url domain (I8).
-    A keyword DataFrame above LITERAL_LIMIT is joined, which needs ``id_col``
-    unique per row."""
-    words = keywords if isinstance(keywords, list) else bounded_list(keywords, keywords.columns[0])
-    if words is not None:
-        detail, flag = url_domain_keyword(url, words, lower_url)
+    Of keywords that match at the same place the first of the list wins; a keyword
+    DataFrame gives the order in a second column (else alphabetical).  ``id_col``
+    as in ``title_keywords``."""
+    if isinstance(keywords, list):
+        detail, flag = url_domain_keyword(url, keywords, lower_url)
         return df.withColumns({f"{name}_detail": detail, f"contains_{name}": flag})
-    if id_col is None:
-        raise ValueError("a url keyword list above LITERAL_LIMIT needs a unique id_col for the join path")
     return _url_keywords_join(df, url, keywords, name, id_col, lower_url)
 
 
 def _url_keywords_join(df, url, kw_df, name, id_col, lower_url: bool = False):
-    """Join form of the url pass for keyword lists too large for one pattern:
-    candidates (``domain_candidates``) equi-joined with the keyword table; per
-    url the match at the largest position wins, then the smallest keyword (the
-    order ``bounded_list`` gives the pattern); a store label before it rejects
-    the url, as in the pattern form."""
-    kw = kw_df.select(F.lower(F.col(kw_df.columns[0])).alias("candidate")).where(
-        F.col("candidate").isNotNull() & (F.col("candidate") != "")).distinct()
-    src = df.select(id_col, F.lower(F.col(url)).alias("_lu")) if lower_url else df
-    hits = (domain_candidates(src, "_lu" if lower_url else url, id_col).join(kw, "candidate", "inner")
-              .groupBy(id_col)
-              .agg(F.min(F.struct((-F.col("pos")).alias("p"), F.col("candidate").alias("kw"),
+    """Join form of the url pass: candidates (``domain_candidates``) equi-joined with
+    the keyword table; per url the match at the largest position wins, then the
+    keyword that comes first in the list; a store label before it rejects the url,
+    as in the pattern form."""
+    df = df.withColumn("_key", row_key(url, id_col))
+    src = df.select("_key", (F.lower(F.col(url)) if lower_url else F.col(url)).alias("_lu"))
+    hits = (domain_candidates(src, "_lu", "_key")
+              .join(keyword_table(kw_df).withColumnRenamed("_w", "candidate"), "candidate", "inner")
+              .groupBy("_key")
+              .agg(F.min(F.struct((-F.col("pos")).alias("p"), "_at", F.col("candidate").alias("kw"),
                                   F.col("label").alias("label"))).alias("_m")))
     ok = F.col("_m").isNotNull() & ~F.col("_m.label").isin(*STORE_LABELS)
-    return (df.join(hits, id_col, "left")
+    return (df.join(hits, "_key", "left")
               .withColumns({f"{name}_detail": F.when(ok, F.col("_m.kw")),
                             f"contains_{name}": F.when(ok, 1).otherwise(0).cast("int")})
-              .drop("_m"))
+              .drop("_m", "_key"))
 
 
 def title_words(df: DataFrame, text: str, order_by: list[str], stop_words: list[str]) -> DataFrame:

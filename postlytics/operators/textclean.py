@@ -1,9 +1,8 @@
 """Page and title cleaning (I13, I14) and the word lists they use.
 
-The dictionary and stop-word lists are DataFrames (or lists).  A list that fits
-``LITERAL_LIMIT`` becomes a hash-set probe inside the projection; a larger one
-is joined on exploded words -- broadcast when its checked size allows.  Word
-order and duplicates inside a document are kept.
+The dictionary and stop-word lists are lists or DataFrames: a Python list is a
+hash-set probe inside the projection, a DataFrame of any size is joined on exploded
+words.  Word order and duplicates inside a document are kept.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from postlytics.functions.text import letters_only, tokens
-from postlytics.operators.keywords import LITERAL_LIMIT, bounded_list
+from postlytics.operators.keywords import keyword_table, listed_words
 
 
 def dictionary_from_text(df: DataFrame, text: str, min_length: int = 2) -> DataFrame:
@@ -24,26 +23,18 @@ def dictionary_from_text(df: DataFrame, text: str, min_length: int = 2) -> DataF
 def clean_pages(df: DataFrame, text: str, dictionary, stop_words: list[str], out: str = "cleaned",
                 id_col: str | None = None) -> DataFrame:
     """Keep the words that are in ``dictionary`` (longer than one letter) and
-    not stop words, joined by one space.  A null text gives ' '."""
-    sw = {w.lower() for w in stop_words}
-    words = dictionary if isinstance(dictionary, list) else bounded_list(dictionary, dictionary.columns[0])
+    not stop words, joined by one space.  A null text gives ' '.  ``id_col``, if
+    given, is unique per row and spares a dictionary DataFrame's join the text hash."""
+    sw = sorted({w.lower() for w in stop_words})
     toks = tokens(letters_only(F.col(text)))
-    if words is not None:
-        keep = sorted({w.lower() for w in words if len(w) > 1} - sw)
-        kept = F.filter(toks, (lambda w: w.isin(*keep)) if keep else (lambda w: F.lit(False)))
-        return df.withColumn(out, F.when(F.col(text).isNull(), F.lit(" ")).otherwise(
-            F.array_join(kept, " ")))
-    if id_col is None:
-        raise ValueError("a dictionary above LITERAL_LIMIT needs a unique id_col for the join path")
-    d = dictionary.select(F.lower(F.col(dictionary.columns[0])).alias("_w")).where(
-        (F.length("_w") > 1) & ~F.col("_w").isin(*sorted(sw))).distinct()
-    exploded = df.where(F.col(text).isNotNull()).select(id_col, F.posexplode(toks).alias("_p", "_w"))
-    kept = (exploded.join(d, "_w", "inner").groupBy(id_col)
-                    .agg(F.sort_array(F.collect_list(F.struct("_p", "_w"))).alias("_k")))
-    joined = df.join(kept, id_col, "left")
-    txt = F.array_join(F.transform(F.col("_k"), lambda s: s["_w"]), " ")
-    return joined.withColumn(out, F.when(F.col(text).isNull(), F.lit(" "))
-                             .otherwise(F.coalesce(txt, F.lit("")))).drop("_k")
+    if isinstance(dictionary, list):
+        keep = sorted({w.lower() for w in dictionary if len(w) > 1} - set(sw))
+        found = df.withColumn("_words", F.filter(toks, (lambda w: w.isin(*keep)) if keep else (lambda w: F.lit(False))))
+    else:
+        listed = keyword_table(dictionary).where((F.length("_w") > 1) & ~F.col("_w").isin(*sw))
+        found = listed_words(df, text, toks, listed, id_col)
+    return found.withColumn(out, F.when(F.col(text).isNull(), F.lit(" ")).otherwise(
+        F.array_join("_words", " "))).drop("_words")
 
 
 def clean_titles(df: DataFrame, title: str, stop_words: list[str], out: str = "clean_title") -> DataFrame:

@@ -563,11 +563,53 @@ def q_buzzwords(spark, sf):
     d = load_spread(spark, sf, "documents")
     top = keywords.top_words(d, "text", _stop_words(spark), ["doc_id"], fixed.BUZZWORD_COUNT)
     c = load(spark, sf, "conversations").select("conv_id", "turn", "text")
-    out = keywords.title_keywords(c, "text", top.select("word"), "buzzwords", counted=True)
+    out = keywords.title_keywords(c, "text", [r.word for r in top.collect()], "buzzwords", counted=True)
     return out.select("conv_id", "turn", F.array_join("buzzwords_detail", "|").alias("buzzwords_detail"),
                       "contains_buzzwords")
 
 
+KEYWORD_REPORT_LISTS = {"german": ["der", "die", "und"], "french": ["les", "des"], "spanish": ["que", "los"]}
+
+
+def q_keyword_reports(spark, sf):
+    """M2 and its reports (D13, D14): per list and flag the rows, and the box summary
+    of the positive lengths; the lists are DataFrames, so the join form runs."""
+    from postlytics.plans.features import infer_keywords, keyword_reports
+    d = load_spread(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    lists = {n: spark.createDataFrame([(w, i) for i, w in enumerate(ws)], "word string, at int")
+             for n, ws in KEYWORD_REPORT_LISTS.items()}
+    flagged = infer_keywords(d, lists, {}, title="text", id_col="doc_id")
+    made = keyword_reports(flagged, list(lists), "n_chars")
+    out = None
+    for n in lists:
+        box = made[f"{n}_box"].withColumnRenamed(f"contains_{n}", "flag")
+        part = (made[f"{n}_counts"].withColumnRenamed(f"contains_{n}", "flag").join(box, "flag", "left")
+                .select(F.lit(n).alias("list"), "flag", "count", "n",
+                        *[r6(F.col(c).cast("double")).alias(c) for c in BOX_COLUMNS]))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+BOX_COLUMNS = ["min", "q1", "median", "q3", "max", "mean"]
+
+
+def _sql_keyword_reports():
+    parts = []
+    for n, ws in KEYWORD_REPORT_LISTS.items():
+        hit = f"len(list_filter({sql_tokens('text')}, lambda w: list_contains({sql_list(ws)}, w))) > 0"
+        parts.append(f"""
+SELECT '{n}' AS list, flag, count(*) AS count, count(n_chars) FILTER (WHERE n_chars > 0) AS n,
+  min(n_chars) FILTER (WHERE n_chars > 0)::DOUBLE AS min,
+  round(quantile_cont(n_chars::DOUBLE, 0.25) FILTER (WHERE n_chars > 0), 6) AS q1,
+  round(quantile_cont(n_chars::DOUBLE, 0.5) FILTER (WHERE n_chars > 0), 6) AS median,
+  round(quantile_cont(n_chars::DOUBLE, 0.75) FILTER (WHERE n_chars > 0), 6) AS q3,
+  max(n_chars) FILTER (WHERE n_chars > 0)::DOUBLE AS max,
+  round(avg(n_chars) FILTER (WHERE n_chars > 0), 6) AS mean
+FROM (SELECT n_chars, (CASE WHEN text IS NOT NULL AND {hit} THEN 1 ELSE 0 END)::INTEGER AS flag FROM documents)
+GROUP BY flag""")
+    return "\nUNION ALL".join(parts)
+
+
 def q_url_domain(spark, sf):
     p = load(spark, sf, "pages").select("page_id", "url")
     return keywords.url_keywords(p, "url", DOMAIN_KEYWORDS, "domain").select(
@@ -589,6 +631,15 @@ def q_html_text(spark, sf):
     return html_to_text(p, "page_id", "html", "plain")
 
 
+def q_page_text(spark, sf):
+    """M3: fetched pages that clash with no stored page on id or url, with their plain text."""
+    from postlytics.plans.features import page_text
+    stored = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("url"))
+    fetched = load_spread(spark, sf, "pages").select((-F.col("page_id") - 1).alias("id"), "url", "html")
+    new, plain = page_text(fetched, stored)
+    return new.select("id", "url").join(plain, "id")
+
+
 # --------------------------------------------------------------------------
 # pipelines: M1 post features, M4 document prep
 # --------------------------------------------------------------------------
@@ -1149,6 +1200,59 @@ def _forest_query(kind, what):
     return q
 
 
+def _shap_gap(kind):
+    """TreeSHAP's identity on the test rows: base plus the row's values is the forest's
+    output, for the regressor's mean and for each class's probability."""
+    def q(spark, sf):
+        from postlytics.operators import forest
+        tr, te, feats, label = _forest_data(spark, sf, kind)
+        model = forest.fit_forest(tr, label, kind, FOREST_PARAMS)
+        parts = []
+        for cls in ([0, 1] if kind == "classifier" else [0]):
+            sv = forest.shap_values(model, te, feats, "id", kind, cls)
+            gap = sum((F.col(f"phi_{f}") for f in feats), F.col("base")) - F.col("output")
+            parts.append(sv.agg(F.count(F.lit(1)).alias("n"), r6(F.max(F.abs(gap))).alias("max_gap"))
+                         .select(F.lit(cls).alias("class"), "n", "max_gap"))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+    return q
+
+
+SQL_SHAP_GAP = f"""
+WITH {SQL_REG}
+SELECT 0 AS class, count(*) AS n, CASE WHEN count(*) > 0 THEN 0.0::DOUBLE END AS max_gap
+FROM reg WHERE {REG_LABEL} > 0 AND ({HASH_SQL.format(x='id', seed=42)} % 10000) < 2500
+"""
+SQL_SHAP_GAP_CLASSIFIER = f"""
+SELECT c.class, count(*) AS n, 0.0::DOUBLE AS max_gap
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id CROSS JOIN (VALUES (0), (1)) AS c(class)
+WHERE d.text IS NOT NULL AND d.lang IS NOT NULL AND d.n_chars IS NOT NULL AND l.quality IS NOT NULL
+  AND ({HASH_SQL.format(x='d.doc_id', seed=42)} % 10000) < 2500
+GROUP BY c.class
+"""
+
+
+def q_tree_mean_gap(spark, sf):
+    """The mean of the trees' predictions is the forest's, on the sampled test rows."""
+    from postlytics.operators import forest
+    tr, te, _, label = _forest_data(spark, sf, "regressor")
+    model = forest.fit_forest(tr, label, "regressor", FOREST_PARAMS)
+    rows = forest.tree_mean_median(model, te, label, "id")
+    whole = model.transform(te).select("id", "prediction")
+    return rows.join(whole, "id").select("id", r6(label).alias("log_price"),
+                                         r6(F.abs(F.col("tree_mean") - F.col("prediction"))).alias("gap")).distinct()
+
+
+SQL_TREE_MEAN_GAP = f"""
+WITH {SQL_REG},
+s AS (SELECT id, {REG_LABEL} FROM reg WHERE {REG_LABEL} > 0 AND ({HASH_SQL.format(x='id', seed=42)} % 10000) < 2500
+      ORDER BY {HASH_SQL.format(x='id', seed=42)}, id LIMIT 10)
+SELECT DISTINCT id, round(ln({REG_LABEL}), 6) AS log_price, 0.0::DOUBLE AS gap FROM s
+"""
+
+
 def q_kmeans_silhouette(spark, sf):
     from postlytics.operators.stats import silhouette_sweep
     p = karma_posts_from_orders(spark, sf)
@@ -1182,14 +1286,9 @@ def q_title_vectors(spark, sf):
 
 
 def q_prototype_label(spark, sf):
-    from postlytics.operators.classify import (prototype_label, prototype_label_join, prototype_table,
-                                               prototypes)
+    from postlytics.operators.classify import prototype_label, prototypes
     e = load(spark, sf, "embeddings")
-    protos = prototypes(e, "embedding", "label")
-    if protos is None:   # labels x dimensions above the literal bound
-        out = prototype_label_join(e, "embedding", prototype_table(e, "embedding", "label"), "label", "vec_id")
-    else:
-        out = prototype_label(e, "embedding", protos)
+    out = prototype_label(e, "embedding", prototypes(e, "embedding", "label"))
     return out.select("vec_id", "label", "predicted_label")
 
 
@@ -1210,6 +1309,13 @@ def q_text_classifier(spark, sf):
     return text_classifier(train, d, "text", "quality", "doc_id")["predictions"]
 
 
+def q_text_classifier_accuracy(spark, sf):
+    from postlytics.operators.classify import text_classifier
+    d = load_spread(spark, sf, "documents").select("doc_id", "text")
+    train = d.join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return text_classifier(train, d, "text", "quality", "doc_id")["test_accuracy"]
+
+
 def q_last_url_per_id(spark, sf):
     """A3/E5 over events: a user's url (props) of the latest event."""
     from postlytics.sources.files import last_url_per_id
@@ -1263,7 +1369,9 @@ def spark_queries() -> dict:
         "top_words": q_top_words,
         "buzzwords": q_buzzwords,
         "url_domain": q_url_domain,
+        "keyword_reports": q_keyword_reports,
         "html_text": q_html_text,
+        "page_text": q_page_text,
         "post_features": q_post_features,
         "clean_pages": q_clean_pages,
         "length_bucket": q_length_bucket,
@@ -1295,6 +1403,9 @@ def spark_queries() -> dict:
         "best_tree_rules": _forest_query("regressor", "best_tree"),
         "best_tree_rules_classifier": _forest_query("classifier", "best_tree"),
         "permutation_importance": _forest_query("regressor", "permutation"),
+        "shap_gap": _shap_gap("regressor"),
+        "shap_gap_classifier": _shap_gap("classifier"),
+        "tree_mean_gap": q_tree_mean_gap,
         "shap_importance": _forest_query("regressor", "shap"),
         "shap_importance_classifier": _forest_query("classifier", "shap"),
         "tree_mean_median": _forest_query("regressor", "mean_median"),
@@ -1306,6 +1417,7 @@ def spark_queries() -> dict:
         "title_vectors": q_title_vectors,
         "prototype_label": q_prototype_label,
         "text_classifier": q_text_classifier,
+        "text_classifier_accuracy": q_text_classifier_accuracy,
         "last_url_per_id": q_last_url_per_id,
     }
     return q
@@ -1369,6 +1481,10 @@ FROM m
         "top_words": top,
         "buzzwords": buzz,
         "url_domain": _sql_url_domain(),
+        "keyword_reports": _sql_keyword_reports(),
+        "shap_gap": SQL_SHAP_GAP,
+        "shap_gap_classifier": SQL_SHAP_GAP_CLASSIFIER,
+        "tree_mean_gap": SQL_TREE_MEAN_GAP,
         "post_features": _sql_post_features(),
         "clean_pages": _sql_clean_pages(),
         "length_bucket": _sql_length_bucket(),

@@ -32,8 +32,7 @@ def infer_keywords(df: DataFrame, title_lists: dict, url_lists: dict,
                    title: str = "title", url: str = "url", id_col: str = "id") -> DataFrame:
     """M2: one keyword pass per list; each adds ``{name}_detail`` and
     ``contains_{name}``.  Title lists match whole words (flag mode), url lists
-    match domain labels.  Lists within the literal bound are one projection;
-    larger ones (DataFrames) are joined on ``id_col``."""
+    match domain labels.  Python lists are one projection, DataFrames are joined on ``id_col``."""
     for name, words in title_lists.items():
         df = keywords.title_keywords(df, title, words, name, id_col=id_col)
     for name, words in url_lists.items():
@@ -98,8 +97,8 @@ def build_features(posts30: DataFrame, posts240: DataFrame, front_page: DataFram
     if dedupe_by is not None:
         fp_titles = first_per_key(fp_titles, dedupe_by, ["time", "title"])
     top = keywords.top_words(fp_titles, "title", stop_words, ["time", "id"], buzzword_count)
-    return keywords.title_keywords(df, "title", top.select("word"), "buzzwords", counted=True,
-                                   id_col="id")
+    words = [r.word for r in top.collect()]      # at most ``buzzword_count`` words
+    return keywords.title_keywords(df, "title", words, "buzzwords", counted=True)
 
 
 def page_text(pages: DataFrame, target: DataFrame | None = None, id_col: str = "id",

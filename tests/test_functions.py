@@ -103,6 +103,36 @@ def test_url_keywords_lower_url_option(spark):
         assert {r.id: r.contains_n for r in join.collect()} == want
 
 
+def test_keyword_frames_of_any_size_equal_lists(spark):
+    """A list as DataFrame, below and above two thousand words, with and without an id."""
+    from postlytics.operators import keywords, textclean
+    rows = [(i, t) for i, t in enumerate(["alpha beta alpha", "", None, "Beta w7 x", "none", " "] + ["alpha w7"] * 50)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    for n in (0, 3000):
+        words = ["alpha", "BETA", "x"] + [f"w{i}" for i in range(n)]
+        frame = spark.createDataFrame([(w,) for w in words + [None, "", "alpha"]], "w string")
+        for counted in (False, True):
+            want = {r.id: (r.k_detail, r.contains_k) for r in
+                    keywords.title_keywords(df, "t", words, "k", counted).collect()}
+            for id_col in ("id", None):
+                got = keywords.title_keywords(df, "t", frame, "k", counted, id_col).collect()
+                assert {r.id: (r.k_detail, r.contains_k) for r in got} == want and len(got) == len(rows)
+        want = {r.id: r.cleaned for r in textclean.clean_pages(df, "t", words, ["beta"]).collect()}
+        for id_col in ("id", None):
+            got = textclean.clean_pages(df, "t", frame, ["beta"], id_col=id_col).collect()
+            assert {r.id: r.cleaned for r in got} == want and len(got) == len(rows)
+
+
+def test_url_keyword_frame_keeps_list_order(spark):
+    from postlytics.operators import keywords
+    df = spark.createDataFrame([("https://a.b.com",)] * 3 + [(None,)], "url string")
+    for order in (["a.b", "a"], ["a", "a.b"]):
+        frame = spark.createDataFrame([(w, i) for i, w in enumerate(order)], "w string, at int")
+        want = [r.k_detail for r in keywords.url_keywords(df, "url", order, "k").collect()]
+        got = [r.k_detail for r in keywords.url_keywords(df, "url", frame, "k").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and got.count(order[0]) == 3
+
+
 def test_spread_only_when_too_few_splits(spark):
     from postlytics.session import spread
     cores = spark.sparkContext.defaultParallelism

@@ -148,20 +148,25 @@ def test_prototype_label(spark):
     assert all(r.label == r.predicted_label for r in out.collect())
 
 
-def test_prototype_join_path_equals_literal_path(spark):
-    import os
+@pytest.mark.parametrize("labels", [3, 400])
+def test_prototype_label_equals_brute_force(spark, labels):
+    import numpy as np
 
     from postlytics.operators import classify
-    sf = "/root/testdata/sf0.001"
-    if not os.path.isdir(sf):
-        return
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    lit = {r.vec_id: r.predicted_label for r in
-           classify.prototype_label(e, "embedding", classify.prototypes(e, "embedding", "label")).collect()}
-    table = classify.prototype_table(e, "embedding", "label")
-    joined = {r.vec_id: r.predicted_label for r in
-              classify.prototype_label_join(e, "embedding", table, "label", "vec_id").collect()}
-    assert joined == lit
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 64))
+    y = rng.integers(0, labels, 2000)
+    rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))]
+    odd = [(-1, None, None), (-2, [0.0] * 64, None), (-3, [1.0], None), (-4, [], None),
+           (-5, [None] + [1.0] * 63, None), (-6, [math.nan] * 64, None)]
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>, label int")
+    protos = classify.prototypes(df.where("id >= 0"), "v", "label")
+    got = {r.id: r.predicted_label for r in classify.prototype_label(df, "v", protos).collect()}
+    means = np.array([x[y == c].mean(axis=0) for c in sorted(protos)])
+    sims = (x / np.linalg.norm(x, axis=1)[:, None]) @ (means / np.linalg.norm(means, axis=1)[:, None]).T
+    assert [got[i] for i in range(2000)] == [sorted(protos)[k] for k in sims.argmax(axis=1)]
+    assert all(got[r[0]] is None for r in odd)
+    assert {r.s for r in classify.prototype_label(df, "v", {}).select(F.col("similarity").alias("s")).collect()} == {None}
 
 
 def test_standardised_gram_equals_gram_of_standardised(spark):
