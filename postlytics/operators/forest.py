@@ -69,8 +69,8 @@ def prepare(df: DataFrame, features: list[str], label: str, kind: str) -> DataFr
 def random_search(train: DataFrame, label: str, kind: str, id_col: str, n_iter: int = 10,
                   folds: int = 5, grid: dict | None = None, seed: int = 42,
                   parallelism: int = 4) -> dict:
-    """``n_iter`` seeded draws (without replacement) from the grid mapped to
-    Spark parameters, each scored by ``folds``-fold cross-validation (contiguous
+    """``n_iter`` seeded draws (without replacement) from the whole grid, mapped
+    to Spark parameters (draws that map to the same ones are fitted once), each scored by ``folds``-fold cross-validation (contiguous
     folds for regressors, stratified for classifiers); up to ``parallelism``
     candidate models are fitted at once (concurrent Spark jobs).  Returns the
     best Spark parameter dict."""
@@ -78,13 +78,11 @@ def random_search(train: DataFrame, label: str, kind: str, id_col: str, n_iter:
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     from postlytics.operators.sampling import with_folds
     grid = grid or FOREST_GRID
-    keys = list(grid)
-    points = []
-    for combo in itertools.product(*[grid[k] for k in keys]):
-        sp = spark_params(dict(zip(keys, combo)))
-        if sp not in points:
-            points.append(sp)
-    draws = random.Random(seed).sample(points, min(n_iter, len(points)))
+    points = [dict(zip(grid, combo)) for combo in itertools.product(*grid.values())]
+    draws = []
+    for point in random.Random(seed).sample(points, min(n_iter, len(points))):
+        if spark_params(point) not in draws:   # points that differ in a dropped parameter only
+            draws.append(spark_params(point))
     est = _estimator(kind, label, seed)
     maps = []
     for sp in draws:

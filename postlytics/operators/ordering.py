@@ -63,7 +63,8 @@ def with_dense_index(df: DataFrame, order_by: list[str], name: str = "idx",
 
 def forward_features(df: DataFrame, order_by: list[str], n: int,
                      leads: dict[str, str] | None = None, medians: dict[str, str] | None = None,
-                     bucket_rows: int = 100_000, direction: str = "forward") -> DataFrame:
+                     bucket_rows: int = 100_000, direction: str = "forward",
+                     num_partitions: int | None = None) -> DataFrame:
     """One dense index and one bucket shuffle for both forward operators:
 
     * ``leads`` {name: col}: ``col[i + n] - col[i]`` (F1), null for the last n rows;
@@ -77,14 +78,19 @@ def forward_features(df: DataFrame, order_by: list[str], n: int,
 
     ``direction="backward"`` mirrors both: ``col[i] - col[i - n]`` and the median
     of rows i-n+1 .. i, null for the first n rows; the last n rows of a bucket
-    are copied into the next one."""
+    are copied into the next one.
+
+    Only the order and value columns are indexed, checkpointed and bucketed; the other
+    columns are joined to the result by the order columns, which are unique per row.
+    (Rows that share all of them get the values of one of them.)"""
     leads, medians = leads or {}, medians or {}
     if bucket_rows < n:
         raise ValueError("bucket_rows must be at least n")
     if direction not in ("forward", "backward"):
         raise ValueError("direction is 'forward' or 'backward'")
     fwd = direction == "forward"
-    idx, total = dense_index(df, order_by, "_idx")
+    used = list(dict.fromkeys([*order_by, *leads.values(), *medians.values()]))
+    idx, total = dense_index(df.select(*used), order_by, "_idx", num_partitions)
     bucket = F.floor(F.col("_idx") / F.lit(bucket_rows)).cast("long")
     # every row at home; the first (last) n rows of a bucket also as the halo of the
     # previous (next) bucket -- one pass over the indexed rows, replication <= 1 + n / B
@@ -107,8 +113,13 @@ def forward_features(df: DataFrame, order_by: list[str], n: int,
         new = {name: F.when(cut, F.col(c) - F.lag(F.col(c), n).over(w)) for name, c in leads.items()}
     new.update({name: F.when(cut, F.percentile(F.col(c), F.lit(0.5)).over(frame))
                 for name, c in medians.items()})
-    out = both.withColumns(new).where(F.col("_home")).drop("_b", "_home", "_idx")
-    return out
+    out = both.withColumns(new).where(F.col("_home"))
+    if set(df.columns) <= set(used):
+        return out.select(*df.columns, *new)
+    keys = {f"_k{i}": c for i, c in enumerate(order_by)}
+    out = out.select(*[F.col(c).alias(k) for k, c in keys.items()], *new).dropDuplicates(list(keys))
+    same = [F.col(c).eqNullSafe(F.col(k)) for k, c in keys.items()]
+    return df.join(out, same, "left").drop(*keys)
 
 
 def time_until_nth_next(df: DataFrame, value: str, n: int = 30, order_by: list[str] | None = None,

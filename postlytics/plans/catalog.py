@@ -145,7 +145,7 @@ SELECT event_id AS id, (row_number() OVER (ORDER BY {T_SQL}, event_id) - 1)::BIG
 
 
 def q_first_page_time(spark, sf):
-    p = posts_from_events(spark, sf)
+    p = posts_from_events(spark, sf).select("id", "time")
     out = ordering.time_until_nth_next(p, "time", fixed.FRONT_PAGE_ROWS, ["time", "id"])
     return out.select("id", "time_on_first_page")
 
@@ -157,7 +157,7 @@ SELECT id, lead(t, {fixed.FRONT_PAGE_ROWS}) OVER (ORDER BY t, id) - t AS time_on
 
 
 def q_rolling_median_30(spark, sf):
-    p = posts_from_events(spark, sf)
+    p = posts_from_events(spark, sf).select("id", "time", "score")
     out = ordering.rolling_median(p, "score", fixed.FRONT_PAGE_ROWS, ["time", "id"])
     return out.select("id", r6(F.col("average_score_of_posts_before")).alias("average_score_of_posts_before"))
 
@@ -1144,7 +1144,7 @@ def q_poisson_summary(spark, sf):
 
 def q_decision_tree_r2(spark, sf):
     from postlytics.operators.regress import decision_tree_r2
-    return decision_tree_r2(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL, "id", max_depth=10)
+    return decision_tree_r2(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL, "id")
 
 
 def _forest_data(spark, sf, kind):

@@ -18,6 +18,7 @@ from postlytics.operators.dedup import first_per_key, insert_or_ignore
 from postlytics.operators.html import html_to_text
 from postlytics.operators.textclean import clean_pages
 from postlytics.plans import fixed
+from postlytics.session import cut_lineage
 
 
 def join_snapshots(left: DataFrame, right: DataFrame, on: str = "id", how: str = "inner",
@@ -41,7 +42,9 @@ def infer_keywords(df: DataFrame, title_lists: dict, url_lists: dict,
 
 
 def keyword_reports(df: DataFrame, names: list[str], value: str = "score") -> dict:
-    """The D13 counts and D14 box summaries behind each keyword pass's chart."""
+    """The D13 counts and D14 box summaries behind each keyword pass's chart.  The
+    passes run once: their flags and the value are checkpointed for all reports."""
+    df = cut_lineage(df.select(value, *[f"contains_{name}" for name in names]))
     out = {}
     for name in names:
         flag = f"contains_{name}"

@@ -166,3 +166,17 @@ def test_backward_features(spark, n_rows):
                            bucket_rows=37, direction="backward")
     got = {r.id: (r.lead, r.med) for r in out.collect()}
     assert got == _brute_backward([(r.id, r.time, r.score) for r in df.collect()])
+
+
+def test_forward_features_of_wide_rows_equal_narrow_ones(spark):
+    """Columns beyond the order and value columns come back by a join on the order
+    columns, null keys included."""
+    rows = [(None if i == 7 else i, i % 50, float(i * 7 % 31), "x" * i) for i in range(300)]
+    wide = spark.createDataFrame(rows, "id long, time long, score double, body string")
+    made = {"leads": {"lead": "time"}, "medians": {"med": "score"}, "bucket_rows": 40, "num_partitions": 3}
+    got = forward_features(wide, ["time", "id"], 5, **made)
+    want = forward_features(wide.drop("body"), ["time", "id"], 5, **made)
+    assert got.columns == ["id", "time", "score", "body", "lead", "med"]
+    assert {r.id: (len(r.body), r.lead, r.med) for r in got.collect()} == {
+        r.id: (7 if r.id is None else r.id, r.lead, r.med) for r in want.collect()}
+    assert got.count() == 300
