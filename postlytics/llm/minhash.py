@@ -10,7 +10,11 @@ shingle ends when its next arrival comes later than the last component was taken
 Texts that agree in a band of components meet in a bucket.  There, each is paired
 with the bucket's two hubs (the texts first and last in an order that differs from
 band to band), so a bucket of n texts gives 2 n pairs at most and one of up to three
-texts all its pairs.  Pairs are verified on the texts by exact Jaccard similarity;
+texts all its pairs.  Larger buckets whose texts are then not yet of one class pair
+them with the text of most links, and what is still open is decided by an exact
+prefix filter: the texts of different classes that share one of their rarest shingles
+and whose sizes and places in the order allow the similarity.
+Pairs are verified on the texts by exact Jaccard similarity;
 verified pairs are links, and the classes are their connected components."""
 
 from __future__ import annotations
@@ -171,6 +175,92 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def _pairs(df: DataFrame, one: str, other: str) -> DataFrame:
+    """Distinct (a, b); b, the text that more pairs share, is found again in the next
+    row of a sorted join."""
+    return df.select(F.greatest(one, other).alias("a"), F.least(one, other).alias("b")).distinct()
+
+
+def _linked(pairs: DataFrame, shown: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts in ``shown`` (_t, text) are similar enough."""
+    return store(pairs.join(shown.select(F.col("_t").alias("a"), F.col("text").alias("_ta")), "a")
+                 .join(shown.select(F.col("_t").alias("b"), F.col("text").alias("_tb")), "b")
+                 .select("a", "b", "_ta", "_tb").mapInArrow(_verified(k, least), "a binary, b binary"), "verified")
+
+
+def _all_links(large: DataFrame, pairs: DataFrame, shown: DataFrame, k: int, least: float) -> DataFrame:
+    """The components (a, b) of all links between texts that share a bucket.  ``pairs``
+    are those with a hub; ``large`` (_bucket, _t) are the buckets that may hold others."""
+    found = _linked(pairs, shown, k, least)
+    links = components(found)
+    left = _open(large, links)
+    if left.isEmpty():
+        return links
+    degree = (found.select(F.col("a").alias("_t")).unionByName(found.select(F.col("b").alias("_t")))
+              .groupBy("_t").agg(F.count(F.lit(1)).alias("_links")))
+    first = F.max(F.struct(F.coalesce("_links", F.lit(0)).alias("n"), F.xxhash64("_bucket", "_t").alias("o"),
+                           F.col("_t").alias("t"), F.col("_class").alias("c")))
+    centre = left.join(degree, "_t", "left").groupBy("_bucket").agg(first.alias("_m"))
+    met = left.join(centre, "_bucket").where("_class <> _m.c").select("_t", F.col("_m.t").alias("_hub"))
+    links = _with(links, _linked(_pairs(met, "_t", "_hub"), shown, k, least))
+    left = _open(left.select("_bucket", "_t"), links).select("_t", "_class").distinct()
+    if left.isEmpty():
+        return links
+    return _with(links, _linked(_prefix_pairs(left, shown, k, least), shown, k, least))
+
+
+def _open(large: DataFrame, links: DataFrame) -> DataFrame:
+    """(_bucket, _t, _class): the buckets with texts of more than one class."""
+    named = large.join(links.select(F.col("a").alias("_t"), F.col("b").alias("_root")), "_t", "left").select(
+        "_bucket", "_t", F.coalesce("_root", "_t").alias("_class"))
+    mixed = named.groupBy("_bucket").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi")).where("_lo < _hi")
+    return store(named.join(mixed.select("_bucket"), "_bucket"), "open")
+
+
+def _with(links: DataFrame, more: DataFrame) -> DataFrame:
+    return links if more.isEmpty() else components(links.unionByName(more))
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                sh, doc, _ = weighted(*shingles(*byte_rows(batch, "text"), k))
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sh.view(np.int64)))], ["_t", "_s"])
+    return run
+
+
+def _prefix_pairs(names: DataFrame, shown: DataFrame, k: int, least: float, block: int = 256) -> DataFrame:
+    """All pairs (a, b) of texts of ``names`` (_t, _class) of different classes that can
+    have similarity ``least``.  In an order of all shingles, rare ones first, two such
+    texts share one of their first n - ceil(least n) + 1, and behind the first they share
+    enough are left for the overlap.  A frequent shingle's texts meet in blocks."""
+    sets = store(shown.join(names, "_t", "left_semi").mapInArrow(_sets(k), "_t binary, _s array<bigint>"), "sets")
+    held = sets.select("_t", F.explode("_s").alias("_h"))
+    often = held.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rank = F.struct(F.coalesce("_n", F.lit(1)).alias("n"), F.col("_h").alias("h"))
+    order = held.join(often, "_h", "left").groupBy("_t").agg(F.sort_array(F.collect_list(rank)).alias("_o"))
+    size = F.size("_o")
+    prefix = (order.select("_t", size.alias("_size"), F.posexplode(F.slice(
+        "_o", F.lit(1), (size - F.ceil(least * size - 1e-9) + 1).cast("int"))).alias("_pos", "_x"))
+        .where("_x.n > 1").select("_t", "_size", "_pos", F.col("_x.h").alias("_h")).join(names, "_t"))
+    prefix = store(prefix, "prefixes")
+    shared = (prefix.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.min("_class").alias("_lo"), F.max("_class").alias("_hi"))
+              .where("_lo < _hi").select("_h", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
+    prefix = prefix.join(shared, "_h")
+    one = prefix.select("_h", F.pmod(F.hash("_t"), F.col("_blocks")).alias("_block"), F.col("_t").alias("_ta"),
+                        F.col("_class").alias("_ca"), F.col("_size").alias("_na"), F.col("_pos").alias("_pa"))
+    other = prefix.select("_h", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("_t").alias("_tb"),
+                          F.col("_class").alias("_cb"), F.col("_size").alias("_nb"), F.col("_pos").alias("_pb"))
+    can = ((F.col("_ta") > F.col("_tb")) & (F.col("_ca") != F.col("_cb"))
+           & (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb") - 1e-9)
+           & (F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb"))
+              >= least / (1 + least) * (F.col("_na") + F.col("_nb")) - 1e-9))
+    return _pairs(one.join(other, ["_h", "_block"]).where(can), "_ta", "_tb")
+
+
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8,
                  n_bands: int = 24, rows: int = 4) -> DataFrame:
     """One row a row of ``df``: ``doc_id, class_id`` (the smallest id of its class),
@@ -179,8 +269,9 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are linked when the Jaccard similarity of their sets of ``k``-word shingles
     is ``least`` or more; a class is a connected component.  With 24 bands of 4 a pair
-    of similarity 0.8 is missed by all bands with probability 3e-6.  Copies (equal
-    word sequences) are one text from the start and never paired.
+    of similarity 0.8 is missed by all bands with probability 3e-6; whatever meets in a
+    band is decided, however large the bucket.  Copies (equal word sequences) are one
+    text from the start and never paired.
 
     Words are split at white space as they are.  A text of fewer than ``k`` words is
     one shingle; a text without words, null included, is a class of its own.  Rows
@@ -196,19 +287,14 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = texts.select("_t", F.explode("_bands").alias("_bucket"))
     turn = F.struct(F.xxhash64("_bucket", "_t").alias("o"), F.col("_t").alias("t"))
     hubs = met.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min(turn).alias("_lo"), F.max(turn).alias("_hi")).where("_n > 1")
-    paired = met.join(hubs.select("_bucket", F.array("_lo.t", "_hi.t").alias("_hubs")), "_bucket").select(
-        "_t", F.explode("_hubs").alias("_hub")).where("_t <> _hub")
-    # b, the text that more pairs share, is found again in the next row of a sorted join
-    pairs = store(paired.select(F.greatest("_t", "_hub").alias("a"), F.least("_t", "_hub").alias("b")).distinct(), "pairs")
+    met = store(met.join(hubs.select("_bucket", "_n", F.array("_lo.t", "_hi.t").alias("_hubs")), "_bucket"), "met")
+    pairs = store(_pairs(met.select("_t", F.explode("_hubs").alias("_hub")).where("_t <> _hub"), "_t", "_hub"), "pairs")
     ends = pairs.select(F.col("a").alias("_t")).unionByName(pairs.select(F.col("b").alias("_t"))).distinct()
     chosen = signed.where("_t is not null").groupBy("_t").agg(F.min("doc_id").alias("doc_id")).join(ends, "_t", "left_semi")
     shown = store(docs.join(chosen.select(F.col("_t").alias("_c"), F.col("doc_id").alias("_d")),
                             F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_c")), "left_semi")
                   .select("_t", "text"), "texts")
-    verified = (pairs.join(shown.select(F.col("_t").alias("a"), F.col("text").alias("_ta")), "a")
-                .join(shown.select(F.col("_t").alias("b"), F.col("text").alias("_tb")), "b")
-                .select("a", "b", "_ta", "_tb").mapInArrow(_verified(k, least), "a binary, b binary"))
-    links = components(verified)
+    links = _all_links(met.where("_n > 3").select("_bucket", "_t"), pairs, shown, k, least)
     member = signed.select("doc_id", "_t").join(links.select(F.col("a").alias("_t"), F.col("b").alias("_root")), "_t", "left")
     member = store(member.select(
         "doc_id", "_t", F.coalesce("_root", "_t").alias("_class"), F.monotonically_increasing_id().alias("_row")), "classes")

@@ -395,6 +395,37 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_classes(empty(spark)).count() == 0
 
 
+def edited(text, n, r):
+    w = text.split()
+    for i in r.sample(range(len(w)), n):
+        w[i] = "".join(r.choice("klmnopqr") for _ in range(8))
+    return " ".join(w)
+
+
+def test_near_duplicates_star_of_independent_copies(spark):
+    r = random.Random(23)
+    base = prose(250, r)
+    texts = [edited(base, 5, r) for _ in range(400)]  # 0.83 to the original, 0.7 to each other
+    texts.insert(200, base)
+    got = {x.doc_id: x.class_id for x in minhash.near_classes(table(spark, texts)).collect()}
+    assert got == dict(enumerate(slow_classes(texts)))
+
+
+def test_prefix_pairs_hold_every_link(spark):
+    r = random.Random(24)
+    base = prose(200, r)
+    family = [edited(base, 8, r) for _ in range(60)]
+    texts = family + [edited(t, r.randint(1, 6), r) for t in family] + [base, prose(3, r), prose(40, r)]
+    sets = [shingle_set(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    shown = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "_t binary, text string")
+    names = shown.select("_t", F.col("_t").alias("_class"))
+    for block in (256, 7):
+        got = {(x.a[0], x.b[0]) for x in minhash._prefix_pairs(names, shown, 5, 0.8, block).collect()}
+        assert want and want <= got
+        assert len(got) < len(texts) * (len(texts) - 1) / 4
+
+
 def test_near_duplicates_repeated_rows(spark):
     df = spark.createDataFrame([(2, BASE), (2, BASE), (None, BASE + " x"), (4, None), (4, " ")], "doc_id long, text string")
     got = minhash.near_classes(df).collect()
