@@ -1,11 +1,13 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A text is a weighted set: its word shingles, each with its number of occurrences.
-Each shingle is a Poisson process whose rate is its weight; each arrival falls into
-one of the signature's components, and a component keeps the shingle that arrives
-first.  Two texts agree in a component with the probability Jaccard similarity of
-their weighted sets.  The arrivals of all shingles are drawn round by round; a
-shingle ends when its next arrival comes later than the last component was taken.
+A text is the set of its word shingles, each of weight 1: verification compares
+sets, and a weight that counts occurrences would part texts that differ in a repeated
+line alone.  Each shingle is a Poisson process whose rate is its weight; each arrival
+falls into one of the signature's components, and a component keeps the shingle that
+arrives first.  Two texts agree in a component with the probability Jaccard similarity
+of their weighted sets, at equal weights the plain one.  The arrivals of all shingles
+are drawn round by round; a shingle ends when its next arrival comes later than the
+last component was taken.
 
 Texts that agree in a band of components meet in a bucket.  There, each is paired
 with the bucket's two hubs (the texts first and last in an order that differs from
@@ -120,7 +122,8 @@ def _signed(k: int, m: int, rows: int):
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 n = batch.num_rows
-                got = bands(signatures(*weighted(*shingles(*byte_rows(batch, "text"), k)), n, m), rows)
+                sh, doc, _ = weighted(*shingles(*byte_rows(batch, "text"), k))
+                got = bands(signatures(sh, doc, np.ones(len(sh)), n, m), rows)
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * got.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(got.ravel()))],

@@ -411,6 +411,16 @@ def test_near_duplicates_star_of_independent_copies(spark):
     assert got == dict(enumerate(slow_classes(texts)))
 
 
+def test_near_duplicates_ignore_how_often_a_line_stands(spark):
+    texts = []
+    for i in range(20):  # set Jaccard 0.93, probability Jaccard of the counts 0.33
+        r = random.Random(100 + i)
+        a = "".join(f"{r.choice(WORDS)}{j} " for j in range(200))
+        texts += [a, a + "\n" + "\n".join([" ".join(f"{r.choice(WORDS)}-{j}" for j in range(10))] * 40)]
+    got = {x.doc_id: x.class_id for x in minhash.near_classes(table(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(40)} == dict(enumerate(slow_classes(texts)))
+
+
 def test_prefix_pairs_hold_every_link(spark):
     r = random.Random(24)
     base = prose(200, r)
