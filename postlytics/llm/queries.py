@@ -28,7 +28,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(load(spark, sf_dir, "documents"))
+    return rules.rules_digest(rules.quality_rules(load(spark, sf_dir, "documents")))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,25 +66,26 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [base_stats(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
         cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)],
-            ["_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in cols)],
+            ["_row", "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
 def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row: ``_row`` (a hash of the id and text), ``doc_id`` and the five
-    counts.  A null text has no words."""
+    """One row a row: ``_row`` (a hash of the id and text), ``doc_id``, ``text`` and the
+    five counts.  A null text has no words."""
     small_batches(df.sparkSession)
     rows = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"), F.col(id_col).alias("doc_id"),
                      F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_stats, f"_row long, doc_id {kind}, n_words long, word_chars long, n_symbols long, "
+    return rows.mapInArrow(_stats, f"_row long, doc_id {kind}, text string, n_words long, word_chars long, n_symbols long, "
                                    "n_dup_lines long, n_repeat_words long")
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   min_line_docs: int = 10, max_line_share: float = 0.01, max_removed_share: float = 0.5) -> DataFrame:
     """One row a row of ``df``: ``doc_id``, the base statistics, ``base_failed``,
-    ``n_lines_removed``, ``removed_words`` and ``kept``.
+    ``n_lines_removed``, ``removed_words``, ``kept``, ``removed_lines`` (the places of the
+    removed lines, counted from 0) and ``text`` without them.
 
     A line is above its host's limit when more than ``min_line_docs`` distinct
     texts of the host hold it and more than ``max_line_share`` of all distinct
@@ -93,17 +94,17 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a document that loses more than ``max_removed_share`` of its words.
 
     All rows of a null host are one host; a null text has no lines and fails the
-    base rule; rows repeated with id and text get the same verdict each; an empty
-    table gives no rows.  Other columns are not read."""
+    base rule; rows repeated with id and text get the same verdict each; a null
+    text stays null; an empty table gives no rows.  Other columns are not read."""
     docs = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"), F.col(id_col).alias("doc_id"),
                      F.col(host_col).alias("_host"), F.xxhash64(F.col(text_col)).alias("_text"),
                      F.col(text_col).alias("text"))
-    line = F.explode(F.split("text", "\n")).alias("_raw")
+    line = F.posexplode(F.split("text", "\n")).alias("_at", "_raw")
     squeezed = F.trim(F.regexp_replace(F.lower("_raw"), r"[\x20\x09-\x0D]+", " "))
     lines = (docs.select("_row", "doc_id", "_host", "_text", line)
-             .select("_row", "doc_id", "_host", "_text", squeezed.alias("_line"))
+             .select("_row", "doc_id", "_host", "_text", "_at", squeezed.alias("_line"))
              .where("_line <> ''")
-             .select("_row", "doc_id", "_host", "_text", F.xxhash64("_line").alias("_hash"),
+             .select("_row", "doc_id", "_host", "_text", "_at", F.xxhash64("_line").alias("_hash"),
                      F.size(F.split("_line", " ")).alias("_words")))
     per_text = lines.select("_host", "_hash", "_text").distinct()
     held = per_text.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > min_line_docs)
@@ -111,21 +112,28 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     above = (held.join(hosts, held["_host"].eqNullSafe(hosts["_host"]))
              .where(F.col("_docs") > max_line_share * F.col("_host_docs"))
              .select(held["_host"].alias("_h"), F.col("_hash").alias("_k")))
+    # a set: a row repeated k times has each of its lines k times among the removed
     removed = (lines.join(above, lines["_host"].eqNullSafe(above["_h"]) & (lines["_hash"] == above["_k"]))
-               .groupBy("_row", "doc_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("_words").alias("_w")))
-    # a row repeated k times has each of its lines k times among the removed
-    copies = docs.groupBy("_row", "doc_id").agg(F.count(F.lit(1)).alias("_c"))
-    removed = removed.join(copies, removed["_row"].eqNullSafe(copies["_row"]) & removed["doc_id"].eqNullSafe(copies["doc_id"])).select(
-        removed["_row"].alias("_r"), removed["doc_id"].alias("_d"), (F.col("_n") / F.col("_c")).cast("long").alias("n_lines_removed"),
-        (F.col("_w") / F.col("_c")).cast("long").alias("removed_words"))
-    stats = text_stats(df, id_col, text_col)
+               .groupBy(F.col("_row").alias("_r"), F.col("doc_id").alias("_d"))
+               .agg(F.sort_array(F.collect_set(F.struct(F.col("_at").alias("at"), F.col("_words").alias("words")))).alias("_x")))
+    # split below the join, where a reader that drops the text drops the lines, too
+    stats = text_stats(df, id_col, text_col).withColumn("_parts", F.split("text", "\n")).drop("text")
     out = stats.join(removed, (stats["_row"] == removed["_r"]) & stats["doc_id"].eqNullSafe(removed["_d"]), "left")
-    lost = F.coalesce("removed_words", F.lit(0).cast("long"))
+    out = out.withColumn("removed_lines", F.coalesce(F.col("_x.at"), F.array().cast("array<int>")))
+    lost = F.coalesce(F.aggregate("_x", F.lit(0).cast("long"), lambda n, x: n + x["words"]), F.lit(0).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("removed_lines"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n")
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        F.coalesce("n_lines_removed", F.lit(0).cast("long")).alias("n_lines_removed"), lost.alias("removed_words"),
-        (~failed & (lost <= max_removed_share * F.col("n_words"))).alias("kept"))
+        F.size("removed_lines").cast("long").alias("n_lines_removed"), lost.alias("removed_words"),
+        (~failed & (lost <= max_removed_share * F.col("n_words"))).alias("kept"), "removed_lines",
+        F.when(F.col("_parts").isNotNull(), rest).alias("text"))
+
+
+def rules_digest(ruled: DataFrame) -> DataFrame:
+    """The counts and verdicts of ``quality_rules`` without its texts."""
+    return ruled.drop("removed_lines", "text")
 
 
 RULES_SQL = r"""

@@ -138,6 +138,23 @@ def test_rules_remove_lines_that_many_texts_of_a_host_share(spark):
     assert all(r.kept for i in range(30, 60) for r in got[i])  # copies of one text are not boilerplate
 
 
+def test_rules_give_the_text_without_the_removed_lines(spark):
+    own = [prose(60, random.Random(i)) for i in range(20)]
+    line = prose(25, random.Random(98))
+    texts = {i: f"\n{line}\n{own[i]} \n\n {line.upper()}\t\n" for i in range(20)} | {20: own[0], 21: None, 22: "", 23: "\n\n", 24: line}
+    rows = [(i, "a", t) for i, t in texts.items()] + [(0, "a", texts[0])]
+    got = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert len(got) == 26
+    for r in got:
+        t = texts[r.doc_id]
+        parts = (t or "").split("\n")
+        gone = [i for i, x in enumerate(parts) if x.strip().lower() == line]
+        want = None if t is None else "\n".join(x for i, x in enumerate(parts) if i not in gone)
+        assert (r.removed_lines, r.text, r.n_lines_removed) == (gone, want, len(gone)), r.doc_id
+        assert r.removed_words == len((t or "").split()) - len((r.text or "").split()) == 25 * len(gone)
+        assert r.kept == (r.doc_id <= 20)
+
+
 # -- 1 ---------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def smoke():
