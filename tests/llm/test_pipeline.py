@@ -36,6 +36,16 @@ def test_stages(spark):
         assert found[name].columns == C.COLUMNS
 
 
+def test_cuts_take_split_characters_only(spark):
+    hole = "".join(f"word{i} " for i in range(60))  # the characters around it share a byte in both texts
+    rows = [(1, f"one \ufffd \u00e9{hole}\u00e9 \ufffdend"), (2, f"two \ufffd\u0129{hole}\u00e8 \ufffd\ufffd"), (3, "\ufffd alone"), (4, None), (5, hole)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in C.without_repeats(spark, docs, SF).collect()}
+    want = {1: "one \ufffd  \ufffdend", 2: "two \ufffd \ufffd\ufffd", 3: "\ufffd alone", 4: None, 5: ""}
+    assert {i: t for i, (t, _) in got.items()} == want
+    assert all(n == (None if t is None else len(t)) for t, n in got.values())
+
+
 def test_run_and_registration(spark):
     names = set(E.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names
