@@ -4,7 +4,7 @@ buffers and the held-out rule."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,24 @@ def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[pa
         at = end
 
 
+_kept: dict = {}
+
+
+def worker_table(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` builds, kept by the Python worker for its next tasks.  A worker
+    keeps one table: another operator's goes first, so that the stages of one
+    application do not add up in reused workers."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def free_tables() -> None:
+    """Drop the table that this Python worker keeps."""
+    _kept.clear()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows, so that a batch of long texts
     stays within a Python worker's memory."""

@@ -20,24 +20,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from postlytics.llm.common import slices, small_batches, store
+from postlytics.llm.common import slices, small_batches, store, worker_table
 from postlytics.llm.tokens import ID, ByteBpe
 
-_tables: dict[str, ByteBpe] = {}
-
-
-def worker_table(path: str) -> ByteBpe:
-    """The unit table of a tokenizers file, one a Python worker."""
-    if path not in _tables:
-        _tables[path] = ByteBpe(path)
-    return _tables[path]
-
 
 def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                     end_id: int = 1, capacity: int = 2048) -> DataFrame:
+                     end_id: int = 1, capacity: int = 2048, units: type[ByteBpe] = ByteBpe) -> DataFrame:
     """One row a piece: ``_key`` (unique), ``doc_id``, ``start``, ``length``,
     ``doc_tokens``, ``ids`` (little-endian 32-bit).  All pieces of a document but
-    its last have ``capacity`` ids."""
+    its last have ``capacity`` ids.  ``units`` is the table class that fits the file."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType
@@ -45,7 +36,7 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (TaskContext.get().partitionId() << 40) - 1
-        table = worker_table(tokenizer)
+        table = worker_table(tokenizer, lambda: units(tokenizer))
         for whole in batches:
             for batch in slices(whole, "text"):
                 docs = [table.ids(t) for t in batch.column(1).to_pylist()]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlytics.llm import chat, exact, lang_id, minhash, packing, pieces, quality, rules, suffix, warc
+from postlytics.llm import (chat, divergence, exact, lang_id, minhash, packing, pieces, quality, rules, spelling, squares,
+                            suffix, warc)
 from postlytics.llm.common import held_out, scratch_path
 from postlytics.sources.tables import load
 
@@ -67,12 +68,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces_digest(pieces.encode_pieces(load(spark, sf_dir, "documents"), path), path)
 
 
+def op11_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return squares.pack_squares(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"),
+                                carry={"ids_crc32": F.crc32("ids")})
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(load(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_language_id, op2_chat_format, op3_quality_rules, op4_quality_classifier, op5_suffix_dedup, op6_packing, op7_exact_dedup, op8_warc,
-        op9_near_duplicates, op10_sentencepiece)}
+        op9_near_duplicates, op10_sentencepiece, op11_squares_packing, op12_spelling_variants, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_chat_format": chat.CHAT_SQL, "op3_quality_rules": rules.RULES_SQL, "op7_exact_dedup": exact.EXACT_SQL,
-            "op8_warc": warc.WARC_SQL}
+            "op8_warc": warc.WARC_SQL, "op12_spelling_variants": spelling.SPELLING_SQL, "op13_source_divergence": divergence.DIVERGENCE_SQL}

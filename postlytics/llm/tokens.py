@@ -45,6 +45,8 @@ class UnitCache:
 
 _BORDER = re.compile(r"(?<=\S) ")
 _ODD = re.compile(r"\s ")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_UNSURE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\v\f\r"]
 FRONT = "\0"  # marks a unit without a space in front
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"  # always cut off from a letter in front of them
 
@@ -105,3 +107,26 @@ class ByteBpe(dict):
         units = _BORDER.split(text) if _ODD.search(text) else text.split(" ")
         units[0] = FRONT + units[0]
         return b"".join(map(self.__getitem__, units))
+
+
+class WordBpe(ByteBpe):
+    """A tokenizers file whose words end in a mark and which drops white space and
+    capitals (splits at white space, then between letters, digits and other signs),
+    as a table of units: what stands between white space.  White space has no
+    canonical composition, so every unit is normalised as it is in the text.  A unit
+    of plain letters is encoded by the model alone, letters and marks behind them as
+    those two, any other unit as a text."""
+
+    def unit_ids(self, unit: str) -> bytes:
+        if unit.isalpha() and max(unit) <= "\xff":
+            seen = unit.lower().encode().decode("latin-1").translate(self.alphabet)
+            return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        stem = unit.rstrip(MARKS)
+        if len(stem) < len(unit) and stem.isalpha():
+            return self[stem] + self[unit[len(stem):]]
+        return array("I", self.tok.encode(unit, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        # only what both Python and the file's pattern take for white space may part units
+        units = _WORD.findall(text) if any(c in text for c in _UNSURE) else text.split()
+        return b"".join(map(self.__getitem__, units))

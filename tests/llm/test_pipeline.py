@@ -49,6 +49,6 @@ def test_cuts_take_split_characters_only(spark):
 def test_run_and_registration(spark):
     names = set(E.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     out = C.run(spark, SF)
     assert out.count() > 0 and {"sequence_id", "offset", "ids"} <= set(out.columns)
