@@ -80,7 +80,8 @@ def kept_counts(base: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     counts = store(base.where("digest IS NOT NULL").groupBy("lang", "source", "digest").agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
     often = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    names = store(base.select("digest", "term").join(often.select("digest"), "digest", "left_semi").groupBy("digest").agg(
+    often = store(often.select("digest").distinct(), "divergence-often")  # its size is known, so Spark can pick the join
+    names = store(base.select("digest", "term").join(often, "digest", "left_semi").groupBy("digest").agg(
         F.min("term").alias("low"), F.max("term").alias("high")), "divergence-names")
     counts = counts.withColumn("slot", F.lit(0))
     shared = names.where("low <> high").select("digest")
