@@ -20,15 +20,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from postlytics.llm.common import slices, small_batches, store, worker_table
+from postlytics.llm.common import free_tables, slices, small_batches, store, worker_table
 from postlytics.llm.tokens import ID, ByteBpe
 
 
 def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                     end_id: int = 1, capacity: int = 2048, units: type[ByteBpe] = ByteBpe) -> DataFrame:
+                     end_id: int = 1, capacity: int = 2048, units: type[ByteBpe] = ByteBpe, keep_table: bool = True) -> DataFrame:
     """One row a piece: ``_key`` (unique), ``doc_id``, ``start``, ``length``,
     ``doc_tokens``, ``ids`` (little-endian 32-bit).  All pieces of a document but
-    its last have ``capacity`` ids.  ``units`` is the table class that fits the file."""
+    its last have ``capacity`` ids.  ``units`` is the table class that fits the file;
+    without ``keep_table`` a worker drops its table when a partition ends, so that the
+    next operator of an application finds the memory free."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType
@@ -55,6 +57,8 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                      pa.array([len(x) // ID.itemsize for x in ids], pa.int64()), pa.array(total, pa.int64()),
                      pa.array(ids, pa.binary())],
                     ["_key", "doc_id", "start", "length", "doc_tokens", "ids"])
+        if not keep_table:
+            free_tables()
 
     return rows.mapInArrow(run, f"_key long, doc_id {kind.simpleString()}, start long, length long, "
                                 "doc_tokens long, ids binary")
@@ -152,7 +156,7 @@ class Places:
 
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
-         capacity: int = 2048, rows_a_bucket: int = 20_000) -> DataFrame:
+         capacity: int = 2048, rows_a_bucket: int = 20_000, keep_table: bool = True) -> DataFrame:
     """One row a piece of a document: ``doc_id, start, length, ids, doc_tokens,
     sequence_id, offset``.  The pieces of a sequence lie gapless from offset 0;
     every sequence holds ``capacity`` ids but at most one, the last of the tail.
@@ -164,7 +168,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     The tokenised pieces are written once to the shared scratch folder.  Ranks are
     counted in buckets of about ``rows_a_bucket`` rows of one length, so a length
     that a third of all documents share is still many groups."""
-    pieces = store(tokenised_pieces(df, tokenizer, id_col, text_col, end_id, capacity), "packing-pieces")
+    pieces = store(tokenised_pieces(df, tokenizer, id_col, text_col, end_id, capacity, keep_table=keep_table), "packing-pieces")
     rests = pieces.where(F.col("length") < capacity).select("_key", "length")
     counts = {r[0]: r[1] for r in rests.groupBy("length").count().collect()}  # under capacity rows
     patterns, left = plan(counts, capacity)

@@ -30,11 +30,14 @@ from postlytics.llm.minhash import mix
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _OTHER = 0xC2B2AE3D27D4EB4F | 1
+PART = 1 << 18  # bytes of text that are hashed at once
+POSITION = np.uint64((1 << 20) - 1)  # bits of a place among the grams of a part
 _tables: dict[int, list[np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base`` to 0 .. n and the inverses, modulo 2^64."""
+    """``base`` to 0 .. n and the inverses, modulo 2^64.  A worker keeps those that a
+    part of a text needs; longer ones are made anew."""
     found = _tables.get(base)
     if found is None or len(found[0]) <= n:
         size = 1 << max(16, int(n).bit_length())
@@ -46,7 +49,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 p[done:2 * done] = p[:done] * np.uint64(pow(b, done, 1 << 64))
                 done *= 2
             found.append(p)
-        _tables[base] = found
+        if size <= 4 * PART:
+            _tables[base] = found
     return found[0], found[1]
 
 
@@ -65,15 +69,16 @@ class Prefix:
 
 def segments(raw: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     """(row, start in the row, n, anchor, content, times) of the segments of the rows
-    of ``raw``.  A segment has ``n`` window starts; ``times`` successive equal ones (a
-    periodic text) are one entry."""
+    of ``raw``, at most about ``PART`` bytes.  A segment has ``n`` window starts;
+    ``times`` successive equal ones (a periodic text) are one entry.  Of a gram's hash
+    the same bits count in every part, so equal windows have equal anchors wherever
+    they stand."""
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     if len(raw) < window:
         return none
     prefix, w = Prefix(raw), window - k + 1
     grams = mix((prefix.sums[k:] - prefix.sums[:-k]) * prefix.inverse[:len(raw) - k + 1])
-    bits = np.uint64((1 << int(len(grams)).bit_length()) - 1)
-    least = (grams & ~bits) | np.arange(len(grams), dtype=np.uint64)
+    least = (grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while span < w:  # least over ``span`` grams, by doubling
         step = min(span, w - span)
@@ -91,7 +96,7 @@ def segments(raw: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple[
         return none
     ends = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
     n = ends - at
-    anchor = grams[(least[at] & bits).astype(np.int64)]
+    anchor = grams[(least[at] & POSITION).astype(np.int64)]
     content = mix(prefix.hash(at, n + window - 1))
     row = np.searchsorted(bounds, at, side="right") - 1
     fresh = np.ones(len(at), bool)
@@ -102,7 +107,7 @@ def segments(raw: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple[
     return row[first], (at - bounds[row])[first], n[first], anchor[first], content[first], times
 
 
-def text_parts(batch: pa.RecordBatch, window: int, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def text_parts(batch: pa.RecordBatch, window: int, most: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The texts of a batch as (raw, bounds, row of the batch, offset in that row).
     A text over ``most`` bytes comes in parts that share ``window`` - 1 bytes, so that
     each window start is in one of them."""
@@ -323,15 +328,31 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _begin(data: bytes, at: int) -> int:
+    """Where the character that holds byte ``at`` begins."""
+    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def _end(data: bytes, at: int) -> int:
+    """``at``, or where the character ends that stands across it."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, k: int = 73,
-                   hot: int = 4000, rows_a_task: int = 20_000, carry: list[str] | None = None) -> DataFrame:
+                   hot: int = 4000, rows_a_task: int = 20_000, carry: list[str] | None = None,
+                   whole_chars: bool = False) -> DataFrame:
     """One row a row of ``df``: ``doc_id``, the columns of ``carry``, ``kept`` (binary,
     the text's UTF-8 bytes without the removed ones), ``spans`` (array of struct a, b:
     the maximal removed runs) and ``n_bytes``.
 
     A byte is removed when a string of ``window`` bytes that covers it starts at
     another place of the same or another row; all strings are judged on the input.
-    Cuts may fall inside a character.  A null text is empty; texts under ``window``
+    Cuts may fall inside a character; with ``whole_chars`` a character that a cut has
+    split goes (at most 3 bytes a side of a run).  A null text is empty; texts under ``window``
     bytes are kept whole; rows repeated with id and text are copies of each other,
     so their long texts go; an empty table gives no rows."""
     spark, carry = df.sparkSession, carry or []
@@ -378,6 +399,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept, removed = [], []
                 for i, found in enumerate(batch.column(batch.schema.get_field_index("spans")).to_pylist()):
                     data, gone, at, rest = raw[bounds[i]:bounds[i + 1]].tobytes(), merged(found), 0, []
+                    if whole_chars:
+                        gone = merged([{"a": _begin(data, a), "b": _end(data, b)} for a, b in gone])
                     for a, b in gone:
                         rest.append(data[at:a])
                         at = b
