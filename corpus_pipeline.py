@@ -6,17 +6,19 @@ kept.  ``run`` writes each stage's result to the shared scratch folder and rerea
 for the next, so that a lost executor repeats one stage's tasks at most.
 
 No SQL twin: the classifier and the near-duplicate stage cannot be expressed in SQL;
-``tests/llm`` compares the stages with brute force."""
+``tests/llm`` compares the stages with brute force.
 
-from __future__ import annotations
+Every stage handles a null in any column, empty and very long texts, repeated rows, an
+empty table and further columns (which it leaves out): a null text is scored and
+deduplicated as empty, stays null through the cuts and is packed as the end id alone;
+a null id is an id like any other, the last among equals."""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlytics.llm import exact, minhash, packing, quality, suffix
-from postlytics.llm.common import byte_rows, held_out, slices, store
+from postlytics.llm.common import held_out, store
 from postlytics.llm.queries import vocabulary
 from postlytics.sources.tables import load
 
@@ -55,34 +57,15 @@ def _rows(docs: DataFrame, key: str, decided: DataFrame) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes or more that stand anywhere else too.  A
     character that a cut has split goes; a text that is all repeated stays, empty."""
-    cut = suffix.remove_repeats(docs.select(*COLUMNS), carry=["text", "lang", "source"])
-    kinds = ", ".join(f"{c} {cut.schema[c].dataType.simpleString()}" for c in ["doc_id", "text", "lang", "source"])
-    cut = cut.select("doc_id", "text", "lang", "source", "spans").mapInArrow(_whole_characters, f"{kinds}, _left binary")
-    text = F.coalesce(F.col("_left").cast("string"), F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_left``: the bytes outside the spans, each widened to whole characters (by at
-    most 3 bytes a side); null without spans."""
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            raw, bounds = byte_rows(batch, "text")
-            left = []
-            for i, spans in enumerate(batch.column(4).to_pylist()):
-                data, at, rest = raw[bounds[i]:bounds[i + 1]].tobytes(), 0, []
-                for a, b in ((s["a"], s["b"]) for s in spans):
-                    a -= next((j for j in range(4) if a == len(data) or data[a - j] & 0xC0 != 0x80), 0)
-                    b += next((j for j in range(4) if b + j >= len(data) or data[b + j] & 0xC0 != 0x80), 0)
-                    rest.append(data[at:a])
-                    at = max(at, b)
-                left.append(b"".join([*rest, data[at:]]) if spans else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(left, pa.binary())], ["doc_id", "text", "lang", "source", "_left"])
+    docs = docs.select(*COLUMNS).withColumn("_none", F.col("text").isNull())
+    cut = suffix.remove_repeats(docs, carry=["lang", "source", "_none"], whole_chars=True)
+    return (cut.withColumn("text", F.when(~F.col("_none"), F.col("kept").cast("string")))
+            .withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences, with their ids."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), keep_table=False)
 
 
 STAGES = [("quality classifier", good_quality), ("exact dedup", one_of_equal), ("near-duplicates", one_of_near),
