@@ -6,7 +6,7 @@ over the few symbols) to the vocabulary, which is keyed by its own reduced forms
 Whatever is one edit apart in letters is at most one edit apart in symbols, so the join
 on the key misses nothing; the original strings decide each pair that meets.  The
 neighbourhood has (2 length + 1) x symbols entries, where the letters' own alphabet would
-give hundreds of times as many.  A key is a polynomial hash of the reduced string,
+give ten times as many; fewer symbols make more words meet for nothing.  A key is a polynomial hash of the reduced string,
 computed for an edit from the hashes in front of and behind it, so a long word costs
 its length and not its square.
 
@@ -153,7 +153,7 @@ def _keyed(words: DataFrame, symbols: int, edits: bool) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, _key long")
 
 
-def near_words(words: DataFrame, symbols: int = 8) -> DataFrame:
+def near_words(words: DataFrame, symbols: int = 5) -> DataFrame:
     """``word, near, near_n``: all ordered pairs of ``words`` (word, n; distinct words of
     one code point or more) that differ by one inserted, deleted or replaced code point."""
     own = _keyed(words, symbols, False).select(F.col("word").alias("near"), F.col("n").alias("near_n"), "_key").hint("shuffle_hash")
@@ -162,7 +162,7 @@ def near_words(words: DataFrame, symbols: int = 8) -> DataFrame:
             .dropDuplicates(["word", "near"]))  # two edits of one word could share a hash
 
 
-def spelling_variants(words: DataFrame, symbols: int = 8, ratio: int = 2) -> DataFrame:
+def spelling_variants(words: DataFrame, symbols: int = 5, ratio: int = 2) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` for each row of ``words`` (word, n;
     distinct, of one code point or more).  The form is the near word of largest n, the
     first in code-point order among equals, if its n is at least ``ratio`` (2 or more)
