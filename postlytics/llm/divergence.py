@@ -17,7 +17,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlytics.llm.common import byte_rows, free_tables, slices, store
@@ -26,30 +28,55 @@ from postlytics.llm.common import byte_rows, free_tables, slices, store
 # in UTF-8 these are the bytes of the letters and all bytes from 0x80 on
 TERM_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 SCALE = 1_000_000_000
+DOC = 1 << 40  # a task counts documents in steps of this and occurrences below it
 
 TERM = ["lang", "digest", "slot"]
 
 
+def term_digest(term: bytes) -> int:
+    return xxhash.xxh64_intdigest(term)
+
+
 def task_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                most: int = 200_000) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences and documents of each term, added
-    up in each task; a table of ``most`` terms is sent on and begun anew.  A group's
-    row with a null term says that it occurs."""
+                digest: Callable[[bytes], int] = term_digest, strings: bool = False, most: int = 300_000) -> DataFrame:
+    """``lang, source, digest, n, docs, term``: occurrences and documents of each term's
+    digest, added up in each task; a table of ``most`` entries is sent on and begun anew.
+    The strings come in rows of their own (digest and term, no language), once a task
+    as far as its table of digests reaches; a group's row without a digest says that it
+    occurs.  With ``strings`` every row has its term and there are no rows of strings
+    alone."""
     rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a)
                        for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
+    names = ["lang", "source", "digest", "n", "docs", "term"]
 
-    def out(counts: dict) -> Iterator[pa.RecordBatch]:
+    def out(counts: dict, digests: dict) -> Iterator[pa.RecordBatch]:
+        new = []
         for (lang, source), terms in counts.items():
-            k = len(terms) + 1
+            ids = [None]
+            for term in terms:
+                found = digests.get(term)
+                if found is None:
+                    found = digests[term] = digest(term) & (1 << 64) - 1
+                    new.append(term)
+                ids.append(found)
+            both = np.array([0, *terms.values()], np.int64)
+            k = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()),
-                 pa.array([None, *terms], pa.binary()).cast(pa.string()),
-                 pa.array([0, *(x[0] for x in terms.values())], pa.int64()), pa.array([0, *(x[1] for x in terms.values())], pa.int64())],
-                ["lang", "source", "term", "n", "docs"])
+                [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(ids, pa.uint64()).view(pa.int64()),
+                 pa.array(both % DOC), pa.array(both // DOC),
+                 pa.array([None, *terms], pa.binary()).cast(pa.string()) if strings else pa.nulls(k, pa.string())], names)
+        if strings:
+            return
+        none = [pa.nulls(len(new), t) for t in (pa.string(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(
+            [none[0], none[0], pa.array([digests[t] for t in new], pa.uint64()).view(pa.int64()), none[1], none[1],
+             pa.array(new, pa.binary()).cast(pa.string())], names)
+        if len(digests) > 2 * most:
+            digests.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_tables()
-        counts, held = {}, 0
+        counts, digests, held = {}, {}, 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 raw, bounds = byte_rows(batch, "text")
@@ -57,41 +84,36 @@ def task_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
                     terms = counts.setdefault(group, {})
                     held -= len(terms)
                     for term, k in Counter(raw[bounds[i]:bounds[i + 1]].tobytes().translate(TERM_BYTES).split()).items():
-                        if term in terms:
-                            found = terms[term]
-                            found[0] += k
-                            found[1] += 1
-                        else:
-                            terms[term] = [k, 1]
+                        terms[term] = terms.get(term, 0) + DOC + k
                     held += len(terms)
                     if held >= most:
-                        yield from out(counts)
+                        yield from out(counts, digests)
                         counts, held = {}, 0
-        yield from out(counts)
+        yield from out(counts, digests)
 
-    return rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return rows.mapInArrow(run, "lang string, source string, digest long, n long, docs long, term string")
 
 
-def kept_counts(base: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+def kept_counts(base: DataFrame, min_docs: int, recount: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """From the stored task counts with digests: ``lang, source, digest, slot, n, n_lang``
     of the terms in at least ``min_docs`` documents of the language, and the names
     ``digest, slot, term``.  Slot 0 is a digest that one string has; the strings of a
-    shared digest are numbered from 1."""
-    counts = store(base.where("digest IS NOT NULL").groupBy("lang", "source", "digest").agg(
+    shared digest are numbered from 1, and ``recount`` gives their counts in a second
+    pass over the texts, by string."""
+    counts = store(base.where("lang IS NOT NULL AND digest IS NOT NULL").groupBy("lang", "source", "digest").agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
     often = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     often = store(often.select("digest").distinct(), "divergence-often")  # its size is known, so Spark can pick the join
-    names = store(base.select("digest", "term").join(often, "digest", "left_semi").groupBy("digest").agg(
+    strings = base.where("term IS NOT NULL").select("digest", "term")
+    names = store(strings.join(often, "digest", "left_semi").groupBy("digest").agg(
         F.min("term").alias("low"), F.max("term").alias("high")), "divergence-names")
     counts = counts.withColumn("slot", F.lit(0))
     shared = names.where("low <> high").select("digest")
     names = names.where("low = high").select("digest", F.lit(0).alias("slot"), F.col("low").alias("term"))
     if not shared.isEmpty():
-        mixed = base.join(shared, "digest", "left_semi")
-        slots = store(mixed.select("digest", "term").distinct().withColumn(
+        slots = store(strings.join(shared, "digest", "left_semi").distinct().withColumn(
             "slot", F.row_number().over(Window.partitionBy("digest").orderBy("term"))), "divergence-slots")
-        parted = mixed.join(slots, ["digest", "term"]).groupBy("lang", "source", "digest", "slot").agg(
-            F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        parted = recount(slots).groupBy("lang", "source", "digest", "slot").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         counts = counts.join(shared, "digest", "left_anti").unionByName(parted)
         names = names.unionByName(slots.select("digest", "slot", "term"))
     kept = counts.groupBy(*TERM).agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= min_docs)
@@ -110,7 +132,7 @@ def gap(p: Column, q: Column) -> Column:
 
 
 def source_divergence(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                      min_docs: int = 10, top: int = 10, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+                      min_docs: int = 10, top: int = 10, digest: Callable[[bytes], int] = term_digest) -> DataFrame:
     """``lang, source, part, item, value, rank``.  Part ``pair``: each other source of
     the language and the sum of ``gap`` over all kept terms; part ``term``: the ``top``
     terms that the source has more of than its language.
@@ -119,11 +141,15 @@ def source_divergence(df: DataFrame, text_col: str = "text", lang_col: str = "la
     either has (from the counts of its distinct shares) and for those that both have (a
     join on the term), so that no row is made for a term that neither has.  A language
     with s sources has s (s - 1) rows of part ``pair``; that many is the result itself."""
-    base = store(task_counts(df, text_col, lang_col, source_col).withColumn(
-        "digest", F.when(F.col("term").isNotNull(), digest(F.col("term")))), "divergence-base")
-    kept, names = kept_counts(base, min_docs)
+    base = store(task_counts(df, text_col, lang_col, source_col, digest), "divergence-base")
+
+    def recount(slots: DataFrame) -> DataFrame:
+        texts = task_counts(df, text_col, lang_col, source_col, digest, strings=True)
+        return texts.drop("digest").join(slots, "term")
+
+    kept, names = kept_counts(base, min_docs, recount)
     size = kept.select(*TERM, "n_lang").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n_lang").alias("total_lang"))
-    groups = (base.select("lang", "source").distinct()
+    groups = (base.where("lang IS NOT NULL").select("lang", "source").distinct()
               .join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
               .join(size, "lang", "left").na.fill(0, ["total", "terms", "total_lang"])
               .withColumn("rest", F.when(F.col("terms") > 0, share(F.lit(0), F.col("total"), F.col("terms")))))  # of an absent term

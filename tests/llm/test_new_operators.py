@@ -241,7 +241,7 @@ def test_source_divergence(spark, few):
     """With few digests nearly all terms share one and are split by string."""
     rows = divergence_rows()
     df = spark.createDataFrame([(i, *r, 1, "k") for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n int, term string")
-    digest = F.xxhash64 if few is None else lambda t: F.pmod(F.xxhash64(t), F.lit(few))
+    digest = divergence.term_digest if few is None else lambda t: divergence.term_digest(t) % few
     got = divergence.source_divergence(df.repartition(5), min_docs=4, top=3, digest=digest).collect()
     assert len(got) == len({tuple(r) for r in got})
     assert {tuple(r) for r in got} == slow_divergence(rows, 4, 3)
@@ -249,6 +249,24 @@ def test_source_divergence(spark, few):
         assert divergence.source_divergence(df.limit(0)).count() == 0
 
 
+def test_divergence_of_small_task_tables(spark):
+    rows = divergence_rows()
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
+    made = divergence.task_counts(df, most=5).collect()
+    n, docs = Counter(), Counter()
+    names = {r.digest: r.term for r in made if r.term is not None}
+    for r in made:
+        if r.lang is not None and r.digest is not None:
+            n[r.lang, r.source, names[r.digest]] += r.n
+            docs[r.lang, r.source, names[r.digest]] += r.docs
+    want, seen = Counter(), Counter()
+    for text, lang, source in rows:
+        terms = [t.translate(UPPER) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        want.update((lang or "", source or "", t) for t in terms)
+        seen.update((lang or "", source or "", t) for t in set(terms))
+    assert (n, docs) == (want, seen)
+
+
 def test_share_is_exact_for_large_counts(spark):
     n, total, terms = 123_456_789_012_345, 987_654_321_098_765, 12_345
     got = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(terms)).alias("p")).first().p
