@@ -3,88 +3,30 @@
 All of them are hash aggregations with map-side partial aggregation, so a hot
 group key is reduced before the shuffle.
 
-Exact medians and quantiles first count rows per group (a partial aggregation;
-``method`` overrides): groups above ``HOT_GROUP_ROWS`` rows -- a group holding a
-third of all rows -- use rank selection (``ordering.group_quantiles``, no per-group
-state, the group spread over many tasks); every other group uses ``percentile``,
-whose value -> count map is then bounded by ``HOT_GROUP_ROWS``.  Without a hot
-group the plan is the plain one-aggregation plan.  Only byte and short columns
-always use ``percentile``: they have at most 65,536 values.  ``exact=False`` gives
-``percentile_approx``.  All paths give the same interpolation.
+Exact medians and quantiles come from sketch brackets (``quantiles``), one plan for
+groups of any size and columns of any numeric type; ``exact=False`` gives
+``percentile_approx``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ByteType, ShortType
 
 from postlytics.functions._util import as_col
 from postlytics.functions.binning import cut
-from postlytics.operators.ordering import group_quantiles
+from postlytics.operators.quantiles import bracket_quantiles, column_quantiles
 
 
-def _median(value, exact: bool = True) -> Column:
-    v = as_col(value)
-    return F.median(v) if exact else F.percentile_approx(v, 0.5, 10000).cast("double")
-
-
-HOT_GROUP_ROWS = 500_000     # above this many rows a group's quantiles use rank selection
-HOT_GROUP_LIST = 10_000      # hot group hashes kept as a literal set; beyond, all groups use rank
-
-
-def quantile_method(df: DataFrame, value: str, exact: bool = True, method: str | None = None,
-                    group: list[str] | None = None) -> tuple[str, list | None]:
-    """(method, hot group hashes): "map" (percentile), "rank" (rank selection
-    for every group), "split" (rank for the hot groups listed, map for the rest)
-    or "approx"."""
-    if method:
-        return method, None
-    if not exact:
-        return "approx", None
-    if isinstance(df.schema[value].dataType, (ByteType, ShortType)):
-        return "map", None
-    if group is None:
-        return "rank", None
-    hot = _hot_hashes(df, group, value)
-    if not hot:
-        return "map", None
-    return ("rank", None) if hot == "all" else ("split", hot)
-
-
-def _group_hash(group: list[str]) -> Column:
-    return F.xxhash64(*[F.col(g) for g in group])
-
-
-def _hot_hashes(df: DataFrame, group: list[str], value: str):
-    """Hashes of the groups with more than HOT_GROUP_ROWS values (one partial
-    aggregation; at most HOT_GROUP_LIST + 1 rows reach the driver), or "all"."""
-    hot = (df.where(F.col(value).isNotNull()).groupBy(_group_hash(group).alias("_h"))
-             .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_GROUP_ROWS)
-             .select("_h").limit(HOT_GROUP_LIST + 1).collect())
-    if len(hot) > HOT_GROUP_LIST:
-        return "all"
-    return sorted(r._h for r in hot)
-
-
-def quantile_table(src: DataFrame, group: list[str], value: str, probs: list[float],
-                   method: str, hot: list | None = None) -> DataFrame:
-    """(group..., _q array<double>) for method "rank", or "split" with the hot
-    group hashes (a hash collision only sends a cold group to the exact rank path)."""
-    if method == "rank" or not hot:
-        return group_quantiles(src, group, value, probs, "_q")
-    is_hot = _group_hash(group).isin(hot)
-    cold = (src.where(~is_hot).groupBy(*group)
-               .agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_q")))
-    return cold.unionByName(group_quantiles(src.where(is_hot), group, value, probs, "_q"))
+def _approx_median(value) -> Column:
+    return F.percentile_approx(as_col(value), 0.5, 10000).cast("double")
 
 
 def with_group_quantiles(per_group: DataFrame, src: DataFrame, group: list[str], value: str,
-                         probs: list[float], names: list[str], method: str = "rank",
-                         hot: list | None = None) -> DataFrame:
+                         probs: list[float], names: list[str]) -> DataFrame:
     """Left-join quantiles of ``src.value`` per group onto a frame with one row
     per group (null-safe on the keys); a group without values gets nulls, as
     with ``percentile``."""
-    q = quantile_table(src, group, value, probs, method, hot)
+    q = bracket_quantiles(src, group, value, probs)
     q = q.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], "_q")
     cond = [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]
     j = per_group.join(q, cond, "left")
@@ -92,24 +34,21 @@ def with_group_quantiles(per_group: DataFrame, src: DataFrame, group: list[str],
 
 
 def attach_group_median(df: DataFrame, ref: DataFrame, key: str, value: str, name: str,
-                        exact: bool = True, method: str | None = None) -> DataFrame:
+                        exact: bool = True) -> DataFrame:
     """D3 + C2: median of ``value`` per ``key`` in ``ref``, left-joined onto ``df``."""
-    m, hot = quantile_method(ref, value, exact, method, [key])
-    if m in ("rank", "split"):
-        med = quantile_table(ref, [key], value, [0.5], m, hot).select(key, F.col("_q")[0].alias(name))
+    if exact:
+        med = bracket_quantiles(ref, [key], value, [0.5]).select(key, F.col("_q")[0].alias(name))
     else:
-        med = ref.groupBy(key).agg(_median(value, m == "map").alias(name))
+        med = ref.groupBy(key).agg(_approx_median(value).alias(name))
     return df.join(med, key, "left")
 
 
-def group_stat(df: DataFrame, key: str, value: str, how: str, name: str,
-               exact: bool = True, method: str | None = None) -> DataFrame:
+def group_stat(df: DataFrame, key: str, value: str, how: str, name: str, exact: bool = True) -> DataFrame:
     """Mean or median of ``value`` per ``key``."""
-    m, hot = quantile_method(df, value, exact, method, [key]) if how == "median" else ("map", None)
-    if m in ("rank", "split"):
+    if how == "median" and exact:
         keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).drop("_c")
-        return with_group_quantiles(keys, df, [key], value, [0.5], [name], m, hot)
-    fn = {"mean": lambda: F.avg(value), "median": lambda: _median(value, m == "map")}[how]
+        return with_group_quantiles(keys, df, [key], value, [0.5], [name])
+    fn = {"mean": lambda: F.avg(value), "median": lambda: _approx_median(value)}[how]
     return df.groupBy(key).agg(fn().alias(name))
 
 
@@ -130,19 +69,10 @@ def box_summary(df: DataFrame, group: str, value: str, positive_only: bool = Fal
     if positive_only:
         d = d.where(F.col(value) > 0)
     v = F.col(value)
-    m, hot = quantile_method(d, value, group=[group])
-    if m in ("rank", "split"):
-        per = d.groupBy(group).agg(F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"),
-                                   F.avg(v).alias("mean"), F.count(v).alias("n"))
-        out = with_group_quantiles(per, d, [group], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], m, hot)
-        return out.select(group, "min", "q1", "median", "q3", "max", "mean", "n")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (d.groupBy(group)
-             .agg(F.min(v).cast("double").alias("min"), q.alias("_q"),
-                  F.max(v).cast("double").alias("max"), F.avg(v).alias("mean"),
-                  F.count(v).alias("n"))
-             .select(group, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                     F.col("_q")[2].alias("q3"), "max", "mean", "n"))
+    per = d.groupBy(group).agg(F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"),
+                               F.avg(v).alias("mean"), F.count(v).alias("n"))
+    out = with_group_quantiles(per, d, [group], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    return out.select(group, "min", "q1", "median", "q3", "max", "mean", "n")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
@@ -208,22 +138,19 @@ def global_stats(df: DataFrame, mean_cols: list[str], median_cols: list[str],
                  exact: bool = True) -> DataFrame:
     """One row of means and medians.
 
-    A global median is one group holding every row, so the exact medians use
-    rank selection over a range-partitioned copy (``ordering.exact_quantiles``)
-    rather than ``percentile``'s value -> count map in one task; ``exact=False``
-    gives ``percentile_approx``."""
+    The exact medians of all columns come from one bracket pass each way over the rows
+    (``quantiles.column_quantiles``); ``exact=False`` gives ``percentile_approx``."""
     aggs = [F.avg(c).alias(f"average_{c}") for c in mean_cols]
     if not exact:
-        aggs += [_median(c, False).alias(f"median_{c}") for c in median_cols]
+        aggs += [_approx_median(c).alias(f"median_{c}") for c in median_cols]
     aggs.append(F.count(F.lit(1)).alias("n_rows"))
     out = df.agg(*aggs)
     if not exact or not median_cols:
         return out
-    from postlytics.operators.ordering import exact_quantiles
-    med = exact_quantiles(df, median_cols, [0.5])
-    return out.select(*[f"average_{c}" for c in mean_cols],
-                      *[F.lit(med[c][0]).cast("double").alias(f"median_{c}") for c in median_cols],
-                      "n_rows")
+    med = column_quantiles(df, median_cols, [0.5]).agg(*[
+        F.max(F.when(F.col("_c") == i, F.col("_q")[0])).alias(f"median_{c}") for i, c in enumerate(median_cols)])
+    one = F.lit(0).alias("_one")
+    return out.select("*", one).join(med.select("*", one), "_one").select(*[f"average_{c}" for c in mean_cols], *[f"median_{c}" for c in median_cols], "n_rows")
 
 
 def top_k(df: DataFrame, by: str, k: int = 5, nulls: str = "first",
@@ -261,47 +188,32 @@ def bucket_stats(df: DataFrame, by: str, value: str | None, bucket_of: str, brea
     else:
         order = F.struct(*[F.col(c) for c in (order_by or [bucket_of])])
         attr = F.min_by(F.col(bucket_of), order).alias("_b")
-    m_in, hot_in = quantile_method(df, value, exact, group=[by]) if inner == "median" else ("map", None)
-    if m_in in ("rank", "split"):
-        per_author = with_group_quantiles(df.groupBy(by).agg(attr), df, [by], value, [0.5], ["_v"],
-                                          m_in, hot_in)
+    if inner == "median" and exact:
+        per_author = with_group_quantiles(df.groupBy(by).agg(attr), df, [by], value, [0.5], ["_v"])
     else:
-        if inner == "count":
-            stat = F.count(F.lit(1)).alias("_v")
-        elif inner == "median":
-            stat = _median(value, exact).alias("_v")
-        else:
-            stat = F.avg(value).alias("_v")
-        per_author = df.groupBy(by).agg(stat, attr)
+        stat = {"count": lambda: F.count(F.lit(1)), "median": lambda: _approx_median(value), "mean": lambda: F.avg(value)}[inner]()
+        per_author = df.groupBy(by).agg(stat.alias("_v"), attr)
     binned = per_author.withColumn(bucket_name, cut("_b", breaks, labels)).where(
         F.col(bucket_name).isNotNull())
-    m_out, hot_out = (quantile_method(binned, "_v", exact, group=[bucket_name]) if outer == "median"
-                      else ("map", None))
-    if m_out in ("rank", "split"):
+    if outer == "median" and exact:
         counts = binned.groupBy(bucket_name).agg(F.count(F.lit(1)).alias("entry_count"))
-        out = with_group_quantiles(counts, binned, [bucket_name], "_v", [0.5], ["median_value"],
-                                   m_out, hot_out)
+        out = with_group_quantiles(counts, binned, [bucket_name], "_v", [0.5], ["median_value"])
         return out.select(bucket_name, "median_value", "entry_count")
-    if outer == "count":
-        outer_stat = []
-    elif outer == "median":
-        outer_stat = [_median("_v", exact).alias("median_value")]
-    else:
-        outer_stat = [F.avg("_v").alias("mean_value")]
+    outer_stat = {"count": lambda: [], "median": lambda: [_approx_median("_v").alias("median_value")],
+                  "mean": lambda: [F.avg("_v").alias("mean_value")]}[outer]()
     return binned.groupBy(bucket_name).agg(*outer_stat, F.count(F.lit(1)).alias("entry_count"))
 
 
 def row_bucket_stats(df: DataFrame, value: str, bucket_col: str, breaks, labels,
                      bucket_name: str = "bucket", exact: bool = True) -> DataFrame:
     """Median of ``value`` and row count per ``cut`` bucket of a row
-    attribute (one aggregation, no join back); null bucket dropped."""
+    attribute; null bucket dropped."""
     binned = (df.withColumn(bucket_name, cut(bucket_col, breaks, labels))
                 .where(F.col(bucket_name).isNotNull()))
-    m, hot = quantile_method(binned, value, exact, group=[bucket_name])
-    if m in ("rank", "split"):
+    if exact:
         counts = binned.groupBy(bucket_name).agg(F.count(F.lit(1)).alias("entry_count"))
-        out = with_group_quantiles(counts, binned, [bucket_name], value, [0.5], ["median_score"], m, hot)
+        out = with_group_quantiles(counts, binned, [bucket_name], value, [0.5], ["median_score"])
         return out.select(bucket_name, "median_score", "entry_count")
     return (binned.groupBy(bucket_name)
-                  .agg(_median(value, exact).alias("median_score"),
+                  .agg(_approx_median(value).alias("median_score"),
                        F.count(F.lit(1)).alias("entry_count")))

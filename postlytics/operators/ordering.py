@@ -220,42 +220,3 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             res.append(a if hi == lo or a == b else (hi - pos) * a + (pos - lo) * b)
         out[name] = res
     return out
-
-
-def group_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float],
-                    name: str = "_q", num_partitions: int | None = None) -> DataFrame:
-    """Exact quantiles of ``value`` per group (same interpolation as
-    ``percentile``) by rank selection, for groups of any size.
-
-    Rows get a dense index in (group, value, row hash) order -- range-partitioned,
-    so one group may span many partitions; a partial aggregation gives each
-    group's first index and size; the at most 2 x len(probs) wanted indexes per
-    group are joined to the rows on the (unique) index, so no key is skewed.
-    Returns the group columns and ``name``: array<double>, one entry per prob.
-    Groups without a non-null value are absent."""
-    d = (df.select(*group, F.col(value).cast("double").alias("_v"), _row_hash(df).alias("_tb"))
-           .where(F.col("_v").isNotNull()))
-    idx, _ = dense_index(d, [*group, "_v", "_tb"], "_g", num_partitions)
-    starts = idx.groupBy(*group).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    pos = (F.col("_n") - F.lit(1)).cast("double") * F.col("_p")
-    targets = (starts.select(*group, "_s", "_n",
-                             F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
-                     .withColumn("_pos", pos)
-                     .withColumn("_lo", F.floor("_pos").cast("long"))
-                     .withColumn("_hi", F.ceil("_pos").cast("long")))
-    ends = targets.select(*group, "_i", "_pos", "_lo", "_hi", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), (F.col("_s") + F.col("_lo")).alias("_g")),
-        F.struct(F.lit(1).alias("side"), (F.col("_s") + F.col("_hi")).alias("_g")))).alias("_e"))
-    ends = ends.select(*group, "_i", "_pos", "_lo", "_hi", F.col("_e.side").alias("_side"),
-                       F.col("_e._g").alias("_g"))
-    picked = ends.join(idx.select("_g", "_v"), "_g", "inner")
-    a, b = F.col("_a"), F.col("_b")
-    lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
-    per = (picked.groupBy(*group, "_i", "_pos", "_lo", "_hi")
-                 .agg(F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_a"),
-                      F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_b"))
-                 .withColumn("_x", F.when((F.col("_hi") == F.col("_lo")) | (a == b), a)
-                                   .otherwise((hi - F.col("_pos")) * a + (F.col("_pos") - lo) * b)))
-    return (per.groupBy(*group)
-               .agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_qs"))
-               .select(*group, F.transform("_qs", lambda s: s["_x"]).alias(name)))

@@ -103,21 +103,15 @@ def test_hash_split_fraction(spark, seed):
     assert 0.23 < frac < 0.27
 
 
-def test_quantile_paths_agree(spark, monkeypatch):
+def test_exact_medians_equal_percentile(spark):
     import random
     rng = random.Random(4)
     rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), f"u{rng.randint(0, 40)}",
              rng.choice([None, rng.gauss(10, 3), 9.5]), rng.randint(1, 30)) for _ in range(2000)]
     df = spark.createDataFrame(rows, "g string, by string, v double, n long")
 
-    def med(**kw):
-        return {r.g: r.m for r in explore.group_stat(df, "g", "v", "median", "m", **kw).collect()}
-
-    ref = med(method="map")
-    assert med() == ref                                   # no hot group: plain percentile plan
-    monkeypatch.setattr(explore, "HOT_GROUP_ROWS", 100)   # now "hot", "a", "b" and null are hot
-    assert explore.quantile_method(df, "v", group=["g"])[0] == "split"
-    assert med() == ref and med(method="rank") == ref
+    ref = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert {r.g: r.m for r in explore.group_stat(df, "g", "v", "median", "m").collect()} == ref
     box = {r.g: tuple(r)[1:] for r in explore.box_summary(df, "g", "v").collect()}
     want = {r.g: (r.mn, r.q[0], r.q[1], r.q[2], r.mx, r.mean, r.n) for r in df.where(F.col("g").isNotNull())
             .groupBy("g").agg(F.min("v").alias("mn"), F.percentile("v", F.array(F.lit(.25), F.lit(.5), F.lit(.75)))
@@ -126,10 +120,12 @@ def test_quantile_paths_agree(spark, monkeypatch):
     assert box == want
     got = sorted(tuple(r) for r in explore.bucket_stats(df, "by", "v", "n", [0, 10, 20], ["lo", "mid", "hi", "top"],
                                                         inner="median", outer="median", order_by=["n"]).collect())
-    monkeypatch.setattr(explore, "HOT_GROUP_ROWS", 10**9)
-    assert got == sorted(tuple(r) for r in explore.bucket_stats(df, "by", "v", "n", [0, 10, 20],
-                                                                ["lo", "mid", "hi", "top"], inner="median",
-                                                                outer="median", order_by=["n"]).collect())
+    per = df.groupBy("by").agg(F.median("v").alias("v"), F.min("n").alias("n"))
+    label = F.when(F.col("n") <= 0, "lo").when(F.col("n") <= 10, "mid").when(F.col("n") <= 20, "hi").otherwise("top")
+    assert got == sorted(tuple(r) for r in per.groupBy(label.alias("b")).agg(F.median("v"), F.count(F.lit(1))).collect())
+    stats = explore.global_stats(df, ["v"], ["v", "n"]).first()
+    want = df.agg(F.avg("v"), F.median("v"), F.median("n"), F.count(F.lit(1))).first()
+    assert tuple(stats) == tuple(want)
 
 
 def test_undersample_is_one_filter_and_equals_sorting_by_hash(spark):

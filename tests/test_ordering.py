@@ -126,27 +126,45 @@ def test_exact_quantiles_equal_percentile(spark):
         assert got["c"] == [None] * len(probs)
 
 
-def test_group_quantiles_equal_percentile(spark):
+def _grouped(n, rng):
+    """Group "hot" holds half the rows; null keys, null values and ties included."""
+    rows = [(rng.choice([None, "hot", "hot", "hot", "a", "b"]), rng.choice([None, 1, 2]),
+             rng.choice([None, rng.gauss(0, 1), 7.0, 7.0])) for _ in range(n)]
+    return rows + [("empty", 1, None)]
+
+
+@pytest.mark.parametrize("n, accuracy", [(3000, 10_000), (3000, 20), (60, 10_000), (40_000, 100)])
+def test_bracket_quantiles_equal_percentile(spark, n, accuracy):
+    """A coarse sketch leaves most values outside the brackets; tiny groups have none."""
     import random
 
     from pyspark.sql import functions as F
 
-    from postlytics.operators.ordering import group_quantiles
-    rng = random.Random(3)
-    # group "hot" holds half the rows; null group key and null values included
-    rows = [(rng.choice([None, "hot", "hot", "hot", "a", "b"]), rng.choice([None, 1, 2]),
-             rng.choice([None, rng.gauss(0, 1), 7.0, 7.0])) for _ in range(3000)]
-    df = spark.createDataFrame(rows + [("empty", 1, None)], "g string, h int, v double")
-    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    from postlytics.operators.quantiles import bracket_quantiles
+    df = spark.createDataFrame(_grouped(n, random.Random(n)), "g string, h int, v double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
     ref = {(r.g, r.h): r.q for r in df.groupBy("g", "h").agg(
         F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
     for parts in (1, 5):
-        got = {(r.g, r.h): list(r._q) for r in group_quantiles(df, ["g", "h"], "v", probs,
-                                                                num_partitions=parts).collect()}
+        got = {(r.g, r.h): list(r._q) for r in bracket_quantiles(
+            df.repartition(parts), ["g", "h"], "v", probs, accuracy=accuracy).collect()}
         assert got == {k: list(v) for k, v in ref.items() if v is not None}
         assert ("empty", 1) not in got
 
 
+@pytest.mark.parametrize("kind", ["tinyint", "bigint", "float", "double"])
+def test_bracket_quantiles_of_a_hot_group_of_any_type(spark, kind):
+    """One group holds a third of the rows, the others are many and small."""
+    from pyspark.sql import functions as F
+
+    from postlytics.operators.quantiles import bracket_quantiles
+    v = f"CAST(pmod(xxhash64(id), 100) AS {kind})" if kind == "tinyint" else f"CAST(pmod(xxhash64(id), 1000003) AS {kind})"
+    df = spark.range(60_000).selectExpr("IF(id % 3 = 0, -1, id % 997) AS g", f"{v} AS v")
+    ref = {r.g: list(r.q) for r in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(.1), F.lit(.5), F.lit(.9))).alias("q")).collect()}
+    assert {r.g: list(r._q) for r in bracket_quantiles(df, ["g"], "v", [.1, .5, .9], accuracy=500).collect()} == ref
+    assert bracket_quantiles(df.limit(0), ["g"], "v", [.5]).count() == 0
+
+
 def _brute_backward(rows, n=30):
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
     out = {}
