@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from postlytics.operators import stats
 from postlytics.operators.ordering import dense_index
+from postlytics.operators.permute import permuted, round_keys
 from postlytics.plans.fixed import FOREST_GRID
 from postlytics.session import ensure_checkpoint_dir
 
@@ -320,40 +321,28 @@ def high_scored_error(model, test: DataFrame, label: str, kind: str, high_class:
 # --------------------------------------------------------------------------
 # permutation importance
 # --------------------------------------------------------------------------
-def _coprime_multiplier(rng: random.Random, n: int) -> int:
-    import math
-    if n <= 2:
-        return 1
-    while True:
-        a = rng.randrange(1, n)
-        if math.gcd(a, n) == 1:
-            return a
-
-
 def permutation_importance(model, test: DataFrame, features: list[str], label: str, kind: str,
                            repeats: int = 10, seed: int = 42, id_col: str | None = None) -> DataFrame:
     """Drop in score (R^2 or accuracy) when one feature's values are
     permuted across the test rows, mean and std over ``repeats``.
 
-    A repeat's permutation is the bijection i -> (a i + b) mod n of the dense row
-    index, a coprime to n, drawn from a seeded generator and computed in decimals,
-    which hold a * i for any n.  Rows are numbered in the order of ``id_col`` (else
-    of all features and the label), so the result does not depend on how they are
-    partitioned.  Each repeat joins every row with its donor row once; the features
-    are swapped one after another behind the join."""
+    A repeat's permutation is a keyed Feistel network over the dense row index
+    (``permute``), so neighbours in the order get unrelated donors.  Rows are numbered in
+    the order of ``id_col`` (else of all features and the label), so the result does not
+    depend on how they are partitioned.  Each repeat joins every row with its donor row
+    once; the features are swapped one after another behind the join."""
     from pyspark.ml.feature import VectorAssembler
     spark = test.sparkSession
     base = test.select(*features, label)
     order = [id_col] if id_col else [*features, label]
     idx, n = dense_index(test.select(*dict.fromkeys([*order, *features, label])), order, "_i")
     idx = idx.select(*features, label, "_i")
-    rng = random.Random(seed)
-    plan = F.array(*[F.struct(F.lit(r).alias("_rep"), F.lit(_coprime_multiplier(rng, n)).cast("decimal(18,0)").alias("_a"),
-                              F.lit(rng.randrange(0, max(n, 1))).cast("decimal(18,0)").alias("_b")) for r in range(repeats)])
+    plan = F.array(*[F.struct(F.lit(r).alias("_rep"), F.array(*[F.lit(k).cast("long") for k in round_keys(seed * 1000 + r)]).alias("_keys"))
+                     for r in range(repeats)])
     copies = idx.select("*", F.explode(plan).alias("_p")).select("*", "_p.*").drop("_p")
-    source = F.pmod(F.col("_a") * F.col("_i").cast("decimal(18,0)") + F.col("_b"), F.lit(n).cast("decimal(18,0)"))
+    source = permuted(F.col("_i"), n, F.col("_keys"))
     donor = idx.select(F.col("_i").alias("_src"), *[F.col(f).alias(f"_d_{f}") for f in features])
-    joined = copies.withColumn("_src", source.cast("long")).join(donor, "_src", "inner")
+    joined = copies.withColumn("_src", source).drop("_keys").join(donor, "_src", "inner")
     joined = joined.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
     swapped = joined.select("_f", "_rep", label, *[
         F.when(F.col("_f") == F.lit(i), F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f)

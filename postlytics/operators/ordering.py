@@ -12,13 +12,20 @@ A window with an ORDER BY but no PARTITION BY runs in one task.  Instead:
   buckets: bucket = index div B, and the first n rows of each bucket are copied
   into the previous bucket, so every forward frame of n rows and every lead
   target lies inside one bucket.  Replication <= 1 + n/B.
+* ``with_previous``, ``lag_difference`` (F4) and ``step_sums`` scan sorted range
+  partitions and carry each partition's last value to the next.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 
 from postlytics.session import cut_lineage
@@ -136,12 +143,75 @@ def rolling_median(df: DataFrame, value: str, n: int = 30, order_by: list[str] |
                             bucket_rows=bucket_rows, direction=direction)
 
 
-def lag_difference(df: DataFrame, value: str, order_by: list[str], name: str = "diff") -> DataFrame:
+def with_previous(df: DataFrame, value: str, order_by: list[str], name: str = "_prev",
+                  num_partitions: int | None = None) -> DataFrame:
+    """Each row with ``value`` of the row before it in ``order_by`` order (unique per
+    row, nulls first; null for the first row), by a boundary-carry scan.
+
+    Rows are range-partitioned and sorted once and checkpointed; each task shifts its
+    own values.  Only the first row of a partition looks across the border: the last
+    value of each partition is carried to the next one that has rows, one row a
+    partition, and joined to those first rows.  No global index and no self-join."""
+    keys = [F.col(c).asc_nulls_first() for c in order_by]
+    ranged = cut_lineage(df.repartitionByRange(_num_partitions(df, num_partitions), *keys).sortWithinPartitions(*keys)
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    place = ranged.schema.fieldNames().index(value)
+    names = [*ranged.columns, name, "_head"]
+
+    def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                col = batch.column(place)
+                prev = pa.concat_arrays([pa.nulls(1, col.type) if last is None else last, col[:-1]])
+                head = pa.array([last is None] + [False] * (batch.num_rows - 1))
+                last = col[-1:]
+                yield pa.RecordBatch.from_arrays([*batch.columns, prev, head], names)
+
+    shifted = ranged.mapInArrow(shift, StructType([*ranged.schema.fields, StructField(name, ranged.schema[value].dataType),
+                                                   StructField("_head", BooleanType())]))
+    part = F.shiftright(F.col("_at"), _LOCAL_BITS)
+    ends = ranged.groupBy(part.alias("_p")).agg(F.max_by(value, "_at").alias("_end"))
+    ends = ends.select("_p", F.lag("_end").over(Window.orderBy("_p")).alias("_end"))  # a row a partition
+    joined = shifted.join(ends, (part == F.col("_p")) & F.col("_head"), "left")
+    return joined.withColumn(name, F.when(F.col("_head"), F.col("_end")).otherwise(F.col(name))).select(*df.columns, name)
+
+
+def lag_difference(df: DataFrame, value: str, order_by: list[str], name: str = "diff",
+                   num_partitions: int | None = None) -> DataFrame:
     """``value[i] - value[i-1]`` in ``order_by`` order (null for the first row)."""
-    idx, _ = dense_index(df, order_by, "_idx")
-    prev = idx.select((F.col("_idx") + F.lit(1)).alias("_idx"), F.col(value).alias("_prev"))
-    return (idx.join(prev, "_idx", "left")
-               .withColumn(name, F.col(value) - F.col("_prev")).drop("_prev", "_idx"))
+    out = with_previous(df, value, order_by, "_prev", num_partitions)
+    return out.withColumn(name, F.col(value) - F.col("_prev")).drop("_prev")
+
+
+def step_sums(df: DataFrame, value: str, order_by: list[str], num_partitions: int | None = None) -> DataFrame:
+    """One row: ``steps``, the sum of (value[i] - value[i-1])^2 in ``order_by`` order,
+    ``squares``, the sum of value^2, and ``n``, the rows.  One range shuffle: each task
+    adds up its sorted rows and keeps its first and last value; the steps across borders
+    are added from these, one row a partition.  A step from or to a null counts nothing."""
+    keys = [F.col(c).asc_nulls_first() for c in order_by]
+    ranged = (df.select(*order_by, F.col(value).cast("double").alias("_v")).repartitionByRange(_num_partitions(df, num_partitions), *keys)
+              .sortWithinPartitions(*keys).select("_v"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        steps, squares, n = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column(0).to_numpy(zero_copy_only=False)  # a null is not a number
+                with_last = v if last is None else np.concatenate([[last], v])
+                steps.append(float(np.nansum(np.diff(with_last) ** 2)))
+                squares.append(float(np.nansum(v ** 2)))
+                first, last, n = v[0] if first is None else first, v[-1], n + len(v)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (
+                TaskContext.get().partitionId(), float(first), float(last), math.fsum(steps), math.fsum(squares), n)],
+                ["p", "first", "last", "steps", "squares", "n"])
+
+    parts = ranged.mapInArrow(scan, "p long, first double, last double, steps double, squares double, n long")
+    step = F.nanvl(F.pow(F.col("first") - F.lag("last").over(Window.orderBy("p")), 2), F.lit(0.0))
+    return parts.withColumn("_s", F.coalesce(step, F.lit(0.0))).agg(
+        F.sum(F.col("steps") + F.col("_s")).alias("steps"), F.sum("squares").alias("squares"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def _row_hash(df: DataFrame):

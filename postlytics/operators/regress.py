@@ -204,7 +204,9 @@ def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
           int(dropped) if dropped is not None else None)],
         "alpha double, cv_r2 double, cv_mse double, n long, dropped_nonpositive long")
     path = spark.createDataFrame([(float(a), m) for a, m in zip(grid, cv_mse)], "alpha double, cv_mse double")
-    out = {"coefficients": lambda: coefs, "summary": lambda: summary, "alpha_path": lambda: path}
+    fitted = d
+    out = {"coefficients": lambda: coefs, "summary": lambda: summary, "alpha_path": lambda: path,
+           "certificate": lambda: lasso_certificate(fitted, features, label, b0, list(b), best)}
     if not diagnostics:
         return Parts(out)
     resid = d.withColumn("resid", F.col(label) - linear_prediction(features, b0, b))
@@ -214,6 +216,45 @@ def lasso_report(df: DataFrame, features: list[str], label: str, id_col: str,
     return Parts(out)
 
 
+def _certified(df: DataFrame, features: list[str], gaps: Column, scale: Column) -> DataFrame:
+    """One row a feature: ``feature, gap, n``; the gap is relative to ``scale``."""
+    one = df.select("_n", F.posexplode(F.transform(gaps, lambda g: F.abs(g) / scale)).alias("_i", "gap"))
+    names = F.array(*[F.lit(c) for c in [*features, "(intercept)"]])
+    return one.select(F.element_at(names, F.col("_i") + 1).alias("feature"), "gap", F.col("_n").alias("n"))
+
+
+def lasso_certificate(df: DataFrame, features: list[str], label: str, intercept: float, coefficients: list[float],
+                      alpha: float) -> DataFrame:
+    """The optimality of a lasso fit from the rows themselves (L3-L5): ``feature, gap,
+    n``.  With the residual r, a fit is optimal where the mean of x r is alpha times
+    the coefficient's sign, at most alpha in size where the coefficient is zero, and the
+    mean of r is zero.  The gap is the distance from that, relative to the largest
+    penalty that leaves any coefficient (so it has no unit); one aggregate, no model."""
+    r = F.col(label) - linear_prediction(features, intercept, np.asarray(coefficients))
+    y0 = F.avg(label)
+    sums = df.agg(F.count(F.lit(1)).alias("_n"), F.avg(r).alias("_r"),
+                  F.array(*[F.avg(F.col(c) * r) for c in features]).alias("_xr"),
+                  F.greatest(*[F.abs(F.avg(F.col(c) * F.col(label)) - F.avg(c) * y0) for c in features], F.lit(0.0)).alias("_scale"))
+    gaps = []
+    for i, b in enumerate(coefficients):
+        g = F.col("_xr")[i]
+        gaps.append(g - F.lit(alpha * math.copysign(1, b)) if b else F.greatest(F.abs(g) - F.lit(alpha), F.lit(0.0)))
+    return _certified(sums, features, F.array(*gaps, F.col("_r")), F.greatest("_scale", F.lit(1e-300)))
+
+
+def poisson_certificate(df: DataFrame, features: list[str], label: str, intercept: float, coefficients: list[float],
+                        alpha: float) -> DataFrame:
+    """The optimality of a Poisson fit with log link and L2 penalty ``alpha`` from the
+    rows themselves (L6): ``feature, gap, n``.  At the optimum the mean of x (y - mu) is
+    alpha times the coefficient, and the mean of y - mu is zero; the gap is relative to
+    the mean of y."""
+    r = F.col(label) - F.exp(linear_prediction(features, intercept, np.asarray(coefficients)))
+    sums = df.agg(F.count(F.lit(1)).alias("_n"), F.avg(r).alias("_r"), F.avg(label).alias("_scale"),
+                  F.array(*[F.avg(F.col(c) * r) for c in features]).alias("_xr"))
+    gaps = [F.col("_xr")[i] - F.lit(float(alpha * b)) for i, b in enumerate(coefficients)]
+    return _certified(sums, features, F.array(*gaps, F.col("_r")), F.col("_scale"))
+
+
 def residual_diagnostics(d: DataFrame, resid: str, features: list[str], id_col: str) -> Parts:
     """K4-K8 on a residual column; each part starts its jobs when it is asked for."""
     return Parts({
@@ -314,5 +355,8 @@ def poisson_report(df: DataFrame, features: list[str], label: str, id_col: str,
         held = stats.residuals(model().transform(split.where(F.col("_test"))), label, "prediction")
         return stats.durbin_watson(held, "resid", [id_col])
 
-    return Parts({"summary": summary, "coefficients": coefficients, "durbin_watson": durbin_watson,
+    def certificate():
+        return poisson_certificate(train, features, label, float(model().intercept), list(map(float, model().coefficients)), alpha)
+
+    return Parts({"summary": summary, "coefficients": coefficients, "durbin_watson": durbin_watson, "certificate": certificate,
                   "dispersion": lambda: stats.dispersion(train, label)})

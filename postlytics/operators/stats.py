@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from postlytics.operators import distributions as dist
-from postlytics.operators.ordering import exact_quantiles, lag_difference
+from postlytics.operators.ordering import exact_quantiles, step_sums
 
 
 def _long_rows(spark, rows, schema):
@@ -160,10 +160,9 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def durbin_watson(df: DataFrame, resid: str, order_by: list[str]) -> DataFrame:
-    """K8: sum (e_t - e_{t-1})^2 / sum e_t^2 in ``order_by`` order."""
-    d = lag_difference(df.select(*order_by, resid), resid, order_by, "_d")
-    return d.agg((F.sum(F.col("_d") * F.col("_d")) / F.sum(F.col(resid) * F.col(resid)))
-                 .alias("durbin_watson"))
+    """K8: sum (e_t - e_{t-1})^2 / sum e_t^2 in ``order_by`` order, in one scan
+    (``ordering.step_sums``)."""
+    return step_sums(df, resid, order_by).select((F.col("steps") / F.col("squares")).alias("durbin_watson"))
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:

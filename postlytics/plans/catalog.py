@@ -15,7 +15,7 @@ from postlytics.functions.binning import cut
 from postlytics.functions.text import WHITESPACE_CLASS, char_length, flag_pattern
 from postlytics.functions.timefeat import epoch_hour, hour_of_day, weekday, weekday_one_hot
 from postlytics.functions.urls import domain_pattern
-from postlytics.operators import dedup, explore, keywords, ordering, repeats
+from postlytics.operators import dedup, explore, keywords, ordering, permute, repeats
 from postlytics.operators.html import html_to_text
 from postlytics.plans import fixed
 from postlytics.sources.tables import (front_page_from_lineitem, karma_posts_from_orders, load,
@@ -144,6 +144,45 @@ SELECT event_id AS id, (row_number() OVER (ORDER BY {T_SQL}, event_id) - 1)::BIG
 """
 
 
+def q_lag_difference(spark, sf):
+    p = posts_from_events(spark, sf).select("id", "time", "score")
+    return ordering.lag_difference(p, "score", ["time", "id"]).select("id", r6(F.col("diff")).alias("diff"))
+
+
+SQL_LAG_DIFFERENCE = f"""
+SELECT event_id AS id, round(value - lag(value) OVER (ORDER BY {T_SQL}, event_id), 6) AS diff FROM events
+"""
+
+PERMUTATION_SEED = 42
+
+
+def q_keyed_permutation(spark, sf):
+    p = posts_from_events(spark, sf).select("id", "time")
+    idx, n = ordering.dense_index(p, ["time", "id"], "idx")
+    return idx.select("id", "idx", permute.permuted(F.col("idx"), n, permute.round_keys(PERMUTATION_SEED)).alias("place"))
+
+
+def _sql_keyed_permutation():
+    """One pass of the network is a row a round; rows that land outside go again."""
+    keys = permute.round_keys(PERMUTATION_SEED)
+    t, prime = f"((r * 48271 + {keys}[k + 1]) % {permute.PRIME})", permute.PRIME
+    added = f"(({t} * {t} + 40692 * {t} + {keys}[k + 1]) % {prime})"
+    return f"""
+WITH RECURSIVE i AS (SELECT event_id AS id, (row_number() OVER (ORDER BY {T_SQL}, event_id) - 1)::BIGINT AS idx FROM events),
+n AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM i)),
+walk AS (
+  SELECT id, idx, 0 AS k, idx // b AS l, idx % b AS r, a AS p, b AS q FROM i, n
+  UNION ALL
+  SELECT id, idx, CASE WHEN k < {permute.ROUNDS} THEN k + 1 ELSE 0 END,
+    CASE WHEN k < {permute.ROUNDS} THEN r ELSE (l * b + r) // b END,
+    CASE WHEN k < {permute.ROUNDS} THEN (l + {added}) % p ELSE (l * b + r) % b END,
+    CASE WHEN k < {permute.ROUNDS} THEN q ELSE p END, CASE WHEN k < {permute.ROUNDS} THEN p ELSE q END
+  FROM walk, n WHERE k < {permute.ROUNDS} OR l * b + r >= n
+)
+SELECT id, idx, l * b + r AS place FROM walk, n WHERE k = {permute.ROUNDS} AND l * b + r < n
+"""
+
+
 def q_first_page_time(spark, sf):
     p = posts_from_events(spark, sf).select("id", "time")
     out = ordering.time_until_nth_next(p, "time", fixed.FRONT_PAGE_ROWS, ["time", "id"])
@@ -1137,6 +1176,25 @@ def q_ols_residuals(spark, sf):
     return _ols(spark, sf)["residuals"].select("id", F.round("resid", 3).alias("resid"))
 
 
+def q_lasso_kkt(spark, sf):
+    return _lasso(spark, sf)["certificate"].select("feature", r6(F.col("gap")).alias("gap"), "n")
+
+
+def q_poisson_score(spark, sf):
+    from postlytics.operators.regress import poisson_report
+    out = poisson_report(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL, "id")["certificate"]
+    return out.select("feature", F.round("gap", 4).alias("gap"), "n")
+
+
+def _sql_certificate(rows):
+    """An optimal fit has no gap: its rows, features and the constant."""
+    names = ", ".join(f"('{c}')" for c in [*REG_FEATURES, "(intercept)"])
+    return f"""
+WITH {SQL_REG}
+SELECT feature, 0.0::DOUBLE AS gap, (SELECT count(*) FROM reg WHERE {rows}) AS n FROM (VALUES {names}) f(feature)
+"""
+
+
 def q_poisson_summary(spark, sf):
     from postlytics.operators.regress import poisson_report
     return poisson_report(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL, "id")["summary"]
@@ -1337,6 +1395,8 @@ def spark_queries() -> dict:
         "hour_mean": q_hour_mean,
         "hour_median": q_hour_median,
         "dense_index": q_dense_index,
+        "lag_difference": q_lag_difference,
+        "keyed_permutation": q_keyed_permutation,
         "first_page_time": q_first_page_time,
         "rolling_median_30": q_rolling_median_30,
         "repeat_12h": _q_repeat(12),
@@ -1392,6 +1452,8 @@ def spark_queries() -> dict:
         "breusch_pagan": q_breusch_pagan,
         "lasso_coefficients": q_lasso_coefficients,
         "lasso_summary": q_lasso_summary,
+        "lasso_kkt": q_lasso_kkt,
+        "poisson_score": q_poisson_score,
         "ols_coefficients": q_ols_coefficients,
         "ols_summary": q_ols_summary,
         "ols_residuals": q_ols_residuals,
@@ -1499,6 +1561,10 @@ FROM m
         "ols_residuals": _sql_ols_residuals(),
         "last_url_per_id": SQL_LAST_URL_PER_ID,
         "durbin_watson": SQL_DURBIN_WATSON,
+        "lag_difference": SQL_LAG_DIFFERENCE,
+        "keyed_permutation": _sql_keyed_permutation(),
+        "lasso_kkt": _sql_certificate(f"{REG_LABEL} > 0"),
+        "poisson_score": _sql_certificate(f"({HASH_SQL.format(x='id', seed=42)} % 10000) >= 2500"),
         "qq_points": _sql_qq(),
         "hash_split": SQL_HASH_SPLIT,
         "undersample": SQL_UNDERSAMPLE,
