@@ -62,6 +62,14 @@ def point_counts(df: DataFrame, x: str, y: str, name: str = "count") -> DataFram
     return df.groupBy(x, y).agg(F.count(F.lit(1)).alias(name))
 
 
+def pair_points(df: DataFrame, cols: list[str], name: str = "count") -> DataFrame:
+    """The points of every pair of ``cols`` in one pass: ``x, y`` (column names),
+    ``x_value, y_value`` (double) and the rows there, counted in each task first."""
+    pairs = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).cast("double").alias("x_value"), F.col(y).cast("double").alias("y_value"))
+             for i, x in enumerate(cols) for y in cols[i + 1:]]
+    return df.select(F.inline(F.array(*pairs))).groupBy("x", "y", "x_value", "y_value").agg(F.count(F.lit(1)).alias(name))
+
+
 def box_summary(df: DataFrame, group: str, value: str, positive_only: bool = False) -> DataFrame:
     """Min, q1, median, q3, max (linear interpolation), mean and count of
     ``value`` per ``group``; rows with a null group are left out."""

@@ -18,6 +18,7 @@ from postlytics.functions.urls import domain_pattern
 from postlytics.operators import dedup, explore, keywords, ordering, permute, repeats
 from postlytics.operators.html import html_to_text
 from postlytics.plans import fixed
+from postlytics.session import ensure_checkpoint_dir
 from postlytics.sources.tables import (front_page_from_lineitem, karma_posts_from_orders, load,
                                        load_spread, posts_from_events)
 
@@ -413,6 +414,51 @@ SELECT ({T_SQL} // 3600) % 24 AS hour, floor(value)::BIGINT AS score_bin, count(
 """
 
 
+PAIR_COLS = ["l_quantity", "l_discount", "l_tax", "p_size"]
+
+
+def q_feature_pairs(spark, sf):
+    return explore.pair_points(regression_frame(spark, sf), PAIR_COLS)
+
+
+def _sql_feature_pairs():
+    parts = [f"SELECT '{x}' AS x, '{y}' AS y, {x} AS x_value, {y} AS y_value, count(*) AS count FROM reg GROUP BY ALL"
+             for i, x in enumerate(PAIR_COLS) for y in PAIR_COLS[i + 1:]]
+    return f"WITH {SQL_REG}\n" + "\nUNION ALL\n".join(parts)
+
+
+def q_csv_bad_cells(spark, sf):
+    """Orders written as CSV with cells damaged by rule, read back and accounted for."""
+    import uuid
+    from pyspark.sql.types import DateType, DoubleType, LongType, StructField, StructType
+    from postlytics.sources import files
+    o = load(spark, sf, "orders")
+    damage = {"o_custkey": (13, "12x"), "o_totalprice": (7, "n/a, \"unknown\""), "o_orderdate": (11, "1996-13-45")}
+    cells = [F.when(F.col("o_orderkey") % k == 0, F.lit(text)).otherwise(
+        F.col(c).cast("date" if c == "o_orderdate" else o.schema[c].dataType).cast("string")).alias(c) for c, (k, text) in damage.items()]
+    path = f"{ensure_checkpoint_dir(spark)}/damaged-{uuid.uuid4().hex}"
+    files.write_csv(o.select("o_orderkey", *cells), path)
+    schema = StructType([StructField("o_orderkey", LongType()), StructField("o_custkey", LongType()),
+                         StructField("o_totalprice", DoubleType()), StructField("o_orderdate", DateType())])
+    read = files.read_csv_audited(spark, path, schema)
+    total = read.agg(F.sum("o_orderkey").alias("o_orderkey"), F.sum("o_custkey").alias("o_custkey"),
+                     F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("o_totalprice"),
+                     F.sum(F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("long")).alias("o_orderdate"))
+    total = total.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("total")) for c in schema.names])))
+    return files.cell_account(read).join(total, "column")
+
+
+def _sql_csv_bad_cells():
+    def one(c, k, value):
+        bad = f"count(*) FILTER (o_orderkey % {k} = 0)" if k else "0"
+        left = f"FILTER (o_orderkey % {k} <> 0)" if k else ""
+        return (f"SELECT '{c}' AS \"column\", count(*) AS n_rows, {bad} AS n_bad, {bad} AS n_null, CAST(sum({value}) {left} AS BIGINT) AS total "
+                "FROM orders")
+    return "\nUNION ALL\n".join([
+        one("o_orderkey", 0, "o_orderkey"), one("o_custkey", 13, "o_custkey"), one("o_totalprice", 7, "CAST(round(o_totalprice * 100) AS BIGINT)"),
+        one("o_orderdate", 11, "date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))")])
+
+
 def _box_cols(group):
     return [group, r6(F.col("min")).alias("min"), r6(F.col("q1")).alias("q1"),
             r6(F.col("median")).alias("median"), r6(F.col("q3")).alias("q3"),
@@ -1414,6 +1460,8 @@ def spark_queries() -> dict:
         "front_page_histograms": q_front_page_histograms,
         "value_counts": q_value_counts,
         "score_points": q_score_points,
+        "feature_pairs": q_feature_pairs,
+        "csv_bad_cells": q_csv_bad_cells,
         "box_by_lang": q_box_by_lang,
         "box_by_flag": q_box_by_flag,
         "histogram10": q_histogram10,
@@ -1472,6 +1520,7 @@ def spark_queries() -> dict:
         "shap_importance_classifier": _forest_query("classifier", "shap"),
         "tree_mean_median": _forest_query("regressor", "mean_median"),
         "in_out_sample": _forest_query("classifier", "in_out"),
+        "in_out_sample_regressor": _forest_query("regressor", "in_out"),
         "high_scored_error": _forest_query("classifier", "high"),
         "kmeans_silhouette": q_kmeans_silhouette,
         "topics": q_topics,
@@ -1561,6 +1610,8 @@ FROM m
         "ols_residuals": _sql_ols_residuals(),
         "last_url_per_id": SQL_LAST_URL_PER_ID,
         "durbin_watson": SQL_DURBIN_WATSON,
+        "feature_pairs": _sql_feature_pairs(),
+        "csv_bad_cells": _sql_csv_bad_cells(),
         "lag_difference": SQL_LAG_DIFFERENCE,
         "keyed_permutation": _sql_keyed_permutation(),
         "lasso_kkt": _sql_certificate(f"{REG_LABEL} > 0"),

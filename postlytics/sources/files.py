@@ -8,7 +8,7 @@ inference is never used -- one bad cell would turn the whole column into string.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def _csv(spark: SparkSession, path: str, schema: StructType | str, mode: str) -> DataFrame:
@@ -26,6 +26,32 @@ def read_csv_strict(spark: SparkSession, path: str, schema) -> DataFrame:
     return _csv(spark, path, schema, "FAILFAST")
 
 
+def read_csv_audited(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A1 with an account: as ``read_csv_tolerant``, and ``_bad``, the names of the
+    cells that hold text which does not parse as their type (an empty cell is null and
+    not bad).  The scan keeps the record of a row that does not parse; only those are
+    split again, with every cell a string, and compared."""
+    kept = StructType([*schema.fields, StructField("_record", StringType())])
+    rows = (spark.read.schema(kept).option("header", True).option("multiLine", True).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record").csv(path))
+    texts = StructType([StructField(f.name, StringType()) for f in schema.fields])
+    cells = F.from_csv("_record", ", ".join(f"`{f.name}` string" for f in texts), {"escape": '"', "mode": "PERMISSIVE"})
+    bad = F.filter(F.array(*[F.when(F.col("_cells")[f.name].isNotNull() & F.col(f.name).isNull(), f.name) for f in schema.fields]),
+                   lambda name: name.isNotNull())
+    none = F.array().cast("array<string>")
+    return (rows.withColumn("_cells", F.when(F.col("_record").isNotNull(), cells))
+            .withColumn("_bad", F.when(F.col("_record").isNotNull(), bad).otherwise(none)).drop("_cells", "_record"))
+
+
+def cell_account(audited: DataFrame) -> DataFrame:
+    """``column, n_rows, n_bad, n_null`` of each column of ``read_csv_audited``."""
+    cols = [c for c in audited.columns if c != "_bad"]
+    sums = audited.agg(F.count(F.lit(1)).alias("n_rows"), *[F.array(
+        F.count_if(F.array_contains("_bad", c)), F.count_if(F.col(c).isNull())).alias(f"_a{i}") for i, c in enumerate(cols)])
+    return sums.select("n_rows", F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(f"_a{i}")[0].alias("n_bad"), F.col(f"_a{i}")[1].alias("n_null")) for i, c in enumerate(cols)])))
+
+
 def read_string_list(spark: SparkSession, path: str, name: str = "word") -> DataFrame:
     """A4: a JSON file holding one list of strings -> one-column DataFrame."""
     raw = spark.read.text(path, wholetext=True)

@@ -6,6 +6,7 @@ import tempfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
 from postlytics.sources import files
 
@@ -66,3 +67,16 @@ def test_sinks(spark, tmp):
     files.write_append(df, f"{tmp}/new")                 # created when absent
     assert spark.read.parquet(f"{tmp}/t").count() == 3
     assert spark.read.parquet(f"{tmp}/new").count() == 2
+
+
+def test_audited_scan_counts_bad_cells(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('id,score,day,note\n1,2.5,2020-01-02,"a ""b"", c"\n2,x,2020-13-02,\n,3,,"two\nlines"\n4,,nope,ok\n')
+    schema = StructType([StructField("id", LongType()), StructField("score", DoubleType()), StructField("day", DateType()), StructField("note", StringType())])
+    read = files.read_csv_audited(spark, str(path), schema)
+    rows = {r.id: r for r in read.collect()}
+    assert {i: sorted(r._bad) for i, r in rows.items()} == {1: [], 2: ["day", "score"], None: [], 4: ["day"]}
+    assert rows[1].note == 'a "b", c' and rows[None].note == "two\nlines" and rows[2].score is None
+    account = {r.column: (r.n_rows, r.n_bad, r.n_null) for r in files.cell_account(read).collect()}
+    assert account == {"id": (4, 0, 1), "score": (4, 1, 2), "day": (4, 2, 3), "note": (4, 0, 1)}
+    assert files.read_csv_audited(spark, str(path), schema).limit(0).count() == 0
