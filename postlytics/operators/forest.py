@@ -492,3 +492,91 @@ def shap_importance(model, df: DataFrame, features: list[str], id_col: str, kind
     one = sv.agg(*[F.avg(F.abs(F.col(f"phi_{f}"))).alias(f) for f in features])
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("mean_abs_shap")) for f in features])
     return one.select(F.explode(cells).alias("c")).select("c.*").orderBy(F.desc("mean_abs_shap"))
+
+
+# --------------------------------------------------------------------------
+# SHAP values of all outputs at once
+# --------------------------------------------------------------------------
+def leaf_paths(t: dict) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """One entry a leaf: its node, the distinct features on the way to it and, for
+    each, the interval (low, high] its splits leave and the share of training rows that
+    take this way (the product over its splits)."""
+    found, todo = [], [(0, {})]
+    while todo:
+        node, way = todo.pop()
+        if t["left"][node] < 0:
+            features = np.array(sorted(way), np.int64)
+            low, high, share = np.array([way[f] for f in features.tolist()]).reshape(-1, 3).T
+            found.append((node, features, low, high, share))
+            continue
+        f, threshold, cover = int(t["feat"][node]), t["thr"][node], t["cover"][node] or 1.0
+        low, high, share = way.get(f, (-np.inf, np.inf, 1.0))
+        for child, side in ((t["left"][node], (low, min(high, threshold))), (t["right"][node], (max(low, threshold), high))):
+            todo.append((child, way | {f: (*side, share * t["cover"][child] / cover)}))
+    return found
+
+
+def path_shap(paths: list, values: np.ndarray, x: np.ndarray, n_features: int) -> np.ndarray:
+    """phi (rows x features x outputs) of a tree from its ``leaf_paths``; ``values`` is
+    (nodes x outputs).  A leaf's weights do not depend on the output, so all outputs
+    come from one evaluation."""
+    phi = np.zeros((len(x), n_features, values.shape[1]))
+    for node, features, low, high, share in paths:
+        cells = x[:, features]
+        follows = ((cells > low) & (cells <= high)).astype(float)
+        path: list = []
+        _extend(path, 1.0, np.ones(len(x)), -1)
+        for i, f in enumerate(features.tolist()):
+            _extend(path, share[i], follows[:, i], f)
+        for i, f in enumerate(features.tolist(), 1):
+            weight = _unwound_sum(path, i) * (path[i][2] - path[i][1])
+            phi[:, f] += weight[:, None] * values[node]
+    return phi
+
+
+def shap_values_by_class(model, df: DataFrame, features: list[str], id_col: str) -> DataFrame:
+    """A row for each row of ``df`` and class of a classification forest: ``id_col``,
+    ``class``, phi_<feature>..., ``base`` and ``output``, the class's probability, with
+    sum(phi) + base = output.  All classes are evaluated in one pass."""
+    spark = df.sparkSession
+    trees = Trees(model, spark)
+    classes = int(model.numClasses)
+    packed = []
+    for t, *shares in zip(trees.trees, *[trees.leaf_values("classifier", c) for c in range(classes)]):
+        values = np.stack(shares, axis=1)
+        packed.append((leaf_paths(t), values, np.array([expected_value(t, v) for v in shares]),
+                       {c: t[c] for c in ("left", "right", "feat", "thr")}))
+    bc = spark.sparkContext.broadcast(packed)
+    k = len(features)
+
+    def run(batches):
+        items = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = _features_matrix(pdf)
+            phi, base, out = np.zeros((len(x), k, classes)), np.zeros(classes), np.zeros((len(x), classes))
+            for paths, values, mean, nodes in items:
+                phi += path_shap(paths, values, x, k)
+                base += mean
+                leaf = tree_predict(nodes | {"pred": np.arange(len(values))}, x).astype(np.int64)
+                out += values[leaf]
+            m = len(items)
+            for c in range(classes):
+                res = pd.DataFrame(phi[:, :, c] / m, columns=[f"phi_{f}" for f in features])
+                res.insert(0, id_col, pdf[id_col].values)
+                res.insert(1, "class", c)
+                res["base"], res["output"] = base[c] / m, out[:, c] / m
+                yield res
+
+    id_type = dict(df.dtypes)[id_col]
+    schema = f"{id_col} {id_type}, class int, " + ", ".join(f"phi_{f} double" for f in features) + ", base double, output double"
+    return df.select(id_col, _as_array()).mapInPandas(run, schema)
+
+
+def shap_importance_by_class(model, df: DataFrame, features: list[str], id_col: str) -> DataFrame:
+    """L14 for every class: mean |SHAP value| per class and feature, largest first."""
+    sums = shap_values_by_class(model, df, features, id_col).groupBy("class").agg(
+        *[F.avg(F.abs(F.col(f"phi_{f}"))).alias(f) for f in features])
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("mean_abs_shap")) for f in features])
+    return sums.select("class", F.inline(cells)).orderBy("class", F.desc("mean_abs_shap"))

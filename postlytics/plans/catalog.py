@@ -1338,6 +1338,42 @@ GROUP BY c.class
 """
 
 
+PRICE_BREAKS = [20000.0, 50000.0]
+
+
+def _three_classes(spark, sf):
+    """Line items of low, medium and high price: (model, test rows, features)."""
+    from postlytics.operators import forest
+    from postlytics.operators.sampling import hash_split
+    price = F.when(F.col(REG_LABEL) <= PRICE_BREAKS[0], 0.0).when(F.col(REG_LABEL) <= PRICE_BREAKS[1], 1.0).otherwise(2.0)
+    d = hash_split(regression_frame(spark, sf, spread_scan=True).withColumn("price_class", price), "id", 0.25, 42, "_test")
+    d = forest.prepare(d, REG_FEATURES, "price_class", "classifier")
+    model = forest.fit_forest(d.where(~F.col("_test")), "price_class", "classifier", FOREST_PARAMS)
+    return model, d.where(F.col("_test"))
+
+
+def q_shap_gap_by_class(spark, sf):
+    """TreeSHAP's identity for each of three classes, all from one evaluation."""
+    from postlytics.operators import forest
+    model, te = _three_classes(spark, sf)
+    gap = sum((F.col(f"phi_{f}") for f in REG_FEATURES), F.col("base")) - F.col("output")
+    return forest.shap_values_by_class(model, te, REG_FEATURES, "id").groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.max(F.abs(gap))).alias("max_gap"))
+
+
+def q_shap_importance_by_class(spark, sf):
+    from postlytics.operators import forest
+    model, te = _three_classes(spark, sf)
+    return forest.shap_importance_by_class(model, te, REG_FEATURES, "id")
+
+
+SQL_SHAP_GAP_BY_CLASS = f"""
+WITH {SQL_REG}
+SELECT c.class, count(*) AS n, 0.0::DOUBLE AS max_gap FROM reg CROSS JOIN (VALUES (0), (1), (2)) AS c(class)
+WHERE ({HASH_SQL.format(x='id', seed=42)} % 10000) < 2500 GROUP BY c.class
+"""
+
+
 def q_tree_mean_gap(spark, sf):
     """The mean of the trees' predictions is the forest's, on the sampled test rows."""
     from postlytics.operators import forest
@@ -1516,6 +1552,8 @@ def spark_queries() -> dict:
         "shap_gap": _shap_gap("regressor"),
         "shap_gap_classifier": _shap_gap("classifier"),
         "tree_mean_gap": q_tree_mean_gap,
+        "shap_gap_by_class": q_shap_gap_by_class,
+        "shap_importance_by_class": q_shap_importance_by_class,
         "shap_importance": _forest_query("regressor", "shap"),
         "shap_importance_classifier": _forest_query("classifier", "shap"),
         "tree_mean_median": _forest_query("regressor", "mean_median"),
@@ -1594,6 +1632,7 @@ FROM m
         "url_domain": _sql_url_domain(),
         "keyword_reports": _sql_keyword_reports(),
         "shap_gap": SQL_SHAP_GAP,
+        "shap_gap_by_class": SQL_SHAP_GAP_BY_CLASS,
         "shap_gap_classifier": SQL_SHAP_GAP_CLASSIFIER,
         "tree_mean_gap": SQL_TREE_MEAN_GAP,
         "post_features": _sql_post_features(),

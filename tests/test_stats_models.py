@@ -130,6 +130,25 @@ def test_forest_shap_identity_and_tree_scores(spark, data):
         assert math.isclose(scores[i], want, rel_tol=1e-9)
 
 
+def test_shap_of_all_classes_equals_one_class_at_a_time(spark, data):
+    from postlytics.operators import forest
+    df, _ = data
+    feats = ["x1", "x2", "x3"]
+    three = df.withColumn("c", F.when(F.col("x1") < -0.3, 0.0).when(F.col("x1") + F.col("x2") < 0.5, 1.0).otherwise(2.0))
+    d = forest.prepare(three, feats, "c", "classifier")
+    m = forest.fit_forest(d, "c", "classifier", {"numTrees": 3, "maxDepth": 6, "minInstancesPerNode": 1})
+    got = {(r.id, r["class"]): r for r in forest.shap_values_by_class(m, d, feats, "id").collect()}
+    probability = {r.id: r.probability for r in m.transform(d).select("id", "probability").collect()}
+    assert len(got) == 3 * len(probability)
+    for cls in range(3):
+        for r in forest.shap_values(m, d, feats, "id", "classifier", cls).collect():
+            one = got[r.id, cls]
+            assert all(math.isclose(one[f"phi_{f}"], r[f"phi_{f}"], abs_tol=1e-9) for f in feats)
+            assert math.isclose(one.base, r.base, abs_tol=1e-9) and math.isclose(one.output, probability[r.id][cls], abs_tol=1e-9)
+    importance = forest.shap_importance_by_class(m, d, feats, "id").collect()
+    assert {(r["class"], r.feature) for r in importance} == {(c, f) for c in range(3) for f in feats}
+
+
 def test_permutation_importance(spark, data):
     from postlytics.operators import forest
     df, _ = data
