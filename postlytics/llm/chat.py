@@ -7,8 +7,9 @@ Grammar of a rendered conversation, one turn after another::
 The parser splits on the two control strings alone, so it is deterministic.  It
 always unescapes.  Each conversation is rendered with its texts as they are,
 reparsed and compared with its source; where they differ (a text or role holds a
-control string, an escaped one, or a role a line break), its content is escaped
-and the round trip repeated, which then always succeeds:
+turn mark, an escaped control string, or a role a line break) or where a text or role
+holds a control string that marks no turn and so passes the parser unseen, its content
+is escaped and the round trip repeated, which then always succeeds:
 
 * ``<|im_end|>`` becomes ``<\\|im_end|>``; a string that already looks like that
   gets one backslash more.  Unescaping takes one backslash away.
@@ -88,7 +89,8 @@ def chat_format(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts")).select(
         "conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     plain = convs.withColumn("raw", render(F.col("source")))
-    plain = plain.withColumn("escaped", ~F.coalesce(parse(F.col("raw")) == F.col("source"), F.lit(False)))
+    live = F.exists("source", lambda t: t["role"].rlike("<" + CONTROL) | t["text"].rlike("<" + CONTROL))
+    plain = plain.withColumn("escaped", live | ~F.coalesce(parse(F.col("raw")) == F.col("source"), F.lit(False)))
     chosen = plain.withColumn("shown", F.when(F.col("escaped"), F.transform("source", lambda t: F.struct(
         escape_role(t["role"]).alias("role"), escape_text(t["text"]).alias("text")))).otherwise(F.col("source")))
     chosen = chosen.withColumn("formatted", F.when(F.col("escaped"), render(F.col("shown"))).otherwise(F.col("raw")))
@@ -138,7 +140,7 @@ c AS (
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
          sum(length(role) + length(text) + 24) AS plain_chars,
          sum(length(regexp_replace(text, '<(\\*)\|(im_start|im_end|endoftext)\|>', '<\1\\|\2|>', 'g')) - length(text)) AS more,
-         bool_or(regexp_matches(text, '<\|(im_start|im_end)\|>|<\\+\|(im_start|im_end|endoftext)\|>')) AS escaped
+         bool_or(regexp_matches(text, '<\\*\|(im_start|im_end|endoftext)\|>')) AS escaped
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
        CAST(plain_chars + CASE WHEN escaped THEN more ELSE 0 END AS BIGINT) AS formatted_chars, escaped, true AS round_trip
