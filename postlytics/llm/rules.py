@@ -2,8 +2,8 @@
 per host.
 
 The line rule: lines are normalised (lower case, runs of white space to one
-space, trimmed) and hashed; for each host the distinct texts that hold a line are
-counted; a line above the host's limit is boilerplate and removed; a document
+space, trimmed) and hashed; for each host the distinct documents that hold a line are
+counted; a line above the host's limits is boilerplate and removed; a document
 that loses more than a share of its words that way is rejected as depleted."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postlytics.llm.common import byte_rows, small_batches
+from postlytics.llm.common import byte_rows, slices, small_batches
 
 # fixed values: the symbols that are counted, and the base rule's window and limits
 SYMBOLS = "#*$%&|<>"
@@ -60,14 +60,14 @@ def base_stats(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, bounds = byte_rows(batch, "text")
-        data = raw.tobytes()
-        rows = [base_stats(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in cols)],
-            ["_row", "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            raw, bounds = byte_rows(batch, "text")
+            data = raw.tobytes()
+            rows = [base_stats(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in zip(*rows))],
+                ["_row", "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
 def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,15 +82,17 @@ def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                  min_line_docs: int = 10, max_line_share: float = 0.01, max_removed_share: float = 0.5) -> DataFrame:
+                  min_line_docs: int = 10, min_line_texts: int = 3, max_line_share: float = 0.01,
+                  max_line_docs: int = 10_000, max_removed_share: float = 0.5) -> DataFrame:
     """One row a row of ``df``: ``doc_id``, the base statistics, ``base_failed``,
     ``n_lines_removed``, ``removed_words``, ``kept``, ``removed_lines`` (the places of the
     removed lines, counted from 0) and ``text`` without them.
 
-    A line is above its host's limit when more than ``min_line_docs`` distinct
-    texts of the host hold it and more than ``max_line_share`` of all distinct
-    texts of the host.  Copies of one text count once, so that a much copied clean
-    text is not its own boilerplate.  ``kept`` is false for a base failure and for
+    Documents are told apart by id and text.  A line is above its host's limits when
+    more than ``min_line_docs`` documents of the host hold it and these are more than
+    ``max_line_share`` of the host's documents or, on a large host, more than
+    ``max_line_docs``.  Fewer than ``min_line_texts`` different texts are no evidence,
+    so that a much copied clean text is not its own boilerplate.  ``kept`` is false for a base failure and for
     a document that loses more than ``max_removed_share`` of its words.
 
     All rows of a null host are one host; a null text has no lines and fails the
@@ -106,11 +108,14 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .where("_line <> ''")
              .select("_row", "doc_id", "_host", "_text", "_at", F.xxhash64("_line").alias("_hash"),
                      F.size(F.split("_line", " ")).alias("_words")))
-    per_text = lines.select("_host", "_hash", "_text").distinct()
-    held = per_text.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > min_line_docs)
-    hosts = docs.select("_host", "_text").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_host_docs"))
+    # distinct on all four keys first, so that neither a hot text nor a hot line is one task's
+    per_text = (lines.select("_host", "_hash", "_text", "_row").distinct()
+                .groupBy("_host", "_hash", "_text").agg(F.count(F.lit(1)).alias("_n")))
+    held = (per_text.groupBy("_host", "_hash").agg(F.sum("_n").alias("_docs"), F.count(F.lit(1)).alias("_texts"))
+            .where((F.col("_docs") > min_line_docs) & (F.col("_texts") >= min_line_texts)))
+    hosts = docs.select("_host", "_row").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_host_docs"))
     above = (held.join(hosts, held["_host"].eqNullSafe(hosts["_host"]))
-             .where(F.col("_docs") > max_line_share * F.col("_host_docs"))
+             .where((F.col("_docs") > max_line_share * F.col("_host_docs")) | (F.col("_docs") > max_line_docs))
              .select(held["_host"].alias("_h"), F.col("_hash").alias("_k")))
     # a set: a row repeated k times has each of its lines k times among the removed
     removed = (lines.join(above, lines["_host"].eqNullSafe(above["_h"]) & (lines["_hash"] == above["_k"]))
@@ -150,9 +155,9 @@ k AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS win FROM p),
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM k),
 rw AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words
        FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM r WHERE n > 1) GROUP BY 1),
-h AS (SELECT source, count(DISTINCT text) AS nd FROM d GROUP BY 1),
-f AS (SELECT source, line, count(DISTINCT text) AS n FROM lw GROUP BY 1, 2),
-a AS (SELECT f.source, f.line FROM f JOIN h USING (source) WHERE n > 10 AND n > 0.01 * nd),
+h AS (SELECT source, count(DISTINCT doc_id) AS nd FROM d GROUP BY 1),
+f AS (SELECT source, line, count(DISTINCT doc_id) AS n, count(DISTINCT text) AS nt FROM lw GROUP BY 1, 2),
+a AS (SELECT f.source, f.line FROM f JOIN h USING (source) WHERE n > 10 AND nt >= 3 AND (n > 0.01 * nd OR n > 10000)),
 x AS (SELECT doc_id, count(*) AS n_lines_removed, sum(len(string_split(lw.line, ' ')))::BIGINT AS removed_words
       FROM lw JOIN a ON lw.source = a.source AND lw.line = a.line GROUP BY 1),
 o AS (SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
