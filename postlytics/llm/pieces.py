@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from postlytics.llm.common import slices, small_batches
+from postlytics.llm.common import slices, small_batches, worker_table
 from postlytics.llm.tokens import ID, UnitCache
 
 # fixed values of the format: the white-space mark, piece types, model types
@@ -27,6 +27,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
+DECODED = 20  # texts decoded at once
+
 
 class Model:
     """A SentencePiece model file on the tokenizers library."""
@@ -97,6 +99,7 @@ class Model:
         """The texts of rows ``bounds`` of ``ids``: the pieces' bytes are gathered for
         all rows at once; a dummy prefix is taken off; bytes that are not UTF-8
         become replacement characters."""
+        ids = ids[:bounds[-1]]
         sizes = self.piece_size[ids]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(self.piece_start[ids] - ends[:-1], sizes) + np.arange(ends[-1])
@@ -107,13 +110,12 @@ class Model:
 
 
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_models: dict[str, tuple[Model, UnitCache, set[str]]] = {}
 
 
 def worker_model(path: str, threads: int) -> tuple[Model, UnitCache, set[str]]:
     """The model, its word table and the words on which the libraries differ, one a
     Python worker."""
-    if path not in _models:
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         import sentencepiece
@@ -128,13 +130,16 @@ def worker_model(path: str, threads: int) -> tuple[Model, UnitCache, set[str]]:
             differ.update(w for w, a, b in zip(words, mine, theirs) if a != b[ahead:])
             return [np.array(x, ID).tobytes() for x in mine]
 
-        _models[path] = model, UnitCache(encode), differ
-    return _models[path]
+        return model, UnitCache(encode), differ
+
+    return worker_table(f"pieces {path}", make)
 
 
 def encode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  threads: int = 2) -> DataFrame:
-    """One row a row of ``df``: ``doc_id, text, ids`` (array of int), ``parity``.
+                  threads: int = 2, decoded: bool = False) -> DataFrame:
+    """One row a row of ``df``: ``doc_id, text, ids`` (array of int), ``parity`` and, if
+    asked for, ``decoded``: the ids' text, made in the same pass, so that one worker a task
+    slot holds the model and not two.
 
     ``parity`` is whether the sentencepiece library gives the same ids.  A null or
     empty text has no ids; repeated rows and null ids are kept; an empty table
@@ -150,14 +155,18 @@ def encode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
                 texts = [model.units(t) for t in batch.column(1).to_pylist()]
                 ids = cache.ids(texts)
                 sizes = np.cumsum([0, *(len(x) // ID.itemsize for x in ids)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), ID).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(sizes), values),
-                     pa.array([not differ or differ.isdisjoint(t) for t in texts], pa.bool_())],
-                    ["doc_id", "text", "ids", "parity"])
+                values = np.frombuffer(b"".join(ids), ID).astype(np.int32)
+                cols = {"doc_id": batch.column(0), "text": batch.column(1),
+                        "ids": pa.ListArray.from_arrays(pa.array(sizes), pa.array(values)),
+                        "parity": pa.array([not differ or differ.isdisjoint(t) for t in texts], pa.bool_())}
+                if decoded:
+                    runs = (model.decode(values[sizes[at]:], sizes[at:at + DECODED + 1] - sizes[at])
+                            for at in range(0, len(ids), DECODED))
+                    cols["decoded"] = pa.array([t for some in runs for t in some], pa.string())
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text string, ids array<int>, parity boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, text string, ids array<int>, parity boolean" + ", decoded string" * decoded)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded",
@@ -170,8 +179,8 @@ def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", out_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _, _ = worker_model(model_path, threads)
         for whole in batches:
-            for at in range(0, whole.num_rows, 20):
-                batch = whole.slice(at, 20)
+            for at in range(0, whole.num_rows, DECODED):
+                batch = whole.slice(at, DECODED)
                 ids = batch.column(batch.schema.get_field_index(ids_col))
                 sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
                 values = ids.flatten().to_numpy(zero_copy_only=False)
@@ -187,7 +196,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", out_col:
 def pieces_digest(encoded: DataFrame, model_path: str) -> DataFrame:
     """Per document the number of ids, a hash of them, whether the decoded text is
     the source, and parity."""
-    back = decode_pieces(encoded, model_path)
+    back = encoded if "decoded" in encoded.columns else decode_pieces(encoded, model_path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.crc32(F.array_join("ids", ",")).alias("ids_crc32"),
                        (F.col("decoded") == F.col("text")).alias("round_trip"), "parity")

@@ -65,7 +65,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
-    return pieces.pieces_digest(pieces.encode_pieces(load(spark, sf_dir, "documents"), path), path)
+    return pieces.pieces_digest(pieces.encode_pieces(load(spark, sf_dir, "documents"), path, decoded=True), path)
 
 
 def op11_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
