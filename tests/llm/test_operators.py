@@ -91,6 +91,13 @@ def test_chat_round_trip(spark):
     assert {r[0] for r in chat.with_planted(df).where("conv_id = -1").select("text").collect()} == {chat.PLANTED}
 
 
+def test_chat_escapes_a_lone_control_string(spark):
+    rows = [(1, 0, "user", "a <|endoftext|> b"), (2, 0, "<|endoftext|>", "x"), (3, 0, "user", "a <|end|> b")]
+    got = {r.conv_id: r for r in chat.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[i].escaped for i in (1, 2, 3)] == [True, True, False]
+    assert all("<|endoftext|>" not in r.formatted and r.round_trip for r in got.values())
+
+
 def test_chat_parser_rejects_what_is_not_in_the_grammar(spark):
     bad = ["x", "<|im_start|>user", "<|im_start|>user\nhi", "<|im_start|>user\nhi<|im_end|>", "<|im_start|>u\na<|im_end|>b<|im_end|>\n"]
     df = spark.createDataFrame([(b,) for b in bad], "s string")
@@ -138,6 +145,22 @@ def test_rules_remove_lines_that_many_texts_of_a_host_share(spark):
     assert all(r.kept for i in range(30, 60) for r in got[i])  # copies of one text are not boilerplate
 
 
+def test_rules_count_documents_not_texts(spark):
+    menu, five = prose(5, random.Random(97)), [prose(60, random.Random(i)) for i in range(5)]
+    rows = [(i, "a", f"{menu}\n{five[i % 5]}{i // 5 % 20}") for i in range(500)]  # 100 texts, 5 copies each
+    rows += [(1000 + i, "b", f"{menu}\n{five[0]}") for i in range(500)]  # one text
+    rows += [(2000 + i, "c", f"{menu}\n{five[i % 4]}" if i < 12 else f"{prose(30, random.Random(i))}") for i in range(1300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in rules.quality_rules(df).collect()}
+    assert all(r.n_lines_removed >= 1 and menu not in r.text for i, r in got.items() if i < 500)
+    assert all(r.n_lines_removed == 0 and r.kept for i, r in got.items() if 1000 <= i < 1500)
+    assert all(r.n_lines_removed == 0 for i, r in got.items() if 2000 <= i)  # 12 of 1300 documents
+    few = {r.doc_id: r.n_lines_removed for r in rules.quality_rules(df, max_line_docs=11).collect()}
+    assert few[2000] == 1 and few[2012] == 0
+    shared = spark.createDataFrame([(i, "a", f"{menu}\n{five[i % 5]}") for i in range(500)], df.schema)
+    assert {0 in r.removed_lines for r in rules.quality_rules(shared).collect()} == {True}  # 5 texts
+
+
 def test_rules_give_the_text_without_the_removed_lines(spark):
     own = [prose(60, random.Random(i)) for i in range(20)]
     line = prose(25, random.Random(98))
@@ -508,6 +531,42 @@ def test_sentencepiece_parity_and_round_trip(spark, smoke):
     assert model.decode(ids, np.array([0, len(ids)])) == [model.words.decode(ids.tolist(), skip_special_tokens=False)]
 
 
+def unigram_model(path, squeeze):
+    """A small unigram model file: bytes, letters and some longer pieces with scores."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, True
+    m.trainer_spec.unk_id, m.trainer_spec.bos_id, m.trainer_spec.eos_id, m.trainer_spec.pad_id = 0, 1, 2, -1
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix = "identity", True
+    m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = squeeze, True
+    some = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256)]
+    some += [(c, -9.0 - i / 16, 1) for i, c in enumerate("▁abcdehilmnorstu")]
+    longer = ["▁the", "the", "▁a", "an", "and", "▁and", "er", "ther", "her", "▁h", "on", "ion", "st", "▁st", "ation", "ti", "at"]
+    some += [(p, -3.0 - 0.37 * i, 1) for i, p in enumerate(longer)]
+    for piece, score, kind in some:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_unigram_model_parity_and_round_trip(spark, tmp_path, squeeze):
+    import sentencepiece
+    path = unigram_model(tmp_path / "unigram.model", squeeze)
+    other = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(3)
+    texts = [None, "", "the station and another", " a  b ", "  ", "grüße 日本 🙂 xyz", "hand\tand\nthen", "a" * 3000]
+    texts += [" ".join("".join(r.choice("abcdehilmnorstuz") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 30))) for _ in range(60)]
+    model = pieces.Model(path)
+    assert model.squeeze == squeeze and type(model.words.model).__name__ == "Unigram"
+    for r in pieces.encode_pieces(table(spark, texts), path, decoded=True).collect():
+        text = texts[r.doc_id] or ""
+        assert r.ids == other.encode(text), repr(text)
+        assert r.parity
+        assert r.decoded == (" ".join(text.split(" ")).strip(" ").replace("  ", " ") if squeeze else text), repr(text)
+        assert r.decoded == other.decode(r.ids)
+
+
 def test_held_out_is_crc32_of_the_id(spark):
     got = spark.range(50).select("id", held_out(F.col("id"))).collect()
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in got)
