@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from postlytics.functions.normal import normal_cdf, normal_quantile
 from postlytics.operators import distributions as dist
-from postlytics.operators.ordering import exact_quantiles, step_sums
+from postlytics.operators.ordering import dense_index, exact_quantiles, step_sums
 
 
 def _long_rows(spark, rows, schema):
@@ -42,10 +43,10 @@ def pearson_long(df: DataFrame, cols: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*cells)).alias("c")).select("c.x", "c.y", "c.z")
 
 
-def average_ranks(df: DataFrame, col: str, name: str = "rank", num_partitions: int | None = None) -> DataFrame:
-    """(``col``, ``name``), the average rank (from 1) of each distinct value.  Ties
-    are counted first, so the rows of one value never meet in a task; the counts are
-    range-partitioned and summed up, with one sum per partition on the driver."""
+def running_counts(df: DataFrame, col: str, num_partitions: int | None = None) -> DataFrame:
+    """(``col``, ``_c``, ``_upto``): each distinct value, its rows and the rows up to and
+    with it.  Ties are counted first, so the rows of one value never meet in a task; the
+    counts are range-partitioned and summed up, with one sum per partition on the driver."""
     from postlytics.session import cut_lineage
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
@@ -56,7 +57,13 @@ def average_ranks(df: DataFrame, col: str, name: str = "rank", num_partitions: i
     upto = F.sum("_c").over(Window.partitionBy("_p").orderBy(col))
     start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), F.col("_p").cast("long")) \
         if before else F.lit(0)
-    return ranged.select(col, (start + upto - (F.col("_c") - 1) / 2).alias(name))
+    return ranged.select(col, "_c", (start + upto).alias("_upto"))
+
+
+def average_ranks(df: DataFrame, col: str, name: str = "rank", num_partitions: int | None = None) -> DataFrame:
+    """(``col``, ``name``), the average rank (from 1) of each distinct value, from
+    ``running_counts``."""
+    return running_counts(df, col, num_partitions).select(col, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
 
 
 def spearman_long(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -199,6 +206,36 @@ def qq_points(df: DataFrame, col: str, points: int = 99) -> DataFrame:
     return _long_rows(df.sparkSession, rows, schema)
 
 
+def normal_points(df: DataFrame, col: str, key: str, num_partitions: int | None = None) -> DataFrame:
+    """K5: the normal plot with a point for every row whose ``col`` is not null: ``rank``
+    (from 1, ties by ``key``, unique), the position ``p`` = rank / (n + 1), ``theoretical``,
+    its standard normal quantile, ``sample``, the value as it is, and ``line``, the mean
+    plus standard deviation times ``theoretical``.  One range shuffle; n and the two
+    moments are all that the driver sees.  No rows give no points."""
+    rows = df.select(F.col(key).alias("_k"), F.col(col).cast("double").alias("sample")).where(F.col("sample").isNotNull())
+    ranked, n = dense_index(rows, ["sample", "_k"], "_i", num_partitions)
+    mean, sd = ranked.agg(F.avg("sample"), F.stddev_pop("sample")).first()
+    points = ranked.select((F.col("_i") + 1).alias("rank"), ((F.col("_i") + 1) / F.lit(float(n + 1))).alias("p"), "sample")
+    points = points.withColumn("theoretical", normal_quantile("p"))
+    return points.select("rank", "p", "theoretical", "sample", (F.lit(mean) + F.lit(sd) * F.col("theoretical")).alias("line"))
+
+
+def normality_distance(df: DataFrame, col: str, num_partitions: int | None = None) -> DataFrame:
+    """K6: one row, ``distance`` and ``n``: the greatest distance of the empirical
+    distribution of ``col`` (nulls left out) from the normal one with its mean and sample
+    standard deviation.  The steps of the empirical distribution are the running counts of
+    the distinct values, so it needs no row order.  Null for fewer than two rows or no
+    spread."""
+    rows = df.select(F.col(col).cast("double").alias("_v")).dropna()
+    steps = running_counts(rows, "_v", num_partitions)
+    m = rows.agg(F.avg("_v").alias("m"), F.stddev_samp("_v").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    if not m["s"]:
+        return df.sparkSession.createDataFrame([(None, m["n"])], "distance double, n long")
+    at = normal_cdf((F.col("_v") - m["m"]) / m["s"])
+    gap = F.greatest(F.col("_upto") / float(m["n"]) - at, at - (F.col("_upto") - F.col("_c")) / float(m["n"]))
+    return steps.agg(F.max(gap).alias("distance"), F.lit(m["n"]).cast("long").alias("n"))
+
+
 def normality(df: DataFrame, col: str) -> DataFrame:
     """K6: Kolmogorov-Smirnov distance of the standardised column (sample standard
     deviation) to N(0, 1) (Spark ML's distributed test) with the Lilliefors p-value

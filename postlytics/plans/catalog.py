@@ -1095,6 +1095,60 @@ SELECT round(unnest({plist}), 6) AS p, round(unnest({tlist}), 6) AS theoretical,
 """
 
 
+def q_normal_points(spark, sf):
+    from postlytics.operators.stats import normal_points
+    out = normal_points(_ols(spark, sf)["residuals"], "resid", "id")
+    return out.select("rank", *[r6(F.col(c)).alias(c) for c in ("p", "theoretical")],
+                      *[F.round(c, 3).alias(c) for c in ("sample", "line")])
+
+
+def _sql_ratio(pair, x):
+    """A ratio of two polynomials of ``x`` in SQL, as ``functions.normal`` evaluates it."""
+    parts = []
+    for first, *others in pair:
+        text = f"{first:.17e}"
+        for c in others:
+            text = f"({text} * {x} + {c:.17e})"
+        parts.append(text)
+    return " / ".join(parts)
+
+
+def _sql_normal_points():
+    from postlytics.functions import normal
+    return f"""
+WITH {_sql_ols_ctes()},
+e AS (SELECT {SQL_OLS_RESIDUAL} AS v, id FROM reg, ols),
+k AS (SELECT v, row_number() OVER (ORDER BY v, id) AS rank, count(*) OVER () AS n, avg(v) OVER () AS mean,
+             stddev_pop(v) OVER () AS sd FROM e),
+p AS (SELECT *, rank / (n + 1)::DOUBLE AS p FROM k),
+q AS (SELECT *, p - 0.5::DOUBLE AS q, 0.180625::DOUBLE - (p - 0.5::DOUBLE) ** 2 AS m, sqrt(-ln(least(p, 1 - p))) AS r FROM p),
+u AS (SELECT *, r - 1.6::DOUBLE AS a, r - 5 AS b FROM q),
+t AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_sql_ratio(normal.QUANTILE_MIDDLE, "m")}
+                     WHEN r <= 5 THEN sign(q) * {_sql_ratio(normal.QUANTILE_TAIL, "a")}
+                     ELSE sign(q) * {_sql_ratio(normal.QUANTILE_FAR, "b")} END AS z FROM u)
+SELECT rank, round(p, 6) AS p, round(z, 6) AS theoretical, round(v, 3) AS sample, round(mean + sd * z, 3) AS line FROM t
+"""
+
+
+def q_normality_distance(spark, sf):
+    from postlytics.operators.stats import normality_distance
+    return normality_distance(_ols(spark, sf)["residuals"], "resid").select(r6(F.col("distance")).alias("distance"), "n")
+
+
+def _sql_normality_distance():
+    """The distribution function as the midpoint sum of the density, 20,000 steps a unit."""
+    return f"""
+WITH {_sql_ols_ctes()},
+e AS (SELECT {SQL_OLS_RESIDUAL} AS v FROM reg, ols),
+k AS (SELECT (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS z, row_number() OVER (ORDER BY v) AS rank, count(*) OVER () AS n FROM e),
+g AS (SELECT range AS cell, sum(exp(-power((range + 0.5) / 20000 - 9, 2) / 2) / 20000 / sqrt(2 * pi())) OVER (ORDER BY range) AS below
+      FROM range(360000)),
+c AS (SELECT rank, n, below + exp(-z * z / 2) / sqrt(2 * pi()) * (z + 9 - (cell + 1) / 20000) AS f
+      FROM k JOIN g ON cell = floor((z + 9) * 20000)::BIGINT)
+SELECT round(max(greatest(rank / n - f, f - (rank - 1) / n)), 6) AS distance, max(n) AS n FROM c
+"""
+
+
 def q_normality(spark, sf):
     from postlytics.operators.stats import normality
     return normality(load(spark, sf, "events"), "value")
@@ -1528,6 +1582,8 @@ def spark_queries() -> dict:
         "durbin_watson": q_durbin_watson,
         "qq_points": q_qq_points,
         "normality": q_normality,
+        "normal_points": q_normal_points,
+        "normality_distance": q_normality_distance,
         "hash_split": q_hash_split,
         "undersample": q_undersample,
         "sample_rows": q_sample_rows,
@@ -1656,6 +1712,8 @@ FROM m
         "lasso_kkt": _sql_certificate(f"{REG_LABEL} > 0"),
         "poisson_score": _sql_certificate(f"({HASH_SQL.format(x='id', seed=42)} % 10000) >= 2500"),
         "qq_points": _sql_qq(),
+        "normal_points": _sql_normal_points(),
+        "normality_distance": _sql_normality_distance(),
         "hash_split": SQL_HASH_SPLIT,
         "undersample": SQL_UNDERSAMPLE,
         "sample_rows": SQL_SAMPLE_ROWS,

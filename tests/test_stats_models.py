@@ -306,3 +306,46 @@ def test_parts_are_built_when_asked_for():
     wider = Parts(parts.makers("x_"))
     assert list(wider) == ["x_a", "x_b"] and not made
     assert wider["x_b"] == 2 and wider["x_b"] == 2 and made == ["b"]
+
+
+def test_normal_columns_against_the_standard_library(spark):
+    from statistics import NormalDist
+    from postlytics.functions.normal import normal_cdf, normal_quantile
+    ps = [1e-300, 1e-40, 1e-12, 1e-9, 1e-4, 0.02, 0.07, 0.075, 0.2, 0.5, 0.8, 0.925, 0.93, 0.999, 1 - 1e-12]
+    df = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, None]], "p double")
+    got = [r[0] for r in df.select(normal_quantile("p")).collect()]
+    assert got[len(ps):] == [None] * 3
+    for p, z in zip(ps, got):
+        assert abs(z - NormalDist().inv_cdf(p)) <= 1e-12 * abs(z)
+    zs = [-37.0, -12.0, -5.7, -5.6, -3.0, -0.7, -0.6, 0.0, 0.6, 0.7, 1.0, 5.7, 9.0]
+    for z, (f,) in zip(zs, spark.createDataFrame([(z,) for z in zs], "z double").select(normal_cdf("z")).collect()):
+        assert abs(f - math.erfc(-z / math.sqrt(2)) / 2) <= 1e-13 * f
+
+
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_normal_points_and_distance_against_plain_python(spark, parts):
+    from statistics import NormalDist, mean, pstdev, stdev
+    r = random.Random(parts)
+    values = [round(r.gauss(3, 2), 1) for _ in range(400)] + [9.0] * 300  # a third of the rows ties
+    rows = [(i, v) for i, v in enumerate(values)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "id long, v double").withColumn("rank", F.lit("clash"))
+    got = sorted(stats.normal_points(df, "v", "id", parts).collect())
+    n = len(values)
+    assert [x.rank for x in got] == list(range(1, n + 1)) and [x.sample for x in got] == sorted(values)
+    for x in got:
+        want = NormalDist().inv_cdf(x.rank / (n + 1))
+        assert abs(x.theoretical - want) < 1e-12 and abs(x.line - (mean(values) + pstdev(values) * want)) < 1e-9
+    fitted = NormalDist(mean(values), stdev(values))
+    steps = [(fitted.cdf(v), i) for i, v in enumerate(sorted(values))]
+    want = max(max((i + 1) / n - f, f - i / n) for f, i in steps)
+    one = stats.normality_distance(df, "v", parts).first()
+    assert abs(one.distance - want) < 1e-12 and one.n == n
+
+
+def test_normal_plot_of_empty_and_constant_columns(spark):
+    none = spark.createDataFrame([(1, None)], "id long, v double")
+    same = spark.createDataFrame([(1, 2.0), (2, 2.0)], "id long, v double")
+    assert stats.normal_points(none, "v", "id").count() == 0
+    assert stats.normality_distance(none, "v").collect() == [(None, 0)]
+    assert stats.normality_distance(same, "v").collect() == [(None, 2)]
+    assert [x.line for x in stats.normal_points(same, "v", "id").orderBy("rank").collect()] == [2.0, 2.0]
