@@ -1,19 +1,24 @@
 """Topics and title vectors.
 
 L19 is re-aimed: the neural document embedding and reduction of the reference
-become hashed TF-IDF vectors (no vocabulary on the driver), L2-normalised, with
-k-means (k = 10) as the clustering step -- the clustering step the reference
-also uses.  Topic names follow the class-based TF-IDF idea: per topic, words
+become hashed TF-IDF vectors (no vocabulary on the driver), L2-normalised, reduced to
+their leading directions by a randomised range finder, with k-means (k = 10) as the
+clustering step -- the clustering step the reference also uses.  Topic names follow the class-based TF-IDF idea: per topic, words
 weighted by tf_topic(w) * log(1 + A / f(w)), A the mean word count per topic,
 f(w) the word's count over all topics; the name is "<topic>_<w1>_<w2>_<w3>_<w4>".
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from postlytics.functions.text import WHITESPACE_CLASS, tokens
+from postlytics.session import cut_lineage
 
 
 def _tfidf(df: DataFrame, text: str, stop_words: list[str], num_features: int):
@@ -29,14 +34,91 @@ def _tfidf(df: DataFrame, text: str, stop_words: list[str], num_features: int):
     ])
 
 
+def _projected(batch: pa.RecordBatch, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and feature of each stored entry of the sparse rows (columns ``_at``, ``_v``),
+    its value, and the rows times ``basis``."""
+    at, value = (batch.column(batch.schema.get_field_index(c)) for c in ("_at", "_v"))
+    row = np.repeat(np.arange(batch.num_rows), at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    at, value = at.flatten().to_numpy(), value.flatten().to_numpy()
+    return row, at, value, np.stack([np.bincount(row, value * v[at], batch.num_rows) for v in basis.T], axis=1)
+
+
+def leading_directions(rows: DataFrame, num_features: int, size: int = 32, oversample: int = 8, passes: int = 3,
+                       seed: int = 42) -> np.ndarray:
+    """The ``size`` leading right singular vectors (columns) of the sparse ``rows`` (``_at``
+    array of feature numbers, ``_v`` array of values), by a randomised range finder with
+    ``passes`` subspace steps (Halko, Martinsson and Tropp 2011).
+
+    A step is one scan: every task adds up its rows' part of A'(A V) and sends a line a
+    feature that it has met; these are summed by feature, combined before the shuffle.  Driver and tasks hold
+    num_features x (size + oversample) numbers (21 MB by default), whatever the rows' number.
+    A table without rows gives arbitrary orthonormal directions."""
+    width = min(size + oversample, num_features)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(num_features, width)))[0]
+    sc = rows.sparkSession.sparkContext
+    small: np.ndarray
+    for step in range(passes):
+        held = sc.broadcast(basis)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v = held.value
+            total, met = np.zeros((v.shape[1], num_features)), np.zeros(num_features, bool)
+            for batch in batches:
+                row, at, value, part = _projected(batch, v)
+                met[at] = True
+                for j, p in enumerate(part.T):
+                    total[j] += np.bincount(at, value * p[row], num_features)
+            found = np.flatnonzero(met)
+            yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(t[found]) for t in total)],
+                                             ["feature", *(f"c{j}" for j in range(v.shape[1]))])
+
+        cols = [f"c{j}" for j in range(width)]
+        sums = (rows.select("_at", "_v").mapInArrow(run, "feature long, " + ", ".join(f"{c} double" for c in cols))
+                .groupBy("feature").agg(*[F.sum(c).alias(c) for c in cols]))
+        image = np.zeros((num_features, width))
+        for r in sums.toLocalIterator():  # a row a feature
+            image[r[0]] = r[1:]
+        held.destroy()
+        small = basis.T @ image
+        if step + 1 < passes:
+            basis = np.linalg.qr(image)[0]
+    value, turn = np.linalg.eigh((small + small.T) / 2)
+    return basis @ turn[:, np.argsort(-value, kind="stable")[:size]]
+
+
+def reduce_rows(df: DataFrame, features: str, num_features: int, keep: list[str], out_col: str = "reduced",
+                size: int = 32, passes: int = 3, seed: int = 42) -> DataFrame:
+    """The columns ``keep`` of ``df`` and ``out_col``, the sparse vectors of ``features`` in their
+    ``leading_directions`` (an array of ``size`` numbers).  An empty vector becomes zeros."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructType
+    parts = F.unwrap_udt(features)
+    rows = df.select(*keep, parts["indices"].alias("_at"), parts["values"].alias("_v"))
+    held = df.sparkSession.sparkContext.broadcast(leading_directions(rows, num_features, size, passes=passes, seed=seed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = _projected(batch, held.value)[3]
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * part.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.ListArray.from_arrays(ends, pa.array(part.ravel()))],
+                                             [*keep, out_col])
+
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:-2]).add(out_col, ArrayType(DoubleType())))
+
+
 def assign_topics(df: DataFrame, text: str, id_col: str, stop_words: list[str], k: int = 10,
-                  seed: int = 42, num_features: int = 1 << 16, top_n: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Returns (doc_topics: id, Topic; topic_info: Topic, Count, Name)."""
+                  seed: int = 42, num_features: int = 1 << 16, top_n: int = 4, size: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Returns (doc_topics: id, Topic; topic_info: Topic, Count, Name).  The TF-IDF rows are
+    reduced to ``size`` directions and normalised again before they are clustered."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import array_to_vector
     d = df.select(id_col, text).where(F.col(text).isNotNull())
-    feats = _tfidf(d, text, stop_words, num_features).fit(d).transform(d).persist()
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="Topic").fit(feats)
-    assigned = model.transform(feats).select(id_col, "Topic", "_words").persist()
+    feats = _tfidf(d, text, stop_words, num_features).fit(d).transform(d).select(id_col, "_words", "features").persist()
+    short = reduce_rows(feats, "features", num_features, [id_col, "_words"], size=size, seed=seed)
+    short = Normalizer(inputCol="_short", outputCol="_unit").transform(short.withColumn("_short", array_to_vector("reduced"))).persist()
+    model = KMeans(k=k, seed=seed, featuresCol="_unit", predictionCol="Topic").fit(short)
+    assigned = cut_lineage(model.transform(short).select(id_col, "Topic", "_words"))
+    short.unpersist()
     feats.unpersist()
     words = assigned.select("Topic", F.explode("_words").alias("word"))
     tf = words.groupBy("Topic", "word").agg(F.count(F.lit(1)).alias("tf"))
