@@ -76,8 +76,8 @@ def leading_directions(rows: DataFrame, num_features: int, size: int = 32, overs
         sums = (rows.select("_at", "_v").mapInArrow(run, "feature long, " + ", ".join(f"{c} double" for c in cols))
                 .groupBy("feature").agg(*[F.sum(c).alias(c) for c in cols]))
         image = np.zeros((num_features, width))
-        for r in sums.toLocalIterator():  # a row a feature
-            image[r[0]] = r[1:]
+        summed = sums.toArrow()  # at most num_features rows
+        image[summed["feature"].to_numpy()] = np.stack([summed[c].to_numpy() for c in cols], axis=1)
         held.destroy()
         small = basis.T @ image
         if step + 1 < passes:
