@@ -1,89 +1,146 @@
-"""HTML -> plain text (I20, with I21 folded in).
+r"""HTML -> plain text (I20, with I21 folded in), as column expressions.
 
 Rule: for every h1-h6 and p element, in document order of their start tags,
 take the text pieces inside it (script, style and template text and comments
 excluded), strip each, drop empty ones, and join them with no separator; join
-the element texts with a newline.  Parsing follows the standard-library
-``html.parser`` event stream: void elements never open; an end tag closes up to
-the nearest open element of that name and is ignored when none is open; no
-closing is implied, so ``<p>a<p>b`` nests and yields "ab" and "b".  Rows with a
-null or empty html are skipped.
-
-Runs as ``mapInPandas`` over Arrow batches: the only Python step of the page
-pipeline, one small parser per row.
+the element texts with a newline.  Void elements never open; an end tag closes
+up to the nearest open element of that name and is ignored when none is open; no
+closing is implied, so ``<p>a<p>b`` nests and yields "ab" and "b".  A ``<`` that
+begins no markup is text; markup that the page's end cuts off is none.
+Character references are resolved as in HTML 5.  Rows with a null or empty html are skipped.
+
+A page is cut into tokens by one regular expression (possessive, so its depth
+does not grow with the page), and the tokens are folded: the state holds the open
+elements and the pieces found.  The fold runs in stretches of ``STRETCH`` tokens,
+because each step copies the pieces it holds.  Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import json
+from html.entities import html5
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The elements whose text is kept, those whose text is never
 # text, and the HTML void elements.
-TEXT_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
-RAW_TAGS = {"script", "style", "template"}
-VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
+TEXT_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6", "p"]
+TEMPLATE = "template"
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
              "param", "source", "track", "wbr", "basefont", "bgsound", "frame", "keygen",
-             "menuitem", "spacer"}
-
-
-class _Extractor(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int | None]] = []   # (tag, index of its text slot)
-        self.blocks: list[list[str]] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in VOID_TAGS:
-            return
-        slot = None
-        if tag in TEXT_TAGS:
-            self.blocks.append([])
-            slot = len(self.blocks) - 1
-        self.stack.append((tag, slot))
-
-    def handle_startendtag(self, tag, attrs):
-        if tag in TEXT_TAGS:
-            self.blocks.append([])
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-
-    def handle_data(self, data):
-        if any(tag in RAW_TAGS for tag, _ in self.stack):
-            return
-        piece = data.strip()
-        if not piece:
-            return
-        for _, slot in self.stack:
-            if slot is not None:
-                self.blocks[slot].append(piece)
-
-
-def extract_text(html: str) -> str:
-    p = _Extractor()
-    p.feed(html)
-    p.close()
-    return "\n".join("".join(b) for b in p.blocks)
+             "menuitem", "spacer"]
+
+STRETCH = 256
+_NAME = r"[a-zA-Z][^\s/>]*+"
+_ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
+# comment | script or style with its content | tag | other markup | cut-off markup | text
+_TOKEN = "|".join([
+    r"(?s)<!--(?:-?>|.*?(?:--!?>|\z))",
+    r"(?i:<(script|style)(?=[\s/>])(?![^>]*+(?<=/)>)" + _ATTRIBUTES + r".*?(?:</\1(?=[\s/>])[^>]*+>|\z))",
+    "</?[a-zA-Z]" + _ATTRIBUTES,
+    "<[!?/][^>]*+>",
+    "<[!?/a-zA-Z].*+",
+    "(?:[^<]++|<(?![a-zA-Z/!?]))++",
+])
+_REFERENCE = r"&(?:#[0-9]++;?+|#[xX][0-9a-fA-F]++;?+|[^\t\n\f <&#;]{1,32};?)|&|[^&]++"
+# what Python's str.strip() strips
+_BLANK = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_STATE = "struct<open:array<struct<tag:string,slot:int>>,n:int,out:array<struct<slot:int,piece:string>>>"
+
+
+def _code_point(code: Column) -> Column:
+    """The character of a code point as HTML 5 reads references: windows-1252 for
+    U+0080-U+009F, U+FFFD for what is no character, nothing for control characters."""
+    latin = F.array(*[F.lit(bytes([i]).decode("cp1252", "ignore") or chr(i)) for i in range(0x80, 0xA0)])
+    gone = (code.between(1, 8) | (code == 0x0B) | code.between(0x0E, 0x1F) | (code == 0x7F)
+            | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
+    return (F.when(code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("�"))
+            .when(code.between(0x80, 0x9F), F.get(latin, code - 0x80))
+            .when(gone, F.lit(""))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+
+
+def _resolved(part: Column) -> Column:
+    """A reference's text; a part that is none stays."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    bare = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    digits = F.regexp_extract(part, "^&#[xX]?0*+([0-9a-fA-F]*+)", 1)
+    code = F.when(F.length(digits) <= 7, F.when(F.lower(F.substring(part, 3, 1)) == "x", F.conv(digits, 16, 10))
+                  .otherwise(digits).cast("int"))
+    code = F.when(digits == "", F.lit(0)).otherwise(code)
+    known = F.try_element_at(names, F.substring(part, 2, 40))
+    begin = F.regexp_extract(part, "^&(" + "|".join(bare) + ")", 1)
+    legacy = F.when(begin != "", F.concat(F.try_element_at(names, begin),
+                                          part.substr(F.length(begin) + 2, F.length(part))))
+    return (F.when(~part.startswith("&") | (part == "&"), part).when(part.rlike("^&#[xX]?[0-9a-fA-F]"), _code_point(code))
+            .otherwise(F.coalesce(known, legacy, part)))
+
+
+def unescape(text: Column) -> Column:
+    """``text`` with its character references resolved."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), _resolved)
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+
+
+def _token(raw: Column) -> Column:
+    """A token as (kind, value): t text, o start tag, s closed start tag, c end tag;
+    null kind for what neither opens, closes nor is text."""
+    name = F.lower(F.regexp_extract(raw, "^</?(" + _NAME + ")", 1))
+    closed = raw.endswith("/>") & ~raw.rlike(r"""=\s*+[^\s"'>][^\s>]*+>$""")
+    kind = (F.when(raw.rlike("^</[a-zA-Z]") & raw.endswith(">"), F.lit("c"))
+            .when(raw.rlike("^<[a-zA-Z]"),
+                  F.when(~raw.endswith(">") | name.isin(*VOID_TAGS, "script", "style"), F.lit(None))
+                  .when(closed, F.lit("s")).otherwise(F.lit("o")))
+            .when(raw.rlike("^<[!?/]"), F.lit(None)).otherwise(F.lit("t")))
+    return F.struct(kind.alias("kind"), F.when(kind == "t", F.btrim(unescape(raw), F.lit(_BLANK))).otherwise(name).alias("value"))
+
+
+def _step(state: Column, token: Column) -> Column:
+    """One token: what is open, how many text elements began, the pieces found."""
+    opened, n, out, value = state["open"], state["n"], state["out"], token["value"]
+    is_text = value.isin(*TEXT_TAGS)
+    slots = F.filter(opened, lambda e: e["slot"].isNotNull())
+    hidden = F.exists(opened, lambda e: e["tag"] == TEMPLATE)
+    back = F.array_position(F.reverse(opened["tag"]), value).cast("int")
+    element = F.struct(value.alias("tag"), F.when(is_text, n).alias("slot"))
+    more = n + F.when(is_text, 1).otherwise(0)
+
+    def made(o, m, pieces):
+        return F.struct(o.alias("open"), m.alias("n"), pieces.alias("out")).cast(_STATE)
+
+    return (F.when(token["kind"] == "t", F.when(hidden, state).otherwise(made(opened, n, F.concat(out, F.transform(
+                slots, lambda e: F.struct(e["slot"].alias("slot"), value.alias("piece")))))))
+            .when(token["kind"] == "o", made(F.array_append(opened, element), more, out))
+            .when(token["kind"] == "s", made(opened, more, out))
+            .when(back > 0, made(F.slice(opened, F.lit(1), F.size(opened) - back), n, out))
+            .otherwise(state))
+
+
+def _folded(tokens: Column) -> Column:
+    """The state after all tokens."""
+    none = F.from_json(F.lit('{"open":[],"n":0,"out":[]}'), _STATE)
+    stretches = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens), F.lit(STRETCH))).otherwise(
+        F.array().cast("array<int>"))
+
+    def stretch(state, at):
+        begin = F.struct(state["open"].alias("open"), state["n"].alias("n"), none["out"].alias("out")).cast(_STATE)
+        return F.aggregate(F.slice(tokens, at, F.lit(STRETCH)), begin, _step, lambda r: F.struct(
+            r["open"].alias("open"), r["n"].alias("n"), F.concat(state["out"], r["out"]).alias("out")).cast(_STATE))
+
+    return F.aggregate(stretches, none, stretch)
 
 
 def html_to_text(df: DataFrame, id_col: str = "id", html_col: str = "html",
                  out_col: str = "plain") -> DataFrame:
     """(id, html) -> (id, plain); rows with null or empty html are skipped."""
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            keep = pdf[html_col].notna() & (pdf[html_col].astype("string").str.len() > 0)
-            sub = pdf.loc[keep]
-            if sub.empty:
-                continue
-            yield pd.DataFrame({id_col: sub[id_col].values,
-                                out_col: [extract_text(h) for h in sub[html_col]]})
-
-    return df.select(id_col, html_col).mapInPandas(run, f"{id_col} {id_type}, {out_col} string")
+    raw = F.regexp_extract_all(F.col(html_col), F.lit(_TOKEN), F.lit(0))
+    pages = df.where(F.length(html_col) > 0).select(F.col(id_col), F.transform(raw, _token).alias("_tokens"))
+    pages = pages.select(id_col, F.filter("_tokens", lambda t: t["kind"].isNotNull() & (t["value"] != "")).alias("_tokens"))
+    found = pages.select(id_col, _folded(F.col("_tokens")).alias("_f")).select(id_col, F.col("_f.n").alias("_n"), F.array_sort(
+        F.transform("_f.out", lambda x, i: F.struct(x["slot"].alias("slot"), i.alias("i"), x["piece"].alias("piece")))).alias("_p"))
+    # element s stands behind s newlines: its first piece brings those since the piece before
+    before = lambda i: F.when(i > 0, F.get("_p", i - 1)["slot"]).otherwise(0)
+    text = F.array_join(F.transform("_p", lambda x, i: F.concat(
+        F.repeat(F.lit("\n"), x["slot"] - before(i)), x["piece"])), "")
+    last = F.coalesce(F.get("_p", F.size("_p") - 1)["slot"], F.lit(0))
+    return found.select(id_col, F.concat(text, F.repeat(F.lit("\n"), F.col("_n") - 1 - last)).alias(out_col))
