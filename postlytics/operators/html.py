@@ -51,18 +51,19 @@ _STATE = "struct<open:array<struct<tag:string,slot:int>>,n:int,out:array<struct<
 def _code_point(code: Column) -> Column:
     """The character of a code point as HTML 5 reads references: windows-1252 for
     U+0080-U+009F, U+FFFD for what is no character, nothing for control characters."""
-    latin = F.array(*[F.lit(bytes([i]).decode("cp1252", "ignore") or chr(i)) for i in range(0x80, 0xA0)])
+    latin = F.lit("".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)))
     gone = (code.between(1, 8) | (code == 0x0B) | code.between(0x0E, 0x1F) | (code == 0x7F)
             | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
     return (F.when(code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("�"))
-            .when(code.between(0x80, 0x9F), F.get(latin, code - 0x80))
+            .when(code.between(0x80, 0x9F), F.substr(latin, code - 0x7F, F.lit(1)))
             .when(gone, F.lit(""))
             .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
 
 
 def _resolved(part: Column) -> Column:
     """A reference's text; a part that is none stays."""
-    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    # a map is searched from its front: short names, the common ones, come first
+    names = F.from_json(F.lit(json.dumps(dict(sorted(html5.items(), key=lambda e: len(e[0]))))), "map<string,string>")
     bare = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
     digits = F.regexp_extract(part, "^&#[xX]?0*+([0-9a-fA-F]*+)", 1)
     code = F.when(F.length(digits) <= 7, F.when(F.lower(F.substring(part, 3, 1)) == "x", F.conv(digits, 16, 10))
@@ -82,17 +83,27 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
 
 
-def _token(raw: Column) -> Column:
-    """A token as (kind, value): t text, o start tag, s closed start tag, c end tag;
-    null kind for what neither opens, closes nor is text."""
-    name = F.lower(F.regexp_extract(raw, "^</?(" + _NAME + ")", 1))
+def _tokens(html: Column) -> Column:
+    """A page's tokens as (kind, value): t text, o start tag, s closed start tag, c end
+    tag.  What neither opens, closes nor is text is left out, and so is empty text.
+    One pass a field, so that each is evaluated once."""
+    raw = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
+    named = F.transform(raw, lambda t: F.struct(t.alias("raw"), F.when(t.startswith("<"), F.lower(F.regexp_extract(
+        t, "^</?(" + _NAME + ")", 1))).otherwise("").alias("name")))
+    return F.filter(F.transform(F.transform(named, _kind), lambda t: F.struct(t["kind"].alias("kind"), F.when(
+        t["kind"] == "t", F.btrim(unescape(t["raw"]), F.lit(_BLANK))).otherwise(t["name"]).alias("value"))),
+        lambda t: t["kind"].isNotNull() & (t["value"] != ""))
+
+
+def _kind(token: Column) -> Column:
+    raw, name = token["raw"], token["name"]
     closed = raw.endswith("/>") & ~raw.rlike(r"""=\s*+[^\s"'>][^\s>]*+>$""")
-    kind = (F.when(raw.rlike("^</[a-zA-Z]") & raw.endswith(">"), F.lit("c"))
-            .when(raw.rlike("^<[a-zA-Z]"),
-                  F.when(~raw.endswith(">") | name.isin(*VOID_TAGS, "script", "style"), F.lit(None))
-                  .when(closed, F.lit("s")).otherwise(F.lit("o")))
-            .when(raw.rlike("^<[!?/]"), F.lit(None)).otherwise(F.lit("t")))
-    return F.struct(kind.alias("kind"), F.when(kind == "t", F.btrim(unescape(raw), F.lit(_BLANK))).otherwise(name).alias("value"))
+    kind = (F.when((name == "") & ~raw.rlike("^<[!?/]"), F.lit("t"))
+            .when((name == "") | ~raw.endswith(">"), F.lit(None))
+            .when(raw.startswith("</"), F.lit("c"))
+            .when(name.isin(*VOID_TAGS, "script", "style"), F.lit(None))
+            .when(closed, F.lit("s")).otherwise(F.lit("o")))
+    return F.struct(kind.alias("kind"), name.alias("name"), raw.alias("raw"))
 
 
 def _step(state: Column, token: Column) -> Column:
@@ -133,9 +144,7 @@ def _folded(tokens: Column) -> Column:
 def html_to_text(df: DataFrame, id_col: str = "id", html_col: str = "html",
                  out_col: str = "plain") -> DataFrame:
     """(id, html) -> (id, plain); rows with null or empty html are skipped."""
-    raw = F.regexp_extract_all(F.col(html_col), F.lit(_TOKEN), F.lit(0))
-    pages = df.where(F.length(html_col) > 0).select(F.col(id_col), F.transform(raw, _token).alias("_tokens"))
-    pages = pages.select(id_col, F.filter("_tokens", lambda t: t["kind"].isNotNull() & (t["value"] != "")).alias("_tokens"))
+    pages = df.where(F.length(html_col) > 0).select(F.col(id_col), _tokens(F.col(html_col)).alias("_tokens"))
     found = pages.select(id_col, _folded(F.col("_tokens")).alias("_f")).select(id_col, F.col("_f.n").alias("_n"), F.array_sort(
         F.transform("_f.out", lambda x, i: F.struct(x["slot"].alias("slot"), i.alias("i"), x["piece"].alias("piece")))).alias("_p"))
     # element s stands behind s newlines: its first piece brings those since the piece before
