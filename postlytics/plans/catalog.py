@@ -17,7 +17,7 @@ from postlytics.functions.timefeat import epoch_hour, hour_of_day, weekday, week
 from postlytics.functions.urls import domain_pattern
 from postlytics.operators import dedup, explore, keywords, ordering, permute, repeats
 from postlytics.operators.html import html_to_text
-from postlytics.plans import fixed
+from postlytics.plans import fixed, page_sql
 from postlytics.session import ensure_checkpoint_dir
 from postlytics.sources.tables import (front_page_from_lineitem, karma_posts_from_orders, load,
                                        load_spread, posts_from_events)
@@ -878,6 +878,11 @@ def q_prepare_documents(spark, sf):
                              fixed.ENGLISH_STOP_WORDS, "id")
 
 
+def _sql_prepare_documents():
+    dict_words, letters = _sql_clean()
+    return page_sql.sql_prepare_documents(dict_words, lambda col: sql_tokens(letters.replace("{x}", col)))
+
+
 # --------------------------------------------------------------------------
 # statistics (K1-K10, D19) and sampling
 # --------------------------------------------------------------------------
@@ -1693,6 +1698,9 @@ FROM m
         "tree_mean_gap": SQL_TREE_MEAN_GAP,
         "post_features": _sql_post_features(),
         "clean_pages": _sql_clean_pages(),
+        "html_text": page_sql.sql_html_text(),
+        "page_text": page_sql.sql_page_text(),
+        "prepare_documents": _sql_prepare_documents(),
         "length_bucket": _sql_length_bucket(),
         "pearson_long": _sql_pearson(),
         "spearman_long": _sql_spearman(),
