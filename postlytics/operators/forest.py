@@ -12,13 +12,14 @@ per-tree or per-feature totals are shuffled.
 from __future__ import annotations
 
 import itertools
-import os
 import random
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml import Estimator
+from pyspark.ml.param import Param
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from postlytics.operators import stats
 from postlytics.operators.ordering import dense_index
@@ -34,13 +35,15 @@ MAX_BROADCAST_NODES = 20_000_000  # node rows (all trees) the per-tree operators
 # fitting and search
 # --------------------------------------------------------------------------
 def spark_params(p: dict) -> dict:
-    """sklearn-style forest parameters -> Spark's.  min_samples_split has no
-    Spark counterpart and is dropped."""
+    """sklearn-style forest parameters -> Spark's, and ``minSamplesSplit``, which
+    ``fit_forest`` applies to the fitted trees."""
     out = {}
     if "n_estimators" in p:
         out["numTrees"] = int(p["n_estimators"])
     if "max_depth" in p:
         out["maxDepth"] = MAX_DEPTH_UNLIMITED if p["max_depth"] is None else int(p["max_depth"])
+    if "min_samples_split" in p:
+        out["minSamplesSplit"] = int(p["min_samples_split"])
     if "min_samples_leaf" in p:
         out["minInstancesPerNode"] = int(p["min_samples_leaf"])
     if "max_features" in p:
@@ -67,44 +70,122 @@ def prepare(df: DataFrame, features: list[str], label: str, kind: str) -> DataFr
     return d
 
 
+class Forest(Estimator):
+    """``fit_forest`` as an estimator, so that Spark's cross-validation can search over
+    ``settings`` (a dict of Spark's parameters and ``minSamplesSplit``)."""
+
+    def __init__(self, kind: str, label: str, seed: int):
+        super().__init__()
+        self.kind, self.label, self.seed = kind, label, seed
+        self.settings = Param(self, "settings", "parameters of the forest")
+
+    def _fit(self, dataset: DataFrame):
+        return fit_forest(dataset, self.label, self.kind, self.getOrDefault(self.settings), self.seed)
+
+
 def random_search(train: DataFrame, label: str, kind: str, id_col: str, n_iter: int = 10,
                   folds: int = 5, grid: dict | None = None, seed: int = 42,
                   parallelism: int = 4) -> dict:
     """``n_iter`` seeded draws (without replacement) from the whole grid, mapped
-    to Spark parameters (draws that map to the same ones are fitted once), each scored by ``folds``-fold cross-validation (contiguous
+    to Spark parameters, each scored by ``folds``-fold cross-validation (contiguous
     folds for regressors, stratified for classifiers); up to ``parallelism``
     candidate models are fitted at once (concurrent Spark jobs).  Returns the
-    best Spark parameter dict."""
+    best parameter dict, for ``fit_forest``."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from pyspark.ml.tuning import CrossValidator
     from postlytics.operators.sampling import with_folds
     grid = grid or FOREST_GRID
     points = [dict(zip(grid, combo)) for combo in itertools.product(*grid.values())]
-    draws = []
-    for point in random.Random(seed).sample(points, min(n_iter, len(points))):
-        if spark_params(point) not in draws:   # points that differ in a dropped parameter only
-            draws.append(spark_params(point))
-    est = _estimator(kind, label, seed)
-    maps = []
-    for sp in draws:
-        b = ParamGridBuilder()
-        for k, v in sp.items():
-            b = b.addGrid(est.getParam(k), [v])
-        maps.extend(b.build())
+    draws = [spark_params(p) for p in random.Random(seed).sample(points, min(n_iter, len(points)))]
+    est = Forest(kind, label, seed)
     strat = label if kind == "classifier" else None
     d = with_folds(train, folds, [id_col], stratify=strat, name="_fold")
     ev = (MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy") if kind == "classifier"
           else RegressionEvaluator(labelCol=label, metricName="r2"))
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="_fold",
-                        numFolds=folds, seed=seed, parallelism=max(1, min(parallelism, len(maps))))
-    model = cv.fit(d)
-    best = int(np.argmax(model.avgMetrics))
-    return {p.name: v for p, v in maps[best].items()}
+    cv = CrossValidator(estimator=est, estimatorParamMaps=[{est.settings: p} for p in draws], evaluator=ev, foldCol="_fold",
+                        numFolds=folds, seed=seed, parallelism=max(1, min(parallelism, len(draws))))
+    return draws[int(np.argmax(cv.fit(d).avgMetrics))]
 
 
 def fit_forest(train: DataFrame, label: str, kind: str, params: dict, seed: int = 42):
-    """L7/L8."""
-    return _estimator(kind, label, seed, **params).fit(train)
+    """L7/L8.  ``minSamplesSplit`` in ``params``: a node of fewer training rows is not split."""
+    params = dict(params)
+    limit = params.pop("minSamplesSplit", 2)
+    return split_limited(_estimator(kind, label, seed, **params).fit(train), limit, train.sparkSession)
+
+
+def split_limited(model, limit: int, spark: SparkSession):
+    """The forest whose nodes of fewer than ``limit`` training rows (copies drawn for
+    the tree count) are leaves: as their splits depend on no other node's, cutting
+    them off afterwards is the same as never making them.  The node table is cut with
+    joins and windows (a tree a window) and loaded back as a model."""
+    if limit <= 2:   # a node that was split holds two rows or more
+        return model
+    old, new = _saved(model, spark), _scratch(spark)
+    nodes = spark.read.parquet(f"{old}/data").select("treeID", "nodeData.*")
+    small = F.col("rawCount") < limit
+    # a node has no more rows than its parent: all below a small node have a small parent
+    below = nodes.where(small & (F.col("leftChild") >= 0)).select(
+        "treeID", F.explode(F.array("leftChild", "rightChild")).alias("id"))
+    place = F.row_number().over(Window.partitionBy("treeID").orderBy("id")) - 1
+    kept = nodes.join(below, ["treeID", "id"], "left_anti").withColumn("_new", place)
+    places = kept.select("treeID", F.col("id").alias("rightChild"), F.col("_new").alias("_right"))
+    kept = kept.join(places, ["treeID", "rightChild"], "left")
+    leaf = small | (F.col("leftChild") < 0)
+    none = F.struct(F.lit(-1).alias("featureIndex"), F.array().cast("array<double>").alias("leftCategoriesOrThreshold"),
+                    F.lit(-1).alias("numCategories"))
+    # ids run in preorder, so a left child stands right behind its parent
+    data = kept.select("treeID", F.struct(
+        F.col("_new").alias("id"), "prediction", "impurity", "impurityStats", "rawCount",
+        F.when(leaf, -1.0).otherwise(F.col("gain")).alias("gain"),
+        F.when(leaf, -1).otherwise(F.col("_new") + 1).alias("leftChild"),
+        F.when(leaf, -1).otherwise(F.col("_right")).alias("rightChild"),
+        F.when(leaf, none).otherwise(F.col("split")).alias("split")).alias("nodeData"))
+    data.write.parquet(f"{new}/data")
+    spark.read.text(f"{old}/metadata").coalesce(1).write.text(f"{new}/metadata")
+    spark.read.parquet(f"{old}/treesMetadata").write.parquet(f"{new}/treesMetadata")
+    loaded = type(model).load(new)
+    for path in (old, new):
+        _delete(path, spark)
+    return loaded
+
+
+def split_account(model, df: DataFrame, limit: int) -> DataFrame:
+    """Of each tree of ``split_limited`` by ``limit``: ``small_splits`` (split nodes of
+    under ``limit`` training rows), ``cut`` (it has fewer nodes than before) and ``n``
+    (rows of ``df`` that reach one of its leaves)."""
+    spark = df.sparkSession
+    before, after = Trees(model, spark).trees, Trees(split_limited(model, limit, spark), spark).trees
+    bc = spark.sparkContext.broadcast(after)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = _features_matrix(pdf)
+                yield pd.DataFrame([(i, int((t["left"][tree_leaf(t, x)] < 0).sum())) for i, t in enumerate(bc.value)],
+                                   columns=["tree", "n"])
+
+    rows = [(i, int(((t["left"] >= 0) & (t["cover"] < limit)).sum()), len(t["left"]) < len(b["left"]))
+            for i, (b, t) in enumerate(zip(before, after))]
+    reached = df.select(_as_array()).mapInPandas(run, "tree int, n long").groupBy("tree").agg(F.sum("n").alias("n"))
+    nodes = spark.createDataFrame(rows, "tree int, small_splits long, cut boolean")
+    return nodes.join(reached, "tree", "left").select("tree", "small_splits", "cut", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _scratch(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
+
+
+def _saved(model, spark) -> str:
+    """The folder, in the shared checkpoint folder, that ``model`` is written to."""
+    path = _scratch(spark)
+    model.write().save(path)
+    return path
+
+
+def _delete(path: str, spark) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cv_scores(train: DataFrame, label: str, kind: str, params: dict, id_col: str, folds: int = 3,
@@ -131,7 +212,6 @@ def cv_scores(train: DataFrame, label: str, kind: str, params: dict, id_col: str
 
 def impurity_importance(model, features: list[str]) -> DataFrame:
     """Impurity-based importances, largest first."""
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     imp = model.featureImportances.toArray()
     rows = [(f, float(v)) for f, v in zip(features, imp)]
@@ -145,10 +225,8 @@ class Trees:
     """Per-tree node arrays of a fitted forest (driver side, model-sized)."""
 
     def __init__(self, model, spark):
-        base = ensure_checkpoint_dir(spark).replace("file:", "")
-        path = os.path.join(base, f"forest-{uuid.uuid4().hex}")
-        model.write().overwrite().save(path)
-        data = spark.read.parquet(os.path.join(path, "data"))
+        path = _saved(model, spark)
+        data = spark.read.parquet(f"{path}/data")
         n_nodes = data.count()
         if n_nodes > MAX_BROADCAST_NODES:
             # the node arrays are shipped to every task; a forest this large needs
@@ -160,6 +238,7 @@ class Trees:
             "nodeData.rawCount", "nodeData.leftChild", "nodeData.rightChild",
             F.col("nodeData.split.featureIndex").alias("feature"),
             F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr")).toPandas()
+        _delete(path, spark)
         self.trees = []
         for tid, g in nodes.groupby("treeID"):
             g = g.sort_values("id")
@@ -199,6 +278,11 @@ class Trees:
 
 def tree_predict(t: dict, x: np.ndarray) -> np.ndarray:
     """Node-prediction of one tree for each row of ``x`` (rows x features)."""
+    return t["pred"][tree_leaf(t, x)]
+
+
+def tree_leaf(t: dict, x: np.ndarray) -> np.ndarray:
+    """The node of one tree that each row of ``x`` ends in."""
     node = np.zeros(len(x), dtype=np.int64)
     while True:
         inner = t["left"][node] >= 0
@@ -208,7 +292,7 @@ def tree_predict(t: dict, x: np.ndarray) -> np.ndarray:
         go_left = x[np.arange(len(x)), f] <= t["thr"][node]
         nxt = np.where(go_left, t["left"][node], t["right"][node])
         node = np.where(inner, nxt, node)
-    return t["pred"][node]
+    return node
 
 
 def _features_matrix(pdf: pd.DataFrame) -> np.ndarray:

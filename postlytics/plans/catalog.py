@@ -1244,7 +1244,7 @@ FROM r JOIN e ON r.quality = e.quality GROUP BY r.doc_id, r.quality
 # --------------------------------------------------------------------------
 # Search space used by the registered forest queries (cost-bounded; the
 # library default is the full reference grid in ``fixed.FOREST_GRID``).
-SMALL_FOREST_GRID = {"n_estimators": [10, 20], "max_depth": [5, 10], "min_samples_split": [2],
+SMALL_FOREST_GRID = {"n_estimators": [10, 20], "max_depth": [5, 10], "min_samples_split": [2, 10],
                      "min_samples_leaf": [2, 8], "max_features": ["sqrt", "log2"]}
 FOREST_PARAMS = {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"}
 CLS_FEATURES = ["n_chars", "n_words", "n_lines", "is_en", "is_fr", "is_de", "is_es"]
@@ -1433,6 +1433,21 @@ WHERE ({HASH_SQL.format(x='id', seed=42)} % 10000) < 2500 GROUP BY c.class
 """
 
 
+def q_split_limit(spark, sf):
+    """A forest that splits no node of under ``SPLIT_LIMIT`` rows: its nodes that break
+    this, whether the limit cut anything, and the training rows that reach a leaf of each tree."""
+    from postlytics.operators import forest
+    tr, _, _, label = _forest_data(spark, sf, "regressor")
+    return forest.split_account(forest.fit_forest(tr, label, "regressor", FOREST_PARAMS), tr, SPLIT_LIMIT)
+
+
+SPLIT_LIMIT = 100
+SQL_SPLIT_LIMIT = f"""
+WITH {SQL_REG}, n AS (SELECT count(*) AS n FROM reg WHERE {REG_LABEL} > 0 AND ({HASH_SQL.format(x='id', seed=42)} % 10000) >= 2500)
+SELECT t::INTEGER AS tree, 0::BIGINT AS small_splits, true AS cut, n FROM n CROSS JOIN range({FOREST_PARAMS['numTrees']}) r(t)
+"""
+
+
 def q_tree_mean_gap(spark, sf):
     """The mean of the trees' predictions is the forest's, on the sampled test rows."""
     from postlytics.operators import forest
@@ -1617,6 +1632,7 @@ def spark_queries() -> dict:
         "shap_importance_by_class": q_shap_importance_by_class,
         "shap_importance": _forest_query("regressor", "shap"),
         "shap_importance_classifier": _forest_query("classifier", "shap"),
+        "split_limit": q_split_limit,
         "tree_mean_median": _forest_query("regressor", "mean_median"),
         "in_out_sample": _forest_query("classifier", "in_out"),
         "in_out_sample_regressor": _forest_query("regressor", "in_out"),
@@ -1695,6 +1711,7 @@ FROM m
         "shap_gap": SQL_SHAP_GAP,
         "shap_gap_by_class": SQL_SHAP_GAP_BY_CLASS,
         "shap_gap_classifier": SQL_SHAP_GAP_CLASSIFIER,
+        "split_limit": SQL_SPLIT_LIMIT,
         "tree_mean_gap": SQL_TREE_MEAN_GAP,
         "post_features": _sql_post_features(),
         "clean_pages": _sql_clean_pages(),

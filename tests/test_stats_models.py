@@ -234,6 +234,42 @@ def test_random_search_uses_all_folds(spark, monkeypatch):
     assert seen == {"numFolds": 5, "folds": [0, 1, 2, 3, 4]}
 
 
+@pytest.mark.parametrize("kind", ["regressor", "classifier"])
+def test_nodes_under_the_split_limit_are_not_split(spark, kind):
+    """Against a plain walk of the unlimited tree that stops at the first node which
+    fewer training rows reach than the limit (no rows are drawn)."""
+    from postlytics.operators import forest
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 25, (300, 2)).astype(float)
+    y = (x[:, 0] * 2 + x[:, 1] > 35).astype(float) if kind == "classifier" else x[:, 0] * x[:, 1]
+    df = forest.prepare(spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))],
+                                              "id long, a double, b double, y double"), ["a", "b"], "y", kind)
+    params = {"numTrees": 1, "maxDepth": 12, "featureSubsetStrategy": "all", "bootstrap": False}
+    [full] = forest.Trees(forest.fit_forest(df, "y", kind, params), spark).trees
+    sizes = set()
+    for limit in (2, 10, 40, 1000):
+        model = forest.fit_forest(df, "y", kind, params | {"minSamplesSplit": limit})
+        got = {r.id: r.prediction for r in model.transform(df).collect()}
+
+        def plain(i, node, rows):
+            if full["left"][node] < 0 or len(rows) < limit:
+                return full["pred"][node]
+            goes = x[rows, full["feat"][node]] <= full["thr"][node]
+            side = goes if x[i, full["feat"][node]] <= full["thr"][node] else ~goes
+            return plain(i, full["left"][node] if side is goes else full["right"][node], rows[side])
+
+        assert [got[i] for i in range(300)] == [plain(i, 0, np.arange(300)) for i in range(300)]
+        sizes.add(model.totalNumNodes)
+    assert len(sizes) >= 3 and min(sizes) == 1
+
+
+def test_all_points_of_the_grid_differ():
+    from postlytics.operators import forest
+    import itertools
+    points = [forest.spark_params(dict(zip(forest.FOREST_GRID, c))) for c in itertools.product(*forest.FOREST_GRID.values())]
+    assert len({tuple(sorted(p.items())) for p in points}) == 216
+
+
 def test_permutation_importance_does_not_depend_on_partitions(spark, data):
     from postlytics.operators import forest
     df, _ = data
