@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from postlytics.functions.text import WHITESPACE_CLASS, tokens
+from postlytics.operators.wordvec import cbow_vectors, mean_vectors
 from postlytics.session import cut_lineage
 
 
@@ -149,18 +150,10 @@ def topic_table(docs: DataFrame, id_col: str = "Id", text: str = "Document", len
 
 def title_vectors(df: DataFrame, title: str, id_col: str, stop_words: list[str], size: int = 100,
                   window: int = 5, min_count: int = 1, seed: int = 42, epochs: int = 5,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Cleaned titles (I14) -> Word2Vec (size, window, min count, seed) ->
-    mean of the word vectors (zero vector for no word) -> L2-normalised.  Trained for
-    ``epochs`` over ``num_partitions`` partitions (by default one a core), whose vectors
-    are merged after each epoch; raise ``min_count`` to keep the vocabulary, which
-    every task holds, small."""
-    from pyspark.ml.feature import Normalizer, Word2Vec
-    from pyspark.ml.functions import vector_to_array
+                  part_words: int = 200_000) -> DataFrame:
+    """Cleaned titles (I14) -> continuous-bag-of-words vectors (``wordvec``) ->
+    mean of a title's word vectors (zero vector for no word) -> L2-normalised."""
     from postlytics.operators.textclean import clean_titles
-    d = clean_titles(df.select(id_col, title).fillna("", subset=[title]), title, stop_words, "_words")
-    parts = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=epochs, numPartitions=parts,
-                     inputCol="_words", outputCol="_avg").fit(d)
-    v = Normalizer(inputCol="_avg", outputCol="_vec", p=2.0).transform(model.transform(d))
-    return v.select(id_col, vector_to_array("_vec").alias("vector"))
+    d = cut_lineage(clean_titles(df.select(id_col, title).fillna("", subset=[title]), title, stop_words, "_words"))
+    vectors = cbow_vectors(d, "_words", size, window, min_count, epochs=epochs, seed=seed, part_words=part_words)
+    return mean_vectors(d, id_col, "_words", vectors, size)

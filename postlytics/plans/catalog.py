@@ -1499,6 +1499,22 @@ def q_title_vectors(spark, sf):
     return v.select("id", "vector")
 
 
+def q_title_vector_norms(spark, sf):
+    """Length of each title's vector: 1, or 0 for a title without a word."""
+    return q_title_vectors(spark, sf).select("id", r6(F.sqrt(F.aggregate(
+        "vector", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
+
+
+def _sql_title_vector_norms():
+    kept = "regexp_replace(lower(text), '[^\\p{L}\\p{N}_" + WS_SQL[1:-1] + "]', '', 'g')"
+    stop = sql_list(sorted(set(fixed.ENGLISH_STOP_WORDS)))
+    return f"""
+SELECT conv_id * 1000 + turn AS id,
+       (CASE WHEN len(list_filter({sql_tokens(kept)}, lambda w: NOT list_contains({stop}, w))) > 0 THEN 1 ELSE 0 END)::DOUBLE AS norm
+FROM conversations
+"""
+
+
 def q_prototype_label(spark, sf):
     from postlytics.operators.classify import prototype_label, prototypes
     e = load(spark, sf, "embeddings")
@@ -1641,6 +1657,7 @@ def spark_queries() -> dict:
         "topics": q_topics,
         "topic_one_hot": q_topic_one_hot,
         "title_vectors": q_title_vectors,
+        "title_vector_norms": q_title_vector_norms,
         "prototype_label": q_prototype_label,
         "text_classifier": q_text_classifier,
         "text_classifier_accuracy": q_text_classifier_accuracy,
@@ -1745,5 +1762,6 @@ FROM m
         "kfold": SQL_KFOLD,
         "stratified_folds": SQL_STRATIFIED_FOLDS,
         "topic_one_hot": SQL_TOPIC_ONE_HOT,
+        "title_vector_norms": _sql_title_vector_norms(),
         "prototype_label": SQL_PROTOTYPE_LABEL,
     }
