@@ -747,6 +747,19 @@ POST_FEATURE_COLUMNS = [
     "buzzwords_detail", "contains_buzzwords"]
 
 
+#: Keyword lists of the whole feature table: four over title words, five over url labels.
+TITLE_LISTS = {"articles": ["the", "la", "der"], "links": ["and", "und", "et"], "verbs": ["is", "was", "are"],
+               "prepositions": ["of", "in", "de"]}
+URL_LISTS = {"blogs": ["blog"], "classical_news": ["thther", "ththan"], "startup_news": ["tionsh", "ththth"],
+             "academic": ["tiontion"], "tech_companies": ["cheap-pills", "spam-farm", "example"]}
+
+
+def _feature_columns(out, columns):
+    rounded = {"average_score_of_posts_before", "hourly_median_fp_score"}
+    return out.select(*[r6(F.col(c)).alias(c) if c in rounded else F.array_join(c, "|").alias(c) if c == "buzzwords_detail"
+                        else F.col(c) for c in columns])
+
+
 def q_post_features(spark, sf):
     from postlytics.plans.features import build_features
     posts30 = _events_posts(spark, sf, 30)
@@ -755,27 +768,61 @@ def q_post_features(spark, sf):
     out = build_features(posts30, posts240, front,
                          title_lists={"event_kind": EVENT_KIND_KEYWORDS},
                          url_lists={"domain": DOMAIN_KEYWORDS})
-    rounded = {"average_score_of_posts_before", "hourly_median_fp_score"}
-    cols = []
-    for c in POST_FEATURE_COLUMNS:
-        if c in rounded:
-            cols.append(r6(F.col(c)).alias(c))
-        elif c == "buzzwords_detail":
-            cols.append(F.array_join(c, "|").alias(c))
-        else:
-            cols.append(F.col(c))
-    return out.select(*cols)
-
-
-def _sql_post_features():
+    return _feature_columns(out, POST_FEATURE_COLUMNS)
+
+
+def q_post_features_full(spark, sf):
+    """M1 with text, all nine keyword lists and topics: events take the first line and the
+    text of the document, the url of the page and the topic of the embedding of their id."""
+    from postlytics.functions.text import length_bucket
+    from postlytics.plans.features import build_features
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("_title"),
+                                               F.col("text").alias("_text"))
+    urls = load(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("_url"))
+
+    def posts(minutes):
+        p = _events_posts(spark, sf, minutes).join(docs, "id", "left").join(urls, "id", "left")
+        return p.withColumns({"title": F.coalesce("_title", "title"), "text": F.col("_text"),
+                              "url": F.coalesce("_url", "url")}).drop("_title", "_text", "_url")
+
+    topics = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("topic")).join(
+        docs, "id", "left").select("id", "topic", length_bucket("_text").alias("length"))
+    front = posts(30).select("id", "title", "time", "minutes_since_pub", "score")
+    out = build_features(posts(30), posts(240).drop("by"), front, title_lists=TITLE_LISTS, url_lists=URL_LISTS, topics=topics)
+    lists = [c for name in [*TITLE_LISTS, *URL_LISTS] for c in (f"{name}_detail", f"contains_{name}")]
+    fixed_columns = [c for c in POST_FEATURE_COLUMNS if not c.endswith(("event_kind_detail", "contains_event_kind",
+                                                                        "domain_detail", "contains_domain"))]
+    return _feature_columns(out, [*fixed_columns, *lists, *[f"topic_{i}" for i in range(10)], "document_length"])
+
+
+SQL_EVENT_POSTS = f"""SELECT event_id AS id, {T_SQL} AS time, user_id AS "by", value AS score, props AS url,
+                  event_type AS title, NULL::VARCHAR AS text FROM events"""
+SQL_FULL_POSTS = f"""SELECT event_id AS id, {T_SQL} AS time, user_id AS "by", value AS score, coalesce(g.url, props) AS url,
+                  coalesce(split_part(d.text, chr(10), 1), event_type) AS title, d.text
+           FROM events LEFT JOIN documents d ON d.doc_id = event_id LEFT JOIN pages g ON g.page_id = event_id"""
+
+
+def _sql_post_features(posts, title_lists, url_lists, topics=False):
     n = fixed.FRONT_PAGE_ROWS
-    pat = domain_pattern(DOMAIN_KEYWORDS).replace("'", "''")
-    ok = (f"(url IS NOT NULL AND regexp_matches(url, '{pat}') AND "
-          f"regexp_extract(url, '{pat}', 1) NOT IN ('apps.', 'play.', 'chromewebstore.'))")
+    words, flags = [], []
+    for name, listed in title_lists.items():
+        words.append(f"list_filter({sql_tokens('title')}, lambda x: list_contains({sql_list(sorted(set(listed)))}, x)) AS k_{name},")
+        flags += [f"CASE WHEN title IS NULL OR title = '' THEN NULL ELSE k_{name}[1] END AS {name}_detail",
+                  f"(CASE WHEN title IS NULL OR title = '' THEN 0 WHEN len(k_{name}) > 0 THEN 1 ELSE 0 END)::INTEGER AS contains_{name}"]
+    for name, listed in url_lists.items():
+        pat = domain_pattern(listed).replace("'", "''")
+        ok = (f"(url IS NOT NULL AND regexp_matches(url, '{pat}') AND "
+              f"regexp_extract(url, '{pat}', 1) NOT IN ('apps.', 'play.', 'chromewebstore.'))")
+        flags += [f"CASE WHEN {ok} THEN regexp_extract(url, '{pat}', 2) END AS {name}_detail",
+                  f"(CASE WHEN {ok} THEN 1 ELSE 0 END)::INTEGER AS contains_{name}"]
+    topic_join = topic_columns = ""
+    if topics:
+        topic_columns = "".join(f", (e.label = {i})::INTEGER AS topic_{i}" for i in range(10)) + """,
+  (CASE WHEN length(b.text) > 200 THEN 3 WHEN length(b.text) > 50 THEN 2 ELSE 1 END)::INTEGER AS document_length"""
+        topic_join = "JOIN embeddings e ON e.vec_id = b.id"
     sw = sql_list(sorted(set(fixed.ENGLISH_STOP_WORDS)))
     return f"""
-WITH p AS (SELECT event_id AS id, {T_SQL} AS time, user_id AS "by", value AS score, props AS url,
-                  event_type AS title, NULL::VARCHAR AS text FROM events),
+WITH p AS ({posts}),
 fp AS (SELECT title, time, id, score, (time + 30 * 60) // 3600 AS scraped_at_hour FROM p),
 hm AS (SELECT scraped_at_hour, median(score) AS med FROM fp GROUP BY 1),
 fw AS (SELECT id, time, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (
@@ -795,7 +842,7 @@ b AS (SELECT p.*, p.score AS score_right, {_sql_weekday('time')} AS weekday,
                RANGE BETWEEN {12 * 3600} PRECEDING AND 1 PRECEDING) END::BIGINT AS count_last_12h,
              CASE WHEN url IS NULL OR time IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY url ORDER BY time
                RANGE BETWEEN {48 * 3600} PRECEDING AND 1 PRECEDING) END::BIGINT AS count_last_48h,
-             list_filter({sql_tokens('title')}, lambda x: list_contains({sql_list(sorted(set(EVENT_KIND_KEYWORDS)))}, x)) AS ek,
+             {' '.join(words)}
              list_filter({sql_tokens('title')}, lambda x: list_contains(kw.kw, x)) AS bz
       FROM p CROSS JOIN kw WINDOW w AS (ORDER BY time, id))
 SELECT id, time, "by", score, score_right, url, title, weekday,
@@ -805,13 +852,10 @@ SELECT id, time, "by", score, score_right, url, title, weekday,
   (weekday = 0)::TINYINT AS is_sunday, hour, title_length, body_length, b.scraped_at_hour,
   time_on_first_page, average_score_of_posts_before, round(hm.med, 6) AS hourly_median_fp_score,
   count_last_12h, count_last_48h,
-  CASE WHEN title IS NULL OR title = '' THEN NULL ELSE ek[1] END AS event_kind_detail,
-  (CASE WHEN title IS NULL OR title = '' THEN 0 WHEN len(ek) > 0 THEN 1 ELSE 0 END)::INTEGER AS contains_event_kind,
-  CASE WHEN {ok} THEN regexp_extract(url, '{pat}', 2) END AS domain_detail,
-  (CASE WHEN {ok} THEN 1 ELSE 0 END)::INTEGER AS contains_domain,
+  {', '.join(flags)},
   CASE WHEN title IS NULL OR title = '' THEN NULL ELSE array_to_string(bz, '|') END AS buzzwords_detail,
-  (CASE WHEN title IS NULL OR title = '' THEN 0 ELSE len(bz) END)::INTEGER AS contains_buzzwords
-FROM b LEFT JOIN hm ON b.scraped_at_hour = hm.scraped_at_hour
+  (CASE WHEN title IS NULL OR title = '' THEN 0 ELSE len(bz) END)::INTEGER AS contains_buzzwords{topic_columns}
+FROM b LEFT JOIN hm ON b.scraped_at_hour = hm.scraped_at_hour {topic_join}
 """
 
 
@@ -1607,6 +1651,7 @@ def spark_queries() -> dict:
         "html_text": q_html_text,
         "page_text": q_page_text,
         "post_features": q_post_features,
+        "post_features_full": q_post_features_full,
         "clean_pages": q_clean_pages,
         "length_bucket": q_length_bucket,
         "prepare_documents": q_prepare_documents,
@@ -1653,6 +1698,7 @@ def spark_queries() -> dict:
         "in_out_sample": _forest_query("classifier", "in_out"),
         "in_out_sample_regressor": _forest_query("regressor", "in_out"),
         "high_scored_error": _forest_query("classifier", "high"),
+        "high_scored_error_regressor": _forest_query("regressor", "high"),
         "kmeans_silhouette": q_kmeans_silhouette,
         "topics": q_topics,
         "topic_one_hot": q_topic_one_hot,
@@ -1730,7 +1776,8 @@ FROM m
         "shap_gap_classifier": SQL_SHAP_GAP_CLASSIFIER,
         "split_limit": SQL_SPLIT_LIMIT,
         "tree_mean_gap": SQL_TREE_MEAN_GAP,
-        "post_features": _sql_post_features(),
+        "post_features": _sql_post_features(SQL_EVENT_POSTS, {"event_kind": EVENT_KIND_KEYWORDS}, {"domain": DOMAIN_KEYWORDS}),
+        "post_features_full": _sql_post_features(SQL_FULL_POSTS, TITLE_LISTS, URL_LISTS, topics=True),
         "clean_pages": _sql_clean_pages(),
         "html_text": page_sql.sql_html_text(),
         "page_text": page_sql.sql_page_text(),

@@ -112,3 +112,12 @@ def test_regression_and_forest_studies_run(spark):
                       permutation_repeats=1)
     assert fs["impurity_importance"].count() == 2 and fs["shap_importance"].count() == 2
     assert fs["params"].count() >= 3
+
+
+def test_every_keyword_list_of_the_whole_feature_table_flags_a_post(spark):
+    from postlytics.plans import catalog
+    d = catalog.q_post_features_full(spark, "/root/testdata/sf0.01")
+    names = [*catalog.TITLE_LISTS, *catalog.URL_LISTS]
+    got = d.agg(*[F.sum(f"contains_{n}").alias(n) for n in names], F.sum("body_length").alias("body"),
+                *[F.sum(f"topic_{i}").alias(f"topic_{i}") for i in range(10)]).first().asDict()
+    assert len(names) == 9 and all(v > 0 for v in got.values()), got
