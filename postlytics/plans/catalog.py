@@ -1344,6 +1344,43 @@ SELECT feature, 0.0::DOUBLE AS gap, (SELECT count(*) FROM reg WHERE {rows}) AS n
 """
 
 
+def q_regression_study(spark, sf):
+    """M8 in one call: every correlation, and the optimality gaps of its lasso and Poisson fits."""
+    from postlytics.plans.studies import regression_study
+    parts = regression_study(regression_frame(spark, sf), REG_FEATURES, REG_LABEL, "id")
+    out = parts["pearson_all"].select(F.lit("pearson").alias("part"), F.concat_ws("|", "x", "y").alias("item"), r6(F.col("z")).alias("value"))
+    for part in ("lasso", "poisson"):
+        gaps = parts[f"{part}_certificate"]
+        out = out.unionByName(gaps.select(F.lit(part).alias("part"), F.col("feature").alias("item"),
+                                          F.round("gap", 4 if part == "poisson" else 6).alias("value")))
+    return out
+
+
+def _sql_regression_study():
+    gaps = "\n".join(f"UNION ALL SELECT '{part}' AS part, feature AS item, gap AS value FROM ({sql})" for part, sql in (
+        ("lasso", _sql_certificate(f"{REG_LABEL} > 0")), ("poisson", _sql_certificate("true"))))
+    return f"SELECT 'pearson' AS part, x || '|' || y AS item, z AS value FROM ({_sql_pearson()}) {gaps}"
+
+
+def q_forest_study(spark, sf):
+    """M9 in one call over low, medium and high prices (string classes): search, scores and
+    the three importances, permutation and SHAP of every class among them, as (part, class,
+    feature, value)."""
+    from postlytics.plans.studies import forest_study
+    parts = forest_study(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL, "id", "classifier", n_iter=2,
+                         folds=3, grid=SMALL_FOREST_GRID, class_breaks=PRICE_BREAKS, permutation_repeats=3)
+    none = F.lit(None).cast("int").alias("class")
+    value = {"impurity_importance": "importance", "permutation_importance": "importance_mean"}
+    out = parts["cv_scores"].select(F.lit("cv_accuracy").alias("part"), none, F.lit(None).cast("string").alias("feature"),
+                                    F.col("cv_accuracy").alias("value"))
+    for part, col in value.items():
+        out = out.unionByName(parts[part].select(F.lit(part).alias("part"), none, "feature", F.col(col).alias("value")))
+    shap = parts["shap_importance_by_class"]
+    col = next(c for c in shap.columns if c not in ("class", "feature"))
+    return out.unionByName(shap.select(F.lit("shap_importance").alias("part"), F.col("class").cast("int").alias("class"), "feature",
+                                       F.col(col).alias("value")))
+
+
 def q_poisson_summary(spark, sf):
     from postlytics.operators.regress import poisson_report
     return poisson_report(regression_frame(spark, sf, spread_scan=True), REG_FEATURES, REG_LABEL, "id")["summary"]
@@ -1694,6 +1731,8 @@ def spark_queries() -> dict:
         "shap_importance": _forest_query("regressor", "shap"),
         "shap_importance_classifier": _forest_query("classifier", "shap"),
         "split_limit": q_split_limit,
+        "regression_study": q_regression_study,
+        "forest_study": q_forest_study,
         "tree_mean_median": _forest_query("regressor", "mean_median"),
         "in_out_sample": _forest_query("classifier", "in_out"),
         "in_out_sample_regressor": _forest_query("regressor", "in_out"),
@@ -1775,6 +1814,7 @@ FROM m
         "shap_gap_by_class": SQL_SHAP_GAP_BY_CLASS,
         "shap_gap_classifier": SQL_SHAP_GAP_CLASSIFIER,
         "split_limit": SQL_SPLIT_LIMIT,
+        "regression_study": _sql_regression_study(),
         "tree_mean_gap": SQL_TREE_MEAN_GAP,
         "post_features": _sql_post_features(SQL_EVENT_POSTS, {"event_kind": EVENT_KIND_KEYWORDS}, {"domain": DOMAIN_KEYWORDS}),
         "post_features_full": _sql_post_features(SQL_FULL_POSTS, TITLE_LISTS, URL_LISTS, topics=True),
