@@ -116,8 +116,9 @@ def fit_forest(train: DataFrame, label: str, kind: str, params: dict, seed: int
 
 def split_limited(model, limit: int, spark: SparkSession):
     """The forest whose nodes of fewer than ``limit`` training rows (copies drawn for
-    the tree count) are leaves: as their splits depend on no other node's, cutting
-    them off afterwards is the same as never making them.  The node table is cut with
+    the tree count) are leaves: a split depends on the rows of its own node and its
+    drawn features only, so cutting small nodes off afterwards equals never splitting
+    them, but for which features are drawn elsewhere.  The node table is cut with
     joins and windows (a tree a window) and loaded back as a model."""
     if limit <= 2:   # a node that was split holds two rows or more
         return model
