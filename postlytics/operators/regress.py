@@ -288,16 +288,14 @@ def ols_report(df: DataFrame, features: list[str], label: str, id_col: str = "id
 
 def decision_tree_r2(df: DataFrame, features: list[str], label: str, id_col: str = "id",
                      max_depth: int = 30, test: float = 0.25, seed: int = 42) -> DataFrame:
-    """L2: a single regression tree, test R^2."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
+    """L2: a single regression tree, test R^2.  The tree has nodes for nearly every row at
+    this depth, so it is grown over cells (``celltree``) and never held whole."""
+    from postlytics.llm.common import store
+    from postlytics.operators.celltree import tree_predictions
     from postlytics.operators.sampling import hash_split
     d = hash_split(df.select(id_col, *features, label).dropna(), id_col, test, seed, "_test")
-    d = VectorAssembler(inputCols=features, outputCol="features").transform(d)
-    model = DecisionTreeRegressor(featuresCol="features", labelCol=label, maxDepth=max_depth,
-                                  seed=seed).fit(d.where(~F.col("_test")))
-    pred = model.transform(d.where(F.col("_test")))
-    return stats.regression_metrics(pred, label, "prediction")
+    d = store(d.select(*features, label, "_test"), "tree-rows")
+    return stats.regression_metrics(tree_predictions(d, features, label, "_test", max_depth, seed), label, "prediction")
 
 
 def poisson_report(df: DataFrame, features: list[str], label: str, id_col: str,
