@@ -25,7 +25,7 @@ from postlytics.operators import stats
 from postlytics.operators.ordering import dense_index
 from postlytics.operators.permute import permuted, round_keys
 from postlytics.plans.fixed import FOREST_GRID
-from postlytics.session import ensure_checkpoint_dir
+from postlytics.session import ensure_checkpoint_dir, fit_held
 
 MAX_DEPTH_UNLIMITED = 30   # Spark's largest tree depth stands in for "no limit"
 MAX_BROADCAST_NODES = 20_000_000  # node rows (all trees) the per-tree operators may broadcast
@@ -111,7 +111,8 @@ def fit_forest(train: DataFrame, label: str, kind: str, params: dict, seed: int
     """L7/L8.  ``minSamplesSplit`` in ``params``: a node of fewer training rows is not split."""
     params = dict(params)
     limit = params.pop("minSamplesSplit", 2)
-    return split_limited(_estimator(kind, label, seed, **params).fit(train), limit, train.sparkSession)
+    model = fit_held(_estimator(kind, label, seed, **params), train, label)
+    return split_limited(model, limit, train.sparkSession)
 
 
 def split_limited(model, limit: int, spark: SparkSession):

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postlytics.operators import stats
 from postlytics.operators.parts import Parts
 from postlytics.operators.sampling import with_fold_columns, with_folds
+from postlytics.session import fit_held
 
 
 # --------------------------------------------------------------------------
@@ -315,7 +316,7 @@ def poisson_report(df: DataFrame, features: list[str], label: str, id_col: str,
         ybar = train.agg(F.avg(label)).first()[0]
         glr = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="features",
                                           labelCol=label, regParam=alpha / ybar, maxIter=100)
-        return glr.fit(train)
+        return fit_held(glr, train, label)
 
     def deviance_terms(pred, ybar):
         y, mu = F.col(label), F.col("prediction")

@@ -73,3 +73,21 @@ def test_shap_of_leaves_with_many_features(monkeypatch):
     want = forest.path_shap(paths, t["pred"][:, None], x, 6)
     monkeypatch.setattr(forest, "PATTERN_FEATURES", 2)
     assert np.allclose(forest.path_shap(paths, t["pred"][:, None], x, 6), want, atol=1e-12)
+
+
+def test_a_fit_computes_its_rows_once(spark):
+    """The rows behind a fit are made once, whatever the learner's passes; nothing stays held."""
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            scans.add(b.num_rows)
+            yield b
+
+    rows = [(float(i % 7), float(i % 5), float(1 + i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").coalesce(2)
+    d = forest.prepare(df.mapInArrow(counted, df.schema), ["a", "b"], "y", "regressor")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    forest.fit_forest(d, "y", "regressor", {"numTrees": 3, "maxDepth": 3})
+    assert scans.value == 200
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
