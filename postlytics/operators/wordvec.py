@@ -1,30 +1,49 @@
 """Continuous-bag-of-words vectors with negative sampling.
 
-The rows are dealt into parts of about ``part_words`` words.  An epoch ships to each
-part the vectors of its own words only (a join on the word), trains them there in
-small steps over whole rows, and averages what the parts return, a word's vector
-weighted by its occurrences in the part.  The vocabulary is a table throughout:
-neither the driver nor a task holds all of it.  Each epoch's table is checkpointed,
-so a lost executor repeats a few parts of one epoch, with the same random numbers."""
+The rows are dealt into parts of about ``part_words`` words, and up to ``TOGETHER``
+parts into a group, which one task trains.  An epoch ships to each group the vectors of
+its own words only (a join on the word), trains each part there in small steps over
+whole rows, and averages what the parts return, a word's vector weighted by its
+occurrences in the part; a group adds up its parts first, so a word's vector travels
+once a group and epoch.  The vocabulary is a table throughout: neither the driver nor
+a task holds all of it.  Each epoch's table is checkpointed, so a lost executor
+repeats a few parts of one epoch, with the same random numbers; what the epoch
+shuffled is dropped before the next one."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlytics.session import cut_lineage
+from postlytics.session import cut_lineage, drop_unused
 
 LONGEST = 10_000  # words that are trained as one text; a longer one is cut into such stretches
 BATCH = 64        # centre words that are trained by one step
+TOGETHER = 4      # parts that one task trains, where there are as many tasks as cores
+ROWS = 5_000      # vectors that a task hands on at once
 
 
 def _sum(vectors: Column, size: int) -> Column:
-    """The sum over (.., n, v) of n times v, in the list's order."""
+    """The sum over the structs' vectors ``v``, in the list's order."""
     zeros = F.array_repeat(F.lit(0.0), size)
-    return F.aggregate(vectors, zeros, lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q * x["n"]))
+    return F.aggregate(vectors, zeros, lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q))
+
+
+def _numbers(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """A column of arrays of ``size`` doubles as a matrix."""
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), size)
+
+
+def _vectors(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+
+def _numbered(words: pa.ChunkedArray, number: dict[str, int]) -> list[np.ndarray]:
+    """The numbers of each list's words; a word without one is left out."""
+    return [np.array([number[w] for w in t.as_py() if w in number], dtype=np.int64) for t in words]
 
 
 def _train(words: list[np.ndarray], v: np.ndarray, o: np.ndarray, noise: np.ndarray, rng: np.random.Generator,
@@ -62,16 +81,34 @@ def _train(words: list[np.ndarray], v: np.ndarray, o: np.ndarray, noise: np.ndar
 
 
 def _epoch(size: int, window: int, negative: int, rate: tuple[float, float], seed: int, epoch: int):
-    def run(key, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.sort_values("word", ignore_index=True)
-        number = {w: i for i, w in enumerate(known["word"])}
-        v, o = (np.array(known[c].tolist(), dtype=float).reshape(len(known), size) for c in ("v", "o"))
-        texts = texts.sort_values(["_row", "_from"])
-        words = [np.array([number[w] for w in t if w in number], dtype=np.int64) for t in texts["words"]]
-        if len(known):
-            noise = np.cumsum(known["n"].to_numpy(dtype=float) ** 0.75)
-            _train(words, v, o, noise, np.random.default_rng([seed, epoch, int(key[0])]), window, negative, rate)
-        return pd.DataFrame({"word": known["word"], "part": int(key[0]), "n": known["n"], "v": list(v), "o": list(o)})
+    """Trains the parts of a group one after another, each from the group's vectors as they
+    came, and adds up what they return, each word's vectors times its occurrences in the part."""
+    def run(key, texts: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("word")
+        names = known["word"].combine_chunks()
+        v, o = (_numbers(known[c], size) for c in ("v", "o"))
+        del known
+        number = {w: i for i, w in enumerate(names.to_pylist())}
+        sums, total = [np.zeros_like(v), np.zeros_like(o)], np.zeros(len(names), np.int64)
+        texts = texts.sort_by([(c, "ascending") for c in ("part", "_row", "_from")])
+        part = texts["part"].to_numpy()
+        for one in np.unique(part):
+            at = np.flatnonzero(part == one)
+            words = _numbered(texts["words"].slice(at[0], len(at)), number)
+            own, place, n = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            if not len(own):
+                continue
+            words = np.split(place, np.cumsum([len(w) for w in words])[:-1])
+            trained = v[own], o[own]
+            _train(words, *trained, np.cumsum(n.astype(float) ** 0.75), np.random.default_rng([seed, epoch, int(one)]),
+                   window, negative, rate)
+            for s, x in zip(sums, trained):
+                s[own] += x * n[:, None]
+            total[own] += n
+        out = [pa.RecordBatch.from_arrays([names[i:i + ROWS], pa.array(total[i:i + ROWS]), *(_vectors(s[i:i + ROWS]) for s in sums)],
+                                          ["word", "n", "v", "o"]).append_column("group", pa.array([key[0].as_py()] * len(names[i:i + ROWS]), pa.int64()))
+               for i in range(0, max(1, len(names)), ROWS)]
+        return pa.Table.from_batches(out)
     return run
 
 
@@ -81,6 +118,7 @@ def cbow_vectors(df: DataFrame, words: str, size: int = 100, window: int = 5, mi
     """``df``'s column ``words`` (array of strings; null counts as empty) to a row a word
     that occurs ``min_count`` times or more: ``word``, ``n`` (occurrences) and ``v`` (its
     vector).  The number of parts follows the number of words.  An empty table gives none."""
+    spark = df.sparkSession
     texts = cut_lineage(df.select(F.xxhash64(words).alias("_row"), F.expr(f"filter(`{words}`, w -> w is not null)").alias("_w"))
                         .where(F.size("_w") > 0)
                         .select("_row", "_w", F.explode(F.sequence(F.lit(1), F.size("_w"), F.lit(LONGEST))).alias("_from"))
@@ -88,38 +126,60 @@ def cbow_vectors(df: DataFrame, words: str, size: int = 100, window: int = 5, mi
                                 F.monotonically_increasing_id().alias("_i")))
     total = texts.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = max(1, math.ceil(total / part_words))
+    together = min(TOGETHER, max(1, parts // spark.sparkContext.defaultParallelism))
     texts = texts.withColumn("part", F.pmod(F.xxhash64("_row", "_from", "_i", F.lit(seed)), F.lit(parts))).drop("_i")
-    need = texts.select("part", F.explode("words").alias("word")).groupBy("part", "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = need.groupBy("word").agg(F.sum("n").alias("total")).where(F.col("total") >= min_count)
-    need = cut_lineage(need.join(counts, "word").select("part", "word", "n"))
+    texts = texts.withColumn("group", F.floor(F.col("part") / together))
+    need = texts.select("group", F.explode("words").alias("word")).groupBy("group", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(need.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count))
+    need = cut_lineage(need.join(counts, "word", "left_semi").select("group", "word"))
     weights = counts.select(
         "word", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (F.pmod(F.xxhash64("word", i, F.lit(seed)), F.lit(1 << 20))
                             / (1 << 20) - 0.5) / size).alias("v"), F.array_repeat(F.lit(0.0), size).alias("o"))
-    # a word's vectors are summed in two steps, of about the square root of its parts each
-    salt = F.pmod(F.col("part"), F.lit(max(1, math.isqrt(parts))))
     for epoch in range(epochs):
         rate = tuple(alpha + (min_alpha - alpha) * e / epochs for e in (epoch, epoch + 1))
-        shipped = need.join(weights, "word").select("part", "word", "n", "v", "o")
-        trained = texts.groupBy("part").cogroup(shipped.groupBy("part")).applyInPandas(
-            _epoch(size, window, negative, rate, seed, epoch), "word string, part long, n long, v array<double>, o array<double>")
-
-        def added(kind):
-            return _sum(F.array_sort(F.collect_list(F.struct("part", "n", F.col(kind).alias("v")))), size).alias(kind)
-
-        some = trained.groupBy("word", salt.alias("_s")).agg(added("v"), added("o"), F.sum("n").alias("n"))
-        whole = some.withColumnsRenamed({"_s": "part", "n": "_n"}).withColumn("n", F.lit(1)).groupBy("word").agg(
-            added("v"), added("o"), F.sum("_n").alias("_n"))
-        weights = cut_lineage(whole.select("word", *[F.transform(c, lambda x: x / F.col("_n")).alias(c) for c in ("v", "o")]))
-    return weights.join(counts.withColumnRenamed("total", "n"), "word").select("word", "n", "v")
+        shipped = need.join(weights, "word").select("group", "word", "v", "o")
+        trained = texts.groupBy("group").cogroup(shipped.groupBy("group")).applyInArrow(
+            _epoch(size, window, negative, rate, seed, epoch), "word string, n long, v array<double>, o array<double>, group long")
+
+        weights = cut_lineage(trained.groupBy("word").agg(F.sum("n").alias("_n"), *[
+            F.array_sort(F.collect_list(F.struct("group", F.col(c).alias("v")))).alias(c) for c in ("v", "o")]).select(
+            "word", *[F.transform(_sum(F.col(c), size), lambda x: x / F.col("_n")).alias(c) for c in ("v", "o")]))
+        del shipped, trained
+        drop_unused(spark)
+    return weights.join(counts, "word").select("word", "n", "v")
+
+
+def _row_sums(size: int):
+    """The sum of each row's word vectors, in the order of the words; rows without a known word give none."""
+    def run(key, texts: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("word")
+        v = _numbers(known["v"], size)
+        number = {w: i for i, w in enumerate(known["word"].to_pylist())}
+        words = _numbered(texts["words"], number)
+        some = np.array([len(w) > 0 for w in words], bool)
+        out = np.zeros((int(some.sum()), size))
+        for row, w in zip(out, (w for w in words if len(w))):
+            own, n = np.unique(w, return_counts=True)
+            row[:] = (v[own] * n[:, None]).sum(0)
+        rows = texts["_row"].combine_chunks().filter(pa.array(some))
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([rows[i:i + ROWS], _vectors(out[i:i + ROWS])], ["_row", "_v"])
+                                      for i in range(0, max(1, len(out)), ROWS)])
+    return run
 
 
-def mean_vectors(df: DataFrame, id_col: str, words: str, vectors: DataFrame, size: int) -> DataFrame:
+def mean_vectors(df: DataFrame, id_col: str, words: str, vectors: DataFrame, size: int, group_words: int = 800_000) -> DataFrame:
     """``id_col`` and ``vector`` of every row of ``df``: the mean of its words' vectors
-    scaled to length 1, zeros for a row without known words."""
+    scaled to length 1, zeros for a row without known words.  The rows are dealt into
+    groups of about ``group_words`` words, to each of which a word's vector goes once."""
     rows = cut_lineage(df.select(id_col, words, F.monotonically_increasing_id().alias("_row")))
-    own = rows.select("_row", F.explode(words).alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("n"))
-    summed = (own.join(vectors.select("word", "v"), "word").groupBy("_row")
-              .agg(_sum(F.array_sort(F.collect_list(F.struct("word", "n", "v"))), size).alias("_v")))
+    own = rows.select("_row", F.expr(f"filter(`{words}`, w -> w is not null)").alias("words")).where(F.size("words") > 0)
+    total = own.agg(F.sum(F.size("words"))).first()[0] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, math.ceil(total / group_words), min(cores, math.ceil(total / LONGEST)))
+    own = own.withColumn("group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
+    need = own.select(F.col("group").alias("to"), F.explode("words").alias("word")).distinct()
+    shipped = need.join(vectors.select("word", "v"), "word").groupBy("to")
+    summed = own.groupBy("group").cogroup(shipped).applyInArrow(_row_sums(size), "_row long, _v array<double>")
     zeros = F.array_repeat(F.lit(0.0), size)
     length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
     return rows.join(summed, "_row", "left").select(id_col, F.when(length > 0, F.transform(

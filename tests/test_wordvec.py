@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,14 @@ def test_edges(spark, texts):
     assert {r.word: r.n for r in wordvec.cbow_vectors(long, "w", size=2, epochs=1).collect()} == dict.fromkeys("ab", wordvec.LONGEST)
     rare = spark.createDataFrame([(["a", "a", "b"], )], "w array<string>")
     assert [r.word for r in wordvec.cbow_vectors(rare, "w", size=2, epochs=1, min_count=2).collect()] == ["a"]
+
+
+def test_a_group_returns_each_word_once():
+    """Parts trained by one task start from the same vectors; their sum is that of the parts alone."""
+    run = wordvec._epoch(2, 2, 1, (0.1, 0.05), 3, 1)
+    texts = pa.table({"part": [4, 5, 5], "_row": [1, 2, 3], "_from": [1, 1, 1], "words": [["b", "a", "b"], ["c", "b"], ["a", "x", "c"]]})
+    known = pa.table({"word": ["c", "a", "b"], "v": [[0.3, 0.1], [0.2, -0.1], [-0.4, 0.2]], "o": [[0.1, 0.0], [0.0, 0.2], [0.3, 0.1]]})
+    whole, one, two = (run((pa.scalar(2),), texts.slice(*at), known).to_pylist() for at in ((0, 3), (0, 1), (1, 2)))
+    assert [(r["word"], r["n"], r["group"]) for r in whole] == [("a", 2, 2), ("b", 3, 2), ("c", 2, 2)]
+    for r, x, y in zip(whole, one, two):
+        assert r["n"] == x["n"] + y["n"] and np.allclose(r["v"], np.add(x["v"], y["v"])) and np.allclose(r["o"], np.add(x["o"], y["o"]))
