@@ -88,13 +88,21 @@ def leading_directions(rows: DataFrame, num_features: int, size: int = 32, overs
 
 
 def reduce_rows(df: DataFrame, features: str, num_features: int, keep: list[str], out_col: str = "reduced",
-                size: int = 32, passes: int = 3, seed: int = 42) -> DataFrame:
-    """The columns ``keep`` of ``df`` and ``out_col``, the sparse vectors of ``features`` in their
-    ``leading_directions`` (an array of ``size`` numbers).  An empty vector becomes zeros."""
-    from pyspark.sql.types import ArrayType, DoubleType, StructType
+                size: int = 32, passes: int = 3, seed: int = 42, directions: np.ndarray | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` and ``out_col``, the sparse vectors of ``features`` in
+    ``directions``, else their ``leading_directions`` (an array of ``size`` numbers).  An empty
+    vector becomes zeros."""
     parts = F.unwrap_udt(features)
     rows = df.select(*keep, parts["indices"].alias("_at"), parts["values"].alias("_v"))
-    held = df.sparkSession.sparkContext.broadcast(leading_directions(rows, num_features, size, passes=passes, seed=seed))
+    if directions is None:
+        directions = leading_directions(rows, num_features, size, passes=passes, seed=seed)
+    return project(rows, directions, keep, out_col)
+
+
+def project(rows: DataFrame, directions: np.ndarray, keep: list[str], out_col: str = "reduced") -> DataFrame:
+    """The columns ``keep`` and ``out_col``, the sparse ``rows`` (last columns ``_at``, ``_v``) times ``directions``."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructType
+    held = rows.sparkSession.sparkContext.broadcast(directions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,18 +117,26 @@ def reduce_rows(df: DataFrame, features: str, num_features: int, keep: list[str]
 def assign_topics(df: DataFrame, text: str, id_col: str, stop_words: list[str], k: int = 10,
                   seed: int = 42, num_features: int = 1 << 16, top_n: int = 4, size: int = 32) -> tuple[DataFrame, DataFrame]:
     """Returns (doc_topics: id, Topic; topic_info: Topic, Count, Name).  The TF-IDF rows are
-    reduced to ``size`` directions and normalised again before they are clustered."""
+    reduced to ``size`` directions and normalised again before they are clustered.  What the
+    many scans read is held narrow: the sparse vectors for the directions, the short ones for
+    the clustering; the words are made again for the one scan that assigns the topics."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
     d = df.select(id_col, text).where(F.col(text).isNotNull())
-    feats = _tfidf(d, text, stop_words, num_features).fit(d).transform(d).select(id_col, "_words", "features").persist()
-    short = reduce_rows(feats, "features", num_features, [id_col, "_words"], size=size, seed=seed)
-    short = Normalizer(inputCol="_short", outputCol="_unit").transform(short.withColumn("_short", array_to_vector("reduced"))).persist()
+    feats = _tfidf(d, text, stop_words, num_features).fit(d).transform(d).select(id_col, "_words", "features")
+    sparse = feats.select(F.unwrap_udt("features").alias("_f")).select(F.col("_f.indices").alias("_at"), F.col("_f.values").alias("_v")).persist()
+    directions = leading_directions(sparse, num_features, size, seed=seed)
+
+    def unit(rows):
+        return Normalizer(inputCol="_short", outputCol="_unit").transform(rows.withColumn("_short", array_to_vector("reduced")))
+
+    short = unit(project(sparse, directions, [])).select("_unit").persist()
     model = KMeans(k=k, seed=seed, featuresCol="_unit", predictionCol="Topic").fit(short)
-    assigned = cut_lineage(model.transform(short).select(id_col, "Topic", "_words"))
+    whole = unit(reduce_rows(feats, "features", num_features, [id_col, "_words"], directions=directions))
+    assigned = cut_lineage(model.transform(whole).select(id_col, "Topic", "_words"))
     short.unpersist()
-    feats.unpersist()
+    sparse.unpersist()
     words = assigned.select("Topic", F.explode("_words").alias("word"))
     tf = words.groupBy("Topic", "word").agg(F.count(F.lit(1)).alias("tf"))
     fw = tf.groupBy("word").agg(F.sum("tf").alias("f"))
@@ -141,10 +157,11 @@ def assign_topics(df: DataFrame, text: str, id_col: str, stop_words: list[str],
 def topic_table(docs: DataFrame, id_col: str = "Id", text: str = "Document", length: str = "Length",
                 stop_words: list[str] | None = None, k: int = 10, seed: int = 42) -> DataFrame:
     """M5: documents with their topic and the topic's name (Topic, Document, Id,
-    Length, Name)."""
+    Length, Name).  The names, ``k`` rows, are broadcast: dealt by topic, a task would read a
+    topic's whole documents."""
     from postlytics.operators.keywords import default_stop_words
     assigned, info = assign_topics(docs, text, id_col, stop_words or default_stop_words(), k, seed)
-    return (docs.join(assigned, id_col).join(info.select("Topic", "Name"), "Topic", "inner")
+    return (docs.join(assigned, id_col).join(F.broadcast(info.select("Topic", "Name")), "Topic", "inner")
                 .select("Topic", text, id_col, length, "Name"))
 
 

@@ -47,3 +47,19 @@ def test_topics_recover_planted_ones(spark):
     names = {x["Topic"]: x["Name"] for x in info.collect()}
     for i, word in enumerate(("sea", "law", "tax")):
         assert all(w.startswith(word) for w in names[next(iter(groups[i]))].split("_")[1:])
+
+
+def test_held_rows_are_narrow_and_documents_are_not_dealt_by_topic(spark, monkeypatch, capsys):
+    frame = type(spark.range(0))
+    held, persist = [], frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *a: (held.append(self.columns), persist(self, *a))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} x", "short") for i in range(60)], "Id long, Document string, Length string")
+        out = topics.topic_table(docs, stop_words=["x"], k=3)
+        assert out.count() == 60
+        out.explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert held == [["_at", "_v"], ["_unit"]]  # neither ids nor words
+    assert "BroadcastHashJoin [Topic" in capsys.readouterr().out
