@@ -271,11 +271,26 @@ def breusch_pagan(df: DataFrame, resid: str, cols: list[str]) -> DataFrame:
         rows, "lm double, lm_p_value double, f_value double, f_p_value double, n long")
 
 
+def few_partitions(held: DataFrame, rows: int = 1_000_000, factor: int = 2) -> DataFrame:
+    """The persisted ``held``, or where it has more partitions than ``factor`` a core and more
+    than one for so many ``rows``, a persisted frame of that many in its place."""
+    n = max(factor * held.sparkSession.sparkContext.defaultParallelism, -(-held.count() // rows))
+    if held.rdd.getNumPartitions() <= n:
+        return held
+    few = held.coalesce(n).persist()
+    few.count()
+    held.unpersist()
+    return few
+
+
 def silhouette_sweep(df: DataFrame, cols: list[str], ks=range(2, 11), seed: int = 42,
                      scale: bool = False) -> DataFrame:
     """K-means for each k and its silhouette.  Spark's evaluator offers
     squared-Euclidean and cosine distances; squared Euclidean is used (the
-    reference's plain Euclidean silhouette would need all point pairs)."""
+    reference's plain Euclidean silhouette would need all point pairs).
+
+    Each k takes some 25 scans, and every task of a scan sends the driver a result of its
+    own (about 8 KB, mostly metrics), so the held rows come in ``few_partitions``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
@@ -283,7 +298,7 @@ def silhouette_sweep(df: DataFrame, cols: list[str], ks=range(2, 11), seed: int
     if scale:
         d = standardise(d, cols)
     vec = VectorAssembler(inputCols=cols, outputCol="features").transform(d).select("features")
-    vec = vec.persist()
+    vec = few_partitions(vec.persist())
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
                              distanceMeasure="squaredEuclidean")
     rows = []

@@ -385,3 +385,15 @@ def test_normal_plot_of_empty_and_constant_columns(spark):
     assert stats.normality_distance(none, "v").collect() == [(None, 0)]
     assert stats.normality_distance(same, "v").collect() == [(None, 2)]
     assert [x.line for x in stats.normal_points(same, "v", "id").orderBy("rank").collect()] == [2.0, 2.0]
+
+
+def test_held_rows_come_in_few_partitions(spark):
+    from postlytics.operators.stats import few_partitions
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(1000).repartition(8 * cores).persist()
+    few = few_partitions(many)
+    assert few.rdd.getNumPartitions() == 2 * cores and few.is_cached and not many.is_cached and few.count() == 1000
+    assert few_partitions(few) is few  # as many as they need
+    few.unpersist()
+    wide = spark.range(1000).repartition(8 * cores).persist()
+    assert few_partitions(wide, rows=1000 // (4 * cores)).rdd.getNumPartitions() >= 4 * cores
