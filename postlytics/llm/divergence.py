@@ -38,7 +38,7 @@ def term_digest(term: bytes) -> int:
 
 
 def task_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                digest: Callable[[bytes], int] = term_digest, strings: bool = False, most: int = 300_000) -> DataFrame:
+                digest: Callable[[bytes], int] = term_digest, strings: bool = False, most: int = 600_000) -> DataFrame:
     """``lang, source, digest, n, docs, term``: occurrences and documents of each term's
     digest, added up in each task; a table of ``most`` entries is sent on and begun anew.
     The strings come in rows of their own (digest and term, no language), once a task
@@ -141,7 +141,7 @@ def source_divergence(df: DataFrame, text_col: str = "text", lang_col: str = "la
     either has (from the counts of its distinct shares) and for those that both have (a
     join on the term), so that no row is made for a term that neither has.  A language
     with s sources has s (s - 1) rows of part ``pair``; that many is the result itself."""
-    base = store(task_counts(df, text_col, lang_col, source_col, digest), "divergence-base")
+    base = store(task_counts(df, text_col, lang_col, source_col, digest), "divergence-base", "snappy")  # digests hardly shrink
 
     def recount(slots: DataFrame) -> DataFrame:
         texts = task_counts(df, text_col, lang_col, source_col, digest, strings=True)

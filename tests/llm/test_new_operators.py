@@ -294,3 +294,12 @@ def test_queries_keep_their_contracts(spark, name):
     if name == "op12_spelling_variants":
         docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
         assert {r.word: r.n for r in rows} == slow_counts([tuple(r) for r in docs])
+
+
+def test_a_large_vocabulary_leaves_a_task_once(spark):
+    """Two texts of the same 350,000 terms in one task: a row a term, not two."""
+    from postlytics.llm.divergence import task_counts
+    words = " ".join("".join(chr(97 + i // 26 ** j % 26) for j in range(4)) for i in range(350_000))
+    df = spark.createDataFrame([(words, "en", "s")] * 2, "text string, lang string, source string").coalesce(1)
+    got = task_counts(df).where("lang IS NOT NULL AND digest IS NOT NULL")
+    assert [tuple(r) for r in got.selectExpr("count(*)", "min(n)", "max(docs)").collect()] == [(350_000, 2, 2)]
