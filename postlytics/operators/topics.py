@@ -125,13 +125,14 @@ def assign_topics(df: DataFrame, text: str, id_col: str, stop_words: list[str],
     from pyspark.ml.functions import array_to_vector
     d = df.select(id_col, text).where(F.col(text).isNotNull())
     feats = _tfidf(d, text, stop_words, num_features).fit(d).transform(d).select(id_col, "_words", "features")
-    sparse = feats.select(F.unwrap_udt("features").alias("_f")).select(F.col("_f.indices").alias("_at"), F.col("_f.values").alias("_v")).persist()
+    # the id stays, as a round-robin deal below goes by the columns that are read
+    sparse = feats.select(id_col, F.unwrap_udt("features").alias("_f")).select(id_col, F.col("_f.indices").alias("_at"), F.col("_f.values").alias("_v")).persist()
     directions = leading_directions(sparse, num_features, size, seed=seed)
 
     def unit(rows):
         return Normalizer(inputCol="_short", outputCol="_unit").transform(rows.withColumn("_short", array_to_vector("reduced")))
 
-    short = unit(project(sparse, directions, [])).select("_unit").persist()
+    short = unit(project(sparse.select("_at", "_v"), directions, [])).select("_unit").persist()
     model = KMeans(k=k, seed=seed, featuresCol="_unit", predictionCol="Topic").fit(short)
     whole = unit(reduce_rows(feats, "features", num_features, [id_col, "_words"], directions=directions))
     assigned = cut_lineage(model.transform(whole).select(id_col, "Topic", "_words"))

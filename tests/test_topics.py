@@ -61,5 +61,5 @@ def test_held_rows_are_narrow_and_documents_are_not_dealt_by_topic(spark, monkey
         out.explain()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert held == [["_at", "_v"], ["_unit"]]  # neither ids nor words
+    assert held == [["Id", "_at", "_v"], ["_unit"]]  # no words
     assert "BroadcastHashJoin [Topic" in capsys.readouterr().out
