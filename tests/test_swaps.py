@@ -81,3 +81,13 @@ def test_importance_without_rows_and_with_unknown_labels(spark):
     some = df.withColumn("y", F.when(F.col("id") % 2 == 0, F.col("y")))
     got = forest.permutation_importance(m, some, features, "y", "regressor", repeats=2, id_col="id").collect()
     assert all(math.isfinite(r.importance_mean) for r in got) and len(got) == 3
+
+
+def test_search_and_scores_hold_only_what_the_fits_read(spark, monkeypatch):
+    d = forest.prepare(_rows(spark), ["a", "b"], "y", "regressor")
+    seen, fit = [], forest.fit_forest
+    monkeypatch.setattr(forest, "fit_forest", lambda train, *rest: seen.append(set(train.columns)) or fit(train, *rest))
+    grid = {"n_estimators": [2], "max_depth": [2], "min_samples_split": [2], "min_samples_leaf": [1], "max_features": ["sqrt"]}
+    best = forest.random_search(d, "y", "regressor", "id", n_iter=1, folds=2, grid=grid)
+    assert forest.cv_scores(d, "y", "regressor", best, "id", folds=2).count() == 1
+    assert len(seen) >= 4 and all(columns == {"features", "y", "_fold"} for columns in seen)
