@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType
 
-from postlytics.functions.text import keyword_counted, keyword_flag, tokens
+from postlytics.functions.text import keyword_counted, keyword_flag, keyword_matches, tokens
 from postlytics.functions.urls import STORE_LABELS, domain_candidates, url_domain_keyword
 
 
@@ -51,17 +51,20 @@ def default_stop_words(spark: SparkSession | None = None) -> list[str]:
 
 
 def title_keywords(df: DataFrame, title: str, keywords, name: str, counted: bool = False,
-                   id_col: str | None = None) -> DataFrame:
+                   id_col: str | None = None, words: Column | None = None) -> DataFrame:
     """Adds ``{name}_detail`` and ``contains_{name}``.
 
     flag mode: first matching word (or null) and 1/0; counted mode: the list of
     all matches and its size.  Null or empty title -> (null, 0).  ``id_col``, if
-    given, is unique per row and spares a keyword DataFrame's join the text hash."""
+    given, is unique per row and spares a keyword DataFrame's join the text hash.
+    ``words``, the title's ``tokens`` as a column of ``df``, spares several passes over
+    one title their own.  The matches are a column, found once for detail and flag."""
     fn = keyword_counted if counted else keyword_flag
+    words = tokens(title) if words is None else words
     if isinstance(keywords, list):
-        detail, flag = fn(title, keywords)
-        return df.withColumns({f"{name}_detail": detail, f"contains_{name}": flag})
-    found = listed_words(df, title, tokens(title), keyword_table(keywords), id_col)
+        found = df.withColumn("_words", keyword_matches(title, keywords, words))
+    else:
+        found = listed_words(df, title, words, keyword_table(keywords), id_col)
     detail, flag = fn(title, [], matches=F.col("_words"))
     return found.withColumns({f"{name}_detail": detail, f"contains_{name}": flag}).drop("_words")
 

@@ -26,9 +26,11 @@ from pyspark.sql.window import Window
 from postlytics.functions.timefeat import floor_div
 
 
-def repeat_counts(df: DataFrame, key: str, time: str, horizons: dict[str, int]) -> DataFrame:
-    """Adds one LONG column per ``{name: horizon_seconds}``."""
-    cols = df.columns
+def repeat_counts(df: DataFrame, key: str, time: str, horizons: dict[str, int], rows: DataFrame | None = None) -> DataFrame:
+    """Adds one LONG column per ``{name: horizon_seconds}`` to ``rows`` (else to ``df``);
+    the rows counted are always those of ``df``."""
+    rows = df if rows is None else rows
+    cols = rows.columns
     big = max(int(h) for h in horizons.values())
     pairs = (df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
                .groupBy(key, time).agg(F.count(F.lit(1)).alias("_n")))
@@ -47,7 +49,7 @@ def repeat_counts(df: DataFrame, key: str, time: str, horizons: dict[str, int])
         counts[name] = (upto - before).cast("long")
     per_time = both.withColumns(counts).where(F.col("_home")).select(key, time, *horizons.keys())
     # null key or time: no match, count 0
-    out = df.join(per_time, [key, time], "left")
+    out = rows.join(per_time, [key, time], "left")
     return out.select(*cols, *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in horizons])
 
 

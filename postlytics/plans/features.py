@@ -1,17 +1,19 @@
 """Pipelines over posts and pages (M1-M4).
 
 M1 ``build_features``: the post feature table -- snapshot join, time features,
-lengths, front-page lead and rolling median, hourly front-page median, repeat-url
-counts, keyword passes, topic one-hot, buzzword counts.  Every step is a
+lengths, topic one-hot, front-page lead and rolling median, hourly front-page median,
+repeat-url counts, keyword passes, buzzword counts.  Every step is a
 projection, a partial aggregation, a keyed join or a bucketed window; the
 ordered steps share one dense index, the repeat counts share one shuffle.
+What is measured over all posts (index, medians, repeats) reads narrow rows held once;
+whole rows are joined to the results, after the topics, by whose key they already lie.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from postlytics.functions.text import char_length, concat_text, length_bucket
+from postlytics.functions.text import char_length, concat_text, length_bucket, tokens
 from postlytics.functions.timefeat import epoch_hour, hour_of_day, weekday, weekday_one_hot
 from postlytics.operators import explore, keywords, ordering, repeats
 from postlytics.operators.dedup import first_per_key, insert_or_ignore
@@ -33,9 +35,13 @@ def infer_keywords(df: DataFrame, title_lists: dict, url_lists: dict,
                    title: str = "title", url: str = "url", id_col: str = "id") -> DataFrame:
     """M2: one keyword pass per list; each adds ``{name}_detail`` and
     ``contains_{name}``.  Title lists match whole words (flag mode), url lists
-    match domain labels.  Python lists are one projection, DataFrames are joined on ``id_col``."""
+    match domain labels.  Python lists are one projection, DataFrames are joined on ``id_col``.
+    A title is split into words once for all title lists."""
+    if title_lists:
+        df = df.withColumn("_tokens", tokens(title))
     for name, words in title_lists.items():
-        df = keywords.title_keywords(df, title, words, name, id_col=id_col)
+        df = keywords.title_keywords(df, title, words, name, id_col=id_col, words=F.col("_tokens"))
+    df = df.drop("_tokens")
     for name, words in url_lists.items():
         df = keywords.url_keywords(df, url, words, name, id_col=id_col)
     return df
@@ -83,19 +89,23 @@ def build_features(posts30: DataFrame, posts240: DataFrame, front_page: DataFram
         "body_length": char_length("text", null_as_zero=True),
         "scraped_at_hour": epoch_hour("time", "minutes_since_pub"),
     })
-    df = ordering.forward_features(df, order_by, n_front,
+    posts = cut_lineage(df.select(*dict.fromkeys([*order_by, "time", "score", "url"])))
+    topic_columns = []
+    if topics is not None:  # an inner join: a post without topic is measured with, but not returned
+        t = topics.select(F.col("id"), *topic_one_hot(topics),
+                          F.col("length").alias("document_length"))
+        topic_columns = t.columns[1:]
+        df = df.join(t, "id", "inner")
+    df = ordering.forward_features(posts, order_by, n_front,
                                    leads={"time_on_first_page": "time"},
                                    medians={"average_score_of_posts_before": "score"},
-                                   bucket_rows=bucket_rows)
+                                   bucket_rows=bucket_rows, rows=df)
     fp = front_page.withColumn("scraped_at_hour", epoch_hour("time", "minutes_since_pub"))
     df = explore.attach_group_median(df, fp, "scraped_at_hour", "score", "hourly_median_fp_score")
-    df = repeats.repeat_counts(df, "url", "time", {f"count_last_{h}h": h * 3600
-                                                   for h in fixed.REPEAT_HORIZONS_HOURS})
+    df = repeats.repeat_counts(posts, "url", "time", {f"count_last_{h}h": h * 3600
+                                                      for h in fixed.REPEAT_HORIZONS_HOURS}, rows=df)
     df = infer_keywords(df, title_lists or {}, url_lists or {})
-    if topics is not None:
-        t = topics.select(F.col("id"), *topic_one_hot(topics),
-                          F.col("length").alias("document_length"))
-        df = df.join(t, "id", "inner")
+    df = df.select(*[c for c in df.columns if c not in topic_columns], *topic_columns)
     fp_titles = front_page.select("id", "time", "title")
     if dedupe_by is not None:
         fp_titles = first_per_key(fp_titles, dedupe_by, ["time", "title"])

@@ -198,3 +198,19 @@ def test_forward_features_of_wide_rows_equal_narrow_ones(spark):
     assert {r.id: (len(r.body), r.lead, r.med) for r in got.collect()} == {
         r.id: (7 if r.id is None else r.id, r.lead, r.med) for r in want.collect()}
     assert got.count() == 300
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+def test_values_of_all_rows_are_joined_to_the_rows_asked_for(spark, direction):
+    df = spark.createDataFrame([(None if i == 7 else i, i % 50, float(i * 7 % 31), f"u{i % 3}") for i in range(200)],
+                               "id long, time long, score double, url string")
+    rows = df.where("id is null or id % 11 = 0").select("time", "id", "url", F.lit("x").alias("more"))
+    made = {"leads": {"lead": "time"}, "medians": {"med": "score"}, "bucket_rows": 40, "num_partitions": 3, "direction": direction}
+    got = forward_features(df, ["time", "id"], 5, rows=rows, **made)
+    want = {r.id: (r.lead, r.med) for r in forward_features(df, ["time", "id"], 5, **made).collect()}
+    assert got.columns == ["time", "id", "url", "more", "lead", "med"]
+    assert {r.id: (r.lead, r.med) for r in got.collect()} == {i: want[i] for i in [None, *range(0, 200, 11)]}
+    counts = repeat_counts(df, "url", "time", {"c": 20}, rows=got)
+    want = {r.id: r.c for r in repeat_counts(df, "url", "time", {"c": 20}).collect()}
+    assert counts.columns == [*got.columns, "c"]
+    assert {r.id: r.c for r in counts.collect()} == {i: want[i] for i in [None, *range(0, 200, 11)]}
