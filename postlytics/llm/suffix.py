@@ -288,7 +288,7 @@ def _sorted(window: int, most: int = 1 << 20):
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
+        last = np.flatnonzero(np.append(new[1:], len(at) > 0))  # of no starts none
         own = owner[first]
         start = batch.column(3).to_numpy()[own] - bounds[own]
         take = pa.array(own)

@@ -276,6 +276,14 @@ def test_suffix_dedup_against_brute_force(spark, hot):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_of_texts_that_share_less_than_a_window(spark):
+    r = random.Random(8)
+    shared = prose(40, r)[:150]
+    texts = [prose(30, r) + shared + prose(30, r) for _ in range(3)]  # one anchor, three contents, no string of 200 bytes twice
+    got = {x.doc_id: bytes(x.kept) for x in suffix.remove_repeats(table(spark, texts)).collect()}
+    assert got == {i: t.encode() for i, t in enumerate(texts)}
+
+
 def test_suffix_repeated_rows_and_null_ids(spark):
     text = prose(100, random.Random(5))
     df = spark.createDataFrame([(1, text), (1, text), (None, prose(90, random.Random(6))), (1, "short")], "doc_id long, text string")
