@@ -172,6 +172,6 @@ def title_vectors(df: DataFrame, title: str, id_col: str, stop_words: list[str],
     """Cleaned titles (I14) -> continuous-bag-of-words vectors (``wordvec``) ->
     mean of a title's word vectors (zero vector for no word) -> L2-normalised."""
     from postlytics.operators.textclean import clean_titles
-    d = cut_lineage(clean_titles(df.select(id_col, title).fillna("", subset=[title]), title, stop_words, "_words"))
+    d = cut_lineage(clean_titles(df.select(id_col, title).fillna("", subset=[title]), title, stop_words, "_words").select(id_col, "_words"))
     vectors = cbow_vectors(d, "_words", size, window, min_count, epochs=epochs, seed=seed, part_words=part_words)
     return mean_vectors(d, id_col, "_words", vectors, size)

@@ -2,17 +2,20 @@
 
 The rows are dealt into parts of about ``part_words`` words, and up to ``TOGETHER``
 parts into a group, which one task trains.  An epoch ships to each group the vectors of
-its own words only (a join on the word), trains each part there in small steps over
+its own words only (a word's row knows its groups), trains each part there in small steps over
 whole rows, and averages what the parts return, a word's vector weighted by its
 occurrences in the part; a group adds up its parts first, so a word's vector travels
-once a group and epoch.  The vocabulary is a table throughout: neither the driver nor
-a task holds all of it.  Each epoch's table is checkpointed, so a lost executor
-repeats a few parts of one epoch, with the same random numbers; what the epoch
+once a group and epoch.  The groups are trained in waves of ``TOGETHER`` parts a core: what is shuffled
+at a time follows the cores, not the input, and only words of further groups wait for the
+next wave.  The vocabulary is a table throughout: neither the driver nor
+a task holds all of it.  Each wave's table is checkpointed, so a lost executor
+repeats a few parts of one wave, with the same random numbers; what the wave
 shuffled is dropped before the next one."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +90,7 @@ def _epoch(size: int, window: int, negative: int, rate: tuple[float, float], see
         known = known.sort_by("word")
         names = known["word"].combine_chunks()
         v, o = (_numbers(known[c], size) for c in ("v", "o"))
+        more = {c: known[c].combine_chunks() for c in known.column_names if c not in ("group", "word", "v", "o")}  # handed on
         del known
         number = {w: i for i, w in enumerate(names.to_pylist())}
         sums, total = [np.zeros_like(v), np.zeros_like(o)], np.zeros(len(names), np.int64)
@@ -105,8 +109,8 @@ def _epoch(size: int, window: int, negative: int, rate: tuple[float, float], see
             for s, x in zip(sums, trained):
                 s[own] += x * n[:, None]
             total[own] += n
-        out = [pa.RecordBatch.from_arrays([names[i:i + ROWS], pa.array(total[i:i + ROWS]), *(_vectors(s[i:i + ROWS]) for s in sums)],
-                                          ["word", "n", "v", "o"]).append_column("group", pa.array([key[0].as_py()] * len(names[i:i + ROWS]), pa.int64()))
+        out = [pa.RecordBatch.from_arrays([names[i:i + ROWS], pa.array(total[i:i + ROWS]), *(_vectors(s[i:i + ROWS]) for s in sums),
+                                           *(c[i:i + ROWS] for c in more.values())], ["word", "n", "v", "o", *more]).append_column("group", pa.array([key[0].as_py()] * len(names[i:i + ROWS]), pa.int64()))
                for i in range(0, max(1, len(names)), ROWS)]
         return pa.Table.from_batches(out)
     return run
@@ -114,10 +118,11 @@ def _epoch(size: int, window: int, negative: int, rate: tuple[float, float], see
 
 def cbow_vectors(df: DataFrame, words: str, size: int = 100, window: int = 5, min_count: int = 1, negative: int = 5,
                  epochs: int = 5, alpha: float = 0.025, min_alpha: float = 0.0001, seed: int = 42,
-                 part_words: int = 200_000) -> DataFrame:
+                 part_words: int = 200_000, wave: int | None = None) -> DataFrame:
     """``df``'s column ``words`` (array of strings; null counts as empty) to a row a word
     that occurs ``min_count`` times or more: ``word``, ``n`` (occurrences) and ``v`` (its
-    vector).  The number of parts follows the number of words.  An empty table gives none."""
+    vector).  The number of parts follows the number of words.  At most ``wave`` groups of parts
+    (if not given, ``TOGETHER`` parts a core) are trained at a time.  An empty table gives none."""
     spark = df.sparkSession
     texts = cut_lineage(df.select(F.xxhash64(words).alias("_row"), F.expr(f"filter(`{words}`, w -> w is not null)").alias("_w"))
                         .where(F.size("_w") > 0)
@@ -129,24 +134,39 @@ def cbow_vectors(df: DataFrame, words: str, size: int = 100, window: int = 5, mi
     together = min(TOGETHER, max(1, parts // spark.sparkContext.defaultParallelism))
     texts = texts.withColumn("part", F.pmod(F.xxhash64("_row", "_from", "_i", F.lit(seed)), F.lit(parts))).drop("_i")
     texts = texts.withColumn("group", F.floor(F.col("part") / together))
-    need = texts.select("group", F.explode("words").alias("word")).groupBy("group", "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut_lineage(need.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count))
-    need = cut_lineage(need.join(counts, "word", "left_semi").select("group", "word"))
+    groups = math.ceil(parts / together)
+    wave = math.ceil(groups / math.ceil(groups / (wave or max(1, spark.sparkContext.defaultParallelism * TOGETHER // together))))
+    counts = cut_lineage(texts.select("group", F.explode("words").alias("word")).groupBy("group", "word").agg(F.count(F.lit(1)).alias("n"))
+                         .groupBy("word").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("group")).alias("groups"))
+                         .where(F.col("n") >= min_count))
     weights = counts.select(
-        "word", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (F.pmod(F.xxhash64("word", i, F.lit(seed)), F.lit(1 << 20))
-                            / (1 << 20) - 0.5) / size).alias("v"), F.array_repeat(F.lit(0.0), size).alias("o"))
+        "word", "n", "groups", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (F.pmod(F.xxhash64("word", i, F.lit(seed)), F.lit(1 << 20))
+                               / (1 << 20) - 0.5) / size).alias("v"), F.array_repeat(F.lit(0.0), size).alias("o"))
     for epoch in range(epochs):
         rate = tuple(alpha + (min_alpha - alpha) * e / epochs for e in (epoch, epoch + 1))
-        shipped = need.join(weights, "word").select("group", "word", "v", "o")
-        trained = texts.groupBy("group").cogroup(shipped.groupBy("group")).applyInArrow(
-            _epoch(size, window, negative, rate, seed, epoch), "word string, n long, v array<double>, o array<double>, group long")
-
-        weights = cut_lineage(trained.groupBy("word").agg(F.sum("n").alias("_n"), *[
-            F.array_sort(F.collect_list(F.struct("group", F.col(c).alias("v")))).alias(c) for c in ("v", "o")]).select(
-            "word", *[F.transform(_sum(F.col(c), size), lambda x: x / F.col("_n")).alias(c) for c in ("v", "o")]))
-        del shipped, trained
-        drop_unused(spark)
-    return weights.join(counts, "word").select("word", "n", "v")
+        whole, waiting = [], None   # words whose groups are all trained; sums of the others
+        for first in range(0, groups, wave):
+            end = first + wave - 1
+            shipped = weights.select(F.explode(F.filter("groups", lambda g: g.between(first, end))).alias("group"), "word",
+                                     F.array_max("groups").alias("last"), "v", "o")
+            trained = texts.where(F.col("group").between(first, end)).groupBy("group").cogroup(shipped.groupBy("group")).applyInArrow(
+                _epoch(size, window, negative, rate, seed, epoch),
+                "word string, n long, v array<double>, o array<double>, last long, group long").withColumn("groups", F.array("group"))
+            if waiting is not None:
+                trained = trained.unionByName(waiting)
+            n = F.when(F.col("last") <= end, F.col("n")).otherwise(F.lit(1))
+            held = cut_lineage(trained.groupBy("word").agg(
+                F.sum("n").alias("n"), F.max("last").alias("last"), F.array_sort(F.flatten(F.collect_list("groups"))).alias("groups"),
+                *[F.array_sort(F.collect_list(F.struct("group", F.col(c).alias("v")))).alias(c) for c in ("v", "o")]).select(
+                "word", "n", "last", "groups", *[F.transform(_sum(F.col(c), size), lambda x: x / n).alias(c) for c in ("v", "o")]))
+            whole.append(held.where(F.col("last") <= end).drop("last"))
+            # added up first, as a group before those of the next wave
+            waiting = held.where(F.col("last") > end).withColumn("group", F.lit(-1).cast("long"))
+            del shipped, trained, held
+            drop_unused(spark)
+        weights = reduce(DataFrame.unionByName, whole)
+        del whole, waiting
+    return weights.select("word", "n", "v")
 
 
 def _row_sums(size: int):

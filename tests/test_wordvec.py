@@ -80,3 +80,19 @@ def test_a_group_returns_each_word_once():
     assert [(r["word"], r["n"], r["group"]) for r in whole] == [("a", 2, 2), ("b", 3, 2), ("c", 2, 2)]
     for r, x, y in zip(whole, one, two):
         assert r["n"] == x["n"] + y["n"] and np.allclose(r["v"], np.add(x["v"], y["v"])) and np.allclose(r["o"], np.add(x["o"], y["o"]))
+
+
+def test_waves_give_the_vectors_of_all_groups_at_once(texts, monkeypatch):
+    """What an epoch ships follows the wave; words of later groups wait with their sums.  No epoch joins the words' groups."""
+    monkeypatch.setattr(wordvec, "TOGETHER", 1)
+    few, plans, cut = texts.where("id < 300"), [], wordvec.cut_lineage
+    monkeypatch.setattr(wordvec, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = []
+    for wave in (100, 2):
+        plans.clear()
+        got.append({r.word: (r.n, np.array(r.v)) for r in wordvec.cbow_vectors(few, "words", size=5, epochs=2, part_words=500, wave=wave).collect()})
+        assert len(plans) == 2 + 2 * (1 if wave == 100 else 3)   # 2,400 words, 5 groups
+        assert not any("Join" in p for p in plans)
+    whole, waves = got
+    assert sum(n for n, _ in whole.values()) == 2400 and whole.keys() == waves.keys()
+    assert all(whole[w][0] == waves[w][0] and np.allclose(whole[w][1], waves[w][1], rtol=1e-12, atol=1e-15) for w in whole)
