@@ -91,3 +91,24 @@ def test_a_fit_computes_its_rows_once(spark):
     forest.fit_forest(d, "y", "regressor", {"numTrees": 3, "maxDepth": 3})
     assert scans.value == 200
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
+def test_the_registered_regressor_search_is_the_whole_one(spark, monkeypatch):
+    """Ten draws from the reference's 216 points and five folds, over all rows of the training side."""
+    from inspect import signature
+    from postlytics.plans import catalog, fixed
+    seen, whole = {}, signature(forest.random_search)
+    train = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, y double")
+
+    def search(*args, **named):
+        bound = whole.bind(*args, **named)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        return {"numTrees": 1}
+
+    monkeypatch.setattr(catalog, "_forest_data", lambda *_: (train, None, ["x"], "y"))
+    monkeypatch.setattr(forest, "random_search", search)
+    monkeypatch.setattr(forest, "cv_scores", lambda *_, **__: spark.createDataFrame([(0.5, 0.1)], "cv_r2 double, cv_mse double"))
+    assert catalog.spark_queries()["forest_search_regressor"](spark, "unread").first()["params"] == "[('numTrees', 1)]"
+    grid = seen["grid"] or fixed.FOREST_GRID
+    assert seen["train"] is train and (seen["n_iter"], seen["folds"]) == (10, 5) and grid == fixed.FOREST_GRID
